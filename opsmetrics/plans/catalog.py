@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def all_queries():
-    from opsmetrics.plans import catalog_dwell
+    from opsmetrics.plans import catalog_dwell, catalog_scorecard
     out = {}
-    for mod in (catalog_dwell,):
+    for mod in (catalog_dwell, catalog_scorecard):
         out.update(mod.QUERIES)
     return out

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import dwell
+    from oracle import dwell, scorecard
     out = {}
-    for mod in (dwell,):
+    for mod in (dwell, scorecard):
         out.update(mod.queries())
     return out
