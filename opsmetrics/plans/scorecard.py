@@ -225,7 +225,7 @@ def product_margin_table(fact: DataFrame, p: ScorecardParams) -> DataFrame:
                    & F.col("attribution_therapeutic_area_level_1").isin(list(p.margin_areas)))
     description = F.concat(F.col("etc_level_2"), F.lit(" - "), F.coalesce("etc_level_4", "etc_level_3"))
     g = f.groupBy("product_name", "brand_vs_generic", "etc_level_1", description.alias("description")).agg(
-        F.count_distinct("delivery_id").alias("num_fills"), F.avg("profit").alias("avg_gp"))
+        F.count_distinct("delivery_id").alias("num_fills"), F.avg("profit").cast("decimal(38,8)").alias("avg_gp"))
     g = g.withColumn("total_gp", F.round(F.col("num_fills") * F.col("avg_gp"), 2).cast("decimal(38,2)"))
     return g.where(F.col("num_fills") > p.min_fills)
 

@@ -44,6 +44,7 @@ def get_session(master: str | None = None, cpus: int | None = None,
     master = master or f"local[{cpus}]"
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))

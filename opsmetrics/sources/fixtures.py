@@ -158,6 +158,192 @@ join {region} r on r.r_regionkey = n.n_regionkey
 """)
 
 
+# --------------------------------------------------------------------------- replacements (R)
+# Shipment items = order lines. Lines flagged 'R' are replacements: their parent order is
+# the line's order, their own order id is derived from it. The barcode of an item is the
+# key of its order; SKU = part noun, style = part type. Event = the order date.
+view("shipment_items", """
+select o.o_custkey as user_id,
+       cast(year(o.o_orderdate) * 10000 + month(o.o_orderdate) * 100 + day(o.o_orderdate) as bigint) as event_id,
+       case when l.l_returnflag = 'R' then l.l_orderkey * 100 + l.l_linenumber else l.l_orderkey end as order_id,
+       case when l.l_returnflag = 'R' then l.l_orderkey end as parent_order_id,
+       l.l_orderkey as size_check_id,
+       cast(l.l_shipdate as date) as shipment_date,
+       cast(l.l_orderkey as string) as shipping_reference_code,
+       split_part(p.p_name, ' ', 2) as sku_code,
+       cast(p.p_size as string) as sku_size,
+       case when l.l_quantity > 45 then 'XL' else cast(cast(l.l_quantity as bigint) as string) end as sku_length,
+       p.p_brand as sku_fit,
+       case when l.l_tax >= 0.07 then 'hem ' || cast(l.l_linenumber as string) end as tailor_comments,
+       'v-' || p.p_brand as version_name,
+       'cg-' || p.p_type as compatibility_group_name,
+       split_part(p.p_name, ' ', 2) as product_category_name,
+       p.p_type || ' ' || split_part(p.p_name, ' ', 2) as product_style_name,
+       p.p_type as product_style_code,
+       o.o_orderpriority as shipment_type_name,
+       split_part(p.p_name, ' ', 1) as sku_category_name,
+       l.l_returnflag = 'R' as is_replacement,
+       o.o_orderstatus = 'P' and l.l_linenumber = 7 as is_shipment_voided,
+       l.l_discount = 0 as is_home_try_on,
+       l.l_linestatus = 'O' and l.l_returnflag = 'N' as is_delivery_canceled
+from {lineitem} l
+join {orders} o on o.o_orderkey = l.l_orderkey
+join {part} p on p.p_partkey = l.l_partkey
+""")
+
+view("order_dim", """
+select o_orderkey as order_id, o_totalprice > 300000 as order_had_sku_sellout from {orders}
+""")
+
+view("host_detail", """
+select distinct cast(l.l_orderkey as string) as order_number, split_part(p.p_name, ' ', 2) as item_number,
+       cast(l.l_orderkey as string) as hu_id
+from {lineitem} l join {part} p on p.p_partkey = l.l_partkey
+""")
+
+view("stored_items", """
+select cast(o_orderkey as string) as hu_id, cast(o_orderdate as date) as fifo_date,
+       o_orderstatus = 'P' as is_deleted
+from {orders}
+""")
+
+view("event_dim", """
+select distinct cast(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) as bigint) as event_id,
+       cast(o_orderdate as date) as event_date
+from {orders}
+""")
+
+view("receipts", """
+select o_orderkey as hu_id,
+       case when o_orderpriority = '1-URGENT' then 'lot-' || o_orderstatus end as vendor_lot_num,
+       case when o_totalprice > 200000 then 'L-' || o_orderpriority end as lot_number
+from {orders}
+""")
+
+view("appointments_report", """
+select o.o_custkey as user_id,
+       cast(year(o.o_orderdate) * 10000 + month(o.o_orderdate) * 100 + day(o.o_orderdate) as bigint) as event_id,
+       o.o_orderpriority as showroom_group_name,
+       cast(l.l_shipdate as date) as showroom_appointment_date,
+       case when l.l_returnflag = 'A' and l.l_linestatus = 'F' then 1 else 0 end as cancelled_cnt,
+       case when l.l_discount = 0.1 then 1 else 0 end as no_show_cnt
+from {lineitem} l join {orders} o on o.o_orderkey = l.l_orderkey
+""")
+
+# associates and care staff are suppliers
+view("appointments", """
+select case when l_returnflag = 'N' then l_suppkey else -1001 end as associate_user_id from {lineitem}
+""")
+
+view("staff_users", """
+select s_suppkey as user_id, case when s_acctbal < 0 then '(Missing)' else s_name end as user_full_name,
+       lower(s_name) || '@example.com' as user_email
+from {supplier}
+""")
+
+view("care_staff", """
+select s_suppkey as user_id, s_name as employee_full_name,
+       ' site' || cast(s_nationkey as string) || ' ' as employee_site,
+       case when s_nationkey < 8 then 'CX' when s_nationkey < 16 then 'Ops' end as employee_group
+from {supplier}
+""")
+
+view("size_checks", """
+select o.o_custkey as user_id, l.l_orderkey * 100 + l.l_linenumber as size_survey_id, l.l_orderkey as size_check_id,
+       case when l.l_linestatus = 'O' then null else l.l_suppkey end as admin_user_id,
+       case l.l_linenumber % 4 when 0 then 'Customer Request' when 1 then 'Fit Specialist/TBT Admin'
+            when 2 then 'replacement check' else 'Auto Size' end as size_check_reason_desc,
+       case when p.p_size < 5 then null else split_part(p.p_name, ' ', 2) end as product_category_name,
+       cast(p.p_size as string) as predicted_size,
+       cast(l.l_linenumber as string) as survey_size,
+       cast(p.p_size as string) as checked_size,
+       l.l_discount > 0.05 as is_auto_size_checked,
+       l.l_tax > 0.04 as passed_auto_size_checked,
+       l.l_shipdate as size_check_ts
+from {lineitem} l
+join {orders} o on o.o_orderkey = l.l_orderkey
+join {part} p on p.p_partkey = l.l_partkey
+""")
+
+# replacement forms = events (order reference = event id, product set = user id,
+# fit description = the JSON props)
+view("replacement_forms", """
+select event_id as order_id, user_id as product_set_id, event_id as ticket_id,
+       cast(ts as date) as ticket_created_date,
+       cast(cast(floor(value) as bigint) as string) as requested_length,
+       props as fit_description,
+       event_type = 'click' as is_fit_replacement,
+       event_type = 'error' as is_item_missing_replacement,
+       event_type = 'signup' as is_damaged_replacement,
+       event_type = 'purchase' as is_wrong_item_replacement
+from {events}
+""")
+
+view("product_sets", """
+select p_partkey as product_set_id, split_part(p_name, ' ', 2) as product_category_name from {part}
+""")
+
+view("asn_detail", """
+select cast(l_orderkey as string) as hu_id, cast(l_partkey as string) as item_number,
+       'ASN-' || cast(l_suppkey as string) as asn_number, l_returnflag || l_linestatus as lot_number,
+       'PO-' || cast(l_orderkey as string) as po_number,
+       cast(l_orderkey as string) || '-' || cast(l_linenumber as string) as serial_number,
+       cast(l_shipdate as date) as create_date
+from {lineitem}
+""")
+
+view("asn_master", """
+select 'ASN-' || cast(s_suppkey as string) as asn_number, 'V' || cast(s_suppkey as string) as vendor_code,
+       case when s_acctbal < 0 then null else cast('1998-01-01' as date) + cast(s_suppkey as int) end as delivery_date
+from {supplier}
+""")
+
+view("purchase_orders", """
+select distinct 'PO-' || cast(l.l_orderkey as string) as purchase_id, 'V' || cast(l.l_suppkey as string) as vendor_id,
+       cast(l.l_partkey as string) as sku_code, s.s_name as vendor_name
+from {lineitem} l join {supplier} s on s.s_suppkey = l.l_suppkey
+""")
+
+# scan log with barcode swaps: an order's barcode is swapped to the customer's next order
+# (by date, then key); a customer's last order is a plain receipt scan. Split into a live
+# and an archive table by date.
+view("swap_log", """
+select item_number, lot_number, hu_id, hu_id_2, control_number, control_number_2, end_tran_date, tran_log_id,
+       case when hu_id_2 is null then 'receive' else 'swap' end as tran_type
+from (select cast(o_custkey as string) as item_number, o_orderpriority as lot_number,
+             cast(o_orderkey as string) as hu_id,
+             cast(lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as string) as hu_id_2,
+             o_orderstatus as control_number, o_orderstatus as control_number_2,
+             coalesce(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey), o_orderdate)
+                 as end_tran_date,
+             o_orderkey as tran_log_id
+      from {orders}) t
+""")
+
+view("scan_live", """
+select * from {swap_log} where end_tran_date >= cast('2000-01-01' as timestamp)
+""")
+
+view("scan_archive", """
+select * from {swap_log} where end_tran_date < cast('2000-01-01' as timestamp)
+""")
+
+view("version_prefs", """
+select o.o_custkey as user_id, split_part(p.p_name, ' ', 2) as product_category_name,
+       l.l_linestatus as showroom_preferred_version_name
+from {lineitem} l
+join {orders} o on o.o_orderkey = l.l_orderkey
+join {part} p on p.p_partkey = l.l_partkey
+""")
+
+# support tickets = documents about an order (order key = document id), whole texts
+view("tickets", """
+select d.doc_id as order_id, o.o_custkey as user_id, d.text as ticket_comments,
+       case d.lang when 'en' then 'replacement' when 'fr' then 'Replace item' else 'refund' end as request_type
+from {documents} d join {orders} o on o.o_orderkey = d.doc_id
+""")
+
+
 _REF = re.compile(r"\{([a-z_0-9]+)\}")
 
 

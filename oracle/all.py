@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import dwell, scorecard
+    from oracle import dwell, replacements, scorecard
     out = {}
-    for mod in (dwell, scorecard):
+    for mod in (dwell, scorecard, replacements):
         out.update(mod.queries())
     return out
