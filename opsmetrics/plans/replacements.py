@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -340,10 +341,11 @@ def classify_text(agg: DataFrame, tickets: DataFrame, fields: DataFrame, p: Repl
 
 def replacement_items(t, p: ReplacementParams = ReplacementParams()) -> DataFrame:
     """Full table: ``match_replacements`` rows plus origin barcode, forms, survey, reason, PO and vendor."""
+    keep = StorageLevel.MEMORY_AND_DISK  # frames read by two branches are computed once
     shows = latest_per_key(t["appointments_report"])
-    parents = parent_items(t, shows, p)
-    agg = match_replacements(parents, first_replacement(t))
-    fields = form_fields(t["replacement_forms"], t["product_sets"], p)
+    parents = parent_items(t, shows, p).persist(keep)
+    agg = match_replacements(parents, first_replacement(t)).persist(keep)
+    fields = form_fields(t["replacement_forms"], t["product_sets"], p).persist(keep)
     forms = form_summary(fields, p)
     surveys = actor_reason(t["size_checks"], showroom_associates(t["appointments"], t["staff_users"]),
                            care_associates(t["care_staff"], p), p)

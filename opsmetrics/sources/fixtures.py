@@ -16,6 +16,9 @@ Every view reads whole tables: no sampling, id subsets or row caps.
 from __future__ import annotations
 
 import re
+import zlib
+
+from pyspark import StorageLevel
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -351,16 +354,40 @@ def deps(name: str) -> list[str]:
     return _REF.findall(VIEWS[name])
 
 
-def derive(spark: SparkSession, root: str, name: str, _memo: dict | None = None) -> DataFrame:
-    """Spark DataFrame of a base table or a derived view."""
+def _is_derived_work(sql: str) -> bool:
+    """Views that join, group, rank or dedupe are worth keeping; plain projections stay lazy
+    so their filters still reach the Parquet scan."""
+    low = " ".join(sql.lower().split())
+    return any(k in low for k in (" join ", "group by", " over (", "distinct"))
+
+
+def _view_name(root: str, name: str) -> str:
+    return f"om_{zlib.crc32(root.encode()):08x}_{name}"
+
+
+def derive(spark: SparkSession, root: str, name: str, _memo: dict | None = None,
+           persist: bool = False) -> DataFrame:
+    """Spark DataFrame of a base table or a derived view.
+
+    Dependencies are registered as temp views and the view text is run with ``spark.sql``.
+    With ``persist`` a derived view is kept (memory, then disk) for the rest of the caller's
+    query, so an input used by several branches is derived once; on real tables the inputs
+    are plain scans and this is off.
+    """
     memo = {} if _memo is None else _memo
     if name in memo:
         return memo[name]
     if name in TABLE_NAMES:
         df = read_table(spark, root, name)
     else:
-        args = {d: derive(spark, root, d, memo) for d in dict.fromkeys(deps(name))}
-        df = spark.sql(VIEWS[name], **args)
+        text = VIEWS[name]
+        for d in dict.fromkeys(deps(name)):
+            derive(spark, root, d, memo, persist)
+            text = text.replace("{" + d + "}", _view_name(root, d))
+        df = spark.sql(text)
+        if persist and _is_derived_work(VIEWS[name]):
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.createOrReplaceTempView(_view_name(root, name))
     memo[name] = df
     return df
 
@@ -368,11 +395,11 @@ def derive(spark: SparkSession, root: str, name: str, _memo: dict | None = None)
 class Inputs:
     """``Inputs(spark, root)["scan_log"]``: derived views, each built once per instance."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self._memo = spark, root, {}
+    def __init__(self, spark: SparkSession, root: str, persist: bool = False):
+        self.spark, self.root, self.persist, self._memo = spark, root, persist, {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return derive(self.spark, self.root, name, self._memo)
+        return derive(self.spark, self.root, name, self._memo, self.persist)
 
 
 def _closure(names) -> list[str]:
