@@ -1 +1,6 @@
-"""streaming."""
+"""Streaming: intentionally empty.
+
+The reference has no streaming construct (no watermark, window, state or late data). The
+dwell-time job reads an append-only scan log as a batch table with a lower time bound,
+so no streaming operator is built.
+"""
