@@ -19,11 +19,23 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """``spark.read.parquet`` of one table of the folder ``root``."""
+def read_table(spark: SparkSession, root: str, name: str, spread: bool = True) -> DataFrame:
+    """``spark.read.parquet`` of one table of the folder ``root``.
+
+    A file written as a single row group is read by one task, so everything up to the
+    first shuffle would run on one core. With ``spread`` such a scan (fewer splits than the
+    default parallelism) is redistributed round-robin; large tables, which have many
+    splits, are returned as scanned. Filters and column pruning still reach the scan
+    below the redistribution.
+    """
     if name not in TABLE_NAMES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(root, name))
+    df = spark.read.parquet(table_path(root, name))
+    if spread:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+    return df
 
 
 class Tables:
