@@ -26,6 +26,22 @@ def listagg(c: ColumnOrName, sep: str = "", distinct: bool = False) -> Column:
     return F.when(F.size(values) > 0, F.array_join(F.array_sort(values), sep))
 
 
+def listagg_by_counts(df: DataFrame, keys: Sequence[str], value: str, sep: str = "",
+                      alias: str = "listagg") -> DataFrame:
+    """Plain (non-distinct) ``listagg(value, sep)`` per key, ordered by value.
+
+    Rows are first counted per (key, value), so a hot key ships one row per distinct value
+    through the shuffle instead of one per input row; the list is then rebuilt from the
+    (value, count) pairs, which gives the same string as collecting every row.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(),
+                                               F.struct(F.col(value).alias("v"), F.col("_n").alias("n")))))
+    expanded = F.flatten(F.transform(pairs, lambda x: F.array_repeat(x["v"], x["n"].cast("int"))))
+    # a key whose values are all NULL keeps its row, with a NULL list
+    return counts.groupBy(*keys).agg(F.when(F.size(pairs) > 0, F.array_join(expanded, sep)).alias(alias))
+
+
 def count_distinct_if(cond: Column, value: ColumnOrName) -> Column:
     """``count(distinct iff(cond, value, null))``."""
     return F.count_distinct(F.when(cond, col(value)))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from opsmetrics.functions.semantics import (asc, concat_text, date_window, day_diff, desc, iff, ilike_any,
                                             month_start, parse_int, ratio)
 from opsmetrics.operators import chain as C
-from opsmetrics.operators.aggregates import count_distinct_if, listagg, ordered_pairs, pivot_sum, sum_if
+from opsmetrics.operators.aggregates import (count_distinct_if, listagg, listagg_by_counts, ordered_pairs,
+                                             pivot_sum, sum_if)
 from opsmetrics.operators.windows import (first_per_key, qualify, rank_window, share_of_partition, top_n_global,
                                           top_n_per_key, with_rank)
 from opsmetrics.sources.fixtures import Inputs
@@ -411,8 +412,7 @@ def agg_listagg_distinct(spark, root):
 
 @q
 def agg_listagg(spark, root):
-    li = _t(spark, root).lineitem
-    return li.groupBy("l_orderkey").agg(listagg("l_returnflag", ",").alias("flags"))
+    return listagg_by_counts(_t(spark, root).lineitem, ["l_orderkey"], "l_returnflag", ",", "flags")
 
 
 @q

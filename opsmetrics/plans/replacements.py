@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from opsmetrics.functions.rules import first_match, vendor_label
 from opsmetrics.functions.semantics import concat_text, day_diff, iff, parse_int
-from opsmetrics.operators.aggregates import listagg
+from opsmetrics.operators.aggregates import listagg, listagg_by_counts
 from opsmetrics.operators.chain import edge_union, resolve_chain
 from opsmetrics.operators.windows import first_per_key, qualify, rank_window, with_rank
 
@@ -321,9 +321,9 @@ def swap_origins(live: DataFrame, archive: DataFrame, p: ReplacementParams) -> D
 
 
 def preference_list(prefs: DataFrame, p: ReplacementParams) -> DataFrame:
-    return (prefs.where(F.col("showroom_preferred_version_name") == p.preferred_version)
-            .groupBy("user_id", "product_category_name")
-            .agg(listagg("showroom_preferred_version_name", ",").alias("showroom_version")))
+    kept = prefs.where(F.col("showroom_preferred_version_name") == p.preferred_version)
+    return listagg_by_counts(kept, ["user_id", "product_category_name"], "showroom_preferred_version_name", ",",
+                             "showroom_version")
 
 
 def classify_text(agg: DataFrame, tickets: DataFrame, fields: DataFrame, p: ReplacementParams) -> DataFrame:

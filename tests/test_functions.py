@@ -83,3 +83,11 @@ def test_deterministic_across_partitioning(spark):
         out.append(sorted(map(tuple, df.select("uid", "replacement", "oc").collect()), key=str))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert out[0] == out[1]
+
+
+def test_listagg_by_counts_matches_plain(spark):
+    from opsmetrics.operators.aggregates import listagg_by_counts
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, None), (3, "c")], "k int, v string")
+    got = {r.k: r.s for r in listagg_by_counts(df, ["k"], "v", ",", "s").collect()}
+    plain = {r.k: r.s for r in df.groupBy("k").agg(listagg("v", ",").alias("s")).collect()}
+    assert got == plain == {1: "a,b,b", 2: None, 3: "c"}
