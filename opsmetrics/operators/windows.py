@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsmetrics.functions.semantics import ColumnOrName, total_order
+from opsmetrics.functions.semantics import ColumnOrName, asc, total_order
 
 Keys = Sequence[ColumnOrName | tuple[ColumnOrName, str]]
 
@@ -71,3 +71,56 @@ def lag_default(c: ColumnOrName, partition, order: Keys, default, offset: int =
 
 def lead_default(c: ColumnOrName, partition, order: Keys, default=None, offset: int = 1) -> Column:
     return F.lead(c, offset, default).over(rank_window(partition, order))
+
+
+# ----------------------------------------------------------------------------- split windows
+# Offset and numbering windows over one key are sequential: every row of the key lands in
+# one task. When a key may hold a large share of the rows, the rows are windowed per
+# (key, bucket) instead, where the bucket is a range of the ordering column, and a small
+# per-bucket summary (one row per key and bucket) repairs the bucket edges. A bucket over a
+# unique sequence of width w holds at most w rows of any key.
+
+def _join_summary(rows: DataFrame, summary: DataFrame, key: Sequence[str], bucket: str) -> DataFrame:
+    keys = set(key) | {bucket}
+    s = summary.select(*[F.col(c).alias(f"_s_{c}") if c in keys else F.col(c) for c in summary.columns])
+    cond = F.col(bucket) == F.col(f"_s_{bucket}")
+    for k in key:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    out = rows.join(s, cond, "inner")
+    return out.drop(*[f"_s_{k}" for k in key], f"_s_{bucket}")
+
+
+def split_neighbours(df: DataFrame, key: Sequence[str], bucket: str, order: Sequence[str], value: str,
+                     prev_name: str, next_name: str | None = None) -> DataFrame:
+    """``lag(value)`` / ``lead(value)`` over ``partition by key order by order`` computed per
+    (key, bucket). Buckets must follow the order (bucket = a range of the first order column).
+    No neighbour -> NULL.
+    """
+    w = Window.partitionBy(*key, bucket).orderBy(*[asc(o) for o in order])
+    boxed = F.struct(F.col(value).alias("v"))
+    out = df.withColumn("_lp", F.lag(boxed).over(w))
+    if next_name:
+        out = out.withColumn("_ln", F.lead(boxed).over(w))
+    pos = F.struct(*[F.col(o) for o in order])
+    ends = df.groupBy(*key, bucket).agg(F.max_by(boxed, pos).alias("_last"), F.min_by(boxed, pos).alias("_first"))
+    wb = Window.partitionBy(*key).orderBy(bucket)
+    edges = ends.select(*key, bucket, F.lag("_last").over(wb).alias("_bp"), F.lead("_first").over(wb).alias("_bn"))
+    out = _join_summary(out, edges, key, bucket)
+    out = out.withColumn(prev_name, F.coalesce("_lp", "_bp")["v"])
+    if next_name:
+        out = out.withColumn(next_name, F.coalesce("_ln", "_bn")["v"])
+    return out.drop("_lp", "_ln", "_bp", "_bn")
+
+
+def split_row_number(df: DataFrame, key: Sequence[str], bucket: str, order: Sequence[str], name: str,
+                     total_name: str) -> DataFrame:
+    """``row_number() over (partition by key order by order)`` and the key's row count,
+    numbered per (key, bucket) and offset by the counts of the key's earlier buckets."""
+    w = Window.partitionBy(*key, bucket).orderBy(*[asc(o) for o in order])
+    local = df.withColumn("_lr", F.row_number().over(w))
+    counts = df.groupBy(*key, bucket).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*key, bucket, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_c").over(Window.partitionBy(*key)).alias(total_name))
+    out = _join_summary(local, offsets, key, bucket)
+    return out.withColumn(name, (F.col("_lr") + F.col("_off")).cast("int")).drop("_lr", "_off")

@@ -19,6 +19,20 @@ def pipe_dwell_time(spark, root):
     return D.dwell_time(_log(spark, root), START, END, END, START, since=SINCE)
 
 
+def job_dwell_split_buckets(spark, root):
+    """The full job with deliberately small buckets (64 log ids, one hour) so that every
+    item's windows cross many bucket edges; same result as ``pipe_dwell_time``."""
+    return D.dwell_time(_log(spark, root), START, END, END, START, since=SINCE, bucket_width=64,
+                        time_bucket_seconds=3600, hot_threshold=None)
+
+
+def job_dwell_hot_items(spark, root):
+    """The full job with a low hot-item threshold, so the busiest items take the split path
+    and the rest the single pass; same result as ``pipe_dwell_time``."""
+    return D.dwell_time(_log(spark, root), START, END, END, START, since=SINCE, bucket_width=64,
+                        time_bucket_seconds=3600, hot_threshold=40)
+
+
 def job_annotate(spark, root):
     return D.annotate_neighbours(_log(spark, root), START + END, since=SINCE)
 
@@ -37,6 +51,8 @@ def job_pair_events(spark, root):
 
 QUERIES = {
     "pipe_dwell_time": pipe_dwell_time,
+    "job_dwell_split_buckets": job_dwell_split_buckets,
+    "job_dwell_hot_items": job_dwell_hot_items,
     "job_annotate": job_annotate,
     "job_prune_events": job_prune_events,
     "job_drop_unclosed": job_drop_unclosed,

@@ -14,7 +14,9 @@ def _log(spark, rows):
 
 
 def _run(spark, rows):
-    out = dwell_time(_log(spark, rows), START, END, END, START).collect()
+    out = dwell_time(_log(spark, rows), START, END, END, START, bucket_width=2, time_bucket_seconds=86400).collect()
+    ref = dwell_time(_log(spark, rows), START, END, END, START, bucket_width=None).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, ref), key=str)
     return sorted((r.barcode, r.description, r.date, r.returned_date, r.d2s) for r in out)
 
 
@@ -61,8 +63,30 @@ def test_calendar_days_across_midnight(spark):
     assert _run(spark, rows) == [("H", "click", d(2, 1), d(1, 23), 1)]
 
 
-def test_one_exchange_and_pushdown(spark):
-    from opsmetrics.plans.catalog_dwell import pipe_dwell_time
-    plan = pipe_dwell_time(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+def test_plan_shapes(spark):
+    from opsmetrics.plans import dwell as D
+    from opsmetrics.plans.catalog_dwell import END, SINCE, START, _log as scan_log
+    log = scan_log(spark, "/root/testdata/sf0.001")
+    single = D.dwell_time(log, START, END, END, START, since=SINCE, bucket_width=None)
+    plan = single._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    split = D.dwell_time(log, START, END, END, START, since=SINCE)
+    plan = split._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "event_type" in plan
+    # every window over whole rows is keyed by (item, bucket); item-only windows see summaries
+    assert "[hu_id#" in plan and "_b#" in plan and "_tb#" in plan
+
+
+def test_split_windows_match_single_pass_with_tiny_buckets(spark):
+    import random
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        b = rng.choice("PQRS")
+        rows.append((b, rng.choice(["view", "view", "click", "purchase", "other"]),
+                     dt.datetime(2024, 1, 1) + dt.timedelta(hours=i * 7 + rng.randrange(5))))
+    log = _log(spark, rows)
+    single = dwell_time(log, START, END, END, START, bucket_width=None)
+    for width, tsec in ((3, 86400), (1, 3600), (50, 7 * 86400)):
+        split = dwell_time(log, START, END, END, START, bucket_width=width, time_bucket_seconds=tsec)
+        assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, single.collect()), key=str)
