@@ -35,31 +35,56 @@ def first_match(rules: Sequence[tuple[Column, str]] | None = None, default=None)
     return out.otherwise(F.lit(default)) if default is not None else out
 
 
-def replacement_reason_rules(comments: str = "ticket_comments", style: str = "product_style_name",
-                             length: str = "sku_length", requested: str = "requested_length",
-                             tailoring: str = "replace_tailoring") -> list[tuple[Column, str]]:
-    """Reason rules in priority order: text complaints, tailoring, size mix-ups, bundles."""
-    c, s, tail = F.col(comments), F.col(style), F.col(tailoring)
-    gap = parse_int(length) - parse_int(requested)
+def item_predicates(style: str = "product_style_name", length: str = "sku_length",
+                    requested: str | None = "requested_length",
+                    tailoring: str = "replace_tailoring") -> dict[str, Column]:
+    """The item-side conditions the reason rules read (the rest is ticket text)."""
+    s, tail = F.col(style), F.col(tailoring)
+    if requested is None:
+        gap1 = gap2 = F.lit(None).cast("boolean")
+    else:
+        gap = parse_int(length) - parse_int(requested)
+        gap1, gap2 = (gap == 1) & tail.like("%1%"), (gap == 2) & tail.like("%2%")
+    return {
+        "gap1_tailored": gap1,
+        "gap2_tailored": gap2,
+        "has_tailoring": tail.isNotNull(),
+        "jacket": s.ilike(JACKET),
+        "shirt": s.ilike(SHIRT),
+        "pant": s.ilike(PANT),
+        "size_mismatch": ((F.col("nxt_replace_size") != F.col("replacement_sku_size"))
+                          | (F.col("nxt_replace_length") != F.col("replacement_sku_length"))),
+    }
+
+
+def reason_rules(comments: Column, item: dict[str, Column]) -> list[tuple[Column, str]]:
+    """Reason rules in priority order over ticket text ``comments`` and item predicates."""
+    c = comments
     return [
         (ilike_any(c, DAMAGE_PATTERNS), DAMAGED),
-        ((gap == 1) & tail.like("%1%"), TAILORED),
-        ((gap == 2) & tail.like("%2%"), TAILORED),
-        (tail.isNotNull(), TAILORED),
+        (item["gap1_tailored"], TAILORED),
+        (item["gap2_tailored"], TAILORED),
+        (item["has_tailoring"], TAILORED),
         (c.like(SLEEVE_PATTERN), TAILORED),
         (ilike_any(c, MISSING_PATTERNS), MISSING),
         (c.ilike(WRONG_PATTERN), WRONG_ITEM),
         (ilike_any(c, DELIVERY_PATTERNS), DELIVERY_ISSUE),
-        (s.ilike(JACKET) & c.ilike(WRINKLE_PATTERN), WRINKLED),
+        (item["jacket"] & c.ilike(WRINKLE_PATTERN), WRINKLED),
         (c.ilike(STOLEN_PATTERN), STOLEN),
-        (s.ilike(SHIRT) & c.ilike(EXTEND_PATTERN), EXTENDERS),
-        ((F.col("nxt_replace_size") != F.col("replacement_sku_size"))
-         | (F.col("nxt_replace_length") != F.col("replacement_sku_length")), WRONG_REPLACEMENT),
-        (s.ilike(PANT) & c.ilike(JACKET) & ~c.ilike(PANT), BUNDLE),
-        (s.ilike(JACKET) & c.ilike(PANT) & ~c.ilike(JACKET), BUNDLE),
+        (item["shirt"] & c.ilike(EXTEND_PATTERN), EXTENDERS),
+        (item["size_mismatch"], WRONG_REPLACEMENT),
+        (item["pant"] & c.ilike(JACKET) & ~c.ilike(PANT), BUNDLE),
+        (item["jacket"] & c.ilike(PANT) & ~c.ilike(JACKET), BUNDLE),
     ]
 
 
+def replacement_reason_rules(comments: str = "ticket_comments", style: str = "product_style_name",
+                             length: str = "sku_length", requested: str = "requested_length",
+                             tailoring: str = "replace_tailoring") -> list[tuple[Column, str]]:
+    """Reason rules on one row holding the ticket text and the item columns."""
+    return reason_rules(F.col(comments), item_predicates(style, length, requested, tailoring))
+
+
 def vendor_label(code: Column, category: Column, rules: Sequence[tuple[str, Sequence[str], str]],
                  default: str = "") -> Column:
     """Vendor code -> label; a rule may exclude categories by pattern. No match -> ``default``."""

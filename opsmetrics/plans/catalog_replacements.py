@@ -82,8 +82,7 @@ def job_preferences(spark, root):
 
 def job_classify_text(spark, root):
     t = Inputs(spark, root)
-    fields = R.form_fields(t["replacement_forms"], t["product_sets"], P)
-    return R.classify_text(R.match_replacements(_parents(t), R.first_replacement(t)), t["tickets"], fields, P)
+    return R.classify_text(R.match_replacements(_parents(t), R.first_replacement(t)), t["tickets"], P)
 
 
 def job_vendor_label(spark, root):

@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.functions.rules import first_match, vendor_label
+from opsmetrics.functions.rules import first_match, item_predicates, reason_rules, vendor_label
 from opsmetrics.functions.semantics import concat_text, day_diff, iff, parse_int
 from opsmetrics.operators.aggregates import listagg, listagg_by_counts
 from opsmetrics.operators.chain import edge_union, resolve_chain
@@ -326,17 +326,37 @@ def preference_list(prefs: DataFrame, p: ReplacementParams) -> DataFrame:
                              "showroom_version")
 
 
-def classify_text(agg: DataFrame, tickets: DataFrame, fields: DataFrame, p: ReplacementParams) -> DataFrame:
-    """Label each no-change replacement from its tickets' text and fields; alphabetically largest label wins."""
-    z = tickets.select(F.col("order_id").alias("z_order_id"), F.col("user_id").alias("z_user_id"),
-                       "ticket_comments", "request_type")
-    f = fields.select("replacement_form_orders", "f_product_category_name", "requested_length")
-    j = (agg.join(z, (F.col("z_order_id") == F.col("order_id")) & (F.col("z_user_id") == F.col("user_id")), "left")
-         .join(f, (F.col("replacement_form_orders") == F.col("order_id"))
-               & (F.col("product_category_name") == F.col("f_product_category_name")), "left"))
-    j = j.where((F.col("no_change_replacement") == F.lit(True)) & F.col("request_type").ilike(p.request_pattern)
-                & ~F.col("ticket_comments").ilike(p.excluded_comment_pattern))
-    return j.groupBy("uid", "sku_code", "product_style_name").agg(F.max(first_match()).alias("reason"))
+_FLAGS = ("has_tailoring", "size_mismatch", "jacket", "shirt", "pant")
+
+
+def classify_text(agg: DataFrame, tickets: DataFrame, p: ReplacementParams) -> DataFrame:
+    """Label each no-change replacement from its order's tickets; the largest label wins.
+
+    The label depends on the item only through five flags (tailoring note present, size
+    mix-up, style mentions jacket / shirt / pant), so tickets are labelled once per
+    (order, distinct flag combination) - at most 32 per order - and the labels joined back
+    to the items, instead of pairing every item of an order with every ticket.
+
+    The replacement-form lookup of the rule list is not joined: its two rules require a
+    tailoring note, which already makes the next rule give the same label, and the label
+    is a maximum, so the form rows cannot change the result.
+    """
+    preds = item_predicates(requested=None)
+    a = agg.where(F.col("no_change_replacement") == F.lit(True)).select(
+        "uid", "sku_code", "product_style_name", "order_id", "user_id",
+        *[F.coalesce(preds[f], F.lit(False)).alias(f"_f_{f}") for f in _FLAGS])
+    flags = [f"_f_{f}" for f in _FLAGS]
+    sigs = a.select("order_id", "user_id", *flags).distinct()
+    z = (tickets.where(F.col("request_type").ilike(p.request_pattern)
+                       & ~F.col("ticket_comments").ilike(p.excluded_comment_pattern))
+         .select(F.col("order_id").alias("z_order_id"), F.col("user_id").alias("z_user_id"), "ticket_comments"))
+    item = {f: F.col(f"_f_{f}") for f in _FLAGS}
+    item["gap1_tailored"] = item["gap2_tailored"] = F.lit(None).cast("boolean")
+    label = first_match(reason_rules(F.col("ticket_comments"), item))
+    labelled = (sigs.join(z, (F.col("z_order_id") == F.col("order_id")) & (F.col("z_user_id") == F.col("user_id")))
+                .groupBy("order_id", "user_id", *flags).agg(F.max(label).alias("reason")))
+    out = a.join(labelled, ["order_id", "user_id", *flags], "inner")
+    return out.groupBy("uid", "sku_code", "product_style_name").agg(F.max("reason").alias("reason"))
 
 
 def replacement_items(t, p: ReplacementParams = ReplacementParams()) -> DataFrame:
@@ -345,13 +365,13 @@ def replacement_items(t, p: ReplacementParams = ReplacementParams()) -> DataFram
     shows = latest_per_key(t["appointments_report"])
     parents = parent_items(t, shows, p).persist(keep)
     agg = match_replacements(parents, first_replacement(t)).persist(keep)
-    fields = form_fields(t["replacement_forms"], t["product_sets"], p).persist(keep)
+    fields = form_fields(t["replacement_forms"], t["product_sets"], p)
     forms = form_summary(fields, p)
     surveys = actor_reason(t["size_checks"], showroom_associates(t["appointments"], t["staff_users"]),
                            care_associates(t["care_staff"], p), p)
     joins = latest_survey_per_order(surveys, parents)
     swaps = swap_origins(t["scan_live"], t["scan_archive"], p)
-    reasons = classify_text(agg, t["tickets"], fields, p)
+    reasons = classify_text(agg, t["tickets"], p)
     a = (agg.join(swaps, F.col("most_recent_change") == F.col("hu_id"), "left")
          .join(reasons.select(F.col("uid").alias("r_uid"), F.col("reason").alias("no_change_reason")),
                F.col("r_uid") == F.col("uid"), "left")

@@ -24,7 +24,7 @@ def read_table(spark: SparkSession, root: str, name: str, spread: bool = True) -
 
     A file written as a single row group is read by one task, so everything up to the
     first shuffle would run on one core. With ``spread`` such a scan (fewer splits than the
-    default parallelism) is redistributed round-robin; large tables, which have many
+    default parallelism) is redistributed by its leading key column; large tables, which have many
     splits, are returned as scanned. Filters and column pruning still reach the scan
     below the redistribution.
     """
@@ -34,7 +34,9 @@ def read_table(spark: SparkSession, root: str, name: str, spread: bool = True) -
     if spread:
         target = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
+            # hash on the leading key column: deterministic on retry without the per-task
+            # sort a round-robin redistribution needs
+            df = df.repartition(target, df.columns[0])
     return df
 
 

@@ -91,3 +91,37 @@ def test_listagg_by_counts_matches_plain(spark):
     got = {r.k: r.s for r in listagg_by_counts(df, ["k"], "v", ",", "s").collect()}
     plain = {r.k: r.s for r in df.groupBy("k").agg(listagg("v", ",").alias("s")).collect()}
     assert got == plain == {1: "a,b,b", 2: None, 3: "c"}
+
+
+def test_classify_by_flags_equals_all_pairs(spark):
+    """Labels from (order, flag combination) equal labels over every item x ticket x form row."""
+    from opsmetrics.plans.replacements import ReplacementParams, classify_text
+    agg = spark.createDataFrame([
+        ("u1", "s", "jacket blue", 1, 7, "32", "hem 1", "40", "40", "30", "30", True),
+        ("u2", "s", "pants", 1, 7, "32", None, "40", "42", "30", "30", True),
+        ("u3", "s", "shirt", 1, 7, "30", None, None, None, None, None, True),
+        ("u4", "s", "pants", 2, 8, "XL", None, "1", "1", "2", "2", True),
+        ("u5", "s", "jacket", 3, 9, "32", None, "1", "1", "2", "2", False),
+    ], "uid string, sku_code string, product_style_name string, order_id long, user_id long, sku_length string, "
+       "replace_tailoring string, nxt_replace_size string, replacement_sku_size string, nxt_replace_length string, "
+       "replacement_sku_length string, no_change_replacement boolean")
+    tickets = spark.createDataFrame([
+        (1, 7, "it arrived WRINKLED, need a jacket", "replacement"),
+        (1, 7, "extend the collar", "replace"),
+        (1, 7, "UJET call", "replace"),
+        (2, 8, "was stolen", "Replace"),
+        (2, 8, "need jacket only", "refund"),
+        (3, 9, "damage", "replace"),
+    ], "order_id long, user_id long, ticket_comments string, request_type string")
+    forms = spark.createDataFrame([(1, "31"), (1, "30"), (2, "5")],
+                                  "replacement_form_orders long, requested_length string")
+    got = {r.uid: r.reason for r in classify_text(agg, tickets, ReplacementParams()).collect()}
+    from pyspark.sql import functions as F
+    from opsmetrics.functions.rules import first_match, replacement_reason_rules
+    z = tickets.withColumnRenamed("order_id", "z_order").withColumnRenamed("user_id", "z_user")
+    pairs = (agg.join(z, (F.col("z_order") == F.col("order_id")) & (F.col("z_user") == F.col("user_id")), "left")
+             .join(forms, F.col("replacement_form_orders") == F.col("order_id"), "left")
+             .where(F.col("no_change_replacement") & F.col("request_type").ilike("%replace%")
+                    & ~F.col("ticket_comments").ilike("%UJET%")))
+    ref = {r.uid: r.reason for r in pairs.groupBy("uid").agg(F.max(first_match(replacement_reason_rules())).alias("reason")).collect()}
+    assert got == ref and set(got) == {"u1", "u2", "u3", "u4"}
