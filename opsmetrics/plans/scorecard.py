@@ -326,21 +326,33 @@ def crm_attribute_match(kpis: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def stage_history(status: DataFrame, clinics: DataFrame, p: ScorecardParams) -> DataFrame:
-    """Per entity and year: month-stage list, highest stage (label), any-true flags."""
-    c = _clinics(clinics).select(F.col("super_clinic_id").alias("c_super_clinic_id"), "c_clinic_name", "pm",
-                                 "first_prescription_created_at")
-    j = (status.join(c, F.col("super_clinic_id") == F.col("c_super_clinic_id"), "left")
-         .where((F.year("fiscal_month") == p.status_year)
-                & (F.col("first_prescription_created_at").cast("date") <= month_start("fiscal_month"))))
+    """Per entity and year: month-stage list, highest stage (label), any-true flags.
+
+    Status rows are reduced to one row per (entity, owner, market, month) before they meet
+    the clinic rows of the entity, so the join pairs months with names instead of every
+    status row with every name. The month-level filter (first prescription on or before
+    the month) and the distinct list / max aggregates make this exact.
+    """
     stage = F.concat(F.month("fiscal_month").cast("string"), F.lit(" - "),
                      iff(F.col("growth_clinic_funnel_stage").isNull(), F.lit(CHURNED), F.col("growth_clinic_funnel_stage")))
+    months = (status.where(F.year("fiscal_month") == p.status_year)
+              .groupBy("super_clinic_id", "salesforce_owner_name", "market", "fiscal_month")
+              .agg(F.collect_set(stage).alias("_stages"),
+                   F.max("growth_clinic_funnel_stage_index").alias("_idx"),
+                   F.max("has_tia").alias("_tia"), F.max("has_granted_ehr_access").alias("_ehr"),
+                   F.max("has_activated_alto_connect").alias("_alto")))
+    c = _clinics(clinics).select(F.col("super_clinic_id").alias("c_super_clinic_id"), "c_clinic_name", "pm",
+                                 "first_prescription_created_at")
+    j = (months.join(c, F.col("super_clinic_id") == F.col("c_super_clinic_id"), "left")
+         .where(F.col("first_prescription_created_at").cast("date") <= month_start("fiscal_month")))
     g = j.groupBy("super_clinic_id", "salesforce_owner_name", "pm", "market",
                   F.lower("c_clinic_name").alias("clinic_name")).agg(
-        listagg(stage, ", ", distinct=True).alias("stage_hist"),
-        F.max("growth_clinic_funnel_stage_index").alias("highest_stage_reached_int"),
-        F.max("has_tia").alias("has_tia"),
-        F.max("has_granted_ehr_access").alias("granted_ehr_access"),
-        F.max("has_activated_alto_connect").alias("has_alto_connect"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_stages")))).alias("_all"),
+        F.max("_idx").alias("highest_stage_reached_int"),
+        F.max("_tia").alias("has_tia"),
+        F.max("_ehr").alias("granted_ehr_access"),
+        F.max("_alto").alias("has_alto_connect"))
+    g = g.withColumn("stage_hist", F.when(F.size("_all") > 0, F.array_join("_all", ", "))).drop("_all")
     label = F.lit(CHURNED)
     for idx, name in reversed(p.stage_labels):
         label = F.when(F.col("highest_stage_reached_int") == idx, name).otherwise(label)
