@@ -176,11 +176,14 @@ def month_snapshot(fact: DataFrame, p: ScorecardParams) -> DataFrame:
 def top_n_share(kpis: DataFrame, p: ScorecardParams) -> DataFrame:
     """Top products per entity by deliveries; the share uses the entity total *before* the cut."""
     part = ["clinic_name", "super_clinic_id"]
-    ranked = with_rank(kpis, "med_rank", part, [("total_med_fills", "desc")],
-                       tiebreak=["product_name", "brand_vs_generic"])
-    ranked = ranked.withColumn("total_vol", F.sum("total_med_fills").over(Window.partitionBy(*part)))
-    ranked = ranked.withColumn("portion_of_vol", ratio("total_med_fills", "total_vol", 2))
-    return ranked.where(F.col("med_rank") <= p.top_n)
+    # entity totals as a grouped sum (combined map-side) joined back, not a partition-wide window
+    totals = kpis.groupBy(*[F.col(c).alias(f"_t_{c}") for c in part]).agg(F.sum("total_med_fills").alias("total_vol"))
+    top = qualify(kpis, part, [("total_med_fills", "desc")], F.col("med_rank") <= p.top_n,
+                  tiebreak=["product_name", "brand_vs_generic"], rank_col="med_rank", keep_rank=True)
+    cond = F.col("clinic_name").eqNullSafe(F.col("_t_clinic_name")) & F.col("super_clinic_id").eqNullSafe(
+        F.col("_t_super_clinic_id"))
+    out = top.join(totals, cond, "left").drop("_t_clinic_name", "_t_super_clinic_id")
+    return out.withColumn("portion_of_vol", ratio("total_med_fills", "total_vol", 2))
 
 
 def topn_to_columns(top: DataFrame, p: ScorecardParams) -> DataFrame:
