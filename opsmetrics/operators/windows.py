@@ -80,6 +80,45 @@ def lead_default(c: ColumnOrName, partition, order: Keys, default=None, offset:
 # per-bucket summary (one row per key and bucket) repairs the bucket edges. A bucket over a
 # unique sequence of width w holds at most w rows of any key.
 
+def sort_position(order: Sequence[str]) -> Column:
+    """A struct that compares like ``order by o1 asc nulls last, o2 ...`` (for min_by / max_by)."""
+    return F.struct(*[F.struct(F.col(o).isNull().alias("n"), F.col(o).alias("v")).alias(f"p{i}")
+                      for i, o in enumerate(order)])
+
+
+def hot_keys(df: DataFrame, key: Sequence[str], threshold: int) -> DataFrame:
+    """Keys holding more than ``threshold`` rows, as ``_hk_<key>`` columns plus ``_hot``.
+
+    At most ``rows / threshold`` keys qualify, whatever the data, which is what makes the
+    list safe to broadcast.
+    """
+    counts = df.groupBy(*[F.col(k).alias(f"_hk_{k}") for k in key]).agg(F.count(F.lit(1)).alias("_hk_n"))
+    return counts.where(F.col("_hk_n") > threshold).select(*[f"_hk_{k}" for k in key], F.lit(True).alias("_hot"))
+
+
+def split_by_heat(df: DataFrame, key: Sequence[str], threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of hot keys)."""
+    hot = hot_keys(df, key, threshold)
+    cond = None
+    for k in key:
+        e = F.col(k).eqNullSafe(F.col(f"_hk_{k}"))
+        cond = e if cond is None else cond & e
+    tagged = df.join(F.broadcast(hot), cond, "left").drop(*[f"_hk_{k}" for k in key])
+    return tagged.where(F.col("_hot").isNull()).drop("_hot"), tagged.where(F.col("_hot")).drop("_hot")
+
+
+def range_bucket(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "_rb",
+                 partitions: int | None = None) -> DataFrame:
+    """Range-partition on (key, order asc nulls last) and tag each row with its range number.
+
+    A key whose rows fill several ranges is spread over several buckets, and bucket numbers
+    grow along the order, as ``split_neighbours`` / ``split_row_number`` require.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[asc(k) for k in key], *[asc(o) for o in order])
+    return ranged.withColumn(name, F.spark_partition_id())
+
+
 def _join_summary(rows: DataFrame, summary: DataFrame, key: Sequence[str], bucket: str) -> DataFrame:
     keys = set(key) | {bucket}
     s = summary.select(*[F.col(c).alias(f"_s_{c}") if c in keys else F.col(c) for c in summary.columns])
@@ -101,7 +140,7 @@ def split_neighbours(df: DataFrame, key: Sequence[str], bucket: str, order: Sequ
     out = df.withColumn("_lp", F.lag(boxed).over(w))
     if next_name:
         out = out.withColumn("_ln", F.lead(boxed).over(w))
-    pos = F.struct(*[F.col(o) for o in order])
+    pos = sort_position(order)
     ends = df.groupBy(*key, bucket).agg(F.max_by(boxed, pos).alias("_last"), F.min_by(boxed, pos).alias("_first"))
     wb = Window.partitionBy(*key).orderBy(bucket)
     edges = ends.select(*key, bucket, F.lag("_last").over(wb).alias("_bp"), F.lead("_first").over(wb).alias("_bn"))
@@ -117,10 +156,27 @@ def split_row_number(df: DataFrame, key: Sequence[str], bucket: str, order: Sequ
     """``row_number() over (partition by key order by order)`` and the key's row count,
     numbered per (key, bucket) and offset by the counts of the key's earlier buckets."""
     w = Window.partitionBy(*key, bucket).orderBy(*[asc(o) for o in order])
-    local = df.withColumn("_lr", F.row_number().over(w))
+    local = df.withColumn("_lr", F.row_number().over(w))  # same order as the buckets
     counts = df.groupBy(*key, bucket).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*key, bucket, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
                             F.sum("_c").over(Window.partitionBy(*key)).alias(total_name))
     out = _join_summary(local, offsets, key, bucket)
     return out.withColumn(name, (F.col("_lr") + F.col("_off")).cast("int")).drop("_lr", "_off")
+
+
+def hot_safe_row_number(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str,
+                        hot_threshold: int | None) -> DataFrame:
+    """``row_number() over (partition by key order by order asc nulls last)``.
+
+    Ordinary keys use one window; keys with more than ``hot_threshold`` rows are
+    range-partitioned on (key, order) and numbered per range with offsets from the
+    per-range counts, so a hot key is spread over many tasks.
+    """
+    w = Window.partitionBy(*key).orderBy(*[asc(o) for o in order])
+    if hot_threshold is None:
+        return df.withColumn(name, F.row_number().over(w))
+    cold, hot = split_by_heat(df, key, hot_threshold)
+    a = cold.withColumn(name, F.row_number().over(w))
+    b = split_row_number(range_bucket(hot, key, order), key, "_rb", order, name, "_rn_total")
+    return a.unionByName(b.drop("_rb", "_rn_total"))

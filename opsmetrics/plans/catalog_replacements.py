@@ -29,7 +29,22 @@ def job_parent_items(spark, root):
 
 
 def job_first_child(spark, root):
-    return R.first_replacement(Inputs(spark, root))
+    return R.first_replacement(Inputs(spark, root), P)
+
+
+HOT = R.ReplacementParams(hot_threshold=2)
+
+
+def job_parent_items_hot_keys(spark, root):
+    """Parent items with a hot-key threshold of 2 rows: every multi-row (order, style) key is
+    ranked through range buckets; same result as ``job_parent_items``."""
+    t = Inputs(spark, root)
+    return R.parent_items(t, R.latest_per_key(t["appointments_report"]), HOT)
+
+
+def job_first_child_hot_keys(spark, root):
+    """First replacement with a hot-key threshold of 2 rows; same result as ``job_first_child``."""
+    return R.first_replacement(Inputs(spark, root), HOT)
 
 
 def job_actor_reason(spark, root):
@@ -54,7 +69,7 @@ def job_form_summary(spark, root):
 
 def job_match(spark, root):
     t = Inputs(spark, root)
-    return R.match_replacements(_parents(t), R.first_replacement(t))
+    return R.match_replacements(_parents(t), R.first_replacement(t, P))
 
 
 def job_latest_purchase(spark, root):
@@ -82,7 +97,7 @@ def job_preferences(spark, root):
 
 def job_classify_text(spark, root):
     t = Inputs(spark, root)
-    return R.classify_text(R.match_replacements(_parents(t), R.first_replacement(t)), t["tickets"], P)
+    return R.classify_text(R.match_replacements(_parents(t), R.first_replacement(t, P)), t["tickets"], P)
 
 
 def job_vendor_label(spark, root):

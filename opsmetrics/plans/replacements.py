@@ -26,7 +26,8 @@ from opsmetrics.functions.rules import first_match, item_predicates, reason_rule
 from opsmetrics.functions.semantics import concat_text, day_diff, iff, parse_int
 from opsmetrics.operators.aggregates import listagg, listagg_by_counts
 from opsmetrics.operators.chain import edge_union, resolve_chain
-from opsmetrics.operators.windows import first_per_key, qualify, rank_window, with_rank
+from opsmetrics.operators.windows import (first_per_key, hot_safe_row_number, qualify, range_bucket, rank_window,
+                                          split_by_heat, split_neighbours)
 
 # fixed values: missing-associate id and name, the role label, the assisted-check reasons
 MISSING_ASSOCIATE_ID = -1001
@@ -56,6 +57,7 @@ class ReplacementParams:
     preferred_version: str = "F"
     request_pattern: str = "%replace%"
     excluded_comment_pattern: str = "%UJET%"
+    hot_threshold: int | None = 1 << 22           # rows of one key above which its windows are split
     vendor_rules: tuple = field(default=(
         ("V1", ("%gear%",), "Vendor One"),
         ("V2", (), "Vendor Two"),
@@ -132,7 +134,8 @@ def parent_items(t, shows: DataFrame, p: ReplacementParams) -> DataFrame:
         uid(F.col("i.order_id"), F.col("i.product_style_code"), F.coalesce(F.col("s.hu_id"), F.lit(""))).alias("uid"),
     )
     # the order||style key is partitioned by its two columns (no text collisions)
-    return with_rank(out, "cleaner", ["order_id", "product_style_code"], ["shipment_date"], tiebreak=_PARENT_TIE)
+    return hot_safe_row_number(out, ["order_id", "product_style_code"], ["shipment_date"] + _PARENT_TIE, "cleaner",
+                               p.hot_threshold)
 
 
 _CHILD_TIE = ["shipment_date", "sku_code", "sku_size", "sku_length", "sku_fit", "replace_tailoring", "hu_id",
@@ -140,11 +143,14 @@ _CHILD_TIE = ["shipment_date", "sku_code", "sku_size", "sku_length", "sku_fit",
               "sku_category_name", "product_style_name"]
 
 
-def first_replacement(t) -> DataFrame:
+def first_replacement(t, p: ReplacementParams | None = None) -> DataFrame:
     """First replacement per (parent order, style) with the size/length of the replacement after it.
 
-    ``lead`` sees every replacement row; the first-row filter runs afterwards.
+    ``lead`` sees every replacement row; the first-row filter runs afterwards. Keys with
+    more than ``hot_threshold`` rows get the "next row" from range buckets with repaired
+    edges instead of one window over the whole key.
     """
+    p = p or ReplacementParams()
     i = t["shipment_items"].alias("i")
     s = t["host_detail"].alias("s")
     st = t["stored_items"].where(F.col("is_deleted") == F.lit(False)).alias("st")
@@ -170,9 +176,25 @@ def first_replacement(t) -> DataFrame:
         F.col("s.hu_id").alias("hu_id"),
         uid(F.col("i.parent_order_id"), F.col("i.product_style_code"), F.col("s.hu_id")).alias("uid"))
     key = ["parent_order_id", "product_style_code"]
-    w_next = rank_window(key, ["shipment_date"], ["order_id"] + _CHILD_TIE[1:])
-    c = (c.withColumn("nxt_replace_size", F.lead("sku_size").over(w_next))
-          .withColumn("nxt_replace_length", F.lead("sku_length").over(w_next)))
+    lead_order = ["shipment_date", "order_id"] + _CHILD_TIE[1:]
+
+    def with_next(rows: DataFrame) -> DataFrame:
+        w_next = rank_window(key, lead_order)
+        return (rows.withColumn("nxt_replace_size", F.lead("sku_size").over(w_next))
+                    .withColumn("nxt_replace_length", F.lead("sku_length").over(w_next)))
+
+    def with_next_split(rows: DataFrame) -> DataFrame:
+        b = range_bucket(rows.withColumn("_sl", F.struct("sku_size", "sku_length")), key, lead_order)
+        n = split_neighbours(b, key, "_rb", lead_order, "_sl", "_prev_sl", "_next_sl")
+        return (n.withColumn("nxt_replace_size", F.col("_next_sl")["sku_size"])
+                 .withColumn("nxt_replace_length", F.col("_next_sl")["sku_length"])
+                 .drop("_sl", "_prev_sl", "_next_sl", "_rb"))
+
+    if p.hot_threshold is None:
+        c = with_next(c)
+    else:
+        cold, hot = split_by_heat(c, key, p.hot_threshold)
+        c = with_next(cold).unionByName(with_next_split(hot))
     return qualify(c, key, ["order_id"], 1, tiebreak=_CHILD_TIE, rank_col="occur").drop("hu_id")
 
 
@@ -364,7 +386,7 @@ def replacement_items(t, p: ReplacementParams = ReplacementParams()) -> DataFram
     keep = StorageLevel.MEMORY_AND_DISK  # frames read by two branches are computed once
     shows = latest_per_key(t["appointments_report"])
     parents = parent_items(t, shows, p).persist(keep)
-    agg = match_replacements(parents, first_replacement(t)).persist(keep)
+    agg = match_replacements(parents, first_replacement(t, p)).persist(keep)
     fields = form_fields(t["replacement_forms"], t["product_sets"], p)
     forms = form_summary(fields, p)
     surveys = actor_reason(t["size_checks"], showroom_associates(t["appointments"], t["staff_users"]),
