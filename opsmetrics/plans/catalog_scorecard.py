@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from opsmetrics.functions import margin as M
 from opsmetrics.plans import scorecard as S
 from opsmetrics.sources.fixtures import Inputs

@@ -31,7 +31,7 @@ from opsmetrics.functions import margin as M
 from opsmetrics.functions.semantics import (MONEY_SUM, date_window, desc, ilike_any, iff, month_start,
                                             ratio, total_order)
 from opsmetrics.operators.aggregates import count_distinct_if, listagg, pivot_sum, sum_if
-from opsmetrics.operators.windows import first_per_key, qualify, with_rank
+from opsmetrics.operators.windows import first_per_key, qualify
 
 # fixed values: band labels and the default stage label of the scorecard
 HIGH_BAND, NEGATIVE_BAND, LOW_BAND, OTHER_BAND = "High GP Product", "Negative GP Product", "Low GP Product", "Other"
