@@ -57,7 +57,9 @@ class ReplacementParams:
     preferred_version: str = "F"
     request_pattern: str = "%replace%"
     excluded_comment_pattern: str = "%UJET%"
-    hot_threshold: int | None = 1 << 22           # rows of one key above which its windows are split
+    # rows of one (order, style) key above which its windows run through range buckets; off by
+    # default: such a key holds one order's items, and the split path reads its input twice
+    hot_threshold: int | None = None
     vendor_rules: tuple = field(default=(
         ("V1", ("%gear%",), "Vendor One"),
         ("V2", (), "Vendor Two"),
