@@ -7,6 +7,8 @@ the job selects and filters later.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLE_NAMES = (
@@ -15,6 +17,21 @@ TABLE_NAMES = (
 )
 
 
+# files below this size are read as they are: spreading a tiny dimension costs a shuffle
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def _local_size(path: str) -> int:
+    """Size of a local file or folder; 0 when unknown (remote paths are never spread: a large
+    remote table has many splits anyway)."""
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if "://" in local or not os.path.exists(local):
+        return 0
+    if os.path.isfile(local):
+        return os.path.getsize(local)
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs)
+
+
 def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}.parquet"
 
@@ -24,14 +41,15 @@ def read_table(spark: SparkSession, root: str, name: str, spread: bool = True) -
 
     A file written as a single row group is read by one task, so everything up to the
     first shuffle would run on one core. With ``spread`` such a scan (fewer splits than the
-    default parallelism) is redistributed by its leading key column; large tables, which have many
-    splits, are returned as scanned. Filters and column pruning still reach the scan
+    default parallelism, over 1 MB) is redistributed by its leading key column; tiny
+    dimensions and large tables, which have many splits, are returned as scanned. Filters and column pruning still reach the scan
     below the redistribution.
     """
     if name not in TABLE_NAMES:
         raise KeyError(f"unknown table {name!r}")
-    df = spark.read.parquet(table_path(root, name))
-    if spread:
+    path = table_path(root, name)
+    df = spark.read.parquet(path)
+    if spread and _local_size(path) > SPREAD_MIN_BYTES:
         target = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < target:
             # hash on the leading key column: deterministic on retry without the per-task
