@@ -9,7 +9,7 @@ def test_checkpoint_dir_is_set_once(spark):
 
 def test_single_split_scan_is_spread(spark):
     from opsmetrics.sources.tables import read_table
-    df = read_table(spark, "/root/testdata/sf0.001", "lineitem")
+    df = read_table(spark, "/root/testdata/sf0.1", "lineitem")  # 10 MB, one row group
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     plan = df.where("l_quantity > 10").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity" in plan
