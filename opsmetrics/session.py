@@ -58,7 +58,8 @@ def get_session(master: str | None = None, cpus: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a scratch folder created and set.
+    Only when the session has none and runs in local mode (tests) is a scratch folder
+    created and set; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -69,6 +70,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    if not sc.master.startswith("local"):
+        # a folder on the driver is not reachable from executors: require a shared one
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     local = tempfile.mkdtemp(prefix="opsmetrics-ckpt-")
     sc.setCheckpointDir(local)
     return local
