@@ -125,3 +125,26 @@ def test_classify_by_flags_equals_all_pairs(spark):
                     & ~F.col("ticket_comments").ilike("%UJET%")))
     ref = {r.uid: r.reason for r in pairs.groupBy("uid").agg(F.max(first_match(replacement_reason_rules())).alias("reason")).collect()}
     assert got == ref and set(got) == {"u1", "u2", "u3", "u4"}
+
+
+def test_margin_null_rules(spark):
+    from decimal import Decimal
+    from opsmetrics.functions.margin import profit, revenue
+    df = spark.createDataFrame(
+        [(Decimal("100"), None, Decimal("5"), None, Decimal("60"), None),
+         (None, Decimal("1"), Decimal("1"), Decimal("1"), Decimal("1"), Decimal("1"))],
+        "revenue_with_emd_fee decimal(18,4), dispensing_revenue_adjustment decimal(18,4), "
+        "progyny_revenue_adjustment decimal(18,4), dir_high decimal(18,4), cogs decimal(18,4), "
+        "emd_rebate_adjustment decimal(18,4)")
+    got = [(r.rev, r.gp) for r in df.select(revenue().alias("rev"), profit().alias("gp")).collect()]
+    assert got == [(Decimal("105.0000"), Decimal("45.0000")), (None, None)]
+
+
+def test_date_window_vs_bare_timestamp_bound(spark):
+    import datetime as dt
+    from opsmetrics.functions.semantics import date_window
+    df = spark.createDataFrame([(dt.datetime(2022, 12, 31, 15, 0),), (dt.datetime(2022, 12, 31, 0, 0),)],
+                               "ts timestamp_ntz")
+    with_cast = df.where(date_window("ts", "2022-07-01", "2022-12-31")).count()
+    bare = df.where(F.col("ts") <= F.lit("2022-12-31").cast("timestamp_ntz")).count()
+    assert (with_cast, bare) == (2, 1)
