@@ -101,9 +101,10 @@ def parent_items(t, shows: DataFrame, p: ReplacementParams) -> DataFrame:
     j = (i.join(o, F.col("o.order_id") == F.col("i.order_id"), "left")
          .join(s, (F.col("s.order_number") == F.col("i.shipping_reference_code"))
                & (F.col("s.item_number") == F.col("i.sku_code")), "left")
+         # the two barcode lookups sit next to each other so they share one partitioning
          .join(st, F.col("st.hu_id") == F.col("s.hu_id"), "left")
-         .join(e, F.col("e.event_id") == F.col("i.event_id"), "left")
          .join(v, F.col("s.hu_id") == F.col("v.hu_id").cast("string"), "left")
+         .join(e, F.col("e.event_id") == F.col("i.event_id"), "left")
          .join(sh, (F.col("sh.event_id") == F.col("i.event_id")) & (F.col("sh.user_id") == F.col("i.user_id")), "left"))
     as_of = F.lit(p.as_of).cast("date")
     j = j.where((F.col("i.is_replacement") == F.lit(False))
