@@ -118,3 +118,13 @@ def total_order(keys: Sequence[ColumnOrName | tuple[ColumnOrName, str]],
                 tiebreak: Sequence[str] = ()) -> list[Column]:
     """Sort keys followed by ascending tie-break columns, so every rank is deterministic."""
     return order_spec(*keys) + [asc(t) for t in tiebreak]
+
+
+def mean_from_parts(total: ColumnOrName, count: ColumnOrName, digits: int) -> Column:
+    """``round(avg(x), digits)`` for a decimal x with scale 4, from ``sum(x)`` and ``count(x)``.
+
+    Same steps as Spark's ``avg`` on decimal(p,4): the quotient is rounded half-up to 8
+    places, then to ``digits``.
+    """
+    q = F.try_divide(col(total).cast("decimal(28,4)"), col(count).cast(COUNT_DEC))
+    return F.round(F.round(q, 8), digits).cast(f"decimal(38,{digits})")

@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import margin as M
-from opsmetrics.functions.semantics import (MONEY_SUM, date_window, desc, ilike_any, iff, month_start,
-                                            ratio, total_order)
-from opsmetrics.operators.aggregates import count_distinct_if, listagg, pivot_sum, sum_if
+from opsmetrics.functions.semantics import (MONEY_SUM, date_window, desc, ilike_any, iff, mean_from_parts,
+                                            month_start, ratio, total_order)
+from opsmetrics.operators.aggregates import (count_distinct_if, distinct_counts_by_flags, join_on_keys, listagg,
+                                             pivot_sum, sum_if)
 from opsmetrics.operators.windows import first_per_key, qualify
 
 # fixed values: band labels and the default stage label of the scorecard
@@ -132,18 +133,24 @@ def product_entity_kpis(fact: DataFrame, p: ScorecardParams) -> DataFrame:
     new_patient = month_start("delivered_at") == month_start("pt_created_at")
     fee_cond = F.coalesce("target_medication_class", "bizops_target_med_class").ilike(p.fee_pattern)
     fee = F.lit(p.fee).cast("decimal(10,2)")
-    g = f.groupBy("product_name", "brand_vs_generic", "clinic_name", "super_clinic_id", "wunderbar_id",
-                  "state", "clinic_ta").agg(
-        sum_if(fee_cond, fee, F.lit(0).cast("decimal(10,2)")).cast(MONEY_SUM).alias("product_service_fee"),
-        F.count_distinct("merged_into_user_id").alias("total_patients"),
-        F.count_distinct("delivery_id").alias("total_med_fills"),
-        count_distinct_if(new_patient, "delivery_id").alias("np_fills"),
-        F.round(F.avg("profit"), 3).cast("decimal(38,3)").alias("avg_profit"),
-        F.sum("profit").cast(MONEY_SUM).alias("total_profit"),
-        F.round(F.avg("revenue"), 3).cast("decimal(38,3)").alias("avg_revenue"),
-        F.sum("revenue").cast(MONEY_SUM).alias("total_revenue"),
-        count_distinct_if(F.col("profit") < 0, "delivery_id").alias("neg_gp_fills"),
-    )
+    keys = ["product_name", "brand_vs_generic", "clinic_name", "super_clinic_id", "wunderbar_id", "state", "clinic_ta"]
+    # per (group, delivery) flags and partial sums, then counts and sums per group
+    by_delivery = distinct_counts_by_flags(
+        f, keys, "delivery_id",
+        flags={"np_fills": new_patient, "neg_gp_fills": F.col("profit") < 0},
+        sums={"product_service_fee": sum_if(fee_cond, fee, F.lit(0).cast("decimal(10,2)")),
+              "_profit_sum": F.sum("profit"), "_profit_n": F.count("profit"),
+              "_revenue_sum": F.sum("revenue"), "_revenue_n": F.count("revenue")},
+        total="total_med_fills")
+    patients = f.groupBy(*keys).agg(F.count_distinct("merged_into_user_id").alias("total_patients"))
+    g = join_on_keys(by_delivery, patients, keys)
+    g = g.select(
+        *keys, F.col("product_service_fee").cast(MONEY_SUM).alias("product_service_fee"), "total_patients",
+        "total_med_fills", "np_fills",
+        mean_from_parts("_profit_sum", "_profit_n", 3).alias("avg_profit"),
+        F.col("_profit_sum").cast(MONEY_SUM).alias("total_profit"),
+        mean_from_parts("_revenue_sum", "_revenue_n", 3).alias("avg_revenue"),
+        F.col("_revenue_sum").cast(MONEY_SUM).alias("total_revenue"), "neg_gp_fills")
     return (g.withColumn("negative_gp_rate", ratio("neg_gp_fills", "total_med_fills", 6))
              .withColumn("pct_fills_from_nps", ratio("np_fills", "total_med_fills", 6)))
 
@@ -264,12 +271,12 @@ def band_mix(fact: DataFrame, bands: DataFrame, p: ScorecardParams) -> DataFrame
     b = bands.select(F.col("product_name").alias("b_product_name"), "med_gp_category")
     j = f.join(b, F.col("product_name") == F.col("b_product_name"), "left")
     cat = F.col("med_gp_category")
-    g = j.groupBy("super_clinic_id", "clinic_name", "clinic_ta").agg(
-        count_distinct_if(cat == HIGH_BAND, "delivery_id").alias("num_high_gp_med_fills"),
-        count_distinct_if(cat == NEGATIVE_BAND, "delivery_id").alias("num_neg_gp_med_fills"),
-        count_distinct_if(cat == LOW_BAND, "delivery_id").alias("num_low_gp_med_fills"),
-        count_distinct_if(F.coalesce(cat, F.lit(OTHER_BAND)) == OTHER_BAND, "delivery_id").alias("num_other_fills"),
-        F.count_distinct("delivery_id").alias("total_deliveries"))
+    g = distinct_counts_by_flags(
+        j, ["super_clinic_id", "clinic_name", "clinic_ta"], "delivery_id",
+        flags={"num_high_gp_med_fills": cat == HIGH_BAND, "num_neg_gp_med_fills": cat == NEGATIVE_BAND,
+               "num_low_gp_med_fills": cat == LOW_BAND,
+               "num_other_fills": F.coalesce(cat, F.lit(OTHER_BAND)) == OTHER_BAND},
+        total="total_deliveries")
     for name, num in (("high_gp_med_fill_pct", "num_high_gp_med_fills"), ("low_gp_med_fill_pct", "num_low_gp_med_fills"),
                       ("neg_gp_med_fill_pct", "num_neg_gp_med_fills"), ("other_fill_pct", "num_other_fills")):
         g = g.withColumn(name, ratio(num, "total_deliveries", 6))
