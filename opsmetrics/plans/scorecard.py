@@ -173,11 +173,13 @@ def month_snapshot(fact: DataFrame, p: ScorecardParams) -> DataFrame:
                    & ~F.col("product_name").ilike(p.money_excluded_product))
     hit = F.col("product_name").ilike(p.snapshot_pattern)
     new_patient = month_start("delivered_at") == month_start("pt_created_at")
-    return f.groupBy("clinic_name", "super_clinic_id").agg(
-        count_distinct_if(new_patient & hit, "merged_into_user_id").alias("snapshot_nps"),
-        count_distinct_if(hit, "delivery_id").alias("snapshot_fills"),
-        F.sum("profit").cast(MONEY_SUM).alias("total_profit"),
-        F.sum("revenue").cast(MONEY_SUM).alias("total_revenue"))
+    keys = ["clinic_name", "super_clinic_id"]
+    deliveries = distinct_counts_by_flags(f, keys, "delivery_id", flags={"snapshot_fills": hit},
+                                          sums={"_profit": F.sum("profit"), "_revenue": F.sum("revenue")})
+    patients = distinct_counts_by_flags(f, keys, "merged_into_user_id", flags={"snapshot_nps": new_patient & hit})
+    g = join_on_keys(deliveries, patients, keys)
+    return g.select(*keys, "snapshot_nps", "snapshot_fills", F.col("_profit").cast(MONEY_SUM).alias("total_profit"),
+                    F.col("_revenue").cast(MONEY_SUM).alias("total_revenue"))
 
 
 def top_n_share(kpis: DataFrame, p: ScorecardParams) -> DataFrame:
