@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 from opsmetrics.functions import margin as M
 from opsmetrics.functions.semantics import (MONEY_SUM, date_window, desc, ilike_any, iff, mean_from_parts,
                                             month_start, ratio, total_order)
-from opsmetrics.operators.aggregates import (count_distinct_if, distinct_counts_by_flags, join_on_keys, listagg,
-                                             pivot_sum, sum_if)
+from opsmetrics.operators.aggregates import distinct_counts_by_flags, join_on_keys, listagg, pivot_sum, sum_if
 from opsmetrics.operators.windows import first_per_key, qualify
 
 # fixed values: band labels and the default stage label of the scorecard
