@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +97,15 @@ def hot_keys(df: DataFrame, key: Sequence[str], threshold: int) -> DataFrame:
     return counts.where(F.col("_hk_n") > threshold).select(*[f"_hk_{k}" for k in key], F.lit(True).alias("_hot"))
 
 
-def split_by_heat(df: DataFrame, key: Sequence[str], threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys)."""
+def split_by_heat(df: DataFrame, key: Sequence[str], threshold: int,
+                  persist_input: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of hot keys).
+
+    ``df`` is read twice (counts, then rows); pass ``persist_input`` when it is expensive to
+    recompute (joins upstream), leave it off for a plain scan.
+    """
+    if persist_input:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     hot = hot_keys(df, key, threshold)
     cond = None
     for k in key:
@@ -130,11 +138,14 @@ def _join_summary(rows: DataFrame, summary: DataFrame, key: Sequence[str], bucke
 
 
 def split_neighbours(df: DataFrame, key: Sequence[str], bucket: str, order: Sequence[str], value: str,
-                     prev_name: str, next_name: str | None = None) -> DataFrame:
+                     prev_name: str, next_name: str | None = None, persist_input: bool = True) -> DataFrame:
     """``lag(value)`` / ``lead(value)`` over ``partition by key order by order`` computed per
     (key, bucket). Buckets must follow the order (bucket = a range of the first order column).
-    No neighbour -> NULL.
+    No neighbour -> NULL. ``df`` feeds both the rows and the bucket summary, so it is
+    persisted unless it is a cheap scan (``persist_input=False``).
     """
+    if persist_input:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy(*key, bucket).orderBy(*[asc(o) for o in order])
     boxed = F.struct(F.col(value).alias("v"))
     out = df.withColumn("_lp", F.lag(boxed).over(w))
@@ -152,9 +163,12 @@ def split_neighbours(df: DataFrame, key: Sequence[str], bucket: str, order: Sequ
 
 
 def split_row_number(df: DataFrame, key: Sequence[str], bucket: str, order: Sequence[str], name: str,
-                     total_name: str) -> DataFrame:
+                     total_name: str, persist_input: bool = True) -> DataFrame:
     """``row_number() over (partition by key order by order)`` and the key's row count,
-    numbered per (key, bucket) and offset by the counts of the key's earlier buckets."""
+    numbered per (key, bucket) and offset by the counts of the key's earlier buckets.
+    ``df`` feeds both the rows and the counts (persisted as in ``split_neighbours``)."""
+    if persist_input:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     w = Window.partitionBy(*key, bucket).orderBy(*[asc(o) for o in order])
     local = df.withColumn("_lr", F.row_number().over(w))  # same order as the buckets
     counts = df.groupBy(*key, bucket).agg(F.count(F.lit(1)).alias("_c"))
@@ -176,7 +190,7 @@ def hot_safe_row_number(df: DataFrame, key: Sequence[str], order: Sequence[str],
     w = Window.partitionBy(*key).orderBy(*[asc(o) for o in order])
     if hot_threshold is None:
         return df.withColumn(name, F.row_number().over(w))
-    cold, hot = split_by_heat(df, key, hot_threshold)
+    cold, hot = split_by_heat(df, key, hot_threshold, persist_input=True)
     a = cold.withColumn(name, F.row_number().over(w))
     b = split_row_number(range_bucket(hot, key, order), key, "_rb", order, name, "_rn_total")
     return a.unionByName(b.drop("_rb", "_rn_total"))

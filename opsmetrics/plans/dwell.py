@@ -153,7 +153,9 @@ def dwell_time_split(log: DataFrame, start_types: Sequence[str], end_types: Sequ
         rows = rows.where(F.col(c.ts) >= F.lit(since).cast("timestamp_ntz"))
     rows = rows.select(c.ts, c.seq, c.item, F.col(c.type).cast("string").alias(c.type), c.description,
                        F.floor(F.col(c.seq) / bucket_width).alias("_b"))
-    a = split_neighbours(rows, [c.item], "_b", [c.seq], c.type, "previous_location", "next_location")
+    # the first step reads the (re-scannable) log; later steps read persisted window output
+    a = split_neighbours(rows, [c.item], "_b", [c.seq], c.type, "previous_location", "next_location",
+                         persist_input=False)
     prev = F.coalesce("previous_location", F.lit(missing))
     nxt = F.coalesce("next_location", F.lit(missing))
     delete = ((prev == missing) & F.col(c.type).isin(list(end_types))) | ((prev == missing) & (nxt == missing))

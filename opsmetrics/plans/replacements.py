@@ -196,7 +196,7 @@ def first_replacement(t, p: ReplacementParams | None = None) -> DataFrame:
     if p.hot_threshold is None:
         c = with_next(c)
     else:
-        cold, hot = split_by_heat(c, key, p.hot_threshold)
+        cold, hot = split_by_heat(c, key, p.hot_threshold, persist_input=True)
         c = with_next(cold).unionByName(with_next_split(hot))
     return qualify(c, key, ["order_id"], 1, tiebreak=_CHILD_TIE, rank_col="occur").drop("hu_id")
 
