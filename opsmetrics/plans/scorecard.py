@@ -406,6 +406,9 @@ def build_parts(t, p: ScorecardParams = ScorecardParams(), persist: bool = True)
     ta = dominant_category(t["fills"], t["patients"], t["clinics"])
     fact = shared_fact(t["fills"], t["products"], t["clinics"], t["patients"], ta, p, persist)
     kpis = product_entity_kpis(fact, p)
+    if persist:
+        # one row per (product, entity), read by four branches: aggregate the fact once
+        kpis = kpis.persist(StorageLevel.MEMORY_AND_DISK)
     top = top_n_share(kpis, p)
     pm = product_margin_table(fact, p)
     bands = margin_bands(pm, p)
