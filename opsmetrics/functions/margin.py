@@ -19,11 +19,11 @@ from opsmetrics.functions.semantics import MONEY, col
 
 @dataclass(frozen=True)
 class MarginTerms:
-    base: str = "revenue_with_emd_fee"
-    plus: Sequence[str] = field(default=("dispensing_revenue_adjustment", "progyny_revenue_adjustment"))
-    minus: Sequence[str] = field(default=("dir_high",))
-    cost: str = "cogs"
-    rebate: str = "emd_rebate_adjustment"
+    base: str = "base_revenue"
+    plus: Sequence[str] = field(default=("revenue_adjustment_a", "revenue_adjustment_b"))
+    minus: Sequence[str] = field(default=("revenue_deduction",))
+    cost: str = "cost_of_goods"
+    rebate: str = "cost_rebate"
 
 
 def _z(c: str) -> Column:

@@ -41,9 +41,9 @@ class ReplacementParams:
     as_of: str = "2001-06-01"                     # stands for current_date
     min_event_year: int = 1996
     excluded_shipment_type: str = "%LOW%"
-    assisted_reasons: tuple[str, ...] = ("Fit Specialist/TBT Admin", "Customer Request")
+    assisted_reasons: tuple[str, ...] = ("Fit Specialist/Admin", "Customer Request")
     excluded_admins: tuple[int, ...] = (1, 2)
-    excluded_admin_reason: str = "Fit Specialist/TBT Admin"
+    excluded_admin_reason: str = "Fit Specialist/Admin"
     excluded_reason_pattern: str = "%replace%"
     group_pattern: str = "CX"
     # category -> JSON key of the fit description, per field

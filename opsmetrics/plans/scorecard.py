@@ -67,29 +67,29 @@ class ScorecardParams:
 # ----------------------------------------------------------------------------- dimensions
 def _products(products: DataFrame) -> DataFrame:
     return products.select(F.col("key").alias("p_key"), "product_name", "brand_vs_generic",
-                           "target_medication_class", "bizops_target_med_class", "etc_level_1",
-                           "etc_level_2", "etc_level_3", "etc_level_4", "is_covid_antiviral")
+                           "target_class", "fallback_class", "etc_level_1",
+                           "etc_level_2", "etc_level_3", "etc_level_4", "is_excluded_product")
 
 
 def _clinics(clinics: DataFrame) -> DataFrame:
     return clinics.select(F.col("key").alias("c_key"), "super_clinic_id",
-                          F.col("clinic_name").alias("c_clinic_name"), "wunderbar_id", "state",
-                          F.col("partnerships_manager_current").alias("pm"), "first_prescription_created_at")
+                          F.col("clinic_name").alias("c_clinic_name"), "crm_key", "state",
+                          F.col("account_manager").alias("pm"), "first_prescription_created_at")
 
 
 def _patients(patients: DataFrame) -> DataFrame:
-    return patients.select(F.col("key").alias("pt_key"), "patient_pod_category", "merged_into_user_id",
-                           F.col("created_at").alias("pt_created_at"), "is_first_prescription_covid_antiviral")
+    return patients.select(F.col("key").alias("pt_key"), "patient_category", "patient_user_id",
+                           F.col("created_at").alias("pt_created_at"), "first_rx_excluded")
 
 
 # ----------------------------------------------------------------------------- steps
 def dominant_category(fills: DataFrame, patients: DataFrame, clinics: DataFrame) -> DataFrame:
     """Per entity, the patient category with the most distinct deliveries (ties: category name)."""
     j = (fills.select("delivery_id", "patient_key", "clinic_key")
-         .join(_patients(patients).select("pt_key", "patient_pod_category"), F.col("patient_key") == F.col("pt_key"), "left")
+         .join(_patients(patients).select("pt_key", "patient_category"), F.col("patient_key") == F.col("pt_key"), "left")
          .join(_clinics(clinics).select("c_key", "super_clinic_id"), F.col("clinic_key") == F.col("c_key"), "left"))
-    g = j.groupBy("super_clinic_id", "patient_pod_category").agg(F.count_distinct("delivery_id").alias("fills"))
-    return first_per_key(g, ["super_clinic_id"], [("fills", "desc")], tiebreak=["patient_pod_category"])
+    g = j.groupBy("super_clinic_id", "patient_category").agg(F.count_distinct("delivery_id").alias("fills"))
+    return first_per_key(g, ["super_clinic_id"], [("fills", "desc")], tiebreak=["patient_category"])
 
 
 def shared_fact(fills: DataFrame, products: DataFrame, clinics: DataFrame, patients: DataFrame,
@@ -102,17 +102,17 @@ def shared_fact(fills: DataFrame, products: DataFrame, clinics: DataFrame, patie
                     & (F.col("delivered_at") >= F.lit(lo).cast("date").cast("timestamp_ntz"))
                     & (F.col("delivered_at") < F.date_add(hi_expr, 1).cast("timestamp_ntz")))
     ta = clinic_ta.select(F.col("super_clinic_id").alias("ta_super_clinic_id"),
-                          F.col("patient_pod_category").alias("clinic_ta"))
+                          F.col("patient_category").alias("clinic_ta"))
     j = (f.join(_products(products), F.col("product_key") == F.col("p_key"), "left")
          .join(_clinics(clinics), F.col("clinic_key") == F.col("c_key"), "left")
          .join(_patients(patients), F.col("patient_key") == F.col("pt_key"), "left")
          .join(ta, F.col("super_clinic_id") == F.col("ta_super_clinic_id"), "left"))
     out = j.select(
-        "delivery_id", "delivered_at", "product_name", "brand_vs_generic", "target_medication_class",
-        "bizops_target_med_class", "etc_level_1", "etc_level_2", "etc_level_3", "etc_level_4",
-        "is_covid_antiviral", "super_clinic_id", F.lower("c_clinic_name").alias("clinic_name"),
-        "wunderbar_id", "state", "merged_into_user_id", "pt_created_at", "clinic_ta",
-        "attribution_therapeutic_area_level_1",
+        "delivery_id", "delivered_at", "product_name", "brand_vs_generic", "target_class",
+        "fallback_class", "etc_level_1", "etc_level_2", "etc_level_3", "etc_level_4",
+        "is_excluded_product", "super_clinic_id", F.lower("c_clinic_name").alias("clinic_name"),
+        "crm_key", "state", "patient_user_id", "pt_created_at", "clinic_ta",
+        "attribution_area",
         M.revenue().alias("revenue"), M.profit().alias("profit"))
     return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
@@ -127,12 +127,12 @@ def _keep_ta(p: ScorecardParams):
 
 def product_entity_kpis(fact: DataFrame, p: ScorecardParams) -> DataFrame:
     """Per (product, entity): distinct patients / deliveries, margin, negative-margin and new-patient shares."""
-    f = fact.where(_in_period(p) & _keep_ta(p) & ~F.col("is_covid_antiviral")
+    f = fact.where(_in_period(p) & _keep_ta(p) & ~F.col("is_excluded_product")
                    & ~ilike_any("product_name", p.kpi_excluded_products))
     new_patient = month_start("delivered_at") == month_start("pt_created_at")
-    fee_cond = F.coalesce("target_medication_class", "bizops_target_med_class").ilike(p.fee_pattern)
+    fee_cond = F.coalesce("target_class", "fallback_class").ilike(p.fee_pattern)
     fee = F.lit(p.fee).cast("decimal(10,2)")
-    keys = ["product_name", "brand_vs_generic", "clinic_name", "super_clinic_id", "wunderbar_id", "state", "clinic_ta"]
+    keys = ["product_name", "brand_vs_generic", "clinic_name", "super_clinic_id", "crm_key", "state", "clinic_ta"]
     # per (group, delivery) flags and partial sums, then counts and sums per group
     by_delivery = distinct_counts_by_flags(
         f, keys, "delivery_id",
@@ -141,7 +141,7 @@ def product_entity_kpis(fact: DataFrame, p: ScorecardParams) -> DataFrame:
               "_profit_sum": F.sum("profit"), "_profit_n": F.count("profit"),
               "_revenue_sum": F.sum("revenue"), "_revenue_n": F.count("revenue")},
         total="total_med_fills")
-    patients = f.groupBy(*keys).agg(F.count_distinct("merged_into_user_id").alias("total_patients"))
+    patients = f.groupBy(*keys).agg(F.count_distinct("patient_user_id").alias("total_patients"))
     g = join_on_keys(by_delivery, patients, keys)
     g = g.select(
         *keys, F.col("product_service_fee").cast(MONEY_SUM).alias("product_service_fee"), "total_patients",
@@ -156,7 +156,7 @@ def product_entity_kpis(fact: DataFrame, p: ScorecardParams) -> DataFrame:
 
 def entity_totals(fact: DataFrame, p: ScorecardParams) -> DataFrame:
     """Profit and revenue per entity with only one product pattern excluded."""
-    f = fact.where(_in_period(p) & _keep_ta(p) & ~F.col("is_covid_antiviral")
+    f = fact.where(_in_period(p) & _keep_ta(p) & ~F.col("is_excluded_product")
                    & ~F.col("product_name").ilike(p.money_excluded_product))
     return f.groupBy("clinic_name", "super_clinic_id").agg(
         F.sum("profit").cast(MONEY_SUM).alias("total_profit"),
@@ -168,14 +168,14 @@ def month_snapshot(fact: DataFrame, p: ScorecardParams) -> DataFrame:
     month_end = F.date_sub(F.add_months(F.lit(p.month).cast("date"), 1), 1)
     in_month = ((F.col("delivered_at") >= F.lit(p.month).cast("date").cast("timestamp_ntz"))
                 & (F.col("delivered_at") < F.date_add(month_end, 1).cast("timestamp_ntz")))
-    f = fact.where(in_month & _keep_ta(p) & ~F.col("is_covid_antiviral")
+    f = fact.where(in_month & _keep_ta(p) & ~F.col("is_excluded_product")
                    & ~F.col("product_name").ilike(p.money_excluded_product))
     hit = F.col("product_name").ilike(p.snapshot_pattern)
     new_patient = month_start("delivered_at") == month_start("pt_created_at")
     keys = ["clinic_name", "super_clinic_id"]
     deliveries = distinct_counts_by_flags(f, keys, "delivery_id", flags={"snapshot_fills": hit},
                                           sums={"_profit": F.sum("profit"), "_revenue": F.sum("revenue")})
-    patients = distinct_counts_by_flags(f, keys, "merged_into_user_id", flags={"snapshot_nps": new_patient & hit})
+    patients = distinct_counts_by_flags(f, keys, "patient_user_id", flags={"snapshot_nps": new_patient & hit})
     g = join_on_keys(deliveries, patients, keys)
     return g.select(*keys, "snapshot_nps", "snapshot_fills", F.col("_profit").cast(MONEY_SUM).alias("total_profit"),
                     F.col("_revenue").cast(MONEY_SUM).alias("total_revenue"))
@@ -210,9 +210,9 @@ def monthly_new_users(funnels: DataFrame, intakes: DataFrame, clinics: DataFrame
     i = intakes.select(F.col("key").alias("i_key"), F.col("clinic_key").alias("i_clinic_key"))
     j = (f.join(i, F.col("first_intake_key") == F.col("i_key"), "left")
          .join(_clinics(clinics).select("c_key", "super_clinic_id"), F.col("i_clinic_key") == F.col("c_key"), "left")
-         .join(_patients(patients).select("pt_key", "is_first_prescription_covid_antiviral"),
+         .join(_patients(patients).select("pt_key", "first_rx_excluded"),
                F.col("patient_key_d1") == F.col("pt_key"), "left")
-         .where(F.col("is_first_prescription_covid_antiviral") != F.lit(True)))
+         .where(F.col("first_rx_excluded") != F.lit(True)))
     return j.groupBy("super_clinic_id", F.month("created_at").alias("fiscal_month")).agg(
         F.count_distinct("user_id").alias("nps"))
 
@@ -232,8 +232,8 @@ def product_margin_table(fact: DataFrame, p: ScorecardParams) -> DataFrame:
     f = fact.where((F.col("delivered_at") >= F.lit(p.period[0]).cast("timestamp_ntz"))
                    & (F.col("delivered_at") <= F.lit(p.period[1]).cast("timestamp_ntz"))
                    & ~ilike_any("product_name", p.margin_excluded_products)
-                   & ~F.col("is_covid_antiviral")
-                   & F.col("attribution_therapeutic_area_level_1").isin(list(p.margin_areas)))
+                   & ~F.col("is_excluded_product")
+                   & F.col("attribution_area").isin(list(p.margin_areas)))
     description = F.concat(F.col("etc_level_2"), F.lit(" - "), F.coalesce("etc_level_4", "etc_level_3"))
     g = f.groupBy("product_name", "brand_vs_generic", "etc_level_1", description.alias("description")).agg(
         F.count_distinct("delivery_id").alias("num_fills"), F.avg("profit").cast("decimal(38,8)").alias("avg_gp"))
@@ -268,7 +268,7 @@ def margin_bands(products_margin: DataFrame, p: ScorecardParams) -> DataFrame:
 def band_mix(fact: DataFrame, bands: DataFrame, p: ScorecardParams) -> DataFrame:
     """Distinct deliveries per entity in each band (unmatched products count as Other), with shares."""
     f = fact.where(_in_period(p) & ~ilike_any("product_name", p.margin_excluded_products)
-                   & ~F.col("is_covid_antiviral"))
+                   & ~F.col("is_excluded_product"))
     b = bands.select(F.col("product_name").alias("b_product_name"), "med_gp_category")
     j = f.join(b, F.col("product_name") == F.col("b_product_name"), "left")
     cat = F.col("med_gp_category")
@@ -286,8 +286,8 @@ def band_mix(fact: DataFrame, bands: DataFrame, p: ScorecardParams) -> DataFrame
 
 def basket_size(rx_groups: DataFrame, intakes: DataFrame, clinics: DataFrame, p: ScorecardParams) -> DataFrame:
     """Mean net basket (items minus excluded groups) of new users per entity, net > 0 only."""
-    net = (F.col("num_rx_within_14d") - F.col("num_antiviral_rx_within_14d")
-           - F.col("num_wegovy_rx_within_14d") - F.col("num_mounjaro_rx_within_14d"))
+    net = (F.col("num_rx_14d") - F.col("num_excluded_rx_14d")
+           - F.col("num_group_a_rx_14d") - F.col("num_group_b_rx_14d"))
     r = rx_groups.where((net > 0) & date_window("first_prescription_created_at", *p.period)).withColumn("net", net)
     i = intakes.select(F.col("user_id").alias("i_user_id"), F.col("clinic_key").alias("i_clinic_key"),
                        F.col("patient_key").alias("i_patient_key"))
@@ -319,8 +319,8 @@ def entity_rollup(kpis: DataFrame, p: ScorecardParams) -> DataFrame:
 
 def account_key(accounts: DataFrame):
     """CRM id: first of the two strict integer casts, then a lenient parse of the third id."""
-    return F.coalesce(F.col("scriptdash_id_c").cast("int"), F.col("wunderbar_id_c").cast("int"),
-                      F.col("wb_clinic_id_c").try_cast("int"))
+    return F.coalesce(F.col("crm_id_a").cast("int"), F.col("crm_id_b").cast("int"),
+                      F.col("crm_id_c").try_cast("int"))
 
 
 def crm_attribute_match(kpis: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -329,9 +329,9 @@ def crm_attribute_match(kpis: DataFrame, accounts: DataFrame) -> DataFrame:
     Both sides are reduced to distinct (key, value) pairs first; with a distinct list at
     the end this gives the same result as joining every row, at a fraction of the rows.
     """
-    ents = kpis.select("super_clinic_id", F.col("wunderbar_id").cast("int").alias("w_id")).distinct()
+    ents = kpis.select("super_clinic_id", F.col("crm_key").cast("int").alias("w_id")).distinct()
     acc = accounts.select(account_key(accounts).alias("a_id"),
-                          F.coalesce("clinic_ownership_type_c", "ownership_picklist_c").alias("owner")).distinct()
+                          F.coalesce("ownership_type_a", "ownership_type_b").alias("owner")).distinct()
     j = ents.join(acc, F.col("w_id") == F.col("a_id"), "left")
     return j.groupBy("super_clinic_id").agg(listagg("owner", ", ", distinct=True).alias("ownership_type"))
 
@@ -345,24 +345,24 @@ def stage_history(status: DataFrame, clinics: DataFrame, p: ScorecardParams) ->
     the month) and the distinct list / max aggregates make this exact.
     """
     stage = F.concat(F.month("fiscal_month").cast("string"), F.lit(" - "),
-                     iff(F.col("growth_clinic_funnel_stage").isNull(), F.lit(CHURNED), F.col("growth_clinic_funnel_stage")))
+                     iff(F.col("funnel_stage").isNull(), F.lit(CHURNED), F.col("funnel_stage")))
     months = (status.where(F.year("fiscal_month") == p.status_year)
-              .groupBy("super_clinic_id", "salesforce_owner_name", "market", "fiscal_month")
+              .groupBy("super_clinic_id", "owner_name", "market", "fiscal_month")
               .agg(F.collect_set(stage).alias("_stages"),
-                   F.max("growth_clinic_funnel_stage_index").alias("_idx"),
-                   F.max("has_tia").alias("_tia"), F.max("has_granted_ehr_access").alias("_ehr"),
-                   F.max("has_activated_alto_connect").alias("_alto")))
+                   F.max("funnel_stage_index").alias("_idx"),
+                   F.max("has_tia").alias("_tia"), F.max("has_ehr_access").alias("_ehr"),
+                   F.max("has_connect").alias("_connect")))
     c = _clinics(clinics).select(F.col("super_clinic_id").alias("c_super_clinic_id"), "c_clinic_name", "pm",
                                  "first_prescription_created_at")
     j = (months.join(c, F.col("super_clinic_id") == F.col("c_super_clinic_id"), "left")
          .where(F.col("first_prescription_created_at").cast("date") <= month_start("fiscal_month")))
-    g = j.groupBy("super_clinic_id", "salesforce_owner_name", "pm", "market",
+    g = j.groupBy("super_clinic_id", "owner_name", "pm", "market",
                   F.lower("c_clinic_name").alias("clinic_name")).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_stages")))).alias("_all"),
         F.max("_idx").alias("highest_stage_reached_int"),
         F.max("_tia").alias("has_tia"),
         F.max("_ehr").alias("granted_ehr_access"),
-        F.max("_alto").alias("has_alto_connect"))
+        F.max("_connect").alias("connect_enabled"))
     g = g.withColumn("stage_hist", F.when(F.size("_all") > 0, F.array_join("_all", ", "))).drop("_all")
     label = F.lit(CHURNED)
     for idx, name in reversed(p.stage_labels):
@@ -374,7 +374,7 @@ def kth_latest_stage(status: DataFrame, p: ScorecardParams) -> DataFrame:
     """Stage label k months back per (entity, name); missing label -> 'none'."""
     s = status.select("super_clinic_id", "fiscal_month", F.col("clinic_name").alias("s_clinic_name"),
                       F.lower("clinic_name").alias("clinic_name"),
-                      F.coalesce("growth_clinic_funnel_stage", F.lit("none")).alias("stage_label"))
+                      F.coalesce("funnel_stage", F.lit("none")).alias("stage_label"))
     out = qualify(s, ["super_clinic_id", "s_clinic_name"], [("fiscal_month", "desc")], p.kth_stage,
                   tiebreak=["stage_label"])
     return out.drop("s_clinic_name")
@@ -465,11 +465,11 @@ def entity_scorecard(t, p: ScorecardParams = ScorecardParams(), parts: Scorecard
         "num_high_gp_med_fills", "num_low_gp_med_fills", "num_neg_gp_med_fills", "num_other_fills",
         "high_gp_med_fill_pct", "low_gp_med_fill_pct", "neg_gp_med_fill_pct", "other_fill_pct")]
     cols += [
-        F.col("s_salesforce_owner_name").alias("salesforce_owner_name"), F.col("sf_ownership_type").alias("ownership_type"),
+        F.col("s_owner_name").alias("owner_name"), F.col("sf_ownership_type").alias("ownership_type"),
         F.col("s_pm").alias("pm"), F.col("s_market").alias("market"), F.col("s_stage_hist").alias("stage_hist"),
         F.col("s_highest_stage_reached").alias("highest_stage_in_year"), F.col("st_stage_label").alias("kth_stage"),
         F.col("s_has_tia").alias("has_tia"), F.col("s_granted_ehr_access").alias("granted_ehr_access"),
-        F.col("s_has_alto_connect").alias("has_alto_connect"),
+        F.col("s_connect_enabled").alias("connect_enabled"),
     ]
     cols += [F.col(f"n_{n}").alias(n) for n in p.funnel_names]
     cols += [

@@ -54,16 +54,16 @@ select l.l_orderkey as delivery_id,
        l.l_shipdate as delivered_at,
        case when l.l_linestatus = 'O' then l.l_shipdate end as canceled_at,
        cast(cast(l.l_extendedprice as decimal(18,2)) * (1 - cast(l.l_discount as decimal(4,2))) as decimal(18,4))
-           as revenue_with_emd_fee,
+           as base_revenue,
        cast(cast(l.l_extendedprice as decimal(18,2)) * cast(nullif(l.l_tax, 0) as decimal(4,2)) as decimal(18,4))
-           as dispensing_revenue_adjustment,
-       cast(case when l.l_returnflag = 'A' then 25 end as decimal(18,4)) as progyny_revenue_adjustment,
+           as revenue_adjustment_a,
+       cast(case when l.l_returnflag = 'A' then 25 end as decimal(18,4)) as revenue_adjustment_b,
        cast(case when l.l_discount >= 0.09 then cast(l.l_quantity as decimal(18,2)) * 10 end as decimal(18,4))
-           as dir_high,
+           as revenue_deduction,
        cast(cast(l.l_quantity as decimal(18,2)) * cast(p.p_retailprice as decimal(18,2)) * 1.5 as decimal(18,4))
-           as cogs,
-       cast(case when l.l_linenumber = 1 then 100 end as decimal(18,4)) as emd_rebate_adjustment,
-       o.o_orderpriority as attribution_therapeutic_area_level_1
+           as cost_of_goods,
+       cast(case when l.l_linenumber = 1 then 100 end as decimal(18,4)) as cost_rebate,
+       o.o_orderpriority as attribution_area
 from {lineitem} l
 join {orders} o on o.o_orderkey = l.l_orderkey
 left join {customer} c on c.c_custkey = o.o_custkey
@@ -76,16 +76,16 @@ select o_custkey, min(o_orderdate) as first_order from {orders} group by o_custk
 """)
 
 view("patients", """
-select c.c_custkey as key, c.c_mktsegment as patient_pod_category, c.c_custkey as merged_into_user_id,
-       f.first_order as created_at, c.c_acctbal < 0 as is_first_prescription_covid_antiviral
+select c.c_custkey as key, c.c_mktsegment as patient_category, c.c_custkey as patient_user_id,
+       f.first_order as created_at, c.c_acctbal < 0 as first_rx_excluded
 from {customer} c left join {first_orders} f on f.o_custkey = c.c_custkey
 """)
 
 # clinic = nation; super clinic = region, so one super clinic has several clinic names
 view("clinics", """
 select n.n_nationkey as key, n.n_regionkey as super_clinic_id, n.n_name as clinic_name,
-       cast(n.n_nationkey as string) as wunderbar_id, r.r_name as state,
-       'pm ' || r.r_name as partnerships_manager_current, f.first_rx as first_prescription_created_at
+       cast(n.n_nationkey as string) as crm_key, r.r_name as state,
+       'pm ' || r.r_name as account_manager, f.first_rx as first_prescription_created_at
 from {nation} n
 left join {region} r on r.r_regionkey = n.n_regionkey
 left join (select c.c_nationkey, min(o.o_orderdate) as first_rx
@@ -98,13 +98,13 @@ view("products", """
 select p_partkey as key, p_name as product_name,
        case when split_part(p_name, ' ', 2) in ('bolt', 'rod', 'ring', 'plate') then 'generic' else 'brand' end
            as brand_vs_generic,
-       case when p_size <= 10 then 'GLP-' || p_brand end as target_medication_class,
-       p_type as bizops_target_med_class,
+       case when p_size <= 10 then 'GLP-' || p_brand end as target_class,
+       p_type as fallback_class,
        split_part(p_name, ' ', 1) as etc_level_1,
        split_part(p_name, ' ', 2) as etc_level_2,
        'general' as etc_level_3,
        case when split_part(p_name, ' ', 1) in ('hot', 'cold') then 'temperature' end as etc_level_4,
-       p_size > 48 as is_covid_antiviral
+       p_size > 48 as is_excluded_product
 from {part}
 """)
 
@@ -122,10 +122,10 @@ from {customer}
 # new-patient basket: one row per order, item counts by product group
 view("rx_groups", """
 select o.o_custkey as user_id,
-       count(*) as num_rx_within_14d,
-       count(case when p.p_size > 48 then 1 end) as num_antiviral_rx_within_14d,
-       count(case when p.p_name like '%gear%' then 1 end) as num_wegovy_rx_within_14d,
-       count(case when p.p_name like '%bolt%' then 1 end) as num_mounjaro_rx_within_14d,
+       count(*) as num_rx_14d,
+       count(case when p.p_size > 48 then 1 end) as num_excluded_rx_14d,
+       count(case when p.p_name like '%gear%' then 1 end) as num_group_a_rx_14d,
+       count(case when p.p_name like '%bolt%' then 1 end) as num_group_b_rx_14d,
        o.o_orderdate as first_prescription_created_at
 from {orders} o
 join {lineitem} l on l.l_orderkey = o.o_orderkey
@@ -135,24 +135,24 @@ group by o.o_orderkey, o.o_custkey, o.o_orderdate
 
 # CRM accounts: ids as text, some missing, some not numeric
 view("accounts", """
-select case when c_mktsegment = 'BUILDING' then cast(c_nationkey as string) end as scriptdash_id_c,
-       case when c_mktsegment = 'MACHINERY' then cast(c_nationkey as string) end as wunderbar_id_c,
+select case when c_mktsegment = 'BUILDING' then cast(c_nationkey as string) end as crm_id_a,
+       case when c_mktsegment = 'MACHINERY' then cast(c_nationkey as string) end as crm_id_b,
        case when c_acctbal < 0 then 'n/a-' || cast(c_nationkey as string) else cast(c_nationkey as string) end
-           as wb_clinic_id_c,
-       case when c_acctbal > 5000 then 'owned' end as clinic_ownership_type_c,
-       lower(c_mktsegment) as ownership_picklist_c
+           as crm_id_c,
+       case when c_acctbal > 5000 then 'owned' end as ownership_type_a,
+       lower(c_mktsegment) as ownership_type_b
 from {customer}
 """)
 
 # monthly status per (clinic, month): stage from the month's order count
 view("clinic_status", """
 select n.n_regionkey as super_clinic_id, n.n_name as clinic_name,
-       'owner ' || cast(n.n_regionkey as string) as salesforce_owner_name, r.r_name as market,
+       'owner ' || cast(n.n_regionkey as string) as owner_name, r.r_name as market,
        m.fiscal_month,
        case m.cnt % 4 when 1 then 'Emerging' when 2 then 'Established' when 3 then 'Partnership' end
-           as growth_clinic_funnel_stage,
-       case m.cnt % 4 when 1 then 4 when 2 then 5 when 3 then 6 end as growth_clinic_funnel_stage_index,
-       m.cnt % 2 = 0 as has_tia, m.cnt % 3 = 0 as has_granted_ehr_access, m.cnt % 5 = 0 as has_activated_alto_connect
+           as funnel_stage,
+       case m.cnt % 4 when 1 then 4 when 2 then 5 when 3 then 6 end as funnel_stage_index,
+       m.cnt % 2 = 0 as has_tia, m.cnt % 3 = 0 as has_ehr_access, m.cnt % 5 = 0 as has_connect
 from (select c.c_nationkey, cast(date_trunc('month', o.o_orderdate) as date) as fiscal_month, count(*) as cnt
       from {orders} o join {customer} c on c.c_custkey = o.o_custkey
       group by c.c_nationkey, cast(date_trunc('month', o.o_orderdate) as date)) m
@@ -254,7 +254,7 @@ from {supplier}
 view("size_checks", """
 select o.o_custkey as user_id, l.l_orderkey * 100 + l.l_linenumber as size_survey_id, l.l_orderkey as size_check_id,
        case when l.l_linestatus = 'O' then null else l.l_suppkey end as admin_user_id,
-       case l.l_linenumber % 4 when 0 then 'Customer Request' when 1 then 'Fit Specialist/TBT Admin'
+       case l.l_linenumber % 4 when 0 then 'Customer Request' when 1 then 'Fit Specialist/Admin'
             when 2 then 'replacement check' else 'Auto Size' end as size_check_reason_desc,
        case when p.p_size < 5 then null else split_part(p.p_name, ' ', 2) end as product_category_name,
        cast(p.p_size as string) as predicted_size,

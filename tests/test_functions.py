@@ -133,9 +133,9 @@ def test_margin_null_rules(spark):
     df = spark.createDataFrame(
         [(Decimal("100"), None, Decimal("5"), None, Decimal("60"), None),
          (None, Decimal("1"), Decimal("1"), Decimal("1"), Decimal("1"), Decimal("1"))],
-        "revenue_with_emd_fee decimal(18,4), dispensing_revenue_adjustment decimal(18,4), "
-        "progyny_revenue_adjustment decimal(18,4), dir_high decimal(18,4), cogs decimal(18,4), "
-        "emd_rebate_adjustment decimal(18,4)")
+        "base_revenue decimal(18,4), revenue_adjustment_a decimal(18,4), "
+        "revenue_adjustment_b decimal(18,4), revenue_deduction decimal(18,4), cost_of_goods decimal(18,4), "
+        "cost_rebate decimal(18,4)")
     got = [(r.rev, r.gp) for r in df.select(revenue().alias("rev"), profit().alias("gp")).collect()]
     assert got == [(Decimal("105.0000"), Decimal("45.0000")), (None, None)]
 
