@@ -70,9 +70,15 @@ class ReplacementParams:
 
 # ----------------------------------------------------------------------------- steps
 def latest_per_key(report: DataFrame) -> DataFrame:
-    """Newest kept (not cancelled, not no-show) appointment per (user, event)."""
+    """Newest kept (not cancelled, not no-show) appointment per (user, event).
+
+    The de-duplication of the four columns before ranking is not run as its own shuffle:
+    duplicates are identical in every output column, so the first-ranked row is the same
+    with or without it, and the per-key group limit cuts each key to one row before the
+    shuffle.
+    """
     r = (report.where((F.col("cancelled_cnt") < 1) & (F.col("no_show_cnt") < 1))
-         .select("user_id", "event_id", "showroom_group_name", "showroom_appointment_date").distinct())
+         .select("user_id", "event_id", "showroom_group_name", "showroom_appointment_date"))
     return first_per_key(r, ["user_id", "event_id"], [("showroom_appointment_date", "desc")],
                          tiebreak=["showroom_group_name"])
 
