@@ -15,7 +15,8 @@ Plan shape
   otherwise, so no side is broadcast on trust.
 * Branch results are per entity or per (entity, product): small frames whose final left
   joins are cheap whatever strategy Spark picks.
-* Ranks over all rows (margin bands) run only on the per-product aggregate.
+* Margin bands are three distributed top-n lists over the per-product aggregate; no
+  step ranks all rows in one task.
 """
 
 from __future__ import annotations
@@ -247,22 +248,33 @@ _BAND_TIE = ["product_name", "brand_vs_generic", "etc_level_1", "description"]
 def margin_bands(products_margin: DataFrame, p: ScorecardParams) -> DataFrame:
     """Best n, worst n, and weakest n of the high-volume non-negative products, labelled.
 
-    Runs on the per-product aggregate (one row per product), the only place with ranks
-    over all rows.
+    The kept products are the union of three top-n lists, each a distributed take-ordered
+    (every partition keeps its n best rows, only those are merged), so no step ranks all
+    products in one task. The label follows the rule order: best list first, then worst,
+    then the weak high-volume list. The lists are joined back as broadcasts of at most n
+    rows each.
     """
     d = products_margin.withColumn(
         "cat", iff((F.col("total_gp") >= 0) & (F.col("num_fills") > p.band_volume), F.lit("low"), F.lit("other")))
-    w_desc = Window.orderBy(*total_order([("total_gp", "desc")], _BAND_TIE))
-    w_asc = Window.orderBy(*total_order(["total_gp"], _BAND_TIE))
-    w_cat = Window.partitionBy("cat").orderBy(*total_order(["total_gp"], _BAND_TIE))
-    d = (d.withColumn("_r_desc", F.row_number().over(w_desc))
-          .withColumn("_r_asc", F.row_number().over(w_asc))
-          .withColumn("_r_cat", F.row_number().over(w_cat)))
     n = p.band_n
-    label = (F.when(F.col("_r_desc") <= n, HIGH_BAND).when(F.col("_r_asc") <= n, NEGATIVE_BAND)
-             .when(F.col("_r_cat") <= n, LOW_BAND).otherwise(OTHER_BAND))
-    keep = (F.col("_r_asc") <= n) | (F.col("_r_desc") <= n) | ((F.col("_r_cat") <= n) & (F.col("cat") == "low"))
-    return d.withColumn("med_gp_category", label).where(keep).drop("_r_desc", "_r_asc", "_r_cat")
+    best = d.orderBy(*total_order([("total_gp", "desc")], _BAND_TIE)).limit(n)
+    worst = d.orderBy(*total_order(["total_gp"], _BAND_TIE)).limit(n)
+    weak = d.where(F.col("cat") == "low").orderBy(*total_order(["total_gp"], _BAND_TIE)).limit(n)
+
+    def member(top: DataFrame, flag: str) -> DataFrame:
+        return top.select(*[F.col(c).alias(f"{flag}_{c}") for c in _BAND_TIE], F.lit(True).alias(flag))
+
+    out = d
+    for top, flag in ((best, "_best"), (worst, "_worst"), (weak, "_weak")):
+        cond = None
+        for c in _BAND_TIE:
+            e = F.col(c).eqNullSafe(F.col(f"{flag}_{c}"))
+            cond = e if cond is None else cond & e
+        out = out.join(F.broadcast(member(top, flag)), cond, "left").drop(*[f"{flag}_{c}" for c in _BAND_TIE])
+    label = (F.when(F.col("_best"), HIGH_BAND).when(F.col("_worst"), NEGATIVE_BAND)
+             .when(F.col("_weak"), LOW_BAND).otherwise(OTHER_BAND))
+    keep = F.col("_best").isNotNull() | F.col("_worst").isNotNull() | F.col("_weak").isNotNull()
+    return out.where(keep).withColumn("med_gp_category", label).drop("_best", "_worst", "_weak")
 
 
 def band_mix(fact: DataFrame, bands: DataFrame, p: ScorecardParams) -> DataFrame:
@@ -411,6 +423,9 @@ def build_parts(t, p: ScorecardParams = ScorecardParams(), persist: bool = True)
         kpis = kpis.persist(StorageLevel.MEMORY_AND_DISK)
     top = top_n_share(kpis, p)
     pm = product_margin_table(fact, p)
+    if persist:
+        # one row per product, read by the three top-n lists and the labelling join
+        pm = pm.persist(StorageLevel.MEMORY_AND_DISK)
     bands = margin_bands(pm, p)
     return ScorecardParts(
         clinic_ta=ta, fact=fact, kpis=kpis, money=entity_totals(fact, p), snapshot=month_snapshot(fact, p),
