@@ -194,3 +194,37 @@ def hot_safe_row_number(df: DataFrame, key: Sequence[str], order: Sequence[str],
     a = cold.withColumn(name, F.row_number().over(w))
     b = split_row_number(range_bucket(hot, key, order), key, "_rb", order, name, "_rn_total")
     return a.unionByName(b.drop("_rb", "_rn_total"))
+
+
+def global_row_number(df: DataFrame, order: Keys, name: str, tiebreak: Sequence[str] = (),
+                      partitions: int | None = None) -> DataFrame:
+    """``row_number() over (order by ...)`` over all rows without a single-partition window.
+
+    Rows are range-partitioned on the sort order, numbered inside each range, and offset by
+    the row counts of the earlier ranges; that count table has one row per range, so it is
+    broadcast with a bound set by the partition count, not by the data.
+    """
+    sort = total_order(order, tiebreak)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n, *sort).withColumn("_grb", F.spark_partition_id())
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    local = ranged.withColumn("_glr", F.row_number().over(Window.partitionBy("_grb").orderBy(*sort)))
+    counts = ranged.groupBy(F.col("_grb").alias("_gcb")).agg(F.count(F.lit(1)).alias("_gc"))
+    before = Window.orderBy("_gcb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_gcb", F.coalesce(F.sum("_gc").over(before), F.lit(0)).alias("_goff"))
+    out = local.join(F.broadcast(offsets), F.col("_grb") == F.col("_gcb"), "inner")
+    return out.withColumn(name, (F.col("_glr") + F.col("_goff")).cast("int")).drop("_grb", "_glr", "_gcb", "_goff")
+
+
+def top_n_members(df: DataFrame, keys: Sequence[str], order: Keys, n: int, flag: str,
+                  tiebreak: Sequence[str] = ()) -> DataFrame:
+    """Flag the rows that are among the first n by ``order`` (a distributed top-n, joined
+    back as a broadcast of at most n keys). ``keys`` identify a row (NULLs match NULLs)."""
+    top = df.orderBy(*total_order(order, tiebreak)).limit(n).select(
+        *[F.col(k).alias(f"{flag}_{k}") for k in keys], F.lit(True).alias(flag))
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col(f"{flag}_{k}"))
+        cond = e if cond is None else cond & e
+    out = df.join(F.broadcast(top), cond, "left").drop(*[f"{flag}_{k}" for k in keys])
+    return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

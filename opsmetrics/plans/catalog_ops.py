@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from opsmetrics.functions.semantics import (asc, concat_text, date_window, day_diff, desc, iff, ilike_any,
                                             month_start, parse_int, ratio)
 from opsmetrics.operators import chain as C
-from opsmetrics.operators.aggregates import (count_distinct_if, listagg, listagg_by_counts, ordered_pairs,
-                                             pivot_sum, sum_if)
-from opsmetrics.operators.windows import (first_per_key, qualify, rank_window, share_of_partition, top_n_global,
-                                          top_n_per_key, with_rank)
+from opsmetrics.operators.aggregates import (count_distinct_if, distinct_counts_by_flags, join_on_keys, listagg,
+                                             listagg_by_counts, ordered_pairs, pivot_sum, sum_if)
+from opsmetrics.operators.windows import (first_per_key, global_row_number, qualify, rank_window, share_of_partition,
+                                          top_n_global, top_n_members, top_n_per_key, with_rank)
 from opsmetrics.sources.fixtures import Inputs
 from opsmetrics.sources.tables import Tables
 
@@ -73,9 +73,9 @@ def project_const(spark, root):
 
 @q
 def alias_reuse(spark, root):
-    g = _t(spark, root).lineitem.groupBy("l_returnflag").agg(
-        F.count_distinct("l_orderkey").alias("fills"),
-        count_distinct_if(F.col("l_discount") > 0.05, "l_orderkey").alias("disc_fills"))
+    li = _t(spark, root).lineitem
+    g = distinct_counts_by_flags(li, ["l_returnflag"], "l_orderkey", flags={"disc_fills": F.col("l_discount") > 0.05},
+                                 total="fills")
     return g.withColumn("disc_rate", ratio("disc_fills", "fills", 4))
 
 
@@ -354,9 +354,11 @@ def agg_max(spark, root):
 
 @q
 def agg_count_distinct(spark, root):
+    """Two distinct counts of different columns: two single-distinct aggregates, re-joined."""
     o = _t(spark, root).orders
-    return o.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("customers"),
-                                          F.count_distinct("o_orderpriority").alias("priorities"))
+    a = o.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("customers"))
+    b = o.groupBy("o_orderstatus").agg(F.count_distinct("o_orderpriority").alias("priorities"))
+    return join_on_keys(a, b, ["o_orderstatus"])
 
 
 @q
@@ -378,8 +380,8 @@ def agg_cond_sum(spark, root):
 def agg_ratio(spark, root):
     t = _t(spark, root)
     j = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
-    g = j.groupBy("n_regionkey").agg(count_distinct_if(F.col("c_acctbal") < 0, "c_custkey").alias("neg"),
-                                     F.count_distinct("c_custkey").alias("total"))
+    g = distinct_counts_by_flags(j, ["n_regionkey"], "c_custkey", flags={"neg": F.col("c_acctbal") < 0},
+                                 total="total")
     return g.withColumn("neg_share", ratio("neg", "total", 4))
 
 
@@ -454,7 +456,7 @@ def win_row_number(spark, root):
 @q
 def win_global_rank(spark, root):
     g = _name_totals(spark, root)
-    return g.withColumn("rk", F.row_number().over(Window.orderBy(desc("revenue"), asc("p_name"))))
+    return global_row_number(g, [("revenue", "desc")], "rk", tiebreak=["p_name"])
 
 
 @q
@@ -466,10 +468,12 @@ def win_concat_key(spark, root):
 
 @q
 def win_case_bucket(spark, root):
+    """Rank buckets: the best 10 are High, then the worst 10 are Low, the rest Mid."""
     g = _name_totals(spark, root)
-    r_desc = F.row_number().over(Window.orderBy(desc("revenue"), asc("p_name")))
-    r_asc = F.row_number().over(Window.orderBy(asc("revenue"), asc("p_name")))
-    return g.select("p_name", F.when(r_desc <= 10, "High").when(r_asc <= 10, "Low").otherwise("Mid").alias("bucket"))
+    g = top_n_members(g, ["p_name"], [("revenue", "desc")], 10, "_best", tiebreak=["p_name"])
+    g = top_n_members(g, ["p_name"], ["revenue"], 10, "_worst", tiebreak=["p_name"])
+    return g.select("p_name", F.when(F.col("_best"), "High").when(F.col("_worst"), "Low").otherwise("Mid")
+                    .alias("bucket"))
 
 
 def _events(spark, root):
@@ -534,13 +538,14 @@ def qualify_kth(spark, root):
 
 @q
 def qualify_or(spark, root):
+    """Keep the best 5, the worst 5, and the 5 lowest of category 'low' (an OR of three ranks)."""
     g = _name_totals(spark, root).withColumn("cat", iff(F.col("n_orders") > 700, F.lit("low"), F.lit("other")))
-    rd = F.row_number().over(Window.orderBy(desc("revenue"), asc("p_name")))
-    ra = F.row_number().over(Window.orderBy(asc("revenue"), asc("p_name")))
-    rc = F.row_number().over(Window.partitionBy("cat").orderBy(asc("revenue"), asc("p_name")))
-    g = g.withColumn("rd", rd).withColumn("ra", ra).withColumn("rc", rc)
-    return g.where((F.col("rd") <= 5) | (F.col("ra") <= 5) | ((F.col("rc") <= 5) & (F.col("cat") == "low"))).select(
-        "p_name", "cat")
+    g = top_n_members(g, ["p_name"], [("revenue", "desc")], 5, "_best", tiebreak=["p_name"])
+    g = top_n_members(g, ["p_name"], ["revenue"], 5, "_worst", tiebreak=["p_name"])
+    low = g.where(F.col("cat") == "low").select("p_name", "revenue")
+    low_top = top_n_members(low, ["p_name"], ["revenue"], 5, "_low", tiebreak=["p_name"]).where("_low")
+    g = g.join(low_top.select(F.col("p_name").alias("_l_name"), "_low"), F.col("p_name") == F.col("_l_name"), "left")
+    return g.where(F.col("_best") | F.col("_worst") | F.coalesce(F.col("_low"), F.lit(False))).select("p_name", "cat")
 
 
 @q
