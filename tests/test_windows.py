@@ -56,3 +56,22 @@ def test_hot_safe_row_number(spark):
     for threshold in (None, 10, 10_000):
         got = hot_safe_row_number(df, ["k"], ["seq"], "rn", threshold)
         assert _rows(got, ["k", "seq", "rn"]) == _rows(ref, ["k", "seq", "rn"])
+
+
+def test_global_row_number_matches_plain_window(spark):
+    from opsmetrics.operators.windows import global_row_number
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, rng.randrange(20), rng.choice(["a", "b", None])) for i in range(500)],
+                               "id long, score long, tag string")
+    w = Window.orderBy(F.col("score").desc_nulls_first(), F.col("tag").asc_nulls_last(), F.col("id").asc_nulls_last())
+    ref = df.withColumn("rn", F.row_number().over(w))
+    for parts in (1, 5, 16):
+        got = global_row_number(df, [("score", "desc")], "rn", tiebreak=["tag", "id"], partitions=parts)
+        assert _rows(got, ["id", "rn"]) == _rows(ref, ["id", "rn"])
+
+
+def test_top_n_members(spark):
+    from opsmetrics.operators.windows import top_n_members
+    df = spark.createDataFrame([(i, i % 7) for i in range(50)], "id long, v long")
+    got = top_n_members(df, ["id"], [("v", "desc")], 4, "_top", tiebreak=["id"])
+    assert sorted(r.id for r in got.where("_top").collect()) == [6, 13, 20, 27]
