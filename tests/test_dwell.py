@@ -91,3 +91,17 @@ def test_split_windows_match_single_pass_with_tiny_buckets(spark):
     for width, tsec in ((3, 86400), (1, 3600), (50, 7 * 86400)):
         split = dwell_time(log, START, END, END, START, bucket_width=width, time_bucket_seconds=tsec)
         assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, single.collect()), key=str)
+
+
+def test_hybrid_hot_and_cold_items_match_single_pass(spark):
+    import random
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        b = "HOT" if i % 3 else rng.choice(["c1", "c2", "c3", "c4"])    # one item holds two thirds
+        rows.append((b, rng.choice(["view", "click", "purchase", "view"]),
+                     dt.datetime(2024, 1, 1) + dt.timedelta(hours=i * 5)))
+    log = _log(spark, rows)
+    single = dwell_time(log, START, END, END, START, bucket_width=None)
+    hybrid = dwell_time(log, START, END, END, START, bucket_width=16, time_bucket_seconds=86400, hot_threshold=100)
+    assert sorted(map(tuple, hybrid.collect()), key=str) == sorted(map(tuple, single.collect()), key=str)
