@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as E
-from tools.check_oracle import duck, duck_rows, spark_rows
+from tools.check_oracle import duck, duck_rows, spark_rows, type_diffs
 
 SF = "/root/testdata/sf0.001"
 SQL = E.oracle_sql()
@@ -23,9 +23,10 @@ def test_every_query_has_oracle():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_oracle(spark, con, name):
-    sc, sr, _ = spark_rows(QUERIES[name](spark, SF))
-    dc, dr, _ = duck_rows(con, SQL[name])
+    sc, sr, st = spark_rows(QUERIES[name](spark, SF))
+    dc, dr, dt = duck_rows(con, SQL[name])
     assert sc == dc
+    assert type_diffs(st, dt) == {}
     assert Counter(sr) == Counter(dr)
 
 
