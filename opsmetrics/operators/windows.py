@@ -60,12 +60,6 @@ def top_n_global(df: DataFrame, order: Keys, n: int, tiebreak: Sequence[str] = (
     return df.orderBy(*total_order(order, tiebreak)).limit(n)
 
 
-def share_of_partition(value: ColumnOrName, partition: Sequence[ColumnOrName]) -> Column:
-    """``sum(value) over (partition by ...)``: the partition total for share computations."""
-    v = F.col(value) if isinstance(value, str) else value
-    return F.sum(v).over(Window.partitionBy(*partition))
-
-
 def lag_default(c: ColumnOrName, partition, order: Keys, default, offset: int = 1) -> Column:
     return F.lag(c, offset, default).over(rank_window(partition, order))
 
@@ -228,3 +222,15 @@ def top_n_members(df: DataFrame, keys: Sequence[str], order: Keys, n: int, flag:
         cond = e if cond is None else cond & e
     out = df.join(F.broadcast(top), cond, "left").drop(*[f"{flag}_{k}" for k in keys])
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def with_partition_total(df: DataFrame, value: ColumnOrName, keys: Sequence[str], name: str) -> DataFrame:
+    """``sum(value) over (partition by keys)`` as a column, computed as a grouped sum (combined
+    map-side) joined back, so no task holds a whole key's rows. NULL keys form one group."""
+    v = F.col(value) if isinstance(value, str) else value
+    totals = df.groupBy(*[F.col(k).alias(f"_pt_{k}") for k in keys]).agg(F.sum(v).alias(name))
+    cond = None
+    for k in keys:
+        e = F.col(k).eqNullSafe(F.col(f"_pt_{k}"))
+        cond = e if cond is None else cond & e
+    return df.join(totals, cond, "left").drop(*[f"_pt_{k}" for k in keys])

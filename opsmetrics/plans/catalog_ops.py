@@ -15,8 +15,8 @@ from opsmetrics.functions.semantics import (asc, concat_text, date_window, day_d
 from opsmetrics.operators import chain as C
 from opsmetrics.operators.aggregates import (count_distinct_if, distinct_counts_by_flags, join_on_keys, listagg,
                                              listagg_by_counts, ordered_pairs, pivot_sum, sum_if)
-from opsmetrics.operators.windows import (first_per_key, global_row_number, qualify, rank_window, share_of_partition,
-                                          top_n_global, top_n_members, top_n_per_key, with_rank)
+from opsmetrics.operators.windows import (first_per_key, global_row_number, qualify, rank_window, top_n_global,
+                                          top_n_members, top_n_per_key, with_partition_total, with_rank)
 from opsmetrics.sources.fixtures import Inputs
 from opsmetrics.sources.tables import Tables
 
@@ -96,7 +96,7 @@ def alias_partition(spark, root):
 @q
 def window_alias_expr(spark, root):
     li = _t(spark, root).lineitem.withColumn("qty", F.col("l_quantity").cast("bigint"))
-    li = li.withColumn("total_qty", share_of_partition("qty", ["l_orderkey"]))
+    li = with_partition_total(li, "qty", ["l_orderkey"], "total_qty")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "qty", "total_qty",
                      ratio("qty", "total_qty", 2).alias("share"))
 
