@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsmetrics.functions.semantics import ColumnOrName, asc, total_order
+from opsmetrics.functions.semantics import ColumnOrName, asc, order_spec, total_order
 
 Keys = Sequence[ColumnOrName | tuple[ColumnOrName, str]]
 
@@ -75,12 +75,6 @@ def lead_default(c: ColumnOrName, partition, order: Keys, default=None, offset:
 # per-bucket summary (one row per key and bucket) repairs the bucket edges. A bucket over a
 # unique sequence of width w holds at most w rows of any key.
 
-def sort_position(order: Sequence[str]) -> Column:
-    """A struct that compares like ``order by o1 asc nulls last, o2 ...`` (for min_by / max_by)."""
-    return F.struct(*[F.struct(F.col(o).isNull().alias("n"), F.col(o).alias("v")).alias(f"p{i}")
-                      for i, o in enumerate(order)])
-
-
 def hot_keys(df: DataFrame, key: Sequence[str], threshold: int) -> DataFrame:
     """Keys holding more than ``threshold`` rows, as ``_hk_<key>`` columns plus ``_hot``.
 
@@ -109,7 +103,7 @@ def split_by_heat(df: DataFrame, key: Sequence[str], threshold: int,
     return tagged.where(F.col("_hot").isNull()).drop("_hot"), tagged.where(F.col("_hot")).drop("_hot")
 
 
-def range_bucket(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "_rb",
+def range_bucket(df: DataFrame, key: Sequence[str], order: Keys, name: str = "_rb",
                  partitions: int | None = None) -> DataFrame:
     """Range-partition on (key, order asc nulls last) and tag each row with its range number.
 
@@ -117,7 +111,7 @@ def range_bucket(df: DataFrame, key: Sequence[str], order: Sequence[str], name:
     grow along the order, as ``split_neighbours`` / ``split_row_number`` require.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[asc(k) for k in key], *[asc(o) for o in order])
+    ranged = df.repartitionByRange(n, *[asc(k) for k in key], *_sort(order))
     return ranged.withColumn(name, F.spark_partition_id())
 
 
@@ -131,39 +125,47 @@ def _join_summary(rows: DataFrame, summary: DataFrame, key: Sequence[str], bucke
     return out.drop(*[f"_s_{k}" for k in key], f"_s_{bucket}")
 
 
-def split_neighbours(df: DataFrame, key: Sequence[str], bucket: str, order: Sequence[str], value: str,
+def _sort(order) -> list[Column]:
+    return order_spec(*order)
+
+
+def split_neighbours(df: DataFrame, key: Sequence[str], bucket: str, order: Keys, value: str,
                      prev_name: str, next_name: str | None = None, persist_input: bool = True) -> DataFrame:
     """``lag(value)`` / ``lead(value)`` over ``partition by key order by order`` computed per
-    (key, bucket). Buckets must follow the order (bucket = a range of the first order column).
-    No neighbour -> NULL. ``df`` feeds both the rows and the bucket summary, so it is
-    persisted unless it is a cheap scan (``persist_input=False``).
+    (key, bucket). Buckets must follow the order (``range_bucket``, or a range of the first
+    ascending order column). ``order`` items are names (ascending) or ``(name, "desc")``.
+    No neighbour -> NULL. The first / last value of each bucket come from the same window
+    pass; ``df`` is persisted unless it is a cheap scan (``persist_input=False``).
     """
     if persist_input:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    w = Window.partitionBy(*key, bucket).orderBy(*[asc(o) for o in order])
+    sort = _sort(order)
+    w = Window.partitionBy(*key, bucket).orderBy(*sort)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     boxed = F.struct(F.col(value).alias("v"))
     out = df.withColumn("_lp", F.lag(boxed).over(w))
     if next_name:
         out = out.withColumn("_ln", F.lead(boxed).over(w))
-    pos = sort_position(order)
-    ends = df.groupBy(*key, bucket).agg(F.max_by(boxed, pos).alias("_last"), F.min_by(boxed, pos).alias("_first"))
+    out = (out.withColumn("_bf", F.first(boxed).over(whole)).withColumn("_bl", F.last(boxed).over(whole))
+           .persist(StorageLevel.MEMORY_AND_DISK))
+    ends = out.groupBy(*key, bucket).agg(F.first("_bl").alias("_last"), F.first("_bf").alias("_first"))
     wb = Window.partitionBy(*key).orderBy(bucket)
     edges = ends.select(*key, bucket, F.lag("_last").over(wb).alias("_bp"), F.lead("_first").over(wb).alias("_bn"))
-    out = _join_summary(out, edges, key, bucket)
+    out = _join_summary(out.drop("_bf", "_bl"), edges, key, bucket)
     out = out.withColumn(prev_name, F.coalesce("_lp", "_bp")["v"])
     if next_name:
         out = out.withColumn(next_name, F.coalesce("_ln", "_bn")["v"])
     return out.drop("_lp", "_ln", "_bp", "_bn")
 
 
-def split_row_number(df: DataFrame, key: Sequence[str], bucket: str, order: Sequence[str], name: str,
+def split_row_number(df: DataFrame, key: Sequence[str], bucket: str, order: Keys, name: str,
                      total_name: str, persist_input: bool = True) -> DataFrame:
     """``row_number() over (partition by key order by order)`` and the key's row count,
     numbered per (key, bucket) and offset by the counts of the key's earlier buckets.
     ``df`` feeds both the rows and the counts (persisted as in ``split_neighbours``)."""
     if persist_input:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    w = Window.partitionBy(*key, bucket).orderBy(*[asc(o) for o in order])
+    w = Window.partitionBy(*key, bucket).orderBy(*_sort(order))
     local = df.withColumn("_lr", F.row_number().over(w))  # same order as the buckets
     counts = df.groupBy(*key, bucket).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -173,7 +175,7 @@ def split_row_number(df: DataFrame, key: Sequence[str], bucket: str, order: Sequ
     return out.withColumn(name, (F.col("_lr") + F.col("_off")).cast("int")).drop("_lr", "_off")
 
 
-def hot_safe_row_number(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str,
+def hot_safe_row_number(df: DataFrame, key: Sequence[str], order: Keys, name: str,
                         hot_threshold: int | None) -> DataFrame:
     """``row_number() over (partition by key order by order asc nulls last)``.
 
@@ -181,7 +183,7 @@ def hot_safe_row_number(df: DataFrame, key: Sequence[str], order: Sequence[str],
     range-partitioned on (key, order) and numbered per range with offsets from the
     per-range counts, so a hot key is spread over many tasks.
     """
-    w = Window.partitionBy(*key).orderBy(*[asc(o) for o in order])
+    w = Window.partitionBy(*key).orderBy(*_sort(order))
     if hot_threshold is None:
         return df.withColumn(name, F.row_number().over(w))
     cold, hot = split_by_heat(df, key, hot_threshold, persist_input=True)

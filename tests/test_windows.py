@@ -75,3 +75,21 @@ def test_top_n_members(spark):
     df = spark.createDataFrame([(i, i % 7) for i in range(50)], "id long, v long")
     got = top_n_members(df, ["id"], [("v", "desc")], 4, "_top", tiebreak=["id"])
     assert sorted(r.id for r in got.where("_top").collect()) == [6, 13, 20, 27]
+
+
+def test_split_windows_descending_and_text_order(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.randrange(40), rng.choice(["x", "y", "zz", None]), i)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, score long, tag string, id long")
+    order = [("score", "desc"), "tag", "id"]
+    w = Window.partitionBy("k").orderBy(F.col("score").desc_nulls_first(), F.col("tag").asc_nulls_last(),
+                                        F.col("id").asc_nulls_last())
+    ref = df.select("k", "id", F.lag("tag").over(w).alias("p"), F.lead("tag").over(w).alias("n"),
+                    F.row_number().over(w).alias("rn"))
+    b = range_bucket(df, ["k"], order, partitions=12)
+    got = split_row_number(split_neighbours(b, ["k"], "_rb", order, "tag", "p", "n"), ["k"], "_rb", order, "rn",
+                           "total")
+    assert _rows(got, ["k", "id", "p", "n", "rn"]) == _rows(ref, ["k", "id", "p", "n", "rn"])
+    hot = hot_safe_row_number(df, ["k"], order, "rn", 20)
+    assert _rows(hot, ["k", "id", "rn"]) == _rows(ref, ["k", "id", "rn"])
