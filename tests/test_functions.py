@@ -61,7 +61,7 @@ def test_reason_rules_each_and_order(spark):
 
 def test_no_python_udf_in_plans(spark):
     import __spark_entry__ as E
-    qs = E.queries()
+    qs = E.core_queries()
     for name in ("pipe_dwell_time", "pipe_scorecard", "pipe_replacements"):
         plan = qs[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
@@ -69,13 +69,13 @@ def test_no_python_udf_in_plans(spark):
 
 def test_qualify_uses_group_limit(spark):
     import __spark_entry__ as E
-    plan = E.queries()["qualify_first"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = E.core_queries()["qualify_first"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
 def test_deterministic_across_partitioning(spark):
     import __spark_entry__ as E
-    qs = E.queries()
+    qs = E.core_queries()
     out = []
     for n in ("1", "16"):
         spark.conf.set("spark.sql.shuffle.partitions", n)

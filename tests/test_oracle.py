@@ -8,9 +8,8 @@ import __spark_entry__ as E
 from tools.check_oracle import duck, duck_rows, spark_rows, type_diffs
 
 SF = "/root/testdata/sf0.001"
-EXTRA, EXTRA_SQL = E._training_data()
-SQL = {k: v for k, v in E.oracle_sql().items() if k not in EXTRA_SQL}
-QUERIES = {k: v for k, v in E.queries().items() if k not in EXTRA}
+QUERIES = E.core_queries()
+SQL = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")

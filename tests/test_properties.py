@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.01"
-Q = E.queries()
+Q = E.core_queries()
 
 
 def test_dwell_rows_and_days(spark):

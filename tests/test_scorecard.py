@@ -22,7 +22,7 @@ def test_bands_first_match_and_overlap(spark):
 
 def test_scorecard_deterministic_across_partitioning(spark):
     import __spark_entry__ as E
-    q = E.queries()["pipe_scorecard"]
+    q = E.core_queries()["pipe_scorecard"]
     out = []
     for n in ("1", "16"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
