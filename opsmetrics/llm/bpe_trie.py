@@ -40,6 +40,10 @@ from opsmetrics.llm.common import cut
 # The byte-level BPE pre-token pattern.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Characters that every Unicode version since 6 puts in the same class; text with others is
+#: split by the library's own pre-tokenizer.
+SETTLED = regex.compile("[\x00-\u052f\u1e00-\u1eff\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f320]*")
+
 #: Entries of a worker's word table before it starts again (about 150 bytes each).
 CACHE_WORDS = 400_000
 
@@ -246,13 +250,33 @@ class TrieEncoder:
                 before = w
 
 
+class Splitter:
+    """The pre-tokens of a text, by the pattern or, for unsettled characters, by the library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        self.find = regex.compile(BYTE_PATTERN).findall
+        self.library = Tokenizer.from_file(path).pre_tokenizer
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or SETTLED.fullmatch(text):
+            return self.find(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+
+    def piece(self, piece: str) -> list[str]:
+        """Of a piece between two spaces, with the space before it."""
+        if piece.isalpha() and (piece.isascii() or SETTLED.fullmatch(piece)):
+            return [" " + piece]
+        return self(" " + piece)
+
+
 class WordCoder:
     """Texts to ids by a table of pieces; new pieces of a batch are encoded together in the trie."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.merges = Merges(path)
         self.trie = TrieEncoder(self.merges)
-        self.pattern = regex.compile(BYTE_PATTERN)
+        self.split = Splitter(path)
         self.special = self.merges.special
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.cache_words = cache_words
@@ -288,12 +312,11 @@ class WordCoder:
         # a text's first piece has no space before it: it is looked up as a pre-token of its own
         for k, p in enumerate(split):
             if k not in whole and (not odd.isdisjoint(p) if odd else False):
-                whole[k] = [self.pattern.findall(texts[k] or "")]
+                whole[k] = [self.split(texts[k] or "")]
         fresh -= odd
-        find = self.pattern.findall
-        parts = {p: ([" " + p] if p.isalpha() else find(" " + p)) for p in fresh}
+        parts = {p: self.split.piece(p) for p in fresh}
         need = {w for ws in parts.values() for w in ws}
-        firsts = {p[0]: find(p[0]) for k, p in enumerate(split) if k not in whole and p}
+        firsts = {p[0]: self.split(p[0]) for k, p in enumerate(split) if k not in whole and p}
         for ws in firsts.values():
             need.update(ws)
         for runs in whole.values():
@@ -318,9 +341,9 @@ class WordCoder:
         """Runs of pre-tokens, and the ids of special strings between them."""
         runs, at = [], 0
         for m in self.split_special.finditer(t):
-            runs += [self.pattern.findall(t[at:m.start()]), self.special[m[0]]]
+            runs += [self.split(t[at:m.start()]), self.special[m[0]]]
             at = m.end()
-        return [*runs, self.pattern.findall(t[at:])]
+        return [*runs, self.split(t[at:])]
 
     def decoder(self):
         """A function from ids to text: the bytes of the tokens, broken sequences replaced."""

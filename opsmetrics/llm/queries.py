@@ -7,17 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsmetrics.llm import bpe_trie, exact_dedup, token_counts
-from opsmetrics.llm.common import table
+from opsmetrics.llm import best_fit, bpe_trie, exact_dedup, token_counts, token_files
+from opsmetrics.llm.common import folder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=0, capacity=2048)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
+                                   folder(spark, "token-files"), end_id=2)
+    return token_files.read_digests(spark, out).withColumnRenamed("id", "doc_id")
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -27,7 +37,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op7_bpe_trie, op10_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_best_fit, op3_token_counts, op5_token_files, op7_bpe_trie, op10_exact_dedup)}
 
 
 def all_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.bpe_trie import BYTE_PATTERN, Merges
+from opsmetrics.llm.bpe_trie import Merges, Splitter
 from opsmetrics.llm.common import cut
 
 
@@ -39,7 +39,7 @@ class PieceCounts(dict):
         super().__init__()
         self.m = Merges(path)
         self.limit = limit
-        self.find = regex.compile(BYTE_PATTERN).findall
+        self.split = Splitter(path)
         self.whole = whole
         self.special = regex.compile("|".join(map(regex.escape, self.m.special))) if self.m.special else None
         self.words: dict[str, int] = {}
@@ -58,10 +58,8 @@ class PieceCounts(dict):
     def __missing__(self, piece: str):
         if not piece or piece[0].isspace() or piece[-1].isspace():
             n = None
-        elif piece.isalpha():
-            n = self.word(" " + piece)
         else:
-            n = sum(map(self.word, self.find(" " + piece)))
+            n = sum(map(self.word, self.split.piece(piece)))
         if len(self) > self.limit:
             self.clear()
         self[piece] = n
@@ -71,10 +69,10 @@ class PieceCounts(dict):
         first, *rest = text.split(" ")
         try:
             if first and not first[0].isspace() and not first[-1].isspace():
-                return sum(map(self.word, self.find(first))) + sum(map(self.__getitem__, rest))
+                return sum(map(self.word, self.split(first))) + sum(map(self.__getitem__, rest))
         except TypeError:   # a None among the pieces
             pass
-        return sum(map(self.word, self.find(text)))
+        return sum(map(self.word, self.split(text)))
 
     def text(self, text: str | None) -> int:
         if not text:
