@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsmetrics.llm import best_fit, bpe_trie, exact_dedup, token_counts, token_files
+from opsmetrics.llm import best_fit, bpe_trie, exact_dedup, fertility, token_counts, token_files
 from opsmetrics.llm.common import folder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +33,17 @@ def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_best_fit, op3_token_counts, op5_token_files, op7_bpe_trie, op10_exact_dedup)}
+        op1_best_fit, op3_token_counts, op5_token_files, op7_bpe_trie, op8_fertility, op10_exact_dedup)}
 
 
 def all_sql() -> dict[str, str]:
