@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsmetrics.llm import best_fit, bpe_trie, exact_dedup, fertility, token_counts, token_files
+from opsmetrics.llm import best_fit, bpe_trie, exact_dedup, fertility, token_counts, token_files, toxicity, url_filter
 from opsmetrics.llm.common import folder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=0, capacity=2048)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
@@ -37,13 +41,20 @@ def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_best_fit, op3_token_counts, op5_token_files, op7_bpe_trie, op8_fertility, op10_exact_dedup)}
+        op1_best_fit, op2_toxicity, op3_token_counts, op5_token_files, op7_bpe_trie, op8_fertility, op9_url_filter, op10_exact_dedup)}
 
 
 def all_sql() -> dict[str, str]:
