@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], carry: bool = False)
             texts = b.column("text").to_pylist()
             p = [s.document(t) for t in texts]
             found = [s.sentences(t) if x >= 0.3 else [] for x, t in zip(p, texts)]
-            rest = [b.column("row")] * carry
+            rest = [b.column("row")] if carry else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64()), pa.array(found, spans), *rest],
                                              names=["doc_id", "score", "sentences", *["row"] * carry])
 
