@@ -62,7 +62,7 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int], steps: int = 120, rate: float = 0.1, penalty: float = 1e-4,
-          least: int = 5, apart: float = 4.0) -> tuple[np.ndarray, float]:
+          least: int = 3, apart: float = 4.0) -> tuple[np.ndarray, float]:
     """Sentence weights and intercept from document labels."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
