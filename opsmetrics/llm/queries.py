@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsmetrics.llm import best_fit, bpe_trie, exact_dedup, fertility, token_counts, token_files, toxicity, url_filter
+from opsmetrics.llm import best_fit, bpe_trie, dart_minhash, exact_dedup, fertility, token_counts, token_files, toxicity, url_filter
 from opsmetrics.llm.common import folder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
                                    folder(spark, "token-files"), end_id=2)
@@ -54,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_best_fit, op2_toxicity, op3_token_counts, op5_token_files, op7_bpe_trie, op8_fertility, op9_url_filter, op10_exact_dedup)}
+        op1_best_fit, op2_toxicity, op3_token_counts, op4_dart_minhash, op5_token_files, op7_bpe_trie, op8_fertility, op9_url_filter, op10_exact_dedup)}
 
 
 def all_sql() -> dict[str, str]:
