@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsmetrics.llm import best_fit, bpe_trie, dart_minhash, exact_dedup, fertility, token_counts, token_files, toxicity, url_filter
+from opsmetrics.llm import (best_fit, bpe_trie, dart_minhash, exact_dedup, fertility, html_crf, token_counts, token_files,
+                            toxicity, url_filter)
 from opsmetrics.llm.common import folder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -37,6 +38,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, out).withColumnRenamed("id", "doc_id")
 
 
+def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -58,7 +63,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_best_fit, op2_toxicity, op3_token_counts, op4_dart_minhash, op5_token_files, op7_bpe_trie, op8_fertility, op9_url_filter, op10_exact_dedup)}
+        op1_best_fit, op2_toxicity, op3_token_counts, op4_dart_minhash, op5_token_files, op6_html_crf, op7_bpe_trie,
+        op8_fertility, op9_url_filter, op10_exact_dedup)}
 
 
 def all_sql() -> dict[str, str]:
