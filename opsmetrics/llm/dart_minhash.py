@@ -345,5 +345,6 @@ def new_links(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, root:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns it had."""
-    stay = near_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(stay, F.col("doc_id").cast("bigint") == F.col("_kept"), "left_semi")
+    stay = near_groups(docs).filter("kept").select("doc_id").distinct()
+    return (docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").cast("bigint") == F.col("s.doc_id"), "left_semi")
+            .select(*[F.col(f"d.`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"]))

@@ -70,6 +70,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they had."""
-    stay = exact_groups(docs, keep=keep).filter("kept").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi")
+    """The rows of ``docs`` that stay, with the columns they had; of rows equal in id and text one stays."""
+    stay = exact_groups(docs, keep=keep).filter("kept").select("doc_id").distinct()
+    text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    return (docs.join(stay, "doc_id", "left_semi").withColumn("__text_digest", text)
+            .dropDuplicates(["doc_id", "__text_digest"]).drop("__text_digest"))

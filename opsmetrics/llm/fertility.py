@@ -118,8 +118,8 @@ _MEASURES = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines b
              "n_tokens bigint, n_fallback bigint, entropy double, band_group string")
 
 
-def measures(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the measures of every whole text."""
+def measures(docs: DataFrame, path: str, carry: bool = False) -> DataFrame:
+    """doc_id and the measures of every whole text; with ``carry`` also the row itself, as a struct."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
@@ -134,11 +134,17 @@ def measures(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((*base_measures(text, words), *v.measure(words), group))
             columns = [pa.array(x, pa.float64() if k == 7 else pa.string() if k == 8 else pa.int64())
                        for k, x in enumerate(zip(*rows))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", *(x.split()[0] for x in _MEASURES.split(", "))])
+            names = ["doc_id", *(x.split()[0] for x in _MEASURES.split(", "))]
+            if carry:
+                columns.append(b.column("row"))
+                names.append("row")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=names)
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select("doc_id", text.alias("text"), lang.alias("lang")).mapInArrow(run, f"doc_id {key}, {_MEASURES}")
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
+    out = docs.select("doc_id", text.alias("text"), lang.alias("lang"), *row)
+    return out.mapInArrow(run, f"doc_id {key}, {_MEASURES}" + (f", row {out.schema['row'].dataType.simpleString()}" if carry else ""))
 
 
 def bands(measured: DataFrame, least: int = LEAST) -> DataFrame:
@@ -151,9 +157,9 @@ def bands(measured: DataFrame, least: int = LEAST) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= least))
 
 
-def judge(docs: DataFrame, path: str, width: float = WIDTH, high: float = HIGH, least: int = LEAST) -> DataFrame:
-    """The measures of every document, base_failed, the fertility measures and kept."""
-    m = measures(docs, path)
+def judge(docs: DataFrame, path: str, width: float = WIDTH, high: float = HIGH, least: int = LEAST, carry: bool = False) -> DataFrame:
+    """The measures of every document, base_failed, the fertility measures and kept (and the row, with ``carry``)."""
+    m = measures(docs, path, carry)
     m = (m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
          .withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("word_chars") / F.col("n_tokens")))
          .withColumn("fallback", F.when(F.col("n_tokens") > 0, F.col("n_fallback") / F.col("n_tokens")))
@@ -178,9 +184,10 @@ def judge(docs: DataFrame, path: str, width: float = WIDTH, high: float = HIGH,
     rejected = F.coalesce((below > width) | (per_token > high) | ((fallback > high) & (margin > BYTE_MARGIN)), F.lit(False))
     return x.select("m.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "m.base_failed",
                     (~F.col("m.base_failed") & ~rejected).alias("kept"), "m.n_tokens",
-                    F.col("m.per_token").alias("chars_per_token"), F.col("m.fallback").alias("fallback_share"), F.col("m.entropy").alias("token_entropy"))
+                    F.col("m.per_token").alias("chars_per_token"), F.col("m.fallback").alias("fallback_share"), F.col("m.entropy").alias("token_entropy"),
+                    *[F.col("m.row")] * carry)
 
 
 def keep_good(docs: DataFrame, path: str) -> DataFrame:
     """The documents that the rules keep, with the columns they had."""
-    return docs.join(judge(docs, path).filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return judge(docs, path, carry=True).filter("kept").select("row.*")
