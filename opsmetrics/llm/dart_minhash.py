@@ -23,9 +23,14 @@ as members, never all pairs. A pair whose signatures agree too little to be simi
 *Verification.* Pairs are verified on the whole texts: first each node's best pair, then,
 of the pairs left, those whose ends are not connected yet; none is skipped by a cap. Links are
 pairs with a similarity of ``THRESHOLD`` or more. Classes are their connected components, found by
-large-star and small-star steps. A second round of buckets then looks for links that the first
-leaders missed: it pairs each member with a new leader among the members that are not
-connected with the first; rounds end when one adds no link.
+large-star and small-star steps.
+
+*Further rounds.* A link whose ends both differ from their leaders would be lost so far. Ends of
+such a link meet in about eight of the twenty buckets, and these then hold members that are
+not connected. Such buckets get ``LEADERS`` new leaders in each round, among them the member with the
+most links so far. Nodes in two of them or more are also dealt anew, into ``FINE_TABLES`` finer
+buckets of ``FINE_ROWS`` coordinates drawn afresh in each round; a fine bucket holds few besides the
+most similar. Rounds end when one adds no link.
 
 Hot buckets, sets and leaders are split: minima over a key are taken per (key, salt), then over the
 key, and brought back the same way.
@@ -54,6 +59,7 @@ ROWS = 4
 #: Pairs whose signatures agree on a smaller share than this are dropped: 4.5 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.6
 SALTS = 64
+FINE_TABLES, FINE_ROWS, LEADERS = 40, 12, 3
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -199,20 +205,58 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             .mapInArrow(run, f"doc_id {key}, set1 bigint, set2 bigint, marks binary, bands array<bigint>"))
 
 
-def least_of_key(df: DataFrame, keys: list[str], value: Column, of: str, name: str, least_rows: int = 1) -> DataFrame:
-    """Adds the smallest ``value`` over each key, over keys with ``least_rows`` rows or more (others go).
+def least_of_key(df: DataFrame, keys: list[str], values: dict[str, Column], of: str, least_rows: int = 1) -> DataFrame:
+    """Adds the smallest of each value over each key, over keys with ``least_rows`` rows or more (others go).
 
     Minima are taken per key and salt, then per key, and go back to the rows by key and salt, so
     no task meets all rows of a hot key. ``of``: the column that salts.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")).repartition(n, *keys, "_salt")
-    part = dealt.groupBy(*keys, "_salt").agg(F.min(value).alias("_least"), F.count(F.lit(1)).alias("_rows"))
-    whole = part.groupBy(*keys).agg(F.min("_least").alias(name), F.sum("_rows").alias("_all")).filter(F.col("_all") >= least_rows).drop("_all")
+    part = dealt.groupBy(*keys, "_salt").agg(*[F.min(v).alias(c) for c, v in values.items()], F.count(F.lit(1)).alias("_rows"))
+    whole = (part.groupBy(*keys).agg(*[F.min(c).alias(c) for c in values], F.sum("_rows").alias("_all"))
+             .filter(F.col("_all") >= least_rows).drop("_all"))
     back = part.select(*keys, "_salt").join(whole, keys)
     return dealt.join(back, [*keys, "_salt"]).drop("_salt")
 
 
+def led_by(members: DataFrame, links: DataFrame | None = None, number: int = 0, masked: int = 1) -> DataFrame:
+    """(bucket, v, lead) of buckets with two members or more.
+
+    Leaders are the smallest ids under ``masked`` masks of the bucket's own and, if there are links,
+    the member with the most links so far, which often is the text that the others are copies of.
+    """
+    masks = [F.xxhash64("bucket", F.lit(number), F.lit(k)) for k in range(masked)]
+    values = {f"lead{k}": F.col("v").bitwiseXOR(m) for k, m in enumerate(masks)}
+    leads = [F.col(f"lead{k}").bitwiseXOR(m) for k, m in enumerate(masks)]
+    if links is not None:
+        degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
+        members = members.join(degree, "v", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        values["hub"] = F.struct(-F.col("degree"), F.col("v").alias("v"))
+        leads.append(F.col("hub.v"))
+    led = least_of_key(members, ["bucket"], values, "v", least_rows=2)
+    return led.select("bucket", "v", F.explode(F.array_distinct(F.array(*leads))).alias("lead"))
+
+
+def fine_buckets(marks: DataFrame, number: int, tables: int = FINE_TABLES, rows: int = FINE_ROWS) -> DataFrame:
+    """(v, bucket) of nodes (v, marks): hashes of ``rows`` coordinates, drawn anew for each table and round."""
+    def run(it):
+        for b in it:
+            if not b.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(b.column("marks").to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.uint64)
+            keys = np.empty((b.num_rows, tables), np.uint64)
+            for t in range(tables):
+                chosen = np.random.default_rng([number, t]).choice(sig.shape[1], rows, replace=False)
+                h = np.full(b.num_rows, number * tables + t + 1, np.uint64)
+                for c in chosen:
+                    h = mix(h * _MULTIPLIERS[0] + sig[:, c])
+                keys[:, t] = h
+            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["v", "buckets"])
+
+    return marks.select("v", "marks").mapInArrow(run, "v bigint, buckets array<bigint>").select("v", F.explode("buckets").alias("bucket"))
+
+
 def agreeing(pairs: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
     """Pairs (a, b, marks of both) whose signatures agree enough, with the share of agreeing coordinates."""
     def run(it):
@@ -265,22 +309,18 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
     """doc_id, class_id (the smallest id of its class) and kept (whether it is that one) of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = stored(signatures(docs, bands, rows), "signatures")
-    known = stored(least_of_key(sig.filter("doc_id is not null").select("doc_id", "set1", "set2"), ["set1", "set2"], F.col("doc_id"), "doc_id", "v")
+    known = stored(least_of_key(sig.filter("doc_id is not null").select("doc_id", "set1", "set2"), ["set1", "set2"], {"v": F.col("doc_id")}, "doc_id")
                    .select("doc_id", "v"), "nodes")
-    nodes = known.filter("doc_id = v").select("v")
+    nodes = known.filter("doc_id = v").select("v").distinct()
     sig = stored(sig.join(nodes, F.col("doc_id") == F.col("v"), "left_semi").select(F.col("doc_id").alias("v"), "marks", "bands"), "node-signatures")
 
-    # buckets with two members or more, and the member that leads: the smallest id under the bucket's own mask
-    members = sig.select("v", F.explode("bands").alias("bucket"))
-    led = stored(least_of_key(members, ["bucket"], F.col("v").bitwiseXOR(F.col("bucket")), "v", "lead", least_rows=2)
-                 .select("bucket", "v", F.col("lead").bitwiseXOR(F.col("bucket")).alias("lead")), "buckets")
-    marks = sig.select("v", "marks")
-    links, root = None, None
-    tried = None
+    led = stored(led_by(sig.select("v", F.explode("bands").alias("bucket"))), "buckets")
+    marks = sig.select("v", "marks").filter("marks is not null")
+    links, root, tried, number, now = None, None, None, 0, led
     while True:
-        fresh = led.filter("v <> lead").select(F.least("v", "lead").alias("a"), F.greatest("v", "lead").alias("b")).distinct()
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
+        fresh = now.filter("v <> lead").select(F.least("v", "lead").alias("a"), F.greatest("v", "lead").alias("b")).distinct()
+        if number:
+            fresh = rooted(rooted(fresh, root, "a"), root, "b").filter("root_a <> root_b").select("a", "b").join(tried, ["a", "b"], "left_anti")
         fresh = (fresh.join(marks.select(F.col("v").alias("a"), F.col("marks").alias("marks_a")), "a")
                  .join(marks.select(F.col("v").alias("b"), F.col("marks").alias("marks_b")), "b"))
         pairs = stored(agreeing(fresh), "pairs")
@@ -288,11 +328,13 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
         if found is None:
             break
         links, root = found
-        tried = pairs.select("a", "b") if tried is None else stored(tried.unionByName(pairs.select("a", "b")), "tried")
-        # members that are not connected with their leader lead and pair among themselves
-        free = rooted(rooted(led, root, "v"), root, "lead").filter("root_v <> root_lead").select("bucket", "v")
-        led = stored(least_of_key(free, ["bucket"], F.col("v").bitwiseXOR(F.col("bucket")), "v", "lead", least_rows=2)
-                     .select("bucket", "v", F.col("lead").bitwiseXOR(F.col("bucket")).alias("lead")), "buckets")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        open_ = rooted(rooted(led, root, "v"), root, "lead").filter("root_v <> root_lead").select("bucket").distinct()
+        coarse = stored(led.join(open_, "bucket", "left_semi").select("v", "bucket"), "open-buckets")
+        again = coarse.groupBy("v").count().filter("count > 1").select("v")
+        number += 1
+        fine = fine_buckets(marks.join(again, "v", "left_semi"), number)
+        now = led_by(coarse.unionByName(fine), links, number, LEADERS - 1)
 
     if root is not None:
         known = known.join(root.select("v", "root"), "v", "left")
