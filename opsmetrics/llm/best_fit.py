@@ -17,6 +17,9 @@ bulk-synchronous best-fit:
 4. *Update.* Taken gaps shrink and take part in the next round. When nothing fits, the longest
    free pieces open as many new sequences as the volume left needs.
 
+Rounds of all lengths at once and rounds of one length after the other are both planned, and the plan
+with fewer sequences is taken.
+
 The rounds yield placements of whole rank ranges (length, first rank, count, first sequence,
 offset). Every piece finds its own by a join on its length and a block of ranks; the placements
 of large ranges are cut into such blocks first, so no key of the join has more pieces than a block.
@@ -28,6 +31,7 @@ each; an empty table gives no sequence. ``doc_id`` is any type that can be hashe
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -75,66 +79,112 @@ def token_pieces(docs: DataFrame, path: str, end_id: int | None, capacity: int =
             .mapInArrow(run, f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids))
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Placements (length, first rank, count, first sequence, offset) and the number of sequences.
-
-    ``counts``: pieces of each length from 1 to ``capacity``. Works on runs only: its cost depends
-    on the number of different lengths, not on the number of pieces.
-    """
-    left = {size: n for size, n in counts.items() if n}
-    if left and not (1 <= min(left) and max(left) <= capacity):
-        raise ValueError("a length is outside 1..capacity")
-    rank = dict.fromkeys(left, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}    # free space -> [(first sequence, how many)]
-    placed: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-
-    def put(size: int, n: int, first: int, space: int, to: dict) -> None:
-        placed.append((size, rank[size], n, first, capacity - space))
-        rank[size] += n
-        left[size] -= n
-        if not left[size]:
-            del left[size]
+class Layout:
+    """Placements so far: whole rank ranges of equal pieces in whole ranges of equal sequences."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = {size: n for size, n in counts.items() if n}
+        if self.left and not (1 <= min(self.left) and max(self.left) <= capacity):
+            raise ValueError("a length is outside 1..capacity")
+        self.capacity = capacity
+        self.rank = dict.fromkeys(self.left, 0)
+        self.gaps: dict[int, list[tuple[int, int]]] = {}       # free space -> [(first sequence, how many)]
+        self.placed: list[tuple[int, int, int, int, int]] = []
+        self.sequences = 0
+
+    def put(self, size: int, n: int, first: int, space: int, to: dict) -> None:
+        """The next ``n`` pieces of a size, one into each of the sequences from ``first`` that have ``space`` left."""
+        self.placed.append((size, self.rank[size], n, first, self.capacity - space))
+        self.rank[size] += n
+        self.left[size] -= n
+        if not self.left[size]:
+            del self.left[size]
         if space > size:
             to.setdefault(space - size, []).append((first, n))
 
-    def open_new(size: int, n: int) -> None:
-        nonlocal sequences
-        put(size, n, sequences, capacity, gaps)
-        sequences += n
+    def open_new(self, size: int, n: int) -> None:
+        self.put(size, n, self.sequences, self.capacity, self.gaps)
+        self.sequences += n
+
 
-    for size in sorted((s for s in left if 2 * s > capacity), reverse=True):   # no two of these share a sequence
-        open_new(size, left[size])
-    while left:
+def rounds_of_all(counts: dict[int, int], capacity: int) -> Layout:
+    """Rounds in which the pieces of all lengths take part, each gap taking at most one."""
+    x = Layout(counts, capacity)
+    for size in sorted((s for s in x.left if 2 * s > capacity), reverse=True):   # no two of these share a sequence
+        x.open_new(size, x.left[size])
+    while x.left:
         # new sequences, by the longest pieces, for what all gaps together can't take and for
         # what is longer than any gap
-        short = sum(s * n for s, n in left.items()) - sum(s * n for s, g in gaps.items() for _, n in g)
-        widest = max(gaps, default=0)
-        stuck = sum(s * n for s, n in left.items() if s > widest)
+        short = sum(s * n for s, n in x.left.items()) - sum(s * n for s, g in x.gaps.items() for _, n in g)
+        widest = max(x.gaps, default=0)
+        stuck = sum(s * n for s, n in x.left.items() if s > widest)
         opened = -(-max(short, stuck, 0) // capacity)
-        while opened > 0 and left:
-            size = max(left)
-            n = min(opened, left[size])
-            open_new(size, n)
+        while opened > 0 and x.left:
+            size = max(x.left)
+            n = min(opened, x.left[size])
+            x.open_new(size, n)
             opened -= n
         # one sweep: ascending over both lists, a stack of the runs passed and not used up
         after: dict[int, list[tuple[int, int]]] = {}
         stack: list[int] = []
-        for size in sorted({*left, *gaps}):
-            if size in left:
+        for size in sorted({*x.left, *x.gaps}):
+            if size in x.left:
                 stack.append(size)
-            for first, n in gaps.get(size, ()):
+            for first, n in x.gaps.get(size, ()):
                 while n and stack:
                     top = stack[-1]
-                    k = min(n, left[top])
-                    put(top, k, first, size, after)
-                    if top not in left:
+                    k = min(n, x.left[top])
+                    x.put(top, k, first, size, after)
+                    if top not in x.left:
                         stack.pop()
                     first, n = first + k, n - k
                 if n:
                     after.setdefault(size, []).append((first, n))
-        gaps = after
-    return placed, sequences
+        x.gaps = after
+    return x
+
+
+def rounds_by_length(counts: dict[int, int], capacity: int) -> Layout:
+    """Rounds in which the pieces of one length take part, the longest first."""
+    x = Layout(counts, capacity)
+    order: list[int] = []                              # the sizes of gaps, ascending
+    for size in sorted(x.left, reverse=True):
+        while size in x.left:
+            at = bisect.bisect_left(order, size)
+            if at == len(order):
+                x.open_new(size, -(-x.left[size] // (capacity // size)))
+                space = capacity - size
+            else:
+                space = order.pop(at)                  # the successor: the smallest gap that takes the length
+                ranges, after = x.gaps.pop(space), {}
+                for k, (first, n) in enumerate(ranges):
+                    if size not in x.left:
+                        x.gaps[space] = ranges[k:]
+                        break
+                    took = min(n, x.left[size])
+                    x.put(size, took, first, space, after)
+                    if took < n:
+                        x.gaps[space] = [(first + took, n - took), *ranges[k + 1:]]
+                        break
+                for s, r in after.items():
+                    x.gaps.setdefault(s, []).extend(r)
+                if space in x.gaps:
+                    bisect.insort(order, space)
+                space -= size
+            if space in x.gaps and (at := bisect.bisect_left(order, space)) == len(order) or space in x.gaps and order[at] != space:
+                bisect.insort(order, space)
+    return x
+
+
+def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Placements (length, first rank, count, first sequence, offset) and the number of sequences.
+
+    ``counts``: pieces of each length from 1 to ``capacity``. Works on runs only: its cost depends
+    on the number of different lengths, not on the number of pieces. Of the two kinds of rounds the
+    one that needs fewer sequences is taken.
+    """
+    best = min((rounds_of_all(counts, capacity), rounds_by_length(counts, capacity)), key=lambda x: x.sequences)
+    return best.placed, best.sequences
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, block: int = RANK_BLOCK) -> DataFrame:
