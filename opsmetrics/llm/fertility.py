@@ -14,7 +14,8 @@ rejected when
 where a spread is the distance of the quartiles over 1.349 (a standard deviation, for normal
 values). Length classes are half octaves of the token count, since entropy grows with length; a
 class with fewer than ``least`` texts takes the bands of its two octaves, and where those have
-too few as well nothing is rejected by a band. Copies count once in the bands, so a text that a
+too few as well the bands of all lengths, without entropy. A language with fewer than ``least`` texts
+has no bands, and nothing is rejected by them. Copies count once in the bands, so a text that a
 third of the corpus repeats doesn't move them.
 
 Base rules: fewer than 50 words, or more than half of the words in 3-word windows that occur
@@ -43,6 +44,8 @@ WIDTH = 5.0
 HIGH = 8.0
 BYTE_MARGIN = 0.05
 LEAST = 30
+#: The length class of all lengths.
+ALL = -1000
 #: More bands than this (languages times length classes) are joined, not broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -152,8 +155,9 @@ def bands(measured: DataFrame, least: int = LEAST) -> DataFrame:
     fit = (measured.filter(~F.col("base_failed") & (F.col("n_tokens") > 0))
            .select("band_group", "octave", "per_token", "fallback", "entropy").distinct())
     wide = fit.withColumn("octave", -F.floor(F.col("octave") / 4) - 1)      # classes of two octaves: -1, -2, ...
+    every = fit.withColumn("octave", F.lit(ALL).cast("bigint")).withColumn("entropy", F.lit(None).cast("double"))
     quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in ("per_token", "fallback", "entropy")]
-    return (fit.unionByName(wide).groupBy("band_group", "octave")
+    return (fit.unionByName(wide).unionByName(every).groupBy("band_group", "octave")
             .agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= least))
 
 
@@ -168,17 +172,18 @@ def judge(docs: DataFrame, path: str, width: float = WIDTH, high: float = HIGH,
     b = stored(bands(m, least), "bands")
     if b.count() <= BROADCAST_ROWS:
         b = F.broadcast(b)
-    fine, wide = b.alias("f"), b.alias("w")
+    fine, wide, every = b.alias("f"), b.alias("w"), b.filter(F.col("octave") == ALL).alias("a")
     x = (m.alias("m")
          .join(fine, (F.col("m.band_group") == F.col("f.band_group")) & (F.col("m.octave") == F.col("f.octave")), "left")
-         .join(wide, (F.col("m.band_group") == F.col("w.band_group")) & (-F.floor(F.col("m.octave") / 4) - 1 == F.col("w.octave")), "left"))
+         .join(wide, (F.col("m.band_group") == F.col("w.band_group")) & (-F.floor(F.col("m.octave") / 4) - 1 == F.col("w.octave")), "left")
+         .join(every, F.col("m.band_group") == F.col("a.band_group"), "left"))
 
     def spreads(c: str):
-        q = F.coalesce(F.col(f"f.{c}"), F.col(f"w.{c}"))
+        q = F.when(F.col("f.n").isNotNull(), F.col(f"f.{c}")).when(F.col("w.n").isNotNull(), F.col(f"w.{c}")).otherwise(F.col(f"a.{c}"))
         spread = F.greatest((q[2] - q[0]) / 1.349, F.lit(1e-6))
         return (F.col(f"m.{c}") - q[1]) / spread, F.col(f"m.{c}") - q[1]
 
-    per_token, entropy = spreads("per_token")[0], spreads("entropy")[0]
+    per_token, entropy = spreads("per_token")[0], F.coalesce(spreads("entropy")[0], F.lit(0.0))
     fallback, margin = spreads("fallback")
     below = F.sqrt(F.pow(F.least(per_token, F.lit(0.0)), F.lit(2.0)) + F.pow(F.least(entropy, F.lit(0.0)), F.lit(2.0)))
     rejected = F.coalesce((below > width) | (per_token > high) | ((fallback > high) & (margin > BYTE_MARGIN)), F.lit(False))
