@@ -334,7 +334,7 @@ def training_pages(n: int = 600, seed: int = 7) -> list[str]:
     def article() -> str:
         parts = [f"<h1 data-main=1>{words(1, 14)}</h1>"] if r.random() < 0.9 else []
         parts += [paragraph() for _ in range(r.choice((0, 1, 2, 3, 5, 8, 12, 20)) + (not parts))]
-        for extra, chance in ((advert, 0.15), (sidebar, 0.08), (form, 0.06), (comments, 0.08)):
+        for extra, chance in ((advert, 0.3), (sidebar, 0.12), (form, 0.1), (comments, 0.1), (notice, 0.06)):
             if r.random() < chance:
                 parts.insert(r.randint(1, len(parts)), extra())
         inner = "".join(parts)
