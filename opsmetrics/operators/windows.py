@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics.functions.semantics import ColumnOrName, asc, order_spec, total_order
+from opsmetrics.sources.staging import staged
 
 Keys = Sequence[ColumnOrName | tuple[ColumnOrName, str]]
 
@@ -60,65 +60,31 @@ def top_n_global(df: DataFrame, order: Keys, n: int, tiebreak: Sequence[str] = (
     return df.orderBy(*total_order(order, tiebreak)).limit(n)
 
 
-def lag_default(c: ColumnOrName, partition, order: Keys, default, offset: int = 1) -> Column:
-    return F.lag(c, offset, default).over(rank_window(partition, order))
-
-
-def lead_default(c: ColumnOrName, partition, order: Keys, default=None, offset: int = 1) -> Column:
-    return F.lead(c, offset, default).over(rank_window(partition, order))
-
-
 # ----------------------------------------------------------------------------- split windows
 # Offset and numbering windows over one key are sequential: every row of the key lands in
-# one task. When a key may hold a large share of the rows, the rows are windowed per
-# (key, bucket) instead, where the bucket is a range of the ordering column, and a small
-# per-bucket summary (one row per key and bucket) repairs the bucket edges. A bucket over a
-# unique sequence of width w holds at most w rows of any key.
-
-def hot_keys(df: DataFrame, key: Sequence[str], threshold: int) -> DataFrame:
-    """Keys holding more than ``threshold`` rows, as ``_hk_<key>`` columns plus ``_hot``.
-
-    At most ``rows / threshold`` keys qualify, whatever the data, which is what makes the
-    list safe to broadcast.
-    """
-    counts = df.groupBy(*[F.col(k).alias(f"_hk_{k}") for k in key]).agg(F.count(F.lit(1)).alias("_hk_n"))
-    return counts.where(F.col("_hk_n") > threshold).select(*[f"_hk_{k}" for k in key], F.lit(True).alias("_hot"))
-
-
-def split_by_heat(df: DataFrame, key: Sequence[str], threshold: int,
-                  persist_input: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys).
-
-    ``df`` is read twice (counts, then rows); pass ``persist_input`` when it is expensive to
-    recompute (joins upstream), leave it off for a plain scan.
-    """
-    if persist_input:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    hot = hot_keys(df, key, threshold)
-    cond = None
-    for k in key:
-        e = F.col(k).eqNullSafe(F.col(f"_hk_{k}"))
-        cond = e if cond is None else cond & e
-    tagged = df.join(F.broadcast(hot), cond, "left").drop(*[f"_hk_{k}" for k in key])
-    return tagged.where(F.col("_hot").isNull()).drop("_hot"), tagged.where(F.col("_hot")).drop("_hot")
-
+# one task. Here the rows are range-partitioned on (key, order) instead, so a key with many
+# rows fills several ranges, and windowed per (key, range); one summary row per key and
+# range repairs the range edges. One plan for every key, whatever its size. NULL keys and
+# NULL order values are ordinary values throughout.
 
 def range_bucket(df: DataFrame, key: Sequence[str], order: Keys, name: str = "_rb",
                  partitions: int | None = None) -> DataFrame:
     """Range-partition on (key, order asc nulls last) and tag each row with its range number.
 
     A key whose rows fill several ranges is spread over several buckets, and bucket numbers
-    grow along the order, as ``split_neighbours`` / ``split_row_number`` require.
+    grow along the order, as ``split_neighbours`` / ``split_row_number`` require. The tagged
+    rows are written once (``staged``): ranges come from a sample, and every reader must see
+    the same ones.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[asc(k) for k in key], *_sort(order))
-    return ranged.withColumn(name, F.spark_partition_id())
+    return staged(ranged.withColumn(name, F.spark_partition_id()), "ranges")
 
 
 def _join_summary(rows: DataFrame, summary: DataFrame, key: Sequence[str], bucket: str) -> DataFrame:
     keys = set(key) | {bucket}
     s = summary.select(*[F.col(c).alias(f"_s_{c}") if c in keys else F.col(c) for c in summary.columns])
-    cond = F.col(bucket) == F.col(f"_s_{bucket}")
+    cond = F.col(bucket).eqNullSafe(F.col(f"_s_{bucket}"))
     for k in key:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
     out = rows.join(s, cond, "inner")
@@ -130,28 +96,23 @@ def _sort(order) -> list[Column]:
 
 
 def split_neighbours(df: DataFrame, key: Sequence[str], bucket: str, order: Keys, value: str,
-                     prev_name: str, next_name: str | None = None, persist_input: bool = True) -> DataFrame:
+                     prev_name: str, next_name: str | None = None) -> DataFrame:
     """``lag(value)`` / ``lead(value)`` over ``partition by key order by order`` computed per
-    (key, bucket). Buckets must follow the order (``range_bucket``, or a range of the first
-    ascending order column). ``order`` items are names (ascending) or ``(name, "desc")``.
-    No neighbour -> NULL. The first / last value of each bucket come from the same window
-    pass; ``df`` is persisted unless it is a cheap scan (``persist_input=False``).
+    (key, bucket). Buckets must follow the order (``range_bucket``). ``order`` items are names
+    (ascending) or ``(name, "desc")``. No neighbour -> NULL. ``df`` is read twice (rows, edges),
+    so it should be a stored table.
     """
-    if persist_input:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    sort = _sort(order)
-    w = Window.partitionBy(*key, bucket).orderBy(*sort)
+    w = Window.partitionBy(*key, bucket).orderBy(*_sort(order))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     boxed = F.struct(F.col(value).alias("v"))
     out = df.withColumn("_lp", F.lag(boxed).over(w))
     if next_name:
         out = out.withColumn("_ln", F.lead(boxed).over(w))
-    out = (out.withColumn("_bf", F.first(boxed).over(whole)).withColumn("_bl", F.last(boxed).over(whole))
-           .persist(StorageLevel.MEMORY_AND_DISK))
-    ends = out.groupBy(*key, bucket).agg(F.first("_bl").alias("_last"), F.first("_bf").alias("_first"))
+    ends = (df.withColumn("_bf", F.first(boxed).over(whole)).withColumn("_bl", F.last(boxed).over(whole))
+            .groupBy(*key, bucket).agg(F.first("_bl").alias("_last"), F.first("_bf").alias("_first")))
     wb = Window.partitionBy(*key).orderBy(bucket)
     edges = ends.select(*key, bucket, F.lag("_last").over(wb).alias("_bp"), F.lead("_first").over(wb).alias("_bn"))
-    out = _join_summary(out.drop("_bf", "_bl"), edges, key, bucket)
+    out = _join_summary(out, edges, key, bucket)
     out = out.withColumn(prev_name, F.coalesce("_lp", "_bp")["v"])
     if next_name:
         out = out.withColumn(next_name, F.coalesce("_ln", "_bn")["v"])
@@ -159,12 +120,10 @@ def split_neighbours(df: DataFrame, key: Sequence[str], bucket: str, order: Keys
 
 
 def split_row_number(df: DataFrame, key: Sequence[str], bucket: str, order: Keys, name: str,
-                     total_name: str, persist_input: bool = True) -> DataFrame:
-    """``row_number() over (partition by key order by order)`` and the key's row count,
+                     total_name: str) -> DataFrame:
+    """``row_number() over (partition by key order by order)`` (bigint) and the key's row count,
     numbered per (key, bucket) and offset by the counts of the key's earlier buckets.
-    ``df`` feeds both the rows and the counts (persisted as in ``split_neighbours``)."""
-    if persist_input:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ``df`` feeds both the rows and the counts, so it should be a stored table."""
     w = Window.partitionBy(*key, bucket).orderBy(*_sort(order))
     local = df.withColumn("_lr", F.row_number().over(w))  # same order as the buckets
     counts = df.groupBy(*key, bucket).agg(F.count(F.lit(1)).alias("_c"))
@@ -172,24 +131,21 @@ def split_row_number(df: DataFrame, key: Sequence[str], bucket: str, order: Keys
     offsets = counts.select(*key, bucket, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
                             F.sum("_c").over(Window.partitionBy(*key)).alias(total_name))
     out = _join_summary(local, offsets, key, bucket)
-    return out.withColumn(name, (F.col("_lr") + F.col("_off")).cast("int")).drop("_lr", "_off")
+    return out.withColumn(name, F.col("_lr") + F.col("_off")).drop("_lr", "_off")
 
 
-def hot_safe_row_number(df: DataFrame, key: Sequence[str], order: Keys, name: str,
-                        hot_threshold: int | None) -> DataFrame:
-    """``row_number() over (partition by key order by order asc nulls last)``.
+def range_row_number(df: DataFrame, key: Sequence[str], order: Keys, name: str,
+                     partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by key order by order asc nulls last)`` (bigint), by ranges."""
+    ranged = range_bucket(df, key, order, partitions=partitions)
+    return split_row_number(ranged, key, "_rb", order, name, "_rn_total").drop("_rb", "_rn_total")
 
-    Ordinary keys use one window; keys with more than ``hot_threshold`` rows are
-    range-partitioned on (key, order) and numbered per range with offsets from the
-    per-range counts, so a hot key is spread over many tasks.
-    """
-    w = Window.partitionBy(*key).orderBy(*_sort(order))
-    if hot_threshold is None:
-        return df.withColumn(name, F.row_number().over(w))
-    cold, hot = split_by_heat(df, key, hot_threshold, persist_input=True)
-    a = cold.withColumn(name, F.row_number().over(w))
-    b = split_row_number(range_bucket(hot, key, order), key, "_rb", order, name, "_rn_total")
-    return a.unionByName(b.drop("_rb", "_rn_total"))
+
+def range_neighbours(df: DataFrame, key: Sequence[str], order: Keys, value: str, prev_name: str,
+                     next_name: str | None = None, partitions: int | None = None) -> DataFrame:
+    """``lag`` / ``lead`` over ``partition by key order by order``, by ranges."""
+    ranged = range_bucket(df, key, order, partitions=partitions)
+    return split_neighbours(ranged, key, "_rb", order, value, prev_name, next_name).drop("_rb")
 
 
 def global_row_number(df: DataFrame, order: Keys, name: str, tiebreak: Sequence[str] = (),
@@ -202,14 +158,13 @@ def global_row_number(df: DataFrame, order: Keys, name: str, tiebreak: Sequence[
     """
     sort = total_order(order, tiebreak)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *sort).withColumn("_grb", F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    ranged = staged(df.repartitionByRange(n, *sort).withColumn("_grb", F.spark_partition_id()), "ranges")
     local = ranged.withColumn("_glr", F.row_number().over(Window.partitionBy("_grb").orderBy(*sort)))
     counts = ranged.groupBy(F.col("_grb").alias("_gcb")).agg(F.count(F.lit(1)).alias("_gc"))
     before = Window.orderBy("_gcb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_gcb", F.coalesce(F.sum("_gc").over(before), F.lit(0)).alias("_goff"))
     out = local.join(F.broadcast(offsets), F.col("_grb") == F.col("_gcb"), "inner")
-    return out.withColumn(name, (F.col("_glr") + F.col("_goff")).cast("int")).drop("_grb", "_glr", "_gcb", "_goff")
+    return out.withColumn(name, F.col("_glr") + F.col("_goff")).drop("_grb", "_glr", "_gcb", "_goff")
 
 
 def top_n_members(df: DataFrame, keys: Sequence[str], order: Keys, n: int, flag: str,

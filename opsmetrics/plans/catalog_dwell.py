@@ -20,17 +20,15 @@ def pipe_dwell_time(spark, root):
 
 
 def job_dwell_split_buckets(spark, root):
-    """The full job with deliberately small buckets (64 log ids, one hour) so that every
-    item's windows cross many bucket edges; same result as ``pipe_dwell_time``."""
-    return D.dwell_time(_log(spark, root), START, END, END, START, since=SINCE, bucket_width=64,
-                        time_bucket_seconds=3600, hot_threshold=None)
+    """The full job over 64 ranges, so that many items' windows cross range edges; same result
+    as ``pipe_dwell_time``."""
+    return D.dwell_time(_log(spark, root), START, END, END, START, since=SINCE, partitions=64)
 
 
 def job_dwell_hot_items(spark, root):
-    """The full job with a low hot-item threshold, so the busiest items take the split path
-    and the rest the single pass; same result as ``pipe_dwell_time``."""
-    return D.dwell_time(_log(spark, root), START, END, END, START, since=SINCE, bucket_width=64,
-                        time_bucket_seconds=3600, hot_threshold=40)
+    """The full job over 200 ranges: more ranges than items, so the busiest items fill several;
+    same result as ``pipe_dwell_time``."""
+    return D.dwell_time(_log(spark, root), START, END, END, START, since=SINCE, partitions=200)
 
 
 def job_annotate(spark, root):

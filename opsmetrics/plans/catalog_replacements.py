@@ -32,7 +32,7 @@ def job_first_child(spark, root):
     return R.first_replacement(Inputs(spark, root), P)
 
 
-HOT = R.ReplacementParams(hot_threshold=2)
+HOT = R.ReplacementParams(window_ranges=64)
 
 
 def job_parent_items_hot_keys(spark, root):

@@ -6,7 +6,8 @@ from opsmetrics.functions import margin as M
 from opsmetrics.plans import scorecard as S
 from opsmetrics.sources.fixtures import Inputs
 
-P = S.ScorecardParams()
+# small lists, so that products fall outside the best and the worst: low and other bands occur
+P = S.ScorecardParams(band_n=8, band_volume=20)
 
 
 def _parts(spark, root, persist=False):

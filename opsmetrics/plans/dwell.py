@@ -9,11 +9,11 @@ scan time. The job
 3. drops the last scan of an item when its number is odd (a return with no put-away),
 4. gives every put-away the time of the scan before it and the day difference.
 
-Every window is keyed by the item id, so for ordinary items the job costs one hash
-exchange of the log on that key; each window only re-sorts inside its partition. Items
-with a very large share of the log ("hot" barcodes, found by a count per item) instead run
-every window per (item, bucket of the log sequence / of time), with a per-bucket summary
-repairing the bucket edges, so no task receives more than one bucket of one item.
+One plan for every item, whatever its share of the log: scans are range-partitioned on (item,
+sequence), so an item with many scans fills several ranges, and every window runs per (item,
+range) with one summary row per item and range repairing the range edges. The pairing does the
+same on (item, time, sequence), so scans of one item within one hour are spread as well. NULL
+items, sequences and times are ordinary values that sort last.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics.functions.semantics import asc, day_diff
-from opsmetrics.operators.windows import split_neighbours, split_row_number
+from opsmetrics.operators.windows import range_bucket, range_neighbours, split_neighbours, split_row_number
+from opsmetrics.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -97,77 +98,40 @@ def pair_start_end(closed: DataFrame, end_descriptions: Sequence[str], drop_desc
 
 def dwell_time(log: DataFrame, start_types: Sequence[str], end_types: Sequence[str],
                end_descriptions: Sequence[str], drop_descriptions: Sequence[str], since=None,
-               cols: ScanLogColumns = ScanLogColumns(), bucket_width: int | None = 1 << 20,
-               time_bucket_seconds: int = 7 * 86400, hot_threshold: int | None = 1 << 22) -> DataFrame:
+               cols: ScanLogColumns = ScanLogColumns(), partitions: int | None = None,
+               missing: str = "0") -> DataFrame:
     """Full job: ``date, barcode, description, returned_date, d2s`` per kept scan.
 
-    * ``bucket_width=None``: one window pass per item (a single shuffle in total).
-    * ``hot_threshold=None``: every item's windows split into bounded buckets.
-    * default: items with more than ``hot_threshold`` scans take the split path, all others
-      the single pass. The hot-item list is broadcast: it has at most
-      ``rows / hot_threshold`` entries, a bound that holds whatever the data.
+    ``partitions`` is the number of ranges (default: the session's shuffle partitions). Three
+    intermediate tables are written to the shared checkpoint folder while the frame is built:
+    the ranged scans, the pruned scans, and the scans ranged by time.
     """
-    if bucket_width is None:
-        return _single_pass(log, start_types, end_types, end_descriptions, drop_descriptions, since, cols)
-    if hot_threshold is None:
-        return dwell_time_split(log, start_types, end_types, end_descriptions, drop_descriptions, since, cols,
-                                bucket_width, time_bucket_seconds)
     c = cols
     rows = log.where(F.col(c.type).isin(list(start_types) + list(end_types)))
     if since is not None:
         rows = rows.where(F.col(c.ts) >= F.lit(since).cast("timestamp_ntz"))
-    hot = (rows.groupBy(F.col(c.item).alias("_hot_item")).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > hot_threshold).select("_hot_item", F.lit(True).alias("_hot")))
-    tagged = rows.join(F.broadcast(hot), F.col(c.item).eqNullSafe(F.col("_hot_item")), "left").drop("_hot_item")
-    cold_rows = tagged.where(F.col("_hot").isNull()).drop("_hot")
-    hot_rows = tagged.where(F.col("_hot")).drop("_hot")
-    cold = _single_pass(cold_rows, start_types, end_types, end_descriptions, drop_descriptions, None, cols)
-    heavy = dwell_time_split(hot_rows, start_types, end_types, end_descriptions, drop_descriptions, None, cols,
-                             bucket_width, time_bucket_seconds)
-    return cold.unionByName(heavy)
-
-
-def _single_pass(log, start_types, end_types, end_descriptions, drop_descriptions, since, cols):
-    a = annotate_neighbours(log, list(start_types) + list(end_types), since, cols)
-    b = prune_event_sets(a, end_types, cols)
-    c = drop_unclosed(b, cols)
-    return pair_start_end(c, end_descriptions, drop_descriptions, cols)
-
-
-def dwell_time_split(log: DataFrame, start_types: Sequence[str], end_types: Sequence[str],
-                     end_descriptions: Sequence[str], drop_descriptions: Sequence[str], since=None,
-                     cols: ScanLogColumns = ScanLogColumns(), bucket_width: int = 1 << 20,
-                     time_bucket_seconds: int = 7 * 86400, missing: str = "0") -> DataFrame:
-    """Same result as the single-pass job, with every window split into bounded buckets.
-
-    * previous / next scan type and the set numbering run per (item, log-sequence bucket);
-      a bucket holds at most ``bucket_width`` scans since the sequence is unique, and a
-      per-bucket summary repairs the first / last scan of each bucket;
-    * "odd number and last of its item" uses the item's kept-scan count from that summary;
-    * the put-away's previous scan time runs per (item, week bucket), edges repaired the same way.
-    """
-    c = cols
-    types = list(start_types) + list(end_types)
-    rows = log.where(F.col(c.type).isin(types))
-    if since is not None:
-        rows = rows.where(F.col(c.ts) >= F.lit(since).cast("timestamp_ntz"))
-    rows = rows.select(c.ts, c.seq, c.item, F.col(c.type).cast("string").alias(c.type), c.description,
-                       F.floor(F.col(c.seq) / bucket_width).alias("_b"))
-    # the first step reads the (re-scannable) log; later steps read persisted window output
-    a = split_neighbours(rows, [c.item], "_b", [c.seq], c.type, "previous_location", "next_location",
-                         persist_input=False)
+    rows = rows.select(c.ts, c.seq, c.item, F.col(c.type).cast("string").alias(c.type), c.description)
+    ranged = range_bucket(rows, [c.item], [c.seq], partitions=partitions)
+    a = split_neighbours(ranged, [c.item], "_rb", [c.seq], c.type, "previous_location", "next_location")
     prev = F.coalesce("previous_location", F.lit(missing))
     nxt = F.coalesce("next_location", F.lit(missing))
     delete = ((prev == missing) & F.col(c.type).isin(list(end_types))) | ((prev == missing) & (nxt == missing))
     kept = a.where((prev != F.col(c.type)) & ~F.coalesce(delete, F.lit(False)))
-    kept = kept.select(c.ts, c.seq, c.item, c.type, c.description, "_b")
-    numbered = split_row_number(kept, [c.item], "_b", [c.seq], "rn", "_n")
+    kept = staged(kept.select(c.ts, c.seq, c.item, c.description, "_rb"), "dwell-kept")
+    numbered = split_row_number(kept, [c.item], "_rb", [c.seq], "rn", "_n")
+    # "odd number and last of its item": the number equals the item's count of kept scans
     closed = numbered.where(~(((F.col("rn") % 2) == 1) & (F.col("rn") == F.col("_n"))))
-    closed = closed.select(c.ts, c.seq, c.item, c.description,
-                           F.floor(F.col(c.ts).cast("timestamp").cast("long") / time_bucket_seconds).alias("_tb"))
-    paired = split_neighbours(closed, [c.item], "_tb", [c.ts, c.seq], c.ts, "_prev_ts")
+    paired = range_neighbours(closed.select(c.ts, c.seq, c.item, c.description), [c.item], [c.ts, c.seq], c.ts,
+                              "_prev_ts", partitions=partitions)
     out = paired.select(
         F.col(c.ts).alias("date"), F.col(c.item).alias("barcode"), F.col(c.description).alias("description"),
         F.when(F.col(c.description).isin(list(end_descriptions)), F.col("_prev_ts")).alias("returned_date"))
     out = out.where(~F.col("description").isin(list(drop_descriptions)))
     return out.withColumn("d2s", day_diff("returned_date", "date"))
+
+
+def single_pass(log, start_types, end_types, end_descriptions, drop_descriptions, since=None,
+                cols: ScanLogColumns = ScanLogColumns()) -> DataFrame:
+    """The same job with one window per item: the definition that ``dwell_time`` is tested against."""
+    a = annotate_neighbours(log, list(start_types) + list(end_types), since, cols)
+    return pair_start_end(drop_unclosed(prune_event_sets(a, end_types, cols), cols), end_descriptions, drop_descriptions, cols)

@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +25,8 @@ from opsmetrics.functions.rules import first_match, item_predicates, reason_rule
 from opsmetrics.functions.semantics import concat_text, day_diff, iff, parse_int
 from opsmetrics.operators.aggregates import listagg, listagg_by_counts
 from opsmetrics.operators.chain import edge_union, resolve_chain
-from opsmetrics.operators.windows import (first_per_key, hot_safe_row_number, qualify, range_bucket, rank_window,
-                                          split_by_heat, split_neighbours)
+from opsmetrics.sources.staging import staged
+from opsmetrics.operators.windows import first_per_key, qualify, range_neighbours, range_row_number
 
 # fixed values: missing-associate id and name, the role label, the assisted-check reasons
 MISSING_ASSOCIATE_ID = -1001
@@ -56,10 +55,10 @@ class ReplacementParams:
     max_hops: int = 6
     preferred_version: str = "F"
     request_pattern: str = "%replace%"
-    excluded_comment_pattern: str = "%UJET%"
+    excluded_comment_pattern: str = "%password=%"
     # rows of one (order, style) key above which its windows run through range buckets; off by
     # default: such a key holds one order's items, and the split path reads its input twice
-    hot_threshold: int | None = None
+    window_ranges: int | None = None
     vendor_rules: tuple = field(default=(
         ("V1", ("%gear%",), "Vendor One"),
         ("V2", (), "Vendor Two"),
@@ -143,8 +142,8 @@ def parent_items(t, shows: DataFrame, p: ReplacementParams) -> DataFrame:
         uid(F.col("i.order_id"), F.col("i.product_style_code"), F.coalesce(F.col("s.hu_id"), F.lit(""))).alias("uid"),
     )
     # the order||style key is partitioned by its two columns (no text collisions)
-    return hot_safe_row_number(out, ["order_id", "product_style_code"], ["shipment_date"] + _PARENT_TIE, "cleaner",
-                               p.hot_threshold)
+    return range_row_number(out, ["order_id", "product_style_code"], ["shipment_date"] + _PARENT_TIE, "cleaner",
+                            p.window_ranges)
 
 
 _CHILD_TIE = ["shipment_date", "sku_code", "sku_size", "sku_length", "sku_fit", "replace_tailoring", "hu_id",
@@ -155,9 +154,8 @@ _CHILD_TIE = ["shipment_date", "sku_code", "sku_size", "sku_length", "sku_fit",
 def first_replacement(t, p: ReplacementParams | None = None) -> DataFrame:
     """First replacement per (parent order, style) with the size/length of the replacement after it.
 
-    ``lead`` sees every replacement row; the first-row filter runs afterwards. Keys with
-    more than ``hot_threshold`` rows get the "next row" from range buckets with repaired
-    edges instead of one window over the whole key.
+    ``lead`` sees every replacement row; the first-row filter runs afterwards. The window runs
+    over ranges of (key, order) with repaired edges, so a key with many rows is spread.
     """
     p = p or ReplacementParams()
     i = t["shipment_items"].alias("i")
@@ -187,23 +185,11 @@ def first_replacement(t, p: ReplacementParams | None = None) -> DataFrame:
     key = ["parent_order_id", "product_style_code"]
     lead_order = ["shipment_date", "order_id"] + _CHILD_TIE[1:]
 
-    def with_next(rows: DataFrame) -> DataFrame:
-        w_next = rank_window(key, lead_order)
-        return (rows.withColumn("nxt_replace_size", F.lead("sku_size").over(w_next))
-                    .withColumn("nxt_replace_length", F.lead("sku_length").over(w_next)))
-
-    def with_next_split(rows: DataFrame) -> DataFrame:
-        b = range_bucket(rows.withColumn("_sl", F.struct("sku_size", "sku_length")), key, lead_order)
-        n = split_neighbours(b, key, "_rb", lead_order, "_sl", "_prev_sl", "_next_sl")
-        return (n.withColumn("nxt_replace_size", F.col("_next_sl")["sku_size"])
-                 .withColumn("nxt_replace_length", F.col("_next_sl")["sku_length"])
-                 .drop("_sl", "_prev_sl", "_next_sl", "_rb"))
-
-    if p.hot_threshold is None:
-        c = with_next(c)
-    else:
-        cold, hot = split_by_heat(c, key, p.hot_threshold, persist_input=True)
-        c = with_next(cold).unionByName(with_next_split(hot))
+    boxed = c.withColumn("_sl", F.struct("sku_size", "sku_length"))
+    c = (range_neighbours(boxed, key, lead_order, "_sl", "_prev_sl", "_next_sl", p.window_ranges)
+         .withColumn("nxt_replace_size", F.col("_next_sl")["sku_size"])
+         .withColumn("nxt_replace_length", F.col("_next_sl")["sku_length"])
+         .drop("_sl", "_prev_sl", "_next_sl"))
     return qualify(c, key, ["order_id"], 1, tiebreak=_CHILD_TIE, rank_col="occur").drop("hu_id")
 
 
@@ -257,7 +243,8 @@ def latest_survey_per_order(surveys: DataFrame, parents: DataFrame) -> DataFrame
          .where(F.col("survey_mapped_event_date").isNotNull()).drop("o_og_key"))
     return qualify(j, ["survey_user", "survey_product_category", "survey_mapped_order"], [("size_check_ts", "desc")],
                    1, tiebreak=["size_survey_id", "size_check_reason_desc", "survey_reason", "predicted_size",
-                                "survey_size", "checked_size"])
+                                "survey_size", "checked_size", "is_auto_size_checked",
+                                "passed_auto_size_checked", "prime_key", "survey_mapped_event_date"])
 
 
 def _json_by_category(category: Column, doc: Column, keys: Sequence[tuple[str, str]]) -> Column:
@@ -392,10 +379,9 @@ def classify_text(agg: DataFrame, tickets: DataFrame, p: ReplacementParams) -> D
 
 def replacement_items(t, p: ReplacementParams = ReplacementParams()) -> DataFrame:
     """Full table: ``match_replacements`` rows plus origin barcode, forms, survey, reason, PO and vendor."""
-    keep = StorageLevel.MEMORY_AND_DISK  # frames read by two branches are computed once
     shows = latest_per_key(t["appointments_report"])
-    parents = parent_items(t, shows, p).persist(keep)
-    agg = match_replacements(parents, first_replacement(t, p)).persist(keep)
+    parents = staged(parent_items(t, shows, p), "parents")        # read by two branches
+    agg = staged(match_replacements(parents, first_replacement(t, p)), "matches")
     fields = form_fields(t["replacement_forms"], t["product_sets"], p)
     forms = form_summary(fields, p)
     surveys = actor_reason(t["size_checks"], showroom_associates(t["appointments"], t["staff_users"]),

@@ -24,15 +24,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import margin as M
-from opsmetrics.functions.semantics import (MONEY_SUM, date_window, desc, ilike_any, iff, mean_from_parts,
+from opsmetrics.functions.semantics import (MONEY_SUM, asc, date_window, desc, ilike_any, iff, mean_from_parts,
                                             month_start, ratio, total_order)
 from opsmetrics.operators.aggregates import distinct_counts_by_flags, join_on_keys, listagg, pivot_sum, sum_if
 from opsmetrics.operators.windows import first_per_key, qualify
+from opsmetrics.sources.staging import staged
 
 # fixed values: band labels and the default stage label of the scorecard
 HIGH_BAND, NEGATIVE_BAND, LOW_BAND, OTHER_BAND = "High GP Product", "Negative GP Product", "Low GP Product", "Other"
@@ -115,7 +115,7 @@ def shared_fact(fills: DataFrame, products: DataFrame, clinics: DataFrame, patie
         "crm_key", "state", "patient_user_id", "pt_created_at", "clinic_ta",
         "attribution_area",
         M.revenue().alias("revenue"), M.profit().alias("profit"))
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
+    return staged(out, "fact") if persist else out
 
 
 def _in_period(p: ScorecardParams):
@@ -420,12 +420,12 @@ def build_parts(t, p: ScorecardParams = ScorecardParams(), persist: bool = True)
     kpis = product_entity_kpis(fact, p)
     if persist:
         # one row per (product, entity), read by four branches: aggregate the fact once
-        kpis = kpis.persist(StorageLevel.MEMORY_AND_DISK)
+        kpis = staged(kpis, "kpis")
     top = top_n_share(kpis, p)
     pm = product_margin_table(fact, p)
     if persist:
         # one row per product, read by the three top-n lists and the labelling join
-        pm = pm.persist(StorageLevel.MEMORY_AND_DISK)
+        pm = staged(pm, "product-margin")
     bands = margin_bands(pm, p)
     return ScorecardParts(
         clinic_ta=ta, fact=fact, kpis=kpis, money=entity_totals(fact, p), snapshot=month_snapshot(fact, p),
@@ -492,4 +492,4 @@ def entity_scorecard(t, p: ScorecardParams = ScorecardParams(), parts: Scorecard
         F.col("j_total_revenue").alias("month_rev"), F.col("j_total_profit").alias("month_gp"),
         F.col("j_snapshot_fills").alias("month_snapshot_fills"), F.col("j_snapshot_nps").alias("month_snapshot_nps"),
     ]
-    return j.select(*cols).orderBy(desc("h2_rev"))
+    return j.select(*cols).orderBy(desc("h2_rev"), asc("super_clinic_id"), asc("clinic_name"))

@@ -18,8 +18,6 @@ from __future__ import annotations
 import re
 import zlib
 
-from pyspark import StorageLevel
-
 from pyspark.sql import DataFrame, SparkSession
 
 from opsmetrics.sources.tables import TABLE_NAMES, read_table
@@ -271,7 +269,7 @@ join {part} p on p.p_partkey = l.l_partkey
 # replacement forms = events (order reference = event id, product set = user id,
 # fit description = the JSON props)
 view("replacement_forms", """
-select event_id as order_id, user_id as product_set_id, event_id as ticket_id,
+select user_id as order_id, cast(floor(value) as bigint) as product_set_id, event_id as ticket_id,
        cast(ts as date) as ticket_created_date,
        cast(cast(floor(value) as bigint) as string) as requested_length,
        props as fit_description,
@@ -311,12 +309,10 @@ from {lineitem} l join {supplier} s on s.s_suppkey = l.l_suppkey
 # (by date, then key); a customer's last order is a plain receipt scan. Split into a live
 # and an archive table by date.
 view("swap_log", """
-select item_number, lot_number, hu_id, hu_id_2, control_number, control_number_2, end_tran_date, tran_log_id,
+select hu_id, hu_id_2, end_tran_date, tran_log_id,
        case when hu_id_2 is null then 'receive' else 'swap' end as tran_type
-from (select cast(o_custkey as string) as item_number, o_orderpriority as lot_number,
-             cast(o_orderkey as string) as hu_id,
+from (select cast(o_orderkey as string) as hu_id,
              cast(lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as string) as hu_id_2,
-             o_orderstatus as control_number, o_orderstatus as control_number_2,
              coalesce(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey), o_orderdate)
                  as end_tran_date,
              o_orderkey as tran_log_id
@@ -354,25 +350,14 @@ def deps(name: str) -> list[str]:
     return _REF.findall(VIEWS[name])
 
 
-def _is_derived_work(sql: str) -> bool:
-    """Views that join, group, rank or dedupe are worth keeping; plain projections stay lazy
-    so their filters still reach the Parquet scan."""
-    low = " ".join(sql.lower().split())
-    return any(k in low for k in (" join ", "group by", " over (", "distinct"))
-
-
 def _view_name(root: str, name: str) -> str:
     return f"om_{zlib.crc32(root.encode()):08x}_{name}"
 
 
-def derive(spark: SparkSession, root: str, name: str, _memo: dict | None = None,
-           persist: bool = False) -> DataFrame:
+def derive(spark: SparkSession, root: str, name: str, _memo: dict | None = None) -> DataFrame:
     """Spark DataFrame of a base table or a derived view.
 
     Dependencies are registered as temp views and the view text is run with ``spark.sql``.
-    With ``persist`` a derived view is kept (memory, then disk) for the rest of the caller's
-    query, so an input used by several branches is derived once; on real tables the inputs
-    are plain scans and this is off.
     """
     memo = {} if _memo is None else _memo
     if name in memo:
@@ -382,11 +367,9 @@ def derive(spark: SparkSession, root: str, name: str, _memo: dict | None = None,
     else:
         text = VIEWS[name]
         for d in dict.fromkeys(deps(name)):
-            derive(spark, root, d, memo, persist)
+            derive(spark, root, d, memo)
             text = text.replace("{" + d + "}", _view_name(root, d))
         df = spark.sql(text)
-        if persist and _is_derived_work(VIEWS[name]):
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.createOrReplaceTempView(_view_name(root, name))
     memo[name] = df
     return df
@@ -395,11 +378,11 @@ def derive(spark: SparkSession, root: str, name: str, _memo: dict | None = None,
 class Inputs:
     """``Inputs(spark, root)["scan_log"]``: derived views, each built once per instance."""
 
-    def __init__(self, spark: SparkSession, root: str, persist: bool = False):
-        self.spark, self.root, self.persist, self._memo = spark, root, persist, {}
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self._memo = spark, root, {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return derive(self.spark, self.root, name, self._memo, self.persist)
+        return derive(self.spark, self.root, name, self._memo)
 
 
 def _closure(names) -> list[str]:

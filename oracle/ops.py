@@ -195,7 +195,7 @@ SQL = {
                                                               o_orderkey asc nulls last) as integer) as rn
         from orders""",
     "win_global_rank": f"""
-        select *, cast(row_number() over (order by revenue desc nulls first, p_name asc nulls last) as integer) as rk
+        select *, cast(row_number() over (order by revenue desc nulls first, p_name asc nulls last) as bigint) as rk
         from ({NAME_TOTALS}) g""",
     "win_concat_key": f"""
         select cast(l_orderkey as varchar) || l_returnflag as uid, l_linenumber, l_partkey,

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from opsmetrics.plans.dwell import dwell_time
+from opsmetrics.plans.dwell import dwell_time, single_pass
 
 START, END = ["view"], ["click", "purchase"]
 
@@ -14,8 +14,8 @@ def _log(spark, rows):
 
 
 def _run(spark, rows):
-    out = dwell_time(_log(spark, rows), START, END, END, START, bucket_width=2, time_bucket_seconds=86400).collect()
-    ref = dwell_time(_log(spark, rows), START, END, END, START, bucket_width=None).collect()
+    out = dwell_time(_log(spark, rows), START, END, END, START, partitions=3).collect()
+    ref = single_pass(_log(spark, rows), START, END, END, START).collect()
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, ref), key=str)
     return sorted((r.barcode, r.description, r.date, r.returned_date, r.d2s) for r in out)
 
@@ -67,18 +67,24 @@ def test_plan_shapes(spark):
     from opsmetrics.plans import dwell as D
     from opsmetrics.plans.catalog_dwell import END, SINCE, START, _log as scan_log
     log = scan_log(spark, "/root/testdata/sf0.001")
-    single = D.dwell_time(log, START, END, END, START, since=SINCE, bucket_width=None)
+    single = D.single_pass(log, START, END, END, START, since=SINCE)
     plan = single._jdf.queryExecution().executedPlan().toString()
-    # one exchange on the item key (the spread of the single-row-group test file is on event_id)
     assert plan.count("Exchange hashpartitioning(hu_id") == 1
-    split = D.dwell_time(log, START, END, END, START, since=SINCE)
-    plan = split._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "event_type" in plan
-    # every window over whole rows is keyed by (item, bucket); item-only windows see summaries
-    assert "[hu_id#" in plan and "_b#" in plan and "_tb#" in plan
+    ranged = D.dwell_time(log, START, END, END, START, since=SINCE)
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    # windows over whole rows are keyed by (item, range); item-only windows see summaries
+    assert "hashpartitioning(hu_id" in plan and "_rb#" in plan
 
 
-def test_split_windows_match_single_pass_with_tiny_buckets(spark):
+def _same(spark, log, **options):
+    single = single_pass(log, START, END, END, START)
+    for n in (1, 4, 16):
+        got = dwell_time(log, START, END, END, START, partitions=n)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, single.collect()), key=str)
+
+
+def test_ranges_match_single_pass(spark):
     import random
     rng = random.Random(3)
     rows = []
@@ -86,22 +92,23 @@ def test_split_windows_match_single_pass_with_tiny_buckets(spark):
         b = rng.choice("PQRS")
         rows.append((b, rng.choice(["view", "view", "click", "purchase", "other"]),
                      dt.datetime(2024, 1, 1) + dt.timedelta(hours=i * 7 + rng.randrange(5))))
-    log = _log(spark, rows)
-    single = dwell_time(log, START, END, END, START, bucket_width=None)
-    for width, tsec in ((3, 86400), (1, 3600), (50, 7 * 86400)):
-        split = dwell_time(log, START, END, END, START, bucket_width=width, time_bucket_seconds=tsec)
-        assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, single.collect()), key=str)
+    _same(spark, _log(spark, rows))
 
 
-def test_hybrid_hot_and_cold_items_match_single_pass(spark):
+def test_hot_item_within_one_hour_matches_single_pass(spark):
     import random
     rng = random.Random(11)
     rows = []
     for i in range(600):
         b = "HOT" if i % 3 else rng.choice(["c1", "c2", "c3", "c4"])    # one item holds two thirds
         rows.append((b, rng.choice(["view", "click", "purchase", "view"]),
-                     dt.datetime(2024, 1, 1) + dt.timedelta(hours=i * 5)))
-    log = _log(spark, rows)
-    single = dwell_time(log, START, END, END, START, bucket_width=None)
-    hybrid = dwell_time(log, START, END, END, START, bucket_width=16, time_bucket_seconds=86400, hot_threshold=100)
-    assert sorted(map(tuple, hybrid.collect()), key=str) == sorted(map(tuple, single.collect()), key=str)
+                     dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * 5)))
+    _same(spark, _log(spark, rows))
+
+
+def test_null_item_sequence_and_time_match_single_pass(spark):
+    rows = [(0, "A", "view", d(1)), (1, "A", "click", None), (2, "A", "view", d(2)), (None, "A", "click", d(4)),
+            (4, None, "view", d(1)), (5, None, "purchase", d(3)), (6, "B", "view", None), (7, "B", "click", d(2))]
+    log = spark.createDataFrame([(s, b, t, t, ts) for s, b, t, ts in rows],
+                                "tran_log_id long, hu_id string, tran_type string, description string, end_tran_date timestamp_ntz")
+    _same(spark, log)

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from opsmetrics.operators.windows import (hot_safe_row_number, range_bucket, split_neighbours,
+from opsmetrics.operators.windows import (range_bucket, range_neighbours, range_row_number, split_neighbours,
                                           split_row_number)
 
 
@@ -50,12 +50,27 @@ def test_range_buckets_match_plain(spark):
     assert _rows(got, ["k", "seq", "p", "n", "rn"]) == _rows(ref, ["k", "seq", "p", "n", "rn"])
 
 
-def test_hot_safe_row_number(spark):
+def test_range_windows_match_plain_at_any_partition_count(spark):
     df = _data(spark, 4)
     ref = _plain(df)
-    for threshold in (None, 10, 10_000):
-        got = hot_safe_row_number(df, ["k"], ["seq"], "rn", threshold)
+    for n in (1, 4, 16):
+        got = range_row_number(df, ["k"], ["seq"], "rn", partitions=n)
+        assert dict(got.dtypes)["rn"] == "bigint"
         assert _rows(got, ["k", "seq", "rn"]) == _rows(ref, ["k", "seq", "rn"])
+        near = range_neighbours(df, ["k"], ["seq"], "v", "p", "n", partitions=n)
+        assert _rows(near, ["k", "seq", "p", "n"]) == _rows(ref, ["k", "seq", "p", "n"])
+
+
+def test_hot_key_is_spread_over_ranges(spark):
+    df = spark.range(2000).selectExpr("'hot' as k", "id as seq")
+    sizes = [r["count"] for r in range_bucket(df, ["k"], ["seq"], partitions=16).groupBy("_rb").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 400
+
+
+def test_null_order_values_are_kept(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", None, "y"), (None, 3, "z"), (None, None, "w")], "k string, seq long, v string")
+    got = range_row_number(df, ["k"], ["seq"], "rn", partitions=8)
+    assert _rows(got, ["v", "rn"]) == [("w", 2), ("x", 1), ("y", 2), ("z", 1)]
 
 
 def test_global_row_number_matches_plain_window(spark):
@@ -91,5 +106,5 @@ def test_split_windows_descending_and_text_order(spark):
     got = split_row_number(split_neighbours(b, ["k"], "_rb", order, "tag", "p", "n"), ["k"], "_rb", order, "rn",
                            "total")
     assert _rows(got, ["k", "id", "p", "n", "rn"]) == _rows(ref, ["k", "id", "p", "n", "rn"])
-    hot = hot_safe_row_number(df, ["k"], order, "rn", 20)
+    hot = range_row_number(df, ["k"], order, "rn", partitions=9)
     assert _rows(hot, ["k", "id", "rn"]) == _rows(ref, ["k", "id", "rn"])
