@@ -30,7 +30,7 @@ such a link meet in about eight of the twenty buckets, and these then hold membe
 not connected. Such buckets get ``LEADERS`` new leaders in each round, among them the member with the
 most links so far. Nodes in two of them or more are also dealt anew, into ``FINE_TABLES`` finer
 buckets of ``FINE_ROWS`` coordinates drawn afresh in each round; a fine bucket holds few besides the
-most similar. Rounds end when one adds no link.
+most similar. There are ``ROUNDS`` further rounds, fewer if one adds no link.
 
 Hot buckets, sets and leaders are split: minima over a key are taken per (key, salt), then over the
 key, and brought back the same way.
@@ -59,7 +59,9 @@ ROWS = 4
 #: Pairs whose signatures agree on a smaller share than this are dropped: 4.5 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.6
 SALTS = 64
-FINE_TABLES, FINE_ROWS, LEADERS = 40, 12, 3
+FINE_TABLES, FINE_ROWS, LEADERS = 24, 12, 3
+#: Further rounds; like the number of bands they set how few links are lost, not how many a node may have.
+ROUNDS = 2
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -80,7 +82,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, kept in a bounded table."""
 
-    limit = 1_000_000
+    limit = 250_000
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.limit:
@@ -89,6 +91,16 @@ class WordHashes(dict):
         return got
 
 
+_WORDS: list[WordHashes] = []
+
+
+def words() -> WordHashes:
+    """The worker's table; it lives as long as the Python worker."""
+    if not _WORDS:
+        _WORDS.append(WordHashes())
+    return _WORDS[0]
+
+
 def elements(texts: list[str | None], table: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of all texts: number of the text, 64-bit shingle, weight; sorted by text and shingle."""
     split = [(t or "").lower().split() for t in texts]
@@ -180,8 +192,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
-        table = WordHashes()
-        for b in cut(it):
+        table = words()
+        for b in cut(it, size=1_500_000):
             doc, element, weight = elements(b.column("text").to_pylist(), table)
             n = b.num_rows
             sig = dart_signatures(doc, element, weight, n, k)
@@ -275,8 +287,8 @@ def agreeing(pairs: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar. ``texts``: (v, text), one row for each node."""
     def run(it):
-        table = WordHashes()
-        for b in cut(it, "text_b"):
+        table = words()
+        for b in cut(it, "text_b", 1_500_000):
             keep = pa.array([similarity(x, y, table) >= threshold for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
@@ -328,6 +340,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAND
         if found is None:
             break
         links, root = found
+        if number == ROUNDS:
+            break
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
         open_ = rooted(rooted(led, root, "v"), root, "lead").filter("root_v <> root_lead").select("bucket").distinct()
         coarse = stored(led.join(open_, "bucket", "left_semi").select("v", "bucket"), "open-buckets")
@@ -352,6 +366,18 @@ def rooted(df: DataFrame, root: DataFrame, column: str) -> DataFrame:
     return df.join(r, column, "left").withColumn(f"root_{column}", F.coalesce("_root", column)).drop("_root")
 
 
+def joined(root: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The roots after new links: components of the roots that the links connect, then one look-up."""
+    if root is None:
+        return stored(components(links), "roots")
+    ends = rooted(rooted(links, root, "a"), root, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    new = components(ends).select(F.col("v").alias("old"), F.col("root").alias("new"))
+    moved = root.join(new, root["root"] == new["old"], "left").select("v", F.coalesce("new", "root").alias("root"))
+    # roots so far have no row of their own, and new nodes have no old root
+    first = new.select(F.col("old").alias("v"), F.col("new").alias("root"))
+    return stored(moved.unionByName(first), "roots")
+
+
 def new_links(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, root: DataFrame | None, threshold: float):
     """Verifies the pairs; all links so far and their components, or None if no pair adds a link."""
     def check(some: DataFrame) -> DataFrame:
@@ -359,30 +385,27 @@ def new_links(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, root:
         texts = docs.select(F.col("doc_id").alias("v"), "text").join(ends, "v", "left_semi")
         return stored(verified(some, texts, threshold), "links")
 
-    if root is not None:
-        pairs = rooted(rooted(pairs, root, "a"), root, "b").filter("root_a <> root_b").select("a", "b", "share")
-    # the best pair of each node first
+    def add(more: DataFrame) -> bool:
+        nonlocal links, root
+        if more.isEmpty():
+            return False
+        links = more if links is None else links.unionByName(more)
+        root = joined(root, more)
+        return True
+
+    if root is not None:      # a later round: what doesn't connect two classes is gone already
+        return (links, root) if add(check(pairs.select("a", "b"))) else None
+    # the best pair of each node first, then of the others those that still would connect something
     ends = pairs.select("share", "a", "b", F.explode(F.array("a", "b")).alias("v"))
     best = (ends.groupBy("v").agg(F.max(F.struct("share", F.col("a"), F.col("b"))).alias("p"))
             .select("p.a", "p.b").distinct())
     best = stored(best, "best")
-    if best.isEmpty():
-        return None
-    added = check(best)
-    found = added if links is None else links.unionByName(added)
-    if not added.isEmpty():
-        root = components(found)
-    # of the others, those that still would connect something
+    some = add(check(best))
     rest = pairs.join(best, ["a", "b"], "left_anti")
-    if root is not None:
+    if some:
         rest = rooted(rooted(rest, root, "a"), root, "b").filter("root_a <> root_b")
-    rest = stored(rest.select("a", "b"), "rest")
-    if not rest.isEmpty():
-        more = check(rest)
-        if not more.isEmpty():
-            added, found = added.unionByName(more), found.unionByName(more)
-            root = components(found)
-    return None if added.isEmpty() else (found, root)
+    more = add(check(stored(rest.select("a", "b"), "rest")))
+    return (links, root) if some or more else None
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
