@@ -29,12 +29,12 @@ MARKS = frozenset(".,!?;:")
 class LibraryWords(dict):
     """Piece -> ids as little-endian 16-bit integers; None for a piece that can't be cut out."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 500_000, word_limit: int = 1_000_000):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.limit = limit
+        self.limit, self.word_limit = limit, word_limit
         m = Merges(path)
         if max([*m.vocab.values(), *m.special.values()]) >= 65536:
             raise ValueError("ids over 16 bits")
@@ -48,7 +48,7 @@ class LibraryWords(dict):
     def word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            if len(self.words) > self.limit:
+            if len(self.words) > self.word_limit:
                 self.words.clear()
             got = self.words[w] = pack([t.id for t in self.model.tokenize(self.spell(w))])
         return got
@@ -76,6 +76,12 @@ class LibraryWords(dict):
         self[piece] = got
         return got
 
+    def head(self, first: str) -> bytes:
+        """Ids of a text's first piece, which has no space before it."""
+        if first.isascii() or _PLAIN.fullmatch(first):
+            return b"".join(map(self.word, self.find(first)))
+        return self.whole(first)
+
     def text(self, text: str | None) -> bytes:
         """The ids of a whole text, without added special tokens."""
         if not text:
@@ -89,7 +95,7 @@ class LibraryWords(dict):
         if not first or first[0].isspace() or first[-1].isspace():
             return self.whole(text)
         try:
-            return self.whole(first) + b"".join(map(self.__getitem__, pieces))
+            return self.head(first) + b"".join(map(self.__getitem__, pieces))
         except TypeError:      # a None among the pieces
             return self.whole(text)
 

@@ -61,7 +61,7 @@ class Tables:
         return self._symbol
 
 
-def encode(ids: np.ndarray, t: Tables, lanes: int = 1024, rows: int = 256) -> bytes:
+def encode(ids: np.ndarray, t: Tables, lanes: int = 2048, rows: int = 256) -> bytes:
     n = len(ids)
     lanes = max(1, min(lanes, -(-n // 64)))
     total = -(-n // lanes)
