@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import cut
+from opsmetrics.llm.common import cut, held
 
 # The byte-level BPE pre-token pattern.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -360,14 +360,9 @@ class WordCoder:
         return decode
 
 
-_CODERS: dict[str, WordCoder] = {}
-
-
 def coder(path: str) -> WordCoder:
-    """The worker's coder of a vocabulary file; its tables live as long as the Python worker."""
-    if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
-    return _CODERS[path]
+    """The worker's coder of a vocabulary file."""
+    return held(("trie", path), lambda: WordCoder(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,6 +33,20 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """A Python worker's table that outlives a task; a table of another key takes its place.
+
+    Workers are reused by all stages of a session, so tables of several operators would add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def cut(it: Iterable[pa.RecordBatch], column: str = "text", size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about ``size`` bytes of the column, or one row."""
     for b in it:

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import cut, stored
+from opsmetrics.llm.common import cut, held, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -91,14 +91,9 @@ class WordHashes(dict):
         return got
 
 
-_WORDS: list[WordHashes] = []
-
-
 def words() -> WordHashes:
-    """The worker's table; it lives as long as the Python worker."""
-    if not _WORDS:
-        _WORDS.append(WordHashes())
-    return _WORDS[0]
+    """The worker's table."""
+    return held("shingles", WordHashes)
 
 
 def elements(texts: list[str | None], table: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import cut, stored
+from opsmetrics.llm.common import cut, held, stored
 
 MIN_WORDS = 50
 WIDTH = 5.0
@@ -115,8 +115,6 @@ class Vocabulary(dict):
         return n, int(self.fallback[ids].sum()), max(0.0, float(-(share * np.log2(share)).sum()))
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
-
 _MEASURES = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
              "n_tokens bigint, n_fallback bigint, entropy double, band_group string")
 
@@ -126,9 +124,7 @@ def measures(docs: DataFrame, path: str, carry: bool = False) -> DataFrame:
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
-        if path not in _VOCABULARIES:
-            _VOCABULARIES[path] = Vocabulary(path)
-        v = _VOCABULARIES[path]
+        v = held(("vocabulary", path), lambda: Vocabulary(path))
         for b in cut(it):
             rows = []
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):

@@ -14,6 +14,7 @@ import regex
 from tokenizers import Tokenizer
 
 from opsmetrics.llm.bpe_trie import BYTE_PATTERN, Merges
+from opsmetrics.llm.common import held
 
 # The pre-token pattern of the lower-casing word vocabulary.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -104,11 +105,6 @@ def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}H", *ids)
 
 
-_TABLES: dict[str, LibraryWords] = {}
-
-
 def words(path: str) -> LibraryWords:
-    """The worker's table for a vocabulary file; it lives as long as the Python worker."""
-    if path not in _TABLES:
-        _TABLES[path] = LibraryWords(path)
-    return _TABLES[path]
+    """The worker's table for a vocabulary file."""
+    return held(("words", path), lambda: LibraryWords(path))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsmetrics.llm.bpe_trie import Merges, Splitter
-from opsmetrics.llm.common import cut
+from opsmetrics.llm.common import cut, held
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -110,18 +110,13 @@ def long_count(m: Merges, spelled: str) -> int:
     return count
 
 
-_TABLES: dict[str, PieceCounts] = {}
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text."""
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
-        if path not in _TABLES:
-            _TABLES[path] = PieceCounts(path, whole.value)
-        table = _TABLES[path]
+        table = held(("counts", path), lambda: PieceCounts(path, whole.value))
         for b in cut(it):
             n = [table.text(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(n, pa.int64())],

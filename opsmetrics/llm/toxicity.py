@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import cut
+from opsmetrics.llm.common import cut, held
 
 DIMENSIONS = 1 << 18
 MAX_TOXIC = 1500
@@ -177,6 +177,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], carry: bool = False)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(it):
+        held("scorer", dict).clear()                 # other operators' tables go
         s = Scorer(*shared.value)
         for b in cut(it):
             texts = b.column("text").to_pylist()
