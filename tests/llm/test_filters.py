@@ -1,6 +1,7 @@
 """Quality rules, toxicity, URLs and main texts."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -50,6 +51,31 @@ def test_bands_reject_junk_and_keep_the_rest(spark):
     assert sum(got[k] for k in got if k < 1000) >= 198
 
 
+def varied(seed, n, words):
+    """n words out of so many different ones."""
+    r, own = random.Random(seed), random.Random(words)
+    table = ["".join(own.choice("ka lo mi ren ta su vel dor an es ti ou".split()) for _ in range(3)) for _ in range(words)]
+    return " ".join(r.choice(table) for _ in range(n))
+
+
+def test_entropy_counts_where_a_length_class_is_nearly_empty(spark):
+    rows = [(k, varied(k, 120 + k, 1500), "en") for k in range(300)]
+    rows += [(1000, varied(1, 2500, 60), "en")] + [(1001 + k, varied(2000 + k, 2500, 1500), "en") for k in range(5)]
+    got = dict(rows_of(fertility.judge(documents(spark, rows), PIECE), "doc_id", "kept"))
+    assert not got[1000] and all(got[1001 + k] for k in range(5))
+
+
+def test_rare_languages_are_judged_by_their_script(spark):
+    rows = [(k, prose(k, 150 + k % 50), "en") for k in range(200)]
+    rows += [(1000 + k, prose(700 + k, 160), "xx") for k in range(5)]
+    rows += [(2000 + k, " ".join(w + "&%$" for w in prose(900 + k, 150).split()), "xx") for k in range(5)]
+    han = [chr(0x4E00 + 37 * k) for k in range(300)]
+    rows += [(3000 + k, " ".join("".join(random.Random(k * 100 + j).choices(han, k=3)) for j in range(90)), "zh") for k in range(3)]
+    got = dict(rows_of(fertility.judge(documents(spark, rows), PIECE), "doc_id", "kept"))
+    assert all(got[k] for k in range(1000, 1005)) and not any(got[k] for k in range(2000, 2005))
+    assert all(got[k] for k in range(3000, 3003))                              # not held against bands of Latin letters
+
+
 def test_script_of_texts_without_language():
     assert fertility.main_script("привет мир abc") == "Cyrillic"
     assert fertility.main_script("123 !!") == "none"
