@@ -122,6 +122,41 @@ def test_near_groups(spark):
     assert all(r.kept == (i == r.class_id) for i, r in got.items())
 
 
+def family_rows(size=1500, planted=100):
+    """A template family: any two texts are at 0.76 (no link), planted pairs at 0.84."""
+    r = random.Random(3)
+    template = [f"t{k}" for k in range(256)]
+    rows = []
+    for k in range(size):
+        w = template + [f"own{k}x{j}" for j in range(40)]
+        if k < 2 * planted and k % 2:
+            w = template + [f"own{k - 1}x{j}" for j in range(14)] + [f"own{k}x{j}" for j in range(14, 40)]
+        rows.append((k, " ".join(w), "en"))
+    r.shuffle(rows)
+    return rows
+
+
+def test_links_inside_a_template_family(spark):
+    rows = family_rows()
+    sets = {i: shingles(t) for i, t, _ in rows}
+    similarity = lambda a, b: sum((sets[a] & sets[b]).values()) / sum((sets[a] | sets[b]).values())
+    assert similarity(0, 1) >= 0.8 > similarity(0, 2) > 0.7
+    got = dict(rows_of(dart_minhash.near_groups(documents(spark, rows)), "doc_id", "class_id"))
+    assert got == {i: i - i % 2 if i < 200 else i for i in got}
+
+
+def test_prefixes_find_all_pairs(spark):
+    rows = [(i, t, x) for i, t, x in near_rows() if t and t.split()]
+    sets = {i: shingles(t) for i, t, _ in rows}
+    texts = documents(spark, rows).selectExpr("doc_id as v", "text")
+    root = spark.createDataFrame([(i, i - i % 3) for i in sets], "v bigint, root bigint")
+    found = set(rows_of(dart_minhash.prefix_pairs(texts, root), "a", "b"))
+    for a in sets:
+        for b in sets:
+            if a < b and a - a % 3 != b - b % 3 and sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()):
+                assert (a, b) in found
+
+
 def test_near_edge_cases(spark):
     assert dart_minhash.near_groups(documents(spark, [])).count() == 0
     rows = [(None, "a b c d e f", "en"), (2, "a b c d e f", "en"), (1, None, "en"), (3, " ", "en")]
