@@ -15,7 +15,9 @@ in a ``data-main`` attribute that is read in training only. A caller may bring o
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 joined by a blank line. Scripts, styles, comments of the markup, and what isn't shown (head, template,
-noscript, option lists, svg, frames) are no blocks. Nothing is cut off or dropped for its length.
+noscript, option lists, svg, frames, fallbacks of media) are no blocks; what isn't shown ends at
+its end tag, at a "/" at the end of its tag, or where the element around it ends. The head ends
+at the first text or tag that can't stand in it. The text of formulas is kept. Nothing is cut off or dropped for its length.
 
 Cases: null or empty html, and pages without main text, give the empty text (0 characters). Tags
 left open or closed twice, a missing body or end of the page, and plain text without tags are
@@ -37,9 +39,13 @@ from pyspark.sql import functions as F
 from opsmetrics.llm.common import cut
 
 # Element names of HTML.
-RAW = frozenset("script style noscript template svg iframe object select textarea title math canvas audio video".split())
+RAW = frozenset("script style iframe textarea title".split())       # no tags inside; without an end tag they reach to the end of the page
+HIDDEN = frozenset("noscript template svg object select canvas audio video annotation annotation-xml".split())
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+                   "small span strike strong sub sup time tt u var wbr "
+                   "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover "
+                   "munderover mmultiscripts mprescripts mtable mtr mtd mlabeledtr mspace maction none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open tag of these names that stands innermost among the blocks.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -83,15 +89,25 @@ def blocks(page: str) -> list[Block]:
         state = (names, marks, stack[-1][0] if stack else "", max((x[2] for x in stack), default=0))
 
     at = 0
-    hidden = False
+    in_head = False
+    hidden = -1                                  # place in the stack of the outermost element that isn't shown
+
+    def leave_head():
+        nonlocal in_head, stack
+        stack = [x for x in stack if x[0] != "head"]
+        in_head = False
+
     while at < n:
         m = _TAG.search(page, at)
         end = m.start() if m else n
-        if end > at and not hidden:
+        if end > at and hidden < 0:
             piece = page[at:end]
-            parts.append(piece)
-            if in_link:
-                link_chars += len(piece)
+            if in_head and piece.strip():
+                leave_head()
+            if not in_head:
+                parts.append(piece)
+                if in_link:
+                    link_chars += len(piece)
         if not m:
             break
         at = m.end()
@@ -100,10 +116,29 @@ def blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         closing = bool(m[1])
+        empty = m[3].rstrip().endswith("/")
+        if in_head and hidden < 0 and not closing and name not in HEAD:
+            leave_head()
+            settle()
         if not closing and name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            if not (empty and any(x[0] == "svg" for x in stack)):
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                at = close.end() if close else n
             continue
+        if hidden >= 0 or name in HIDDEN:        # no block begins or ends, unless the element around ends
+            if closing:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
+                if hidden >= 0 and k >= hidden:
+                    del stack[k:]
+                    hidden = hidden if k > hidden else -1
+                if hidden < 0 or k < 0 or k >= hidden:
+                    continue
+            else:
+                if name not in INLINE and name not in VOID and not empty:
+                    if hidden < 0:
+                        hidden = len(stack)
+                    stack.append((name, (), 0))
+                continue
         if name in INLINE:
             if name == "a":
                 in_link = "" if closing else "a"
@@ -119,15 +154,15 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            hidden = hidden and any(x[0] == "head" for x in stack)
+            hidden = hidden if hidden < len(stack) else -1
+            in_head = in_head and any(x[0] == "head" for x in stack)
         elif name != "hr":
             while stack and stack[-1][0] in CLOSES.get(name, ()):
                 stack.pop()
             if stack and stack[-1][0] == "p":
                 stack.pop()                      # a block ends an open paragraph
             if name == "body":
-                stack = [x for x in stack if x[0] != "head"]
-                hidden = False
+                leave_head()
             words: list[str] = []
             label = 0
             if m[3] and "=" in m[3]:
@@ -137,9 +172,9 @@ def blocks(page: str) -> list[Block]:
                         words += _WORD.findall("".join(values).lower())
                     elif key == "data-main":
                         label = 1
-            if not m[3].rstrip().endswith("/"):
+            if not empty:
                 stack.append((name, tuple(words), label))
-            hidden = hidden or name == "head"
+                in_head = in_head or name == "head"
         settle()
     flush()
     return out

@@ -197,6 +197,29 @@ def test_main_text(spark):
     assert html_crf.extract(pages.filter("false")).count() == 0
 
 
+def shown(page):
+    return [b.text for b in html_crf.blocks(page)]
+
+
+def test_what_is_not_shown_ends():
+    for tag in ("svg viewBox='0 0 1 1'", "math", "object data='x'", "canvas", "video", "audio", "noscript", "select", "template"):
+        assert shown(f"<body><p>one <{tag}/> two</p><p>three</p>") == ["one two", "three"], tag
+    for name in "object canvas video audio noscript select template svg".split():
+        assert shown(f"<body><div><p>one</p><{name} id=a>x<b>y</b></div><p>two</p>") == ["one", "two"], name
+        assert shown(f"<body><p>one <{name}>x<g>y</g><i>z</i></{name}>two</p><p>three</p>") == ["one two", "three"], name
+        assert shown(f"<body><p>one <{name}>x</p><p>two</p>") == ["one", "two"], name
+    assert shown("<p>a <svg><title/><style/><path d='x'/></svg>b</p>") == ["a b"]
+    assert shown("<p>a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> b</p>") == ["a x=12 b"]
+    assert shown("<p>a</p><script src=/x/>var t = 1;</script><p>b</p>") == ["a", "b"]
+
+
+def test_head_without_end_tag():
+    assert shown("<html><head><title>T</title><p>Article</p><p>more") == ["Article", "more"]
+    assert shown("<html><head><meta charset=x><title>T</title>\n text <b>here</b><p>more") == ["text here", "more"]
+    assert shown("<head><noscript><img src=x><p>no</p></noscript><link href=x></head><p>yes") == ["yes"]
+    assert shown("<head><title>T</title><span>a</span> b</head><p>c") == ["a b", "c"]
+
+
 def test_crf_on_fresh_pages():
     x = html_crf.Extractor(html_crf.train(html_crf.training_pages(250, seed=3)))
     right = total = 0
