@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsmetrics.llm import (best_fit, bpe_trie, dart_minhash, exact_dedup, fertility, html_crf, token_counts, token_files,
-                            toxicity, url_filter)
+from opsmetrics.llm import (best_fit, bpe_trie, dart_minhash, exact_dedup, fertility, geometric_search, html_crf, kruskal_runs,
+                            one_permutation, token_counts, token_files, toxicity, url_filter)
 from opsmetrics.llm.common import folder, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -61,14 +61,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_permutation.edited_strings(table(spark, sf_dir, "documents"))
+
+
+def op12_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometric_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_kruskal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kruskal_runs.digests(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit, op2_toxicity, op3_token_counts, op4_dart_minhash, op5_token_files, op6_html_crf, op7_bpe_trie,
-        op8_fertility, op9_url_filter, op10_exact_dedup)}
+        op8_fertility, op9_url_filter, op10_exact_dedup, op11_one_permutation, op12_geometric_blocks, op13_kruskal_runs)}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op10_exact_dedup": OP10_SQL, "op12_geometric_blocks": OP12_SQL}
 
 
 OP10_SQL = """
@@ -80,3 +92,34 @@ SELECT doc_id,
        sha256(body) AS text_sha256
 FROM d WINDOW same AS (PARTITION BY body)
 """
+
+#: The pattern of a term, its lower-casing and the two bounds of the score are fixed values of the contract.
+OP12_SQL = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS row_id, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents),
+size AS (SELECT count(*) AS docs, cast(sum(len(terms)) AS bigint) AS total FROM words WHERE len(terms) > 0),
+posting AS (
+    SELECT row_id, doc_id, n, term, cast(count(*) AS bigint) AS tf
+    FROM (SELECT row_id, doc_id, cast(len(terms) AS bigint) AS n, unnest(terms) AS term FROM words)
+    GROUP BY ALL),
+weight AS (
+    SELECT term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double)) AS bigint) AS w
+    FROM posting, size GROUP BY term, docs),
+asked AS (
+    SELECT DISTINCT item_id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+scored AS (
+    SELECT item_id, row_id, doc_id,
+           cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS bigint) AS score
+    FROM asked JOIN posting USING (term) JOIN weight USING (term), size
+    GROUP BY item_id, row_id, doc_id),
+ranked AS (
+    SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS integer) AS rank, doc_id, score
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
