@@ -26,7 +26,7 @@ of large ranges are cut into such blocks first, so no key of the join has more p
 
 Cases: null text counts as empty, so the document is its end id alone (without an end id an
 empty document has no piece); ties in length are broken by rank only; repeated rows are packed
-each; an empty table gives no sequence. ``doc_id`` is any type that can be hashed and sorted.
+each; an empty table gives no sequence; extra columns are ignored, whatever their names. ``doc_id`` is any type that can be hashed and sorted.
 """
 
 from __future__ import annotations
@@ -56,8 +56,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int | None, capacity: int =
         for b in cut(it):
             table = words(path)
             names, piece, start, length, crc, kept = [], [], [], [], [], []
-            for row, t in enumerate(b.column("text").to_pylist()):
-                ids = np.frombuffer(table.text(t) + tail, "<u2").astype("<u4")
+            for row, x in enumerate(table.texts(b.column("text"))):
+                ids = np.frombuffer(x + tail, "<u2").astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
                     names.append(row)

@@ -19,7 +19,7 @@ ends with white space; other texts go through the pattern as a whole.
 
 Cases: null text counts as empty (0 tokens, digests of the empty string). Special strings in
 the text become their special id, as in the library's default. Repeated rows are encoded each;
-extra columns of the input are ignored. Word tables hold at most ``cache_words`` entries and
+extra columns of the input are ignored; an empty table gives no rows. Word tables hold at most ``cache_words`` entries and
 start again when full, so memory doesn't grow with the corpus.
 """
 
@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import cut, held
+from opsmetrics.llm.common import KEPT_CHARS, cut, held
 
 # The byte-level BPE pre-token pattern.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -335,6 +335,10 @@ class WordCoder:
             else:
                 head = b"".join([words[w] for w in firsts[p[0]]])
                 out.append(head + b"".join(map(pieces.__getitem__, p[1:])))
+        for table, keys in ((words, need), (pieces, fresh)):      # long ones don't stay
+            for x in keys:
+                if len(x) > KEPT_CHARS:
+                    table.pop(x, None)
         return out
 
     def _with_special(self, t: str) -> list:

@@ -33,6 +33,9 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Words and pieces of more characters aren't kept in workers' tables, so that entries bound their bytes too.
+KEPT_CHARS = 64
+
 _HELD: dict = {}
 
 

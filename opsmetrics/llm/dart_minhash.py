@@ -59,7 +59,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import cut, held, stored
+from opsmetrics.llm.common import KEPT_CHARS, cut, held, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -96,9 +96,11 @@ class WordHashes(dict):
     limit = 250_000
 
     def __missing__(self, word: str) -> int:
-        if len(self) > self.limit:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
+        got = xxhash.xxh64_intdigest(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) > self.limit:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -484,7 +486,11 @@ def new_links(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, root:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, with the columns it had."""
+    """One document of each class, with the columns it had; of rows without an id, one of each text."""
     stay = near_groups(docs).filter("kept").select("doc_id").distinct()
-    return (docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").cast("bigint") == F.col("s.doc_id"), "left_semi")
-            .select(*[F.col(f"d.`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"]))
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    named = (docs.alias("d").join(stay.alias("s"), F.col("d.doc_id").cast("bigint") == F.col("s.doc_id"), "left_semi")
+             .select(*columns).dropDuplicates(["doc_id"]))
+    text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    unnamed = docs.filter("doc_id is null").withColumn("__text_digest", text).dropDuplicates(["__text_digest"]).drop("__text_digest")
+    return named.unionByName(unnamed)

@@ -70,8 +70,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they had; of rows equal in id and text one stays."""
-    stay = exact_groups(docs, keep=keep).filter("kept").select("doc_id").distinct()
+    """The rows of ``docs`` that stay, with the columns they had; of rows equal in id and text one stays.
+
+    A text whose rows all have a null id keeps one of them.
+    """
+    groups = exact_groups(docs, keep=keep)
+    stay = groups.filter("kept").select("doc_id").distinct()
+    unnamed = groups.filter("keep_id is null").select(F.col("text_sha256").alias("__text_digest")).distinct()
     text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    return (docs.join(stay, "doc_id", "left_semi").withColumn("__text_digest", text)
-            .dropDuplicates(["doc_id", "__text_digest"]).drop("__text_digest"))
+    dealt = docs.withColumn("__text_digest", text)
+    named = dealt.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "__text_digest"])
+    lone = dealt.filter("doc_id is null").dropDuplicates(["__text_digest"]).join(unnamed, "__text_digest", "left_semi")
+    return named.select(*docs.columns).unionByName(lone.select(*docs.columns))

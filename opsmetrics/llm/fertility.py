@@ -43,7 +43,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import cut, held, stored
+from opsmetrics.llm.common import KEPT_CHARS, cut, held, stored
 
 MIN_WORDS = 50
 WIDTH = 5.0
@@ -117,9 +117,10 @@ class Vocabulary(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         got = np.array(self.sp.encode(word.decode("utf-8", "replace")), self.kind).tobytes()
-        if len(self) > self.limit:
-            self.clear()
-        self[word] = got
+        if len(word) <= 4 * KEPT_CHARS:            # bytes
+            if len(self) > self.limit:
+                self.clear()
+            self[word] = got
         return got
 
     def measure(self, words: list[bytes]) -> tuple[int, int, float]:

@@ -14,14 +14,16 @@ containers, inline markup, character references, tags left open), with the label
 in a ``data-main`` attribute that is read in training only. A caller may bring other labelled pages.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
-joined by a blank line. Scripts, styles, comments of the markup, and what isn't shown (head, template,
-noscript, option lists, svg, frames, fallbacks of media) are no blocks; what isn't shown ends at
+joined by a blank line. Scripts, styles, comments of the markup, buttons, and what isn't shown (head, template,
+noscript, option lists, svg, frames, fallbacks of media, elements with the attribute ``hidden`` or a style without
+display or visibility) are no blocks; what isn't shown ends at
 its end tag, at a "/" at the end of its tag, or where the element around it ends. The head ends
 at the first text or tag that can't stand in it. The text of formulas is kept. Nothing is cut off or dropped for its length.
 
 Cases: null or empty html, and pages without main text, give the empty text (0 characters). Tags
 left open or closed twice, a missing body or end of the page, and plain text without tags are
-read as browsers do, roughly: an end tag closes the nearest open tag of its name. Repeated rows are extracted
+read as browsers do, roughly: an end tag closes the nearest open tag of its name. A page of a million
+characters is read in one pass, whatever it holds. Repeated rows are extracted
 each; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -40,7 +42,7 @@ from opsmetrics.llm.common import cut
 
 # Element names of HTML.
 RAW = frozenset("script style iframe textarea title".split())       # no tags inside; without an end tag they reach to the end of the page
-HIDDEN = frozenset("noscript template svg object select canvas audio video annotation annotation-xml".split())
+HIDDEN = frozenset("noscript template svg object select button datalist canvas audio video annotation annotation-xml".split())
 HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr "
@@ -50,9 +52,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag closes an open tag of these names that stands innermost among the blocks.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_MARKUP = re.compile(r"<(?:(!--)|[!?])")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/]|$)", re.I)
 
 
 class Block:
@@ -62,15 +68,90 @@ class Block:
         self.text, self.path, self.marks, self.tag, self.linked, self.label = text, path, marks, tag, linked, label
 
 
+class Scanner:
+    """Finds the tags of a page from left to right, in linear time whatever the page holds.
+
+    A quote delimits an attribute's value behind a "=" only; one that is never closed is an ordinary character. So a
+    tag name with a ">" anywhere behind it always gives a tag, and what was looked at is never looked at again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.no_more: set[str] = set()           # quotes that don't occur any further
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """Start, end, whether it closes, name in lower case (None for comments and the like) and attributes of the next tag."""
+        page, n = self.page, len(self.page)
+        m = _OPEN.search(page, at)
+        if m and m[4]:
+            end = self.end(m.end())
+            if end < 0:                          # no ">" any more: no tags, but markup may still hide the rest
+                m = _MARKUP.search(page, m.end())
+            else:
+                return m.start(), end, bool(m[3]), m[4].lower(), page[m.end():end - 1]
+        if not m:
+            return None
+        k = page.find("-->" if m[1] else ">", m.end())
+        return m.start(), n if k < 0 else k + (3 if m[1] else 1), False, None, ""
+
+    def end(self, at: int) -> int:
+        """Behind the ">" that ends a tag whose name ends at ``at``; -1 if there is none."""
+        page = self.page
+        while m := _STOP.search(page, at):
+            k, c = m.start(), m[0]
+            if c == ">":
+                return k + 1
+            back = k - 1
+            while back >= at and page[back].isspace():
+                back -= 1
+            at = k + 1
+            if back >= 0 and page[back] == "=" and c not in self.no_more:
+                close = page.find(c, k + 1)
+                if close < 0:
+                    self.no_more.add(c)
+                else:
+                    at = close + 1
+        return -1
+
+    def behind(self, name: str, at: int) -> int:
+        """Behind the end tag of a raw element, or the end of the page."""
+        close = re.compile(rf"</{re.escape(name)}\b", re.I).search(self.page, at)
+        k = self.page.find(">", close.end()) if close else -1
+        return k + 1 if k >= 0 else len(self.page)
+
+
+_TOP: tuple = ((), (), "", 0)
+
+
+def inside(state: tuple, name: str, words: list[str], label: int) -> tuple:
+    """Names and words of attributes around a block, its own tag and label, one element further in."""
+    names, marks, _, above = state
+    if name not in names:
+        names = (*names, name)
+    if words:
+        marks = tuple(dict.fromkeys((*marks, *words)))
+    return names, marks, name, max(above, label)
+
+
+def not_shown(attributes: str, found: list[tuple]) -> bool:
+    """Whether an element's attributes hide it: ``hidden``, or a style without display or visibility."""
+    for key, *values in found:
+        if key.lower() == "style" and _NOT_SHOWN.search("".join(values)):
+            return True
+    return "hidden" in attributes.lower() and bool(_HIDDEN.search(_ATTRIBUTE.sub(lambda m: " hidden " if m[1].lower() == "hidden" else " ", attributes)))
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; label is 1 below an element with a data-main attribute."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple, int]] = []     # name, words of its attributes, label
+    stack: list[tuple[str, tuple, list, int]] = []     # name, state inside, words of its attributes, label
+    opened: dict[str, int] = {}                  # how often a name is on the stack
     parts: list[str] = []
     in_link = ""
     link_chars = 0
-    state: tuple = ((), (), "", 0)
+    state: tuple = _TOP
     n = len(page)
+    scan = Scanner(page)
 
     def flush():
         nonlocal parts, link_chars, in_link
@@ -82,24 +163,41 @@ def blocks(page: str) -> list[Block]:
             parts = []
         link_chars, in_link = 0, ""
 
+    def push(name: str, words: list[str] = [], label: int = 0):  # noqa: B006
+        stack.append((name, inside(stack[-1][1] if stack else _TOP, name, words, label), words, label))
+        opened[name] = opened.get(name, 0) + 1
+
+    def cut_to(k: int):
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+
+    def innermost(name: str) -> int:
+        """Its place on the stack, -1 if it isn't open."""
+        if not opened.get(name):
+            return -1
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+
     def settle():
         nonlocal state
-        names = tuple(dict.fromkeys(x[0] for x in stack))
-        marks = tuple(dict.fromkeys(w for x in stack for w in x[1]))
-        state = (names, marks, stack[-1][0] if stack else "", max((x[2] for x in stack), default=0))
+        state = stack[-1][1] if stack else _TOP
 
     at = 0
     in_head = False
     hidden = -1                                  # place in the stack of the outermost element that isn't shown
 
     def leave_head():
-        nonlocal in_head, stack
-        stack = [x for x in stack if x[0] != "head"]
+        nonlocal in_head
+        if opened.get("head"):
+            rest = [x for x in stack if x[0] != "head"]
+            cut_to(0)
+            for name, _, words, label in rest:
+                push(name, words, label)
         in_head = False
 
     while at < n:
-        m = _TAG.search(page, at)
-        end = m.start() if m else n
+        tag = scan.next(at)
+        end = tag[0] if tag else n
         if end > at and hidden < 0:
             piece = page[at:end]
             if in_head and piece.strip():
@@ -108,36 +206,34 @@ def blocks(page: str) -> list[Block]:
                 parts.append(piece)
                 if in_link:
                     link_chars += len(piece)
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = m[2]
+        _, at, closing, name, attributes = tag
         if name is None:
             continue
-        name = name.lower()
-        closing = bool(m[1])
-        empty = m[3].rstrip().endswith("/")
+        empty = attributes.rstrip().endswith("/")
         if in_head and hidden < 0 and not closing and name not in HEAD:
             leave_head()
             settle()
         if not closing and name in RAW:
-            if not (empty and any(x[0] == "svg" for x in stack)):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else n
+            if not (empty and opened.get("svg")):
+                at = scan.behind(name, at)
             continue
-        if hidden >= 0 or name in HIDDEN:        # no block begins or ends, unless the element around ends
+        found = _ATTRIBUTE.findall(attributes) if not closing and "=" in attributes else []
+        unseen = name in HIDDEN or not closing and bool(attributes) and not_shown(attributes, found)
+        if hidden >= 0 or unseen:                # no block begins or ends, unless the element around ends
             if closing:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
+                k = innermost(name)
                 if hidden >= 0 and k >= hidden:
-                    del stack[k:]
+                    cut_to(k)
                     hidden = hidden if k > hidden else -1
                 if hidden < 0 or k < 0 or k >= hidden:
                     continue
             else:
-                if name not in INLINE and name not in VOID and not empty:
+                if name not in VOID and not empty and (name not in INLINE or unseen):
                     if hidden < 0:
                         hidden = len(stack)
-                    stack.append((name, (), 0))
+                    push(name)
                 continue
         if name in INLINE:
             if name == "a":
@@ -150,30 +246,27 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if (k := innermost(name)) >= 0:
+                cut_to(k)
             hidden = hidden if hidden < len(stack) else -1
-            in_head = in_head and any(x[0] == "head" for x in stack)
+            in_head = in_head and bool(opened.get("head"))
         elif name != "hr":
             while stack and stack[-1][0] in CLOSES.get(name, ()):
-                stack.pop()
+                cut_to(len(stack) - 1)
             if stack and stack[-1][0] == "p":
-                stack.pop()                      # a block ends an open paragraph
+                cut_to(len(stack) - 1)           # a block ends an open paragraph
             if name == "body":
                 leave_head()
             words: list[str] = []
             label = 0
-            if m[3] and "=" in m[3]:
-                for key, *values in _ATTRIBUTE.findall(m[3]):
-                    key = key.lower()
-                    if key in ("class", "id", "role", "aria-label"):
-                        words += _WORD.findall("".join(values).lower())
-                    elif key == "data-main":
-                        label = 1
+            for key, *values in found:
+                key = key.lower()
+                if key in ("class", "id", "role", "aria-label"):
+                    words += _WORD.findall("".join(values).lower())
+                elif key == "data-main":
+                    label = 1
             if not empty:
-                stack.append((name, tuple(words), label))
+                push(name, words, label)
                 in_head = in_head or name == "head"
         settle()
     flush()
@@ -366,7 +459,17 @@ def training_pages(n: int = 600, seed: int = 7) -> list[str]:
             return f"<p data-main=1>{sentences(1, 2)} {link()} {sentences(1, 2)}</p>"
         return f"<p data-main=1>{words(2, 9)}</p>"
 
+    def plain() -> str:
+        """An article without names or paragraphs: text in bare elements, broken by line breaks."""
+        one = lambda: "<div data-main=1>" + "<br><br>".join(sentences(2, 7) for _ in range(r.randint(1, 4))) + "</div>"
+        inner = "".join(one() for _ in range(r.randint(1, 5)))
+        if r.random() < 0.5:
+            inner = f"<h1 data-main=1>{words(2, 9)}</h1>" + inner
+        return r.choice((f"<div>{inner}</div>", f"<div><div>{inner}</div></div>", inner, f"<table><tr><td>{inner}</td></tr></table>"))
+
     def article() -> str:
+        if r.random() < 0.15:
+            return plain()
         parts = [f"<h1 data-main=1>{words(1, 14)}</h1>"] if r.random() < 0.9 else []
         parts += [paragraph() for _ in range(r.choice((0, 1, 2, 3, 5, 8, 12, 20)) + (not parts))]
         for extra, chance in ((advert, 0.3), (sidebar, 0.12), (form, 0.1), (comments, 0.1), (notice, 0.06)):

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 from opsmetrics.llm.bpe_trie import BYTE_PATTERN, Merges
-from opsmetrics.llm.common import held
+from opsmetrics.llm.common import KEPT_CHARS, held
 
 # The pre-token pattern of the lower-casing word vocabulary.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -49,9 +52,11 @@ class LibraryWords(dict):
     def word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            if len(self.words) > self.word_limit:
-                self.words.clear()
-            got = self.words[w] = pack([t.id for t in self.model.tokenize(self.spell(w))])
+            got = pack([t.id for t in self.model.tokenize(self.spell(w))])
+            if len(w) <= KEPT_CHARS:
+                if len(self.words) > self.word_limit:
+                    self.words.clear()
+                self.words[w] = got
         return got
 
     def whole(self, text: str) -> bytes:
@@ -72,9 +77,10 @@ class LibraryWords(dict):
             got = b"".join(map(self.word, self.find(" " + piece)))
         else:
             got = self.whole(" " + piece)
-        if len(self) > self.limit:
-            self.clear()
-        self[piece] = got
+        if len(piece) <= KEPT_CHARS:
+            if len(self) > self.limit:
+                self.clear()
+            self[piece] = got
         return got
 
     def head(self, first: str) -> bytes:
@@ -101,6 +107,47 @@ class LibraryWords(dict):
             return self.whole(text)
 
 
+    def texts(self, column: pa.Array) -> list[bytes]:
+        """``text`` of each value of a string column.
+
+        Each different piece is looked up once, and the ids of all pieces are gathered by their numbers.
+        """
+        if not len(column):
+            return []
+        lists = pc.split_pattern(column, " ")
+        coded = lists.values.dictionary_encode()
+        ids = [self[p] for p in coded.dictionary.to_pylist()]
+        flat = np.frombuffer(b"".join(x or b"" for x in ids), "<u2")
+        sizes = np.fromiter((len(x or b"") // 2 for x in ids), np.int64, len(ids))
+        odd = np.fromiter((x is None for x in ids), bool, len(ids))
+        firsts = np.cumsum(sizes) - sizes
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        number = coded.indices.to_numpy()
+        each = sizes[number]
+        if not self.lower:                     # a text's first piece has no space before it and is looked up apart
+            each[starts[:-1][np.diff(starts) > 0]] = 0
+            odd_before = np.concatenate([[0], np.cumsum(odd[number])])
+            some_odd = odd_before[starts[1:]] > odd_before[np.minimum(starts[:-1] + 1, starts[1:])]
+        else:
+            some_odd = np.zeros(len(column), bool)
+        ends = np.cumsum(each)
+        gathered = flat[np.repeat(firsts[number] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        ends = np.concatenate([[0], ends])[starts]
+        out = []
+        for text, a, b, whole in zip(column.to_pylist(), (2 * ends[:-1]).tolist(), (2 * ends[1:]).tolist(), some_odd.tolist()):
+            if not text:
+                out.append(b"")
+            elif whole or self.special is not None and self.special.search(text):
+                out.append(self.text(text))
+            elif self.lower:
+                out.append(gathered[a:b])
+            else:
+                first = text[:text.find(" ")] if " " in text else text
+                fits = first and not first[0].isspace() and not first[-1].isspace()
+                out.append(self.head(first) + gathered[a:b] if fits else self.whole(text))
+        return out
+
+
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}H", *ids)
 

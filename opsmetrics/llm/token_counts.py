@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsmetrics.llm.bpe_trie import Merges, Splitter
-from opsmetrics.llm.common import cut, held
+from opsmetrics.llm.common import KEPT_CHARS, cut, held
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -52,7 +52,9 @@ class PieceCounts(dict):
         if n is None:
             if len(self.words) > self.limit:
                 self.words.clear()
-            n = self.words[s] = len(self.m.merge(list(s))) if len(s) < 200 else long_count(self.m, s)
+            n = len(self.m.merge(list(s))) if len(s) < 200 else long_count(self.m, s)
+            if len(s) <= KEPT_CHARS:
+                self.words[s] = n
         return n
 
     def __missing__(self, piece: str):
@@ -60,9 +62,10 @@ class PieceCounts(dict):
             n = None
         else:
             n = sum(map(self.word, self.split.piece(piece)))
-        if len(self) > self.limit:
-            self.clear()
-        self[piece] = n
+        if len(piece) <= KEPT_CHARS:
+            if len(self) > self.limit:
+                self.clear()
+            self[piece] = n
         return n
 
     def run(self, text: str) -> int:

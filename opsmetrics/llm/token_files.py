@@ -14,7 +14,7 @@ block, summed up by shard, and one row a shard over all).
 
 Cases: null text counts as empty and has the end id only; special strings in a text are their
 ids; rows of equal id stand next to each other in any order (a null id comes first); an empty
-table gives no blocks and no rows. A document is never split, so a block is as long as its
+table gives no blocks and no rows; extra columns are ignored, whatever their names. A document is never split, so a block is as long as its
 longest document at least.
 """
 
@@ -57,9 +57,9 @@ def encoded(docs: DataFrame, path: str, end_id: int | None, block_tokens: int =
                 names=["shard", "block", "doc_ids", "lengths", "ids"])
 
         for b in cut(it):
-            for d, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+            for d, x in zip(b.column("id").to_pylist(), table.texts(b.column("text"))):
                 names.append(d)
-                ids.append(table.text(t) + tail)
+                ids.append(x + tail)
                 held += len(ids[-1]) // 2
                 if held >= block_tokens:
                     yield row()

@@ -22,7 +22,9 @@ Cases: null, empty and blank texts have no sentence and score 0. Words are white
 separated, lower-cased, and stripped of marks at their ends. Documents without a label are scored
 like all others; labels of unknown documents and null labels are ignored; a document with
 several label rows counts as toxic if one of them says so. Without a toxic and a clean example
-every score is 0. An empty table gives no rows; repeated rows are scored each.
+every score is 0. Of rows with one id the sample takes the smallest text. An empty table gives no
+rows; repeated rows are scored each. Very long texts and tokens are scored whole, in time and memory in proportion
+to their length. Extra columns are ignored, and kept where rows are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import cut, held
+from opsmetrics.llm.common import KEPT_CHARS, cut, held
 
 DIMENSIONS = 1 << 18
 MAX_TOXIC = 1500
@@ -44,12 +46,21 @@ MAX_CLEAN = 3500
 MAX_CHARS = 20_000
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def bare(token: str) -> str:
+    """The token without marks at its ends."""
+    i, j = 0, len(token)
+    while i < j and not token[i].isalnum():
+        i += 1
+    while i < j and not token[j - 1].isalnum():
+        j -= 1
+    return token[i:j]
 
 
 def features(token: str) -> np.ndarray:
     """Hashed features of a white-space separated token in lower case."""
-    word = _ENDS.sub("", token)
+    word = bare(token)
     if not word:
         return np.zeros(0, np.int32)
     s = f"^{word}$"
@@ -127,9 +138,11 @@ class Scorer(dict):
         self.w, self.b, self.limit = w, b, limit
 
     def __missing__(self, token: str) -> float:
-        if len(self) > self.limit:
-            self.clear()
-        got = self[token] = float(self.w[features(token)].sum())
+        got = float(self.w[features(token)].sum())
+        if len(token) <= KEPT_CHARS:
+            if len(self) > self.limit:
+                self.clear()
+            self[token] = got
         return got
 
     def document(self, text: str | None) -> float:
@@ -165,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     here = known.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = [here.filter(F.col("toxic") == v).orderBy(order, "doc_id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))         # at most max_toxic + max_clean rows
-    rows = short.join(sample, "doc_id").select("doc_id", "text", "toxic").collect()
+    # one row an id, however often it is repeated
+    rows = short.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (str(r.doc_id), r.text))
     return train([r.text for r in rows], [r.toxic for r in rows])
 

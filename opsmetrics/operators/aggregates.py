@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, MapType, NumericType, TimestampNTZType, TimestampType
 
 from opsmetrics.functions.semantics import ColumnOrName, col
 
@@ -99,3 +100,66 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
         e = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         cond = e if cond is None else cond & e
     return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
+
+
+def latest_row(df: DataFrame, keys: Sequence[str], order: Sequence, columns: Sequence[str] | None = None) -> DataFrame:
+    """The first row of each key by ``order`` (names ascending, or ``(name, "desc")``; NULL is the largest
+    value), with the given columns: ``qualify row_number() = 1`` as one mergeable aggregate.
+
+    The smallest order struct wins, and takes the columns with it. Every task keeps one row a key, so a key with a
+    third of all rows costs no more than another, and nothing is sorted. Structs compare field by field and take
+    NULL as the smallest, so each field comes with its NULL flag, and falling ones are turned round: numbers,
+    decimals, booleans, dates and times are; a falling text has no opposite and raises. Rows equal in all
+    order columns are told apart by the columns themselves. NULL keys are a key like others.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    columns = list(columns if columns is not None else [c for c in df.columns if c not in keys])
+    fields = []
+    for k, o in enumerate(order):
+        name, falling = (o[0], o[1].lower() == "desc") if isinstance(o, tuple) else (o, False)
+        null = F.col(name).isNull()
+        fields.append((~null if falling else null).alias(f"n{k}"))
+        fields.append((_opposite(F.col(name), types[name]) if falling else F.col(name)).alias(f"o{k}"))
+    fields += [F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(f"t{k}") for k, c in enumerate(columns)
+               if not isinstance(types[c], MapType)]
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)])
+    best = df.groupBy(*keys).agg(F.min_by(row, F.struct(*fields)).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.c{k}").alias(c) for k, c in enumerate(columns) if c not in keys])
+
+
+def _opposite(c: Column, kind) -> Column:
+    """A value that sorts the other way round."""
+    if isinstance(kind, BooleanType):
+        return ~c
+    if isinstance(kind, DateType):
+        return -F.unix_date(c)
+    if isinstance(kind, TimestampType):
+        return -F.unix_micros(c)
+    if isinstance(kind, TimestampNTZType):
+        return -F.unix_micros(F.to_timestamp_ltz(c))
+    if isinstance(kind, NumericType):
+        return -c
+    raise TypeError(f"no falling order for {kind.simpleString()}")
+
+
+def distinct_bitmaps(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """``(keys, bucket, bitmap)``: the different ids of each key as bitmaps of 32,768 ids.
+
+    Mergeable: ``merge_bitmaps`` rolls them up to fewer keys without the rows they came from, and the counts stay
+    exact, which sums of distinct counts are not. Ids are whole numbers, NULL ids count nothing. A bitmap takes
+    4 KB however few ids it holds, so this is for ids that are dense within a key's buckets.
+    """
+    bucket = F.bitmap_bucket_number(F.col(id_col).cast("bigint"))
+    rows = df.where(F.col(id_col).isNotNull()).select(*keys, bucket.alias("bucket"),
+                                                      F.bitmap_bit_position(F.col(id_col).cast("bigint")).alias("_bit"))
+    return rows.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("_bit").alias("bitmap"))
+
+
+def merge_bitmaps(bitmaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The bitmaps of fewer keys."""
+    return bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def bitmap_counts(bitmaps: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``count(distinct id)`` of each key from its bitmaps."""
+    return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("bitmap")).alias(name))

@@ -31,20 +31,24 @@ def job_dwell_hot_items(spark, root):
     return D.dwell_time(_log(spark, root), START, END, END, START, since=SINCE, partitions=200)
 
 
+def _sets(spark, root):
+    return D.event_sets(_log(spark, root), START, END, since=SINCE)
+
+
 def job_annotate(spark, root):
-    return D.annotate_neighbours(_log(spark, root), START + END, since=SINCE)
+    return D.annotated(_sets(spark, root))
 
 
 def job_prune_events(spark, root):
-    return D.prune_event_sets(job_annotate(spark, root), END)
+    return D.pruned(_sets(spark, root))
 
 
 def job_drop_unclosed(spark, root):
-    return D.drop_unclosed(job_prune_events(spark, root))
+    return D.closed(_sets(spark, root))
 
 
 def job_pair_events(spark, root):
-    return D.pair_start_end(job_drop_unclosed(spark, root), END, START)
+    return D.paired(_sets(spark, root), END, START)
 
 
 QUERIES = {

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from opsmetrics.functions.semantics import (asc, concat_text, date_window, day_diff, desc, iff, ilike_any,
                                             month_start, parse_int, ratio)
 from opsmetrics.operators import chain as C
-from opsmetrics.operators.aggregates import (count_distinct_if, distinct_counts_by_flags, join_on_keys, listagg,
-                                             listagg_by_counts, ordered_pairs, pivot_sum, sum_if)
-from opsmetrics.operators.windows import (first_per_key, global_row_number, qualify, rank_window, top_n_global,
+from opsmetrics.operators.aggregates import (bitmap_counts, count_distinct_if, distinct_bitmaps, distinct_counts_by_flags,
+                                             join_on_keys, latest_row, listagg, listagg_by_counts, merge_bitmaps, ordered_pairs,
+                                             pivot_sum, sum_if)
+from opsmetrics.operators.joins import join_counts, left_join_spread, reduced_join, spread_nulls, with_multiplicity
+from opsmetrics.operators.windows import (global_row_number, qualify, range_neighbours, range_row_number, rank_window, top_n_global,
                                           top_n_members, top_n_per_key, with_partition_total, with_rank)
 from opsmetrics.sources.fixtures import Inputs
 from opsmetrics.sources.tables import Tables
@@ -68,7 +70,7 @@ def project_star(spark, root):
 
 @q
 def project_const(spark, root):
-    return _t(spark, root).nation.select("n_nationkey", "n_name", F.lit("showroom Associate").alias("role"))
+    return _t(spark, root).nation.select("n_nationkey", "n_name", F.lit("member").alias("role"))
 
 
 @q
@@ -89,8 +91,9 @@ def alias_in_window(spark, root):
 
 @q
 def alias_partition(spark, root):
-    p = _t(spark, root).part.withColumn("cat", F.lower("p_type"))
-    return with_rank(p, "rk", ["cat"], [("p_retailprice", "desc")], tiebreak=["p_partkey"]).select("p_partkey", "cat", "rk")
+    p = _t(spark, root).part.select("p_partkey", F.lower("p_type").alias("cat"), "p_retailprice")
+    r = range_row_number(p, ["cat"], [("p_retailprice", "desc"), "p_partkey"], "rk")
+    return r.select("p_partkey", "cat", F.col("rk").cast("int").alias("rk"))
 
 
 @q
@@ -289,10 +292,30 @@ def join_preagg(spark, root):
 
 @q
 def join_fanout_distinct(spark, root):
+    """Rows and distinct segments per region through two fan-outs, each side reduced before it is joined."""
     t = _t(spark, root)
-    j = (t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-         .join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
-    return j.groupBy("r_name").agg(F.count_distinct("c_mktsegment").alias("segments"), F.count("*").alias("rows"))
+    customers = with_multiplicity(t.customer.select("c_nationkey", "c_mktsegment"))
+    nations = with_multiplicity(t.nation.select("n_nationkey", "n_regionkey"))
+    below = with_multiplicity(reduced_join(nations, customers, [("n_nationkey", "c_nationkey")])
+                              .select("n_regionkey", "c_mktsegment", "_m"))
+    j = reduced_join(with_multiplicity(t.region.select("r_regionkey", "r_name")), below, [("r_regionkey", "n_regionkey")])
+    return j.groupBy("r_name").agg(F.count_distinct("c_mktsegment").alias("segments"), F.sum("_m").alias("rows"))
+
+
+@q
+def join_eager_counts(spark, root):
+    """Lines, distinct customers and distinct parts per priority: ``join_counts`` over orders and their lines."""
+    t = _t(spark, root)
+    return join_counts(t.orders, t.lineitem, [("o_orderkey", "l_orderkey")], ["o_orderpriority"], ["o_custkey", "l_suppkey"], rows="lines")
+
+
+@q
+def join_null_key_spread(spark, root):
+    """Customers without a usable nation key keep their rows; they are spread instead of meeting in one task."""
+    t = _t(spark, root)
+    c = t.customer.select("c_custkey", F.when(F.col("c_nationkey") >= 8, F.col("c_nationkey")).alias("nk"))
+    j = left_join_spread(spread_nulls(c, ["nk"]), t.nation.select("n_nationkey", "n_name"), [("nk", "n_nationkey")])
+    return j.select("c_custkey", "nk", "n_name")
 
 
 @q
@@ -389,8 +412,21 @@ def agg_ratio(spark, root):
 def agg_rollup_two_step(spark, root):
     t = _t(spark, root)
     j = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
-    per = j.groupBy("c_nationkey", "o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers"))
-    return per.groupBy("c_nationkey").agg(F.sum("customers").alias("customer_sum"))
+    g = j.groupBy("c_nationkey", "o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers"))
+    return g.groupBy("c_nationkey").agg(F.sum("customers").alias("customer_sum"))
+
+
+@q
+def agg_rollup_bitmap(spark, root):
+    """Both totals of a nation from one row per (nation, priority, bucket): the sum of its distinct counts, in which a customer
+    counts once per priority, and the distinct customers, from the bitmaps rolled up."""
+    t = _t(spark, root)
+    j = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select("c_nationkey", "o_orderpriority", "o_custkey")
+    fine = distinct_bitmaps(j, ["c_nationkey", "o_orderpriority"], "o_custkey")
+    sums = (bitmap_counts(fine, ["c_nationkey", "o_orderpriority"], "n").groupBy("c_nationkey")
+            .agg(F.sum("n").alias("customer_sum")))
+    exact = bitmap_counts(merge_bitmaps(fine, ["c_nationkey"]), ["c_nationkey"], "customers")
+    return join_on_keys(sums, exact, ["c_nationkey"])
 
 
 @q
@@ -448,9 +484,9 @@ def agg_pivot_sum(spark, root):
 # ------------------------------------------------------------------ windows
 @q
 def win_row_number(spark, root):
-    o = _t(spark, root).orders
-    return with_rank(o, "rn", ["o_custkey"], [("o_orderdate", "desc")], tiebreak=["o_orderkey"]).select(
-        "o_orderkey", "o_custkey", "rn")
+    o = _t(spark, root).orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    r = range_row_number(o, ["o_custkey"], [("o_orderdate", "desc"), "o_orderkey"], "rn")
+    return r.select("o_orderkey", "o_custkey", F.col("rn").cast("int").alias("rn"))
 
 
 @q
@@ -482,25 +518,25 @@ def _events(spark, root):
 
 @q
 def win_lag_lead_default(spark, root):
-    e = _events(spark, root)
-    w = rank_window(["user_id"], ["event_id"])
-    return e.select("event_id", F.lag("event_type", 1, "0").over(w).alias("prev_type"),
-                    F.lead("event_type", 1, "0").over(w).alias("next_type"))
+    e = _events(spark, root).select("user_id", "event_id", F.struct("event_type").alias("e"))
+    e = range_neighbours(e, ["user_id"], ["event_id"], "e", "p", "n")
+    # the default stands for a missing row, not for a NULL value
+    return e.select("event_id", F.when(F.col("p").isNull(), "0").otherwise(F.col("p.event_type")).alias("prev_type"),
+                    F.when(F.col("n").isNull(), "0").otherwise(F.col("n.event_type")).alias("next_type"))
 
 
 @q
 def win_lag_lead(spark, root):
-    e = _events(spark, root)
-    w = rank_window(["user_id"], ["event_id"])
-    return e.select("event_id", F.lag("value").over(w).alias("prev_value"), F.lead("ts").over(w).alias("next_ts"))
+    e = _events(spark, root).select("user_id", "event_id", F.struct("value", "ts").alias("e"))
+    e = range_neighbours(e, ["user_id"], ["event_id"], "e", "p", "n")
+    return e.select("event_id", F.col("p.value").alias("prev_value"), F.col("n.ts").alias("next_ts"))
 
 
 @q
 def win_case_lag(spark, root):
-    e = _events(spark, root)
-    w = rank_window(["user_id"], ["ts"], ["event_id"])
-    return e.select("event_id", F.when(F.col("event_type").isin("click", "purchase"), F.lag("ts", 1).over(w))
-                    .alias("started_at"))
+    e = _events(spark, root).select("user_id", "event_id", "event_type", "ts")
+    e = range_neighbours(e, ["user_id"], ["ts", "event_id"], "ts", "p")
+    return e.select("event_id", F.when(F.col("event_type").isin("click", "purchase"), F.col("p")).alias("started_at"))
 
 
 @q
@@ -518,8 +554,7 @@ def win_over_agg(spark, root):
 @q
 def qualify_first(spark, root):
     o = _t(spark, root).orders
-    return first_per_key(o, ["o_custkey"], [("o_orderdate", "desc")], tiebreak=["o_orderkey"]).select(
-        "o_custkey", "o_orderkey", "o_orderdate")
+    return latest_row(o, ["o_custkey"], [("o_orderdate", "desc"), "o_orderkey"], ["o_orderkey", "o_orderdate"])
 
 
 @q
@@ -550,10 +585,9 @@ def qualify_or(spark, root):
 
 @q
 def qualify_after_lead(spark, root):
-    o = _t(spark, root).orders
-    w = rank_window(["o_custkey"], ["o_orderdate"], ["o_orderkey"])
-    o = o.withColumn("next_order", F.lead("o_orderkey").over(w))
-    return qualify(o, ["o_custkey"], ["o_orderkey"], 1).select("o_custkey", "o_orderkey", "next_order")
+    o = _t(spark, root).orders.select("o_custkey", "o_orderkey", "o_orderdate")
+    o = range_neighbours(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", "_previous", "next_order")
+    return latest_row(o, ["o_custkey"], ["o_orderkey"], ["o_orderkey", "next_order"])
 
 
 # ------------------------------------------------------------------ sort, limit, set operations
@@ -639,12 +673,14 @@ def fn_case_nested(spark, root):
 
 @q
 def fn_least_greatest(spark, root):
+    """First and last of seven ids that may be missing: sentinels stand for these, and NULLs would be passed over."""
     li = _t(spark, root).lineitem
-    a = F.col("l_partkey")
-    b = F.nullif(F.col("l_suppkey"), F.lit(0))
-    c = F.when(F.col("l_returnflag") == "R", F.col("l_orderkey"))
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.least(a, b, c).alias("lo"),
-                     F.greatest(a, b, c).alias("hi"))
+    found = [F.when(F.col("l_linenumber") > k, F.col("l_orderkey") + k * (F.col("l_partkey") - F.col("l_suppkey"))) for k in range(7)]
+    low = F.least(*[F.coalesce(c, F.lit(99999999)) for c in found])
+    high = F.greatest(*[F.coalesce(c, F.lit(0)) for c in found])
+    bare = [F.col("l_partkey"), F.nullif(F.col("l_suppkey"), F.lit(0)), F.when(F.col("l_returnflag") == "R", F.col("l_orderkey"))]
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.least(*bare).alias("lo"), F.greatest(*bare).alias("hi"),
+                     low.alias("first_id"), high.alias("last_id"))
 
 
 @q
@@ -681,9 +717,8 @@ def fn_try_cast(spark, root):
 
 @q
 def fn_text_num(spark, root):
-    e = _events(spark, root)
-    prev = F.lag("event_type", 1, "0").over(rank_window(["user_id"], ["event_id"]))
-    return e.select("event_id", (prev == "0").alias("first_of_user"))
+    """Text compared with a number: the missing neighbour's label '0'."""
+    return win_lag_lead_default(spark, root).select("event_id", (F.col("prev_type") == "0").alias("first_of_user"))
 
 
 @q

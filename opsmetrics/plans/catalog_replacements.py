@@ -17,11 +17,11 @@ def pipe_replacements(spark, root):
 
 
 def job_latest_per_key(spark, root):
-    return R.latest_per_key(Inputs(spark, root)["appointments_report"])
+    return R.latest_appointments(Inputs(spark, root)["appointments_report"])
 
 
 def _parents(t):
-    return R.parent_items(t, R.latest_per_key(t["appointments_report"]), P)
+    return R.parent_items(t, R.latest_appointments(t["appointments_report"]), P)
 
 
 def job_parent_items(spark, root):
@@ -36,14 +36,13 @@ HOT = R.ReplacementParams(window_ranges=64)
 
 
 def job_parent_items_hot_keys(spark, root):
-    """Parent items with a hot-key threshold of 2 rows: every multi-row (order, style) key is
-    ranked through range buckets; same result as ``job_parent_items``."""
+    """Parent items ranked over 64 ranges; same result as ``job_parent_items``."""
     t = Inputs(spark, root)
-    return R.parent_items(t, R.latest_per_key(t["appointments_report"]), HOT)
+    return R.parent_items(t, R.latest_appointments(t["appointments_report"]), HOT)
 
 
 def job_first_child_hot_keys(spark, root):
-    """First replacement with a hot-key threshold of 2 rows; same result as ``job_first_child``."""
+    """First replacement with windows over 64 ranges; same result as ``job_first_child``."""
     return R.first_replacement(Inputs(spark, root), HOT)
 
 
@@ -60,7 +59,7 @@ def job_latest_survey(spark, root):
 
 def job_form_fields(spark, root):
     t = Inputs(spark, root)
-    return R.form_fields(t["replacement_forms"], t["product_sets"], P)
+    return R.form_fields(t["replacement_forms"], t["product_sets"], R.field_map(spark, P))
 
 
 def job_form_summary(spark, root):

@@ -20,7 +20,9 @@ def pipe_scorecard(spark, root):
 
 
 def shared_fact(spark, root):
-    return _parts(spark, root).fact
+    t = Inputs(spark, root)
+    ta = _parts(spark, root).clinic_ta
+    return S.shared_fact(t["fills"], t["products"], t["clinics"], t["patients"], ta, P, persist=False)
 
 
 def job_margin(spark, root):

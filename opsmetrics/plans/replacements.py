@@ -7,10 +7,10 @@ Inputs (DataFrames, columns as in ``sources.fixtures``): ``shipment_items`` (fac
 ``asn_master`` + ``purchase_orders``, ``scan_live`` / ``scan_archive`` (barcode swaps),
 ``version_prefs`` and ``tickets`` (free text).
 
-Plan shape: every lookup is an equi-join on its natural key; "latest record per key"
-steps are ``row_number`` windows partitioned by that key (Spark cuts them early with a
-per-partition group limit); the chain walk is ``operators.chain``. Lookups that only feed a
-``QUALIFY`` or a distinct list are reduced to distinct keys before joining.
+Plan shape: every lookup is an equi-join on its natural key; "latest record per key" steps are one
+mergeable aggregate (``latest_row``: the smallest order struct takes its columns along, no window); the chain
+walk is ``operators.chain``. Both kinds of items are looked up in one frame (``shipped_items``), which the
+job writes once. Lookups that only feed a distinct list are reduced to distinct keys before joining.
 """
 
 from __future__ import annotations
@@ -21,25 +21,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.functions.rules import first_match, item_predicates, reason_rules, vendor_label
+from opsmetrics.functions.rules import REASON_RULES, TextLabeller, TextRule, item_predicates, vendor_label
 from opsmetrics.functions.semantics import concat_text, day_diff, iff, parse_int
-from opsmetrics.operators.aggregates import listagg, listagg_by_counts
+from opsmetrics.operators.aggregates import latest_row, listagg, listagg_by_counts
 from opsmetrics.operators.chain import edge_union, resolve_chain
+from opsmetrics.operators.joins import left_join_spread, spread_nulls
+from opsmetrics.operators.windows import qualify, range_neighbours, range_row_number
 from opsmetrics.sources.staging import staged
-from opsmetrics.operators.windows import first_per_key, qualify, range_neighbours, range_row_number
-
-# fixed values: missing-associate id and name, the role label, the assisted-check reasons
-MISSING_ASSOCIATE_ID = -1001
-MISSING_NAME = "(Missing)"
-SHOWROOM_ROLE = "showroom Associate"
-SHOWROOM_REASON = "Showroom Appointment"
-
 
 @dataclass(frozen=True)
 class ReplacementParams:
     as_of: str = "2001-06-01"                     # stands for current_date
     min_event_year: int = 1996
     excluded_shipment_type: str = "%LOW%"
+    missing_associate: int = -1001
+    missing_name: str = "(Missing)"
+    showroom_role: str = "showroom Associate"
+    showroom_reason: str = "Showroom Appointment"
     assisted_reasons: tuple[str, ...] = ("Fit Specialist/Admin", "Customer Request")
     excluded_admins: tuple[int, ...] = (1, 2)
     excluded_admin_reason: str = "Fit Specialist/Admin"
@@ -56,9 +54,9 @@ class ReplacementParams:
     preferred_version: str = "F"
     request_pattern: str = "%replace%"
     excluded_comment_pattern: str = "%password=%"
-    # rows of one (order, style) key above which its windows run through range buckets; off by
-    # default: such a key holds one order's items, and the split path reads its input twice
+    # ranges of the windows per (order, style); the session's shuffle partitions by default
     window_ranges: int | None = None
+    reason_rules: tuple[TextRule, ...] = REASON_RULES
     vendor_rules: tuple = field(default=(
         ("V1", ("%gear%",), "Vendor One"),
         ("V2", (), "Vendor Two"),
@@ -68,18 +66,16 @@ class ReplacementParams:
 
 
 # ----------------------------------------------------------------------------- steps
-def latest_per_key(report: DataFrame) -> DataFrame:
-    """Newest kept (not cancelled, not no-show) appointment per (user, event).
+def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence, columns: Sequence[str] | None = None) -> DataFrame:
+    """The first row of each key by ``order``, e.g. ``[("day", "desc"), "name"]``, as one aggregate; see ``latest_row``."""
+    return latest_row(rows, keys, order, columns)
 
-    The de-duplication of the four columns before ranking is not run as its own shuffle:
-    duplicates are identical in every output column, so the first-ranked row is the same
-    with or without it, and the per-key group limit cuts each key to one row before the
-    shuffle.
-    """
-    r = (report.where((F.col("cancelled_cnt") < 1) & (F.col("no_show_cnt") < 1))
-         .select("user_id", "event_id", "showroom_group_name", "showroom_appointment_date"))
-    return first_per_key(r, ["user_id", "event_id"], [("showroom_appointment_date", "desc")],
-                         tiebreak=["showroom_group_name"])
+
+def latest_appointments(report: DataFrame) -> DataFrame:
+    """Newest kept (not cancelled, not no-show) appointment per (user, event)."""
+    kept = report.where((F.col("cancelled_cnt") < 1) & (F.col("no_show_cnt") < 1))
+    return latest_per_key(kept, ["user_id", "event_id"], [("showroom_appointment_date", "desc"), "showroom_group_name"],
+                          ["showroom_group_name", "showroom_appointment_date"])
 
 
 def uid(*parts) -> Column:
@@ -94,53 +90,59 @@ _PARENT_TIE = ["uid", "sku_code", "sku_size", "sku_length", "sku_fit", "tailor_c
                "fifo_date", "showroom_group_name", "order_had_sku_sellout"]
 
 
-def parent_items(t, shows: DataFrame, p: ReplacementParams) -> DataFrame:
+def shipped_items(t, p: ReplacementParams) -> DataFrame:
+    """Shipped items of both kinds with barcode, storage and receipt: each looked up once.
+
+    A replacement meets stored rows that aren't deleted only (none is NULL); any other item meets all, and is kept
+    later where its stored row isn't deleted. Items without a barcode are spread over the tasks of the
+    barcode joins, which share one partitioning.
+    """
+    i = t["shipment_items"].where((F.col("is_shipment_voided") == F.lit(False)) & (F.col("is_home_try_on") == F.lit(False))
+                                  & (F.col("is_replacement") | ~F.col("shipment_type_name").like(p.excluded_shipment_type)))
+    s = t["host_detail"].select(F.col("order_number").alias("s_order"), F.col("item_number").alias("s_item"), F.col("hu_id").alias("code"))
+    st = t["stored_items"].select(F.col("hu_id").alias("st_code"), "fifo_date", "is_deleted")
+    v = t["receipts"].select(F.col("hu_id").cast("string").alias("v_code"), "vendor_lot_num", "lot_number")
+    j = i.join(s, (F.col("s_order") == F.col("shipping_reference_code")) & (F.col("s_item") == F.col("sku_code")), "left")
+    j = spread_nulls(j, ["code"])
+    j = left_join_spread(j, st, [("code", "st_code")], more=~F.col("is_replacement") | ~F.col("is_deleted"))
+    j = left_join_spread(j, v, [("code", "v_code")])
+    return j.select(
+        "user_id", "event_id", "order_id", "parent_order_id", "shipping_reference_code", "size_check_id", "shipment_date",
+        "sku_code", "sku_size", "sku_length", "sku_fit", "tailor_comments", "product_category_name", "product_style_name",
+        "product_style_code", "shipment_type_name", "sku_category_name", "is_delivery_canceled", "is_replacement",
+        F.col("code").alias("hu_id"), "fifo_date", "is_deleted",
+        F.coalesce("vendor_lot_num", "version_name").alias("version_name"),
+        F.coalesce("lot_number", "compatibility_group_name").alias("compatibility_group_name"))
+
+
+def parent_items(t, shows: DataFrame, p: ReplacementParams, items: DataFrame | None = None) -> DataFrame:
     """Original (non-replacement) items with barcode, stock age, appointment and lookup attributes."""
-    i = t["shipment_items"].alias("i")
+    i = (shipped_items(t, p) if items is None else items).where(
+        (F.col("is_replacement") == F.lit(False)) & (F.col("is_deleted") == F.lit(False))).alias("i")
     o = t["order_dim"].alias("o")
-    s = t["host_detail"].alias("s")
-    st = t["stored_items"].alias("st")
     e = t["event_dim"].alias("e")
-    v = t["receipts"].alias("v")
     sh = shows.alias("sh")
+    as_of = F.lit(p.as_of).cast("date")
     j = (i.join(o, F.col("o.order_id") == F.col("i.order_id"), "left")
-         .join(s, (F.col("s.order_number") == F.col("i.shipping_reference_code"))
-               & (F.col("s.item_number") == F.col("i.sku_code")), "left")
-         # the two barcode lookups sit next to each other so they share one partitioning
-         .join(st, F.col("st.hu_id") == F.col("s.hu_id"), "left")
-         .join(v, F.col("s.hu_id") == F.col("v.hu_id").cast("string"), "left")
          .join(e, F.col("e.event_id") == F.col("i.event_id"), "left")
-         .join(sh, (F.col("sh.event_id") == F.col("i.event_id")) & (F.col("sh.user_id") == F.col("i.user_id")), "left"))
-    as_of = F.lit(p.as_of).cast("date")
-    j = j.where((F.col("i.is_replacement") == F.lit(False))
-                & ~F.col("i.shipment_type_name").like(p.excluded_shipment_type)
-                & (F.col("st.is_deleted") == F.lit(False))
-                & (F.col("i.is_shipment_voided") == F.lit(False))
-                & (F.col("i.is_home_try_on") == F.lit(False))
-                & (F.col("e.event_date") < as_of)
-                & (F.year("e.event_date") > p.min_event_year))
+         .join(sh, (F.col("sh.event_id") == F.col("i.event_id")) & (F.col("sh.user_id") == F.col("i.user_id")), "left")
+         .where((F.col("e.event_date") < as_of) & (F.year("e.event_date") > p.min_event_year)))
     out = j.select(
         F.col("i.user_id").alias("user_id"), F.col("i.event_id").alias("event_id"),
         F.col("e.event_date").alias("event_date"), F.col("i.order_id").alias("order_id"),
-        F.col("s.hu_id").alias("hu_id"), F.col("st.fifo_date").alias("fifo_date"),
-        day_diff(F.col("st.fifo_date"), as_of).alias("age"),
-        iff(F.col("sh.showroom_appointment_date").isNull(), F.lit(False), F.lit(True)).alias("has_showroom_appointment"),
+        F.col("i.hu_id").alias("hu_id"), F.col("i.fifo_date").alias("fifo_date"),
+        day_diff(F.col("i.fifo_date"), as_of).alias("age"),
+        F.col("sh.showroom_appointment_date").isNotNull().alias("has_showroom_appointment"),
         F.col("sh.showroom_group_name").alias("showroom_group_name"),
         F.col("o.order_had_sku_sellout").alias("order_had_sku_sellout"),
         F.col("i.tailor_comments").alias("tailor_comments"),
-        iff(F.col("i.tailor_comments").isNotNull(), F.lit(True), F.lit(False)).alias("has_tailoring"),
-        F.col("i.sku_code").alias("sku_code"), F.col("i.sku_size").alias("sku_size"),
-        F.col("i.sku_fit").alias("sku_fit"), F.col("i.sku_length").alias("sku_length"),
-        F.col("i.size_check_id").alias("og_key"), F.col("i.shipment_date").alias("shipment_date"),
-        F.coalesce(F.col("v.vendor_lot_num"), F.col("i.version_name")).alias("version_name"),
-        F.coalesce(F.col("v.lot_number"), F.col("i.compatibility_group_name")).alias("compatibility_group_name"),
-        F.col("i.product_category_name").alias("product_category_name"),
-        F.col("i.shipment_type_name").alias("shipment_type_name"),
-        F.col("i.product_style_name").alias("product_style_name"),
-        F.col("i.product_style_code").alias("product_style_code"),
+        F.col("i.tailor_comments").isNotNull().alias("has_tailoring"),
+        *[F.col(f"i.{c}").alias(c) for c in ("sku_code", "sku_size", "sku_fit", "sku_length")],
+        F.col("i.size_check_id").alias("og_key"),
+        *[F.col(f"i.{c}").alias(c) for c in ("shipment_date", "version_name", "compatibility_group_name", "product_category_name",
+                                             "shipment_type_name", "product_style_name", "product_style_code")],
         F.col("i.is_delivery_canceled").alias("delivery_unsuccessful"),
-        uid(F.col("i.order_id"), F.col("i.product_style_code"), F.coalesce(F.col("s.hu_id"), F.lit(""))).alias("uid"),
-    )
+        uid(F.col("i.order_id"), F.col("i.product_style_code"), F.coalesce(F.col("i.hu_id"), F.lit(""))).alias("uid"))
     # the order||style key is partitioned by its two columns (no text collisions)
     return range_row_number(out, ["order_id", "product_style_code"], ["shipment_date"] + _PARENT_TIE, "cleaner",
                             p.window_ranges)
@@ -151,53 +153,35 @@ _CHILD_TIE = ["shipment_date", "sku_code", "sku_size", "sku_length", "sku_fit",
               "sku_category_name", "product_style_name"]
 
 
-def first_replacement(t, p: ReplacementParams | None = None) -> DataFrame:
+def first_replacement(t, p: ReplacementParams | None = None, items: DataFrame | None = None) -> DataFrame:
     """First replacement per (parent order, style) with the size/length of the replacement after it.
 
     ``lead`` sees every replacement row; the first-row filter runs afterwards. The window runs
     over ranges of (key, order) with repaired edges, so a key with many rows is spread.
     """
     p = p or ReplacementParams()
-    i = t["shipment_items"].alias("i")
-    s = t["host_detail"].alias("s")
-    st = t["stored_items"].where(F.col("is_deleted") == F.lit(False)).alias("st")
-    v = t["receipts"].alias("v")
-    j = (i.where((F.col("i.is_replacement") == F.lit(True)) & (F.col("i.is_shipment_voided") == F.lit(False))
-                 & (F.col("i.is_home_try_on") == F.lit(False)))
-         .join(s, (F.col("s.order_number") == F.col("i.shipping_reference_code"))
-               & (F.col("s.item_number") == F.col("i.sku_code")), "left")
-         .join(st, F.col("st.hu_id") == F.col("s.hu_id"), "left")
-         .join(v, F.col("s.hu_id") == F.col("v.hu_id").cast("string"), "left"))
-    c = j.select(
-        F.col("i.user_id").alias("user_id"), F.col("i.event_id").alias("event_id"),
-        F.col("i.order_id").alias("order_id"), F.col("i.shipment_date").alias("shipment_date"),
-        F.col("i.shipping_reference_code").alias("shipping_reference_code"),
-        F.col("i.parent_order_id").alias("parent_order_id"), F.col("i.sku_code").alias("sku_code"),
-        F.col("i.sku_size").alias("sku_size"), F.col("i.sku_length").alias("sku_length"),
-        F.col("i.sku_fit").alias("sku_fit"), F.col("i.tailor_comments").alias("replace_tailoring"),
-        F.col("i.sku_category_name").alias("sku_category_name"),
-        F.col("i.product_style_name").alias("product_style_name"),
-        F.col("i.product_style_code").alias("product_style_code"),
-        F.coalesce(F.col("v.vendor_lot_num"), F.col("i.version_name")).alias("version_name"),
-        F.coalesce(F.col("v.lot_number"), F.col("i.compatibility_group_name")).alias("compatibility_group_name"),
-        F.col("s.hu_id").alias("hu_id"),
-        uid(F.col("i.parent_order_id"), F.col("i.product_style_code"), F.col("s.hu_id")).alias("uid"))
+    i = (shipped_items(t, p) if items is None else items).where("is_replacement")
+    c = i.select(
+        "user_id", "event_id", "order_id", "shipment_date", "shipping_reference_code", "parent_order_id", "sku_code", "sku_size",
+        "sku_length", "sku_fit", F.col("tailor_comments").alias("replace_tailoring"), "sku_category_name", "product_style_name",
+        "product_style_code", "version_name", "compatibility_group_name", "hu_id",
+        uid(F.col("parent_order_id"), F.col("product_style_code"), F.col("hu_id")).alias("uid"))
     key = ["parent_order_id", "product_style_code"]
-    lead_order = ["shipment_date", "order_id"] + _CHILD_TIE[1:]
-
     boxed = c.withColumn("_sl", F.struct("sku_size", "sku_length"))
-    c = (range_neighbours(boxed, key, lead_order, "_sl", "_prev_sl", "_next_sl", p.window_ranges)
+    c = (range_neighbours(boxed, key, ["shipment_date", "order_id"] + _CHILD_TIE[1:], "_sl", "_prev_sl", "_next_sl", p.window_ranges)
          .withColumn("nxt_replace_size", F.col("_next_sl")["sku_size"])
          .withColumn("nxt_replace_length", F.col("_next_sl")["sku_length"])
          .drop("_sl", "_prev_sl", "_next_sl"))
-    return qualify(c, key, ["order_id"], 1, tiebreak=_CHILD_TIE, rank_col="occur").drop("hu_id")
+    return latest_row(c, key, ["order_id", *_CHILD_TIE]).select(*[x for x in c.columns if x != "hu_id"])
 
 
-def showroom_associates(appointments: DataFrame, users: DataFrame) -> DataFrame:
-    a = appointments.join(users, F.col("user_id") == F.col("associate_user_id"), "left")
-    a = a.where((F.col("associate_user_id") != MISSING_ASSOCIATE_ID) & (F.col("user_full_name") != MISSING_NAME))
-    return a.select("associate_user_id", "user_full_name", "user_email",
-                    F.lit(SHOWROOM_ROLE).alias("role")).distinct()
+def showroom_associates(appointments: DataFrame, users: DataFrame, p: ReplacementParams | None = None) -> DataFrame:
+    """The associates of any appointment, one row for each; reduced to distinct ids before they meet the users."""
+    p = p or ReplacementParams()
+    ids = appointments.where(F.col("associate_user_id") != p.missing_associate).select("associate_user_id").distinct()
+    named = users.where(F.col("user_full_name") != p.missing_name)
+    a = ids.join(named, F.col("user_id") == F.col("associate_user_id"), "inner")
+    return a.select("associate_user_id", "user_full_name", "user_email", F.lit(p.showroom_role).alias("role")).distinct()
 
 
 def care_associates(staff: DataFrame, p: ReplacementParams) -> DataFrame:
@@ -220,7 +204,7 @@ def actor_reason(checks: DataFrame, showroom: DataFrame, care: DataFrame, p: Rep
                 & ~(F.col("u.admin_user_id").isin(list(p.excluded_admins)) & reason.like(p.excluded_admin_reason))
                 & ~reason.ilike(p.excluded_reason_pattern))
     label = iff(reason.isin(list(p.assisted_reasons)),
-                F.when(F.col("s.associate_user_id").isNotNull(), F.lit(SHOWROOM_REASON))
+                F.when(F.col("s.associate_user_id").isNotNull(), F.lit(p.showroom_reason))
                  .when(F.col("c.user_id").isNotNull(), F.col("c.employee_group"))
                  .otherwise(reason),
                 reason)
@@ -241,31 +225,38 @@ def latest_survey_per_order(surveys: DataFrame, parents: DataFrame) -> DataFrame
                              F.col("event_date").alias("survey_mapped_event_date")).distinct())
     j = (surveys.join(orders, F.col("prime_key") == F.col("o_og_key"), "left")
          .where(F.col("survey_mapped_event_date").isNotNull()).drop("o_og_key"))
-    return qualify(j, ["survey_user", "survey_product_category", "survey_mapped_order"], [("size_check_ts", "desc")],
-                   1, tiebreak=["size_survey_id", "size_check_reason_desc", "survey_reason", "predicted_size",
-                                "survey_size", "checked_size", "is_auto_size_checked",
-                                "passed_auto_size_checked", "prime_key", "survey_mapped_event_date"])
+    newest = latest_row(j, ["survey_user", "survey_product_category", "survey_mapped_order"],
+                        [("size_check_ts", "desc"), "size_survey_id", "size_check_reason_desc", "survey_reason", "predicted_size",
+                         "survey_size", "checked_size", "is_auto_size_checked", "passed_auto_size_checked", "prime_key",
+                         "survey_mapped_event_date"])
+    return newest.select(*j.columns)
+
 
+FORM_FIELDS = ("item_body", "item_inseams", "item_sizing")
 
-def _json_by_category(category: Column, doc: Column, keys: Sequence[tuple[str, str]]) -> Column:
-    out = None
-    for cat, key in keys:
-        val = F.get_json_object(doc, f"$.{key}")
-        out = F.when(category.like(cat), val) if out is None else out.when(category.like(cat), val)
-    return out if out is not None else F.lit(None).cast("string")
 
+def field_map(spark, p: ReplacementParams = ReplacementParams()) -> DataFrame:
+    """``(category, field, path)``: where the form of a category holds each field."""
+    maps = zip(FORM_FIELDS, (p.body_keys, p.inseam_keys, p.sizing_keys))
+    return spark.createDataFrame([(cat, f, f"$.{key}") for f, keys in maps for cat, key in keys], "category string, field string, path string")
 
-def form_fields(forms: DataFrame, sets: DataFrame, p: ReplacementParams) -> DataFrame:
-    """Replacement forms with the fit-description fields picked by product category."""
+
+def form_fields(forms: DataFrame, sets: DataFrame, fields: DataFrame, names: Sequence[str] = FORM_FIELDS) -> DataFrame:
+    """Replacement forms with the fit-description fields picked by product category.
+
+    ``fields`` is a table (category, field, path), one path per category and field; ``names`` are the fields to return. The
+    document is parsed once into a VARIANT, whatever the number of fields and categories; a form's paths come from
+    the table, turned to one row a category. Invalid documents and missing paths give NULL.
+    """
     s = sets.select(F.col("product_set_id").alias("ps_id"), F.col("product_category_name").alias("f_product_category_name"))
-    j = forms.join(s, F.col("product_set_id") == F.col("ps_id"), "left")
-    cat, doc = F.col("f_product_category_name"), F.col("fit_description")
+    paths = fields.groupBy("category").agg(*[F.max(F.when(F.col("field") == n, F.col("path"))).alias(f"_p_{n}") for n in names])
+    j = (forms.join(s, F.col("product_set_id") == F.col("ps_id"), "left")
+         .join(paths, F.col("category") == F.col("f_product_category_name"), "left")
+         .withColumn("_doc", F.try_parse_json("fit_description")))
     return j.select(
         F.col("order_id").alias("replacement_form_orders"), "f_product_category_name", "ticket_created_date",
         "ticket_id", "requested_length",
-        _json_by_category(cat, doc, p.body_keys).alias("item_body"),
-        _json_by_category(cat, doc, p.inseam_keys).alias("item_inseams"),
-        _json_by_category(cat, doc, p.sizing_keys).alias("item_sizing"),
+        *[F.try_variant_get("_doc", F.col(f"_p_{n}"), "string").alias(n) for n in names],
         "is_fit_replacement", "is_item_missing_replacement", "is_damaged_replacement", "is_wrong_item_replacement")
 
 
@@ -317,20 +308,23 @@ def match_replacements(parents: DataFrame, child: DataFrame) -> DataFrame:
 _POS_TIE = ["item_number", "asn_number", "lot_number", "po_number", "vendor_code", "rfid", "vendor_name"]
 
 
-def latest_purchase(detail: DataFrame, master: DataFrame, purchases: DataFrame) -> DataFrame:
-    """Newest delivery (NULL date counts as newest) per barcode with PO and vendor."""
-    a = detail.alias("a")
-    m = master.alias("m")
-    v = purchases.alias("v")
-    j = (a.join(m, F.col("m.asn_number") == F.col("a.asn_number"), "left")
-         .join(v, (F.col("v.purchase_id") == F.col("a.po_number")) & (F.col("m.vendor_code") == F.col("v.vendor_id"))
-               & (F.col("a.item_number") == F.col("v.sku_code")), "left"))
-    r = j.select(F.col("a.hu_id").alias("hu_id"), F.col("a.item_number").alias("item_number"),
-                 F.col("a.asn_number").alias("asn_number"), F.col("a.lot_number").alias("lot_number"),
-                 F.col("a.po_number").alias("po_number"), F.col("m.vendor_code").alias("vendor_code"),
-                 F.col("m.delivery_date").alias("delivery_date"), F.col("a.serial_number").alias("rfid"),
-                 F.col("v.vendor_name").alias("vendor_name"))
-    return first_per_key(r, ["hu_id"], [("delivery_date", "desc")], tiebreak=_POS_TIE)
+def latest_purchase(detail: DataFrame, master: DataFrame, purchases: DataFrame | None = None) -> DataFrame:
+    """Newest delivery (NULL date counts as newest) per barcode with PO and vendor.
+
+    Without ``purchases`` there is no ``vendor_name``.
+    """
+    m = master.select(F.col("asn_number").alias("m_asn"), "vendor_code", "delivery_date")
+    r = (detail.join(m, F.col("m_asn") == F.col("asn_number"), "left")
+         .select("hu_id", "item_number", "asn_number", "lot_number", "po_number", "vendor_code", "delivery_date",
+                 F.col("serial_number").alias("rfid")))
+    ties = _POS_TIE[:-1]
+    if purchases is not None:
+        v = purchases.select(F.col("purchase_id").alias("v_po"), F.col("vendor_id").alias("v_vendor"), F.col("sku_code").alias("v_sku"),
+                             "vendor_name")
+        r = r.join(v, (F.col("v_po") == F.col("po_number")) & (F.col("vendor_code") == F.col("v_vendor"))
+                   & (F.col("item_number") == F.col("v_sku")), "left").drop("v_po", "v_vendor", "v_sku")
+        ties = _POS_TIE
+    return latest_row(r, ["hu_id"], [("delivery_date", "desc"), *ties]).select(*r.columns)
 
 
 def swap_origins(live: DataFrame, archive: DataFrame, p: ReplacementParams) -> DataFrame:
@@ -344,33 +338,28 @@ def preference_list(prefs: DataFrame, p: ReplacementParams) -> DataFrame:
                              "showroom_version")
 
 
-_FLAGS = ("has_tailoring", "size_mismatch", "jacket", "shirt", "pant")
-
-
-def classify_text(agg: DataFrame, tickets: DataFrame, p: ReplacementParams) -> DataFrame:
+def classify_text(agg: DataFrame, tickets: DataFrame, p: ReplacementParams = ReplacementParams(),
+                  rules: Sequence[TextRule] | None = None, conditions: dict[str, Column] | None = None) -> DataFrame:
     """Label each no-change replacement from its order's tickets; the largest label wins.
 
-    The label depends on the item only through five flags (tailoring note present, size
-    mix-up, style mentions jacket / shirt / pant), so tickets are labelled once per
-    (order, distinct flag combination) - at most 32 per order - and the labels joined back
-    to the items, instead of pairing every item of an order with every ticket.
-
-    The replacement-form lookup of the rule list is not joined: its two rules require a
-    tailoring note, which already makes the next rule give the same label, and the label
-    is a maximum, so the form rows cannot change the result.
+    ``rules`` (by default those of ``p``) are tried in order; ``conditions`` are the item conditions that they name. Each
+    ticket's text is scanned once for the patterns of all rules, before any join, so texts aren't shuffled. The
+    label depends on the item only through its conditions, so tickets meet an order's distinct combinations of
+    these, not every item.
     """
-    preds = item_predicates(requested=None)
+    labeller = TextLabeller(p.reason_rules if rules is None else rules)
+    preds = item_predicates(requested=None) if conditions is None else conditions
+    names = sorted({n for r in labeller.rules for n in r.item})
     a = agg.where(F.col("no_change_replacement") == F.lit(True)).select(
         "uid", "sku_code", "product_style_name", "order_id", "user_id",
-        *[F.coalesce(preds[f], F.lit(False)).alias(f"_f_{f}") for f in _FLAGS])
-    flags = [f"_f_{f}" for f in _FLAGS]
+        *[F.coalesce(preds[n], F.lit(False)).alias(f"_f_{n}") for n in names])
+    flags = [f"_f_{n}" for n in names]
     sigs = a.select("order_id", "user_id", *flags).distinct()
     z = (tickets.where(F.col("request_type").ilike(p.request_pattern)
                        & ~F.col("ticket_comments").ilike(p.excluded_comment_pattern))
-         .select(F.col("order_id").alias("z_order_id"), F.col("user_id").alias("z_user_id"), "ticket_comments"))
-    item = {f: F.col(f"_f_{f}") for f in _FLAGS}
-    item["gap1_tailored"] = item["gap2_tailored"] = F.lit(None).cast("boolean")
-    label = first_match(reason_rules(F.col("ticket_comments"), item))
+         .select(F.col("order_id").alias("z_order_id"), F.col("user_id").alias("z_user_id"),
+                 F.array_sort(labeller.hits(F.col("ticket_comments"))).alias("_hits")).distinct())
+    label = labeller.label(F.col("_hits"), {n: F.col(f"_f_{n}") for n in names})
     labelled = (sigs.join(z, (F.col("z_order_id") == F.col("order_id")) & (F.col("z_user_id") == F.col("user_id")))
                 .groupBy("order_id", "user_id", *flags).agg(F.max(label).alias("reason")))
     out = a.join(labelled, ["order_id", "user_id", *flags], "inner")
@@ -379,12 +368,12 @@ def classify_text(agg: DataFrame, tickets: DataFrame, p: ReplacementParams) -> D
 
 def replacement_items(t, p: ReplacementParams = ReplacementParams()) -> DataFrame:
     """Full table: ``match_replacements`` rows plus origin barcode, forms, survey, reason, PO and vendor."""
-    shows = latest_per_key(t["appointments_report"])
-    parents = staged(parent_items(t, shows, p), "parents")        # read by two branches
-    agg = staged(match_replacements(parents, first_replacement(t, p)), "matches")
-    fields = form_fields(t["replacement_forms"], t["product_sets"], p)
+    items = staged(shipped_items(t, p), "items")                  # read by both kinds
+    parents = staged(parent_items(t, latest_appointments(t["appointments_report"]), p, items), "parents")   # read by two branches
+    agg = staged(match_replacements(parents, first_replacement(t, p, items)), "matches")
+    fields = form_fields(t["replacement_forms"], t["product_sets"], field_map(items.sparkSession, p))
     forms = form_summary(fields, p)
-    surveys = actor_reason(t["size_checks"], showroom_associates(t["appointments"], t["staff_users"]),
+    surveys = actor_reason(t["size_checks"], showroom_associates(t["appointments"], t["staff_users"], p),
                            care_associates(t["care_staff"], p), p)
     joins = latest_survey_per_order(surveys, parents)
     swaps = swap_origins(t["scan_live"], t["scan_archive"], p)
@@ -406,7 +395,7 @@ def replacement_items(t, p: ReplacementParams = ReplacementParams()) -> DataFram
                                               "passed_auto_size_checked", "predicted_size", "survey_size",
                                               "checked_size", "survey_reason", "size_check_ts")],
         F.col("no_change_reason"))
-    pos = latest_purchase(t["asn_detail"], t["asn_master"], t["purchase_orders"]).select(
+    pos = latest_purchase(t["asn_detail"], t["asn_master"]).select(
         F.col("hu_id").alias("b_hu_id"), "po_number", "vendor_code")
     vp = preference_list(t["version_prefs"], p).select(
         F.col("user_id").alias("v_user_id"), F.col("product_category_name").alias("v_category"), "showroom_version")

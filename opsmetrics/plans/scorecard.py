@@ -7,9 +7,11 @@ per month), ``rx_groups`` (new-user baskets), ``accounts`` (CRM ids as text) and
 
 Plan shape
 ----------
-* The fact is filtered once (not cancelled, inside the union of all date windows), joined
-  to its dimensions once and persisted; every branch derives from that frame instead of
-  re-scanning and re-joining the fact (one fact scan for five branches).
+* The fact is scanned once. It is joined to its dimensions and reduced to a lattice of partial aggregates, one
+  mergeable row per (entity, category, product, patient, delivery, windows) with sums, counts and any-flags
+  (``fact_lattice``), which is written once. All branches fold from these rows, each by dropping the keys that it
+  doesn't need, and so does the dominant category, which no window or cancellation filters: rows outside all
+  windows keep entity, category and delivery only.
 * Dimension joins are plain equi-joins. Spark broadcasts a side only when its measured
   size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and sort-merge joins
   otherwise, so no side is broadcast on trust.
@@ -24,14 +26,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsmetrics.functions import margin as M
 from opsmetrics.functions.semantics import (MONEY_SUM, asc, date_window, desc, ilike_any, iff, mean_from_parts,
                                             month_start, ratio, total_order)
-from opsmetrics.operators.aggregates import distinct_counts_by_flags, join_on_keys, listagg, pivot_sum, sum_if
-from opsmetrics.operators.windows import first_per_key, qualify
+from opsmetrics.operators.aggregates import distinct_counts_by_flags, join_on_keys, latest_row, listagg, pivot_sum, sum_if
+from opsmetrics.operators.joins import left_join_spread, spread_nulls
+from opsmetrics.operators.windows import qualify
 from opsmetrics.sources.staging import staged
 
 # fixed values: band labels and the default stage label of the scorecard
@@ -84,18 +87,73 @@ def _patients(patients: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- steps
-def dominant_category(fills: DataFrame, patients: DataFrame, clinics: DataFrame) -> DataFrame:
-    """Per entity, the patient category with the most distinct deliveries (ties: category name)."""
-    j = (fills.select("delivery_id", "patient_key", "clinic_key")
-         .join(_patients(patients).select("pt_key", "patient_category"), F.col("patient_key") == F.col("pt_key"), "left")
-         .join(_clinics(clinics).select("c_key", "super_clinic_id"), F.col("clinic_key") == F.col("c_key"), "left"))
-    g = j.groupBy("super_clinic_id", "patient_category").agg(F.count_distinct("delivery_id").alias("fills"))
-    return first_per_key(g, ["super_clinic_id"], [("fills", "desc")], tiebreak=["patient_category"])
+def dominant_category(facts: DataFrame, entity: str = "super_clinic_id", category: str = "patient_category",
+                      id: str = "delivery_id", name: str = "fills") -> DataFrame:
+    """Per entity, the category with the most distinct ids (ties: the smaller category)."""
+    g = facts.groupBy(entity, category).agg(F.count_distinct(id).alias(name))
+    return latest_row(g, [entity], [(name, "desc"), category], [category, name])
+
+
+def _windows(p: ScorecardParams) -> dict[str, Column]:
+    """The date windows of the branches on the raw fact. The last compares the timestamp with the bare end date."""
+    month_end = F.date_sub(F.add_months(F.lit(p.month).cast("date"), 1), 1)
+    at = F.col("delivered_at")
+    return {
+        "in_period": date_window("delivered_at", *p.period),
+        "in_month": ((at >= F.lit(p.month).cast("date").cast("timestamp_ntz"))
+                     & (at < F.date_add(month_end, 1).cast("timestamp_ntz"))),
+        "in_bound": (at >= F.lit(p.period[0]).cast("timestamp_ntz")) & (at <= F.lit(p.period[1]).cast("timestamp_ntz")),
+    }
+
+
+LATTICE_ENTITY = ["super_clinic_id", "clinic_name", "crm_key", "state", "patient_category", "delivery_id"]
+LATTICE_ITEM = ["product_name", "brand_vs_generic", "etc_level_1", "description", "has_fee", "is_excluded_product", "attribution_area",
+                "patient_user_id"]
+
+
+def fact_lattice(fills: DataFrame, products: DataFrame, clinics: DataFrame, patients: DataFrame, p: ScorecardParams,
+                 persist: bool = True) -> DataFrame:
+    """Partial aggregates of the whole fact from one scan; see the module's docstring.
+
+    Cancelled rows and rows outside all windows have no product, and keys that are NULL for that or any other reason
+    are spread over the tasks of the joins.
+    """
+    live = F.col("canceled_at").isNull()
+    windows = {n: live & F.coalesce(c, F.lit(False)) for n, c in _windows(p).items()}
+    any_window = windows["in_period"] | windows["in_month"] | windows["in_bound"]
+    pr = products.select(
+        F.col("key").alias("p_key"), "product_name", "brand_vs_generic", "etc_level_1", "is_excluded_product",
+        F.concat(F.col("etc_level_2"), F.lit(" - "), F.coalesce("etc_level_4", "etc_level_3")).alias("description"),
+        F.coalesce("target_class", "fallback_class").ilike(p.fee_pattern).alias("has_fee"))
+    f = fills.select("delivery_id", "patient_key", "clinic_key", "delivered_at", F.when(any_window, F.col("product_key")).alias("product_key"),
+                     F.when(any_window, F.col("attribution_area")).alias("attribution_area"),
+                     F.when(any_window, M.revenue()).alias("revenue"), F.when(any_window, M.profit()).alias("profit"),
+                     *[c.alias(n) for n, c in windows.items()])
+    j = left_join_spread(spread_nulls(f, ["product_key"]), pr, [("product_key", "p_key")]).drop("_spread")
+    j = (j.join(_clinics(clinics), F.col("clinic_key") == F.col("c_key"), "left")
+         .join(_patients(patients), F.col("patient_key") == F.col("pt_key"), "left"))
+    inside = F.col("in_period") | F.col("in_month") | F.col("in_bound")
+    rows = j.select(
+        "super_clinic_id", F.lower("c_clinic_name").alias("clinic_name"), "crm_key", "state", "patient_category", "delivery_id",
+        *LATTICE_ITEM[:-1], F.when(inside, F.col("patient_user_id")).alias("patient_user_id"), *windows,
+        (inside & (month_start("delivered_at") == month_start("pt_created_at"))).alias("new_patient"), "revenue", "profit")
+    out = rows.groupBy(*LATTICE_ENTITY, *LATTICE_ITEM, *windows).agg(
+        F.count(F.lit(1)).alias("n"), F.max("new_patient").alias("new_patient"), F.max(F.col("profit") < 0).alias("negative"),
+        F.sum("profit").alias("profit"), F.count("profit").alias("profit_n"),
+        F.sum("revenue").alias("revenue"), F.count("revenue").alias("revenue_n"))
+    return staged(out, "lattice") if persist else out
+
+
+def with_category(lattice: DataFrame, clinic_ta: DataFrame) -> DataFrame:
+    """The rows of any window with their entity's dominant category."""
+    ta = clinic_ta.select(F.col("super_clinic_id").alias("ta_super_clinic_id"), F.col("patient_category").alias("clinic_ta"))
+    return (lattice.where(F.col("in_period") | F.col("in_month") | F.col("in_bound"))
+            .join(ta, F.col("super_clinic_id") == F.col("ta_super_clinic_id"), "left").drop("ta_super_clinic_id"))
 
 
 def shared_fact(fills: DataFrame, products: DataFrame, clinics: DataFrame, patients: DataFrame,
                 clinic_ta: DataFrame, p: ScorecardParams, persist: bool = True) -> DataFrame:
-    """Fact rows of every branch (not cancelled, inside any window) joined to all dimensions."""
+    """The single fact rows behind the lattice: not cancelled, inside any window, joined to all dimensions."""
     lo = min(p.period[0], p.month)
     month_end = F.date_sub(F.add_months(F.lit(p.month).cast("date"), 1), 1)
     hi_expr = F.greatest(F.lit(p.period[1]).cast("date"), month_end)
@@ -118,29 +176,26 @@ def shared_fact(fills: DataFrame, products: DataFrame, clinics: DataFrame, patie
     return staged(out, "fact") if persist else out
 
 
-def _in_period(p: ScorecardParams):
-    return date_window("delivered_at", p.period[0], p.period[1])
-
-
 def _keep_ta(p: ScorecardParams):
     return ~F.col("clinic_ta").isin(list(p.excluded_categories))
 
 
 def product_entity_kpis(fact: DataFrame, p: ScorecardParams) -> DataFrame:
-    """Per (product, entity): distinct patients / deliveries, margin, negative-margin and new-patient shares."""
-    f = fact.where(_in_period(p) & _keep_ta(p) & ~F.col("is_excluded_product")
+    """Per (product, entity): distinct patients / deliveries, margin, negative-margin and new-patient shares.
+
+    ``fact``, here and in the other branches, are lattice rows with their category.
+    """
+    f = fact.where(F.col("in_period") & _keep_ta(p) & ~F.col("is_excluded_product")
                    & ~ilike_any("product_name", p.kpi_excluded_products))
-    new_patient = month_start("delivered_at") == month_start("pt_created_at")
-    fee_cond = F.coalesce("target_class", "fallback_class").ilike(p.fee_pattern)
-    fee = F.lit(p.fee).cast("decimal(10,2)")
+    fee = F.lit(p.fee).cast("decimal(10,2)") * F.col("n").cast("decimal(18,0)")
     keys = ["product_name", "brand_vs_generic", "clinic_name", "super_clinic_id", "crm_key", "state", "clinic_ta"]
     # per (group, delivery) flags and partial sums, then counts and sums per group
     by_delivery = distinct_counts_by_flags(
         f, keys, "delivery_id",
-        flags={"np_fills": new_patient, "neg_gp_fills": F.col("profit") < 0},
-        sums={"product_service_fee": sum_if(fee_cond, fee, F.lit(0).cast("decimal(10,2)")),
-              "_profit_sum": F.sum("profit"), "_profit_n": F.count("profit"),
-              "_revenue_sum": F.sum("revenue"), "_revenue_n": F.count("revenue")},
+        flags={"np_fills": F.col("new_patient"), "neg_gp_fills": F.col("negative")},
+        sums={"product_service_fee": sum_if(F.col("has_fee"), fee, F.lit(0).cast("decimal(28,2)")),
+              "_profit_sum": F.sum("profit"), "_profit_n": F.sum("profit_n"),
+              "_revenue_sum": F.sum("revenue"), "_revenue_n": F.sum("revenue_n")},
         total="total_med_fills")
     patients = f.groupBy(*keys).agg(F.count_distinct("patient_user_id").alias("total_patients"))
     g = join_on_keys(by_delivery, patients, keys)
@@ -157,7 +212,7 @@ def product_entity_kpis(fact: DataFrame, p: ScorecardParams) -> DataFrame:
 
 def entity_totals(fact: DataFrame, p: ScorecardParams) -> DataFrame:
     """Profit and revenue per entity with only one product pattern excluded."""
-    f = fact.where(_in_period(p) & _keep_ta(p) & ~F.col("is_excluded_product")
+    f = fact.where(F.col("in_period") & _keep_ta(p) & ~F.col("is_excluded_product")
                    & ~F.col("product_name").ilike(p.money_excluded_product))
     return f.groupBy("clinic_name", "super_clinic_id").agg(
         F.sum("profit").cast(MONEY_SUM).alias("total_profit"),
@@ -166,42 +221,34 @@ def entity_totals(fact: DataFrame, p: ScorecardParams) -> DataFrame:
 
 def month_snapshot(fact: DataFrame, p: ScorecardParams) -> DataFrame:
     """One month: totals plus distinct new patients / deliveries of one product pattern."""
-    month_end = F.date_sub(F.add_months(F.lit(p.month).cast("date"), 1), 1)
-    in_month = ((F.col("delivered_at") >= F.lit(p.month).cast("date").cast("timestamp_ntz"))
-                & (F.col("delivered_at") < F.date_add(month_end, 1).cast("timestamp_ntz")))
-    f = fact.where(in_month & _keep_ta(p) & ~F.col("is_excluded_product")
+    f = fact.where(F.col("in_month") & _keep_ta(p) & ~F.col("is_excluded_product")
                    & ~F.col("product_name").ilike(p.money_excluded_product))
     hit = F.col("product_name").ilike(p.snapshot_pattern)
-    new_patient = month_start("delivered_at") == month_start("pt_created_at")
     keys = ["clinic_name", "super_clinic_id"]
     deliveries = distinct_counts_by_flags(f, keys, "delivery_id", flags={"snapshot_fills": hit},
                                           sums={"_profit": F.sum("profit"), "_revenue": F.sum("revenue")})
-    patients = distinct_counts_by_flags(f, keys, "patient_user_id", flags={"snapshot_nps": new_patient & hit})
+    patients = distinct_counts_by_flags(f, keys, "patient_user_id", flags={"snapshot_nps": F.col("new_patient") & hit})
     g = join_on_keys(deliveries, patients, keys)
     return g.select(*keys, "snapshot_nps", "snapshot_fills", F.col("_profit").cast(MONEY_SUM).alias("total_profit"),
                     F.col("_revenue").cast(MONEY_SUM).alias("total_revenue"))
 
 
-def top_n_share(kpis: DataFrame, p: ScorecardParams) -> DataFrame:
-    """Top products per entity by deliveries; the share uses the entity total *before* the cut."""
-    part = ["clinic_name", "super_clinic_id"]
-    # entity totals as a grouped sum (combined map-side) joined back, not a partition-wide window
-    totals = kpis.groupBy(*[F.col(c).alias(f"_t_{c}") for c in part]).agg(F.sum("total_med_fills").alias("total_vol"))
-    top = qualify(kpis, part, [("total_med_fills", "desc")], F.col("med_rank") <= p.top_n,
-                  tiebreak=["product_name", "brand_vs_generic"], rank_col="med_rank", keep_rank=True)
-    cond = F.col("clinic_name").eqNullSafe(F.col("_t_clinic_name")) & F.col("super_clinic_id").eqNullSafe(
-        F.col("_t_super_clinic_id"))
-    out = top.join(totals, cond, "left").drop("_t_clinic_name", "_t_super_clinic_id")
-    return out.withColumn("portion_of_vol", ratio("total_med_fills", "total_vol", 2))
+def top_n_share(kpis: DataFrame, keys: Sequence[str] = ("clinic_name", "super_clinic_id"), measure: str = "total_med_fills",
+                n: int = 5, tiebreak: Sequence[str] = ("product_name", "brand_vs_generic"), rank: str = "med_rank",
+                total: str = "total_vol", share: str = "portion_of_vol") -> DataFrame:
+    """The ``n`` rows of each key with the largest measure; the share is of the key's total *before* the cut."""
+    # totals as a grouped sum (combined map-side) joined back, not a partition-wide window
+    totals = kpis.groupBy(*keys).agg(F.sum(measure).alias(total))
+    top = qualify(kpis, list(keys), [(measure, "desc")], F.col(rank) <= n, tiebreak=list(tiebreak), rank_col=rank, keep_rank=True)
+    return join_on_keys(top, totals, list(keys)).withColumn(share, ratio(measure, total, 2))
 
 
-def topn_to_columns(top: DataFrame, p: ScorecardParams) -> DataFrame:
-    """Top products as columns ``no_1_med, no_1_med_vol, ...`` (rank i -> column i)."""
-    aggs = []
-    for i in range(1, p.top_columns + 1):
-        aggs.append(F.max(F.when(F.col("med_rank") == i, F.col("product_name"))).alias(f"no_{i}_med"))
-        aggs.append(F.max(F.when(F.col("med_rank") == i, F.col("portion_of_vol"))).alias(f"no_{i}_med_vol"))
-    return top.groupBy("clinic_name", "super_clinic_id").agg(*aggs)
+def topn_to_columns(top: DataFrame, keys: Sequence[str] = ("clinic_name", "super_clinic_id"), n: int = 3,
+                    values: dict[str, str] | None = None, rank: str = "med_rank") -> DataFrame:
+    """The first ``n`` ranks as columns; ``values``: pattern of the column's name (``no_{}_med``) -> column."""
+    values = values or {"no_{}_med": "product_name", "no_{}_med_vol": "portion_of_vol"}
+    return top.groupBy(*keys).agg(*[F.max(F.when(F.col(rank) == i, F.col(c))).alias(name.format(i))
+                                    for i in range(1, n + 1) for name, c in values.items()])
 
 
 def monthly_new_users(funnels: DataFrame, intakes: DataFrame, clinics: DataFrame, patients: DataFrame,
@@ -230,14 +277,12 @@ def product_margin_table(fact: DataFrame, p: ScorecardParams) -> DataFrame:
     The window compares the timestamp with the bare end date (so it stops at midnight of
     the last day), unlike the other branches.
     """
-    f = fact.where((F.col("delivered_at") >= F.lit(p.period[0]).cast("timestamp_ntz"))
-                   & (F.col("delivered_at") <= F.lit(p.period[1]).cast("timestamp_ntz"))
-                   & ~ilike_any("product_name", p.margin_excluded_products)
+    f = fact.where(F.col("in_bound") & ~ilike_any("product_name", p.margin_excluded_products)
                    & ~F.col("is_excluded_product")
                    & F.col("attribution_area").isin(list(p.margin_areas)))
-    description = F.concat(F.col("etc_level_2"), F.lit(" - "), F.coalesce("etc_level_4", "etc_level_3"))
-    g = f.groupBy("product_name", "brand_vs_generic", "etc_level_1", description.alias("description")).agg(
-        F.count_distinct("delivery_id").alias("num_fills"), F.avg("profit").cast("decimal(38,8)").alias("avg_gp"))
+    g = f.groupBy("product_name", "brand_vs_generic", "etc_level_1", "description").agg(
+        F.count_distinct("delivery_id").alias("num_fills"), F.sum("profit").alias("_sum"), F.sum("profit_n").alias("_n"))
+    g = g.withColumn("avg_gp", mean_from_parts("_sum", "_n", 8)).drop("_sum", "_n")
     g = g.withColumn("total_gp", F.round(F.col("num_fills") * F.col("avg_gp"), 2).cast("decimal(38,2)"))
     return g.where(F.col("num_fills") > p.min_fills)
 
@@ -279,7 +324,7 @@ def margin_bands(products_margin: DataFrame, p: ScorecardParams) -> DataFrame:
 
 def band_mix(fact: DataFrame, bands: DataFrame, p: ScorecardParams) -> DataFrame:
     """Distinct deliveries per entity in each band (unmatched products count as Other), with shares."""
-    f = fact.where(_in_period(p) & ~ilike_any("product_name", p.margin_excluded_products)
+    f = fact.where(F.col("in_period") & ~ilike_any("product_name", p.margin_excluded_products)
                    & ~F.col("is_excluded_product"))
     b = bands.select(F.col("product_name").alias("b_product_name"), "med_gp_category")
     j = f.join(b, F.col("product_name") == F.col("b_product_name"), "left")
@@ -415,13 +460,16 @@ class ScorecardParts:
 
 def build_parts(t, p: ScorecardParams = ScorecardParams(), persist: bool = True) -> ScorecardParts:
     """All intermediate frames; ``t[name]`` gives an input DataFrame."""
-    ta = dominant_category(t["fills"], t["patients"], t["clinics"])
-    fact = shared_fact(t["fills"], t["products"], t["clinics"], t["patients"], ta, p, persist)
+    lattice = fact_lattice(t["fills"], t["products"], t["clinics"], t["patients"], p, persist)
+    ta = dominant_category(lattice)
+    if persist:
+        ta = staged(ta, "dominant-category")       # one row an entity, read by every branch
+    fact = with_category(lattice, ta)
     kpis = product_entity_kpis(fact, p)
     if persist:
-        # one row per (product, entity), read by four branches: aggregate the fact once
+        # one row per (product, entity), read by four branches
         kpis = staged(kpis, "kpis")
-    top = top_n_share(kpis, p)
+    top = top_n_share(kpis, n=p.top_n)
     pm = product_margin_table(fact, p)
     if persist:
         # one row per product, read by the three top-n lists and the labelling join
@@ -429,7 +477,7 @@ def build_parts(t, p: ScorecardParams = ScorecardParams(), persist: bool = True)
     bands = margin_bands(pm, p)
     return ScorecardParts(
         clinic_ta=ta, fact=fact, kpis=kpis, money=entity_totals(fact, p), snapshot=month_snapshot(fact, p),
-        top=top, top_cols=topn_to_columns(top, p),
+        top=top, top_cols=topn_to_columns(top, n=p.top_columns),
         pivot=monthly_pivot(t["funnels"], t["intakes"], t["clinics"], t["patients"], p),
         product_margin=pm, bands=bands, mix=band_mix(fact, bands, p),
         basket=basket_size(t["rx_groups"], t["intakes"], t["clinics"], p),

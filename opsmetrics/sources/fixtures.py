@@ -179,7 +179,9 @@ select o.o_custkey as user_id,
        'v-' || p.p_brand as version_name,
        'cg-' || p.p_type as compatibility_group_name,
        split_part(p.p_name, ' ', 2) as product_category_name,
-       p.p_type || ' ' || split_part(p.p_name, ' ', 2) as product_style_name,
+       p.p_type || ' ' || split_part(p.p_name, ' ', 2)
+           || case split_part(p.p_name, ' ', 2) when 'ring' then ' Jacket' when 'bolt' then ' shirt' when 'rod' then ' Pant' else '' end
+           as product_style_name,
        p.p_type as product_style_code,
        o.o_orderpriority as shipment_type_name,
        split_part(p.p_name, ' ', 1) as sku_category_name,
@@ -306,17 +308,47 @@ from {lineitem} l join {supplier} s on s.s_suppkey = l.l_suppkey
 """)
 
 # scan log with barcode swaps: an order's barcode is swapped to the customer's next order
-# (by date, then key); a customer's last order is a plain receipt scan. Split into a live
-# and an archive table by date.
+# (by date, then key); a customer's last order is a plain receipt scan. Some pending orders are also
+# swapped back (a cycle), to the order after the next (a fork), to themselves (a self-loop), or to the
+# consolidation barcode of the customer's nation (a hub), which goes on to the nation's first and last order.
+# Split into a live and an archive table by date.
+view("order_steps", """
+select o_orderkey, cast(o_orderkey as string) as hu_id, o_orderdate, o_orderpriority, o_orderstatus, o_custkey,
+       cast(lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as string) as next_id,
+       lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as next_date,
+       cast(lead(o_orderkey, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) as string) as second_id
+from {orders}
+""")
+
+view("nation_ends", """
+select c.c_nationkey, min(o.o_orderkey) as first_key, max(o.o_orderkey) as last_key
+from {orders} o join {customer} c on c.c_custkey = o.o_custkey
+group by c.c_nationkey
+""")
+
 view("swap_log", """
-select hu_id, hu_id_2, end_tran_date, tran_log_id,
-       case when hu_id_2 is null then 'receive' else 'swap' end as tran_type
-from (select cast(o_orderkey as string) as hu_id,
-             cast(lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as string) as hu_id_2,
-             coalesce(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey), o_orderdate)
-                 as end_tran_date,
-             o_orderkey as tran_log_id
-      from {orders}) t
+select hu_id, next_id as hu_id_2, coalesce(next_date, o_orderdate) as end_tran_date, o_orderkey as tran_log_id,
+       case when next_id is null then 'receive' else 'swap' end as tran_type
+from {order_steps}
+union all
+select next_id, hu_id, next_date, 10000000 + o_orderkey, 'swap'
+from {order_steps} where next_id is not null and o_orderstatus = 'P' and o_orderpriority = '1-URGENT'
+union all
+select hu_id, second_id, next_date, 20000000 + o_orderkey, 'swap'
+from {order_steps} where second_id is not null and o_orderstatus = 'P' and o_orderpriority = '2-HIGH'
+union all
+select hu_id, hu_id, o_orderdate, 30000000 + o_orderkey, 'swap'
+from {order_steps} where o_orderstatus = 'P' and o_orderpriority = '3-MEDIUM'
+union all
+select s.hu_id, 'hub-' || cast(c.c_nationkey as string), s.o_orderdate, 40000000 + s.o_orderkey, 'swap'
+from {order_steps} s join {customer} c on c.c_custkey = s.o_custkey
+where s.o_orderstatus = 'P' and s.o_orderpriority = '5-LOW'
+union all
+select 'hub-' || cast(c_nationkey as string), cast(first_key as string), cast('1999-06-01' as timestamp), 50000000 + c_nationkey, 'swap'
+from {nation_ends}
+union all
+select 'hub-' || cast(c_nationkey as string), cast(last_key as string), cast('2000-06-01' as timestamp), 60000000 + c_nationkey, 'swap'
+from {nation_ends}
 """)
 
 view("scan_live", """
@@ -335,11 +367,23 @@ join {orders} o on o.o_orderkey = l.l_orderkey
 join {part} p on p.p_partkey = l.l_partkey
 """)
 
-# support tickets = documents about an order (order key = document id), whole texts
+# support tickets = documents about an order (order key = document id): the whole text and a remark that
+# follows from the order and the customer
 view("tickets", """
-select d.doc_id as order_id, o.o_custkey as user_id, d.text as ticket_comments,
+select d.doc_id as order_id, o.o_custkey as user_id,
+       d.text || case when o.o_orderpriority = '1-URGENT' and c.c_mktsegment = 'BUILDING' then ' The seam has a TEAR.'
+                      when o.o_orderpriority = '1-URGENT' and c.c_mktsegment = 'MACHINERY' then ' Was stolen from the porch.'
+                      when o.o_orderpriority = '1-URGENT' then ' It came wrinkled.'
+                      when o.o_orderpriority = '2-HIGH' and o.o_orderstatus = 'F' then ' Jacket Sleeve Tailoring asked for.'
+                      when o.o_orderpriority = '2-HIGH' then ' Please extend it.'
+                      when o.o_orderpriority = '3-MEDIUM' and o.o_orderstatus = 'F' then ' Not received, lost.'
+                      when o.o_orderpriority = '3-MEDIUM' then ' This is the WRONG colour.'
+                      when o.o_orderpriority = '4-NOT SPECIFIED' and o.o_orderstatus = 'F' then ' Returned to sender.'
+                      when o.o_orderpriority = '4-NOT SPECIFIED' then ' The jacket only.'
+                      when o.o_orderpriority = '5-LOW' and o.o_orderstatus = 'F' then ' The pants only.'
+                      else '' end as ticket_comments,
        case d.lang when 'en' then 'replacement' when 'fr' then 'Replace item' else 'refund' end as request_type
-from {documents} d join {orders} o on o.o_orderkey = d.doc_id
+from {documents} d join {orders} o on o.o_orderkey = d.doc_id join {customer} c on c.c_custkey = o.o_custkey
 """)
 
 

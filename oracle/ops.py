@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from oracle.replacements import CTES as R_CTES
 from oracle.sqlfn import avg_round, ratio
-from opsmetrics.plans.catalog_ops import LINE_TIE
 from opsmetrics.sources.fixtures import with_query
 
 
+#: Tie order of order lines: every column.
+LINE_TIE = """l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_tax l_returnflag
+    l_linestatus l_shipdate""".split()
+
+
 def _asc(cols):
     return ", ".join(f"{c} asc nulls last" for c in cols)
 
 
-_CHAIN = [c for c in R_CTES if c[0] in ("r_swaps", "r_clean", "r_paths")]
+_CHAIN = [c for c in R_CTES if c[0] in ("r_clean", "r_paths")]
 _SCANS = ["scan_live", "scan_archive"]
 
 NAME_TOTALS = """
@@ -37,7 +41,7 @@ SQL = {
     "scan_table": "select * from orders",
     "project_alias": "select l_orderkey as delivery_id, l_partkey as product_key, l_shipdate as delivered_at from lineitem",
     "project_star": "select o.*, c.c_name from orders o left join customer c on c.c_custkey = o.o_custkey",
-    "project_const": "select n_nationkey, n_name, 'showroom Associate' as role from nation",
+    "project_const": "select n_nationkey, n_name, 'member' as role from nation",
     "alias_reuse": f"""
         select *, {ratio('disc_fills', 'fills', 4)} as disc_rate from (
             select l_returnflag, count(distinct l_orderkey) as fills,
@@ -106,7 +110,7 @@ SQL = {
     "join_on_left_pred": """
         select o_orderkey, o_orderstatus, c_name from orders
         left join customer on c_custkey = o_custkey and o_orderstatus = 'F'""",
-    "join_residual_self": with_query(_SCANS, _CHAIN[:2], """
+    "join_residual_self": with_query(_SCANS, _CHAIN[:1], """
         select s.tran_log_id as id0, s1.tran_log_id as id1 from r_clean s
         left join r_clean s1 on s1.barcode = s.hu_id_2 and s1.barcode != s.barcode"""),
     "join_chain_walk": with_query(_SCANS, _CHAIN, "select * from r_paths"),
@@ -124,6 +128,13 @@ SQL = {
         select r_name, count(distinct c_mktsegment) as segments, count(*) as rows from region
         left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey
         group by r_name""",
+    "join_eager_counts": """
+        select o_orderpriority, count(distinct o_custkey) as o_custkey, count(distinct l_suppkey) as l_suppkey,
+               count(*) as lines
+        from orders left join lineitem on l_orderkey = o_orderkey group by o_orderpriority""",
+    "join_null_key_spread": """
+        select c_custkey, case when c_nationkey >= 8 then c_nationkey end as nk, n_name
+        from customer left join nation on n_nationkey = c_nationkey and c_nationkey >= 8""",
     "join_range_where": """
         select o.o_orderkey from orders o
         left join (select o_custkey, min(o_orderdate) as first_order from orders group by o_custkey) f
@@ -167,6 +178,13 @@ SQL = {
             select c_nationkey, o_orderpriority, count(distinct o_custkey) as customers
             from orders join customer on c_custkey = o_custkey group by c_nationkey, o_orderpriority) t
         group by c_nationkey""",
+    "agg_rollup_bitmap": """
+        select c_nationkey, cast(sum(n) as bigint) as customer_sum, any_value(customers) as customers
+        from (select c_nationkey, o_orderpriority, count(distinct o_custkey) as n
+              from orders join customer on c_custkey = o_custkey group by all) f
+        join (select c_nationkey, count(distinct o_custkey) as customers
+              from orders join customer on c_custkey = o_custkey group by all) t using (c_nationkey)
+        group by c_nationkey""",
     "agg_having": """
         select c_nationkey, c_mktsegment, count(*) as n from customer group by c_nationkey, c_mktsegment
         having count(*) > 12 and c_mktsegment not in ('HOUSEHOLD')""",
@@ -260,7 +278,10 @@ SQL = {
     "topk_global": f"""
         select l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem
         order by l_extendedprice desc nulls first, {_asc(LINE_TIE)} limit 20""",
-    "union_all": with_query(_SCANS, _CHAIN[:1], "select * from r_swaps"),
+    "union_all": with_query(_SCANS, [], """
+        select hu_id, hu_id_2, end_tran_date, tran_log_id from scan_live where tran_type = 'swap'
+        union all
+        select hu_id, hu_id_2, end_tran_date, tran_log_id from scan_archive where tran_type = 'swap'"""),
     "fn_lower": "select c_custkey, lower(c_name) as name from customer",
     "fn_trim": "select c_custkey, trim('  ' || c_mktsegment || ' ') as seg from customer",
     "fn_right": """
@@ -290,7 +311,9 @@ SQL = {
     "fn_least_greatest": """
         select l_orderkey, l_linenumber, l_partkey,
                least(l_partkey, nullif(l_suppkey, 0), case when l_returnflag = 'R' then l_orderkey end) as lo,
-               greatest(l_partkey, nullif(l_suppkey, 0), case when l_returnflag = 'R' then l_orderkey end) as hi
+               greatest(l_partkey, nullif(l_suppkey, 0), case when l_returnflag = 'R' then l_orderkey end) as hi,
+               list_min([if(l_linenumber > k, l_orderkey + k * (l_partkey - l_suppkey), 99999999) for k in range(7)]) as first_id,
+               list_max([if(l_linenumber > k, l_orderkey + k * (l_partkey - l_suppkey), 0) for k in range(7)]) as last_id
         from lineitem""",
     "fn_arith": """
         select l_orderkey, l_linenumber, l_partkey,
