@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsmetrics.operators.aggregates import join_on_keys
+
 #: NULL keys are dealt over so many values.
 SALTS = 1024
 
@@ -41,12 +43,18 @@ def join_counts(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
     ``group`` are columns of the left side, ``distinct`` of either. Both sides are first reduced to one row for
     each combination of the columns that matter, with its number of rows; the join multiplies these numbers, so
     it never makes more rows than there are different combinations. Distinct counts don't see
-    multiplicities, and the number of joined rows is the sum of the products.
+    multiplicities, and the number of joined rows is the sum of the products. At least one group and one distinct column.
     """
     ours = [c for c in left.columns if c in {*group, *distinct, *(a for a, _ in on)}]
     theirs = [c for c in right.columns if c in {*distinct, *(b for _, b in on)}]
     joined = reduced_join(with_multiplicity(left.select(*ours)), with_multiplicity(right.select(*theirs)), on, how)
-    return joined.groupBy(*group).agg(*[F.count_distinct(d).alias(d) for d in distinct], F.sum("_m").alias(rows))
+    # one column at a time, so no row is copied for each distinct count
+    out = None
+    for d in distinct:
+        counts = (joined.groupBy(*group, F.col(d).alias("_d")).agg(F.sum("_m").alias("_m")).groupBy(*group)
+                  .agg(F.count("_d").alias(d), *([F.sum("_m").alias(rows)] if out is None else [])))
+        out = counts if out is None else join_on_keys(out, counts, group)
+    return out.select(*group, *distinct, rows)
 
 
 def with_multiplicity(df: DataFrame, name: str = "_m") -> DataFrame:

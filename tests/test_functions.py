@@ -67,10 +67,12 @@ def test_no_python_udf_in_plans(spark):
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
 
 
-def test_qualify_uses_group_limit(spark):
+def test_qualify_plans(spark):
+    """The latest row per key is one mergeable aggregate without a window; a top-n has a limit per group before its shuffle."""
     import __spark_entry__ as E
-    plan = E.core_queries()["qualify_first"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    plan = lambda q: E.core_queries()[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan("qualify_first") and "partial_m" in plan("qualify_first")
+    assert "WindowGroupLimit" in plan("qualify_topn")
 
 
 def test_deterministic_across_partitioning(spark):
