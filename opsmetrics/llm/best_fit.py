@@ -10,15 +10,12 @@ bulk-synchronous best-fit:
    the runs (a partial count in each task) and ranks the pieces inside a run: by a hash bucket
    and a place in it, with the bucket totals as offsets, so a length that a third of all
    documents share is ranked by many tasks.
-2. *Successor sweep.* One ascending pass over both lists: each gap takes the longest pieces not
-   longer than it that are still free.
+2. *Successor sweep.* A round takes a band of lengths, the longest left down to 1 / ``BAND`` less, and all gaps.
+   One ascending pass over both lists: each gap, the smallest first, takes the longest piece of the band that fits and is free.
 3. *Conflicts by rank.* Where more pieces than gaps compete, or more gaps than pieces, the first
    ranks get the first gaps; the rest stay for the next gap or the next round.
-4. *Update.* Taken gaps shrink and take part in the next round. When nothing fits, the longest
-   free pieces open as many new sequences as the volume left needs.
-
-Rounds of all lengths at once and rounds of one length after the other are both planned, and the plan
-with fewer sequences is taken.
+4. *Update.* Taken gaps shrink and take part in the next round. Pieces longer than any gap open new
+   sequences, as many as their volume needs. A band is swept until it is placed, then comes the next one.
 
 The rounds yield placements of whole rank ranges (length, first rank, count, first sequence,
 offset). Every piece finds its own by a join on its length and a block of ranks; the placements
@@ -31,7 +28,6 @@ each; an empty table gives no sequence; extra columns are ignored, whatever thei
 
 from __future__ import annotations
 
-import bisect
 import zlib
 
 import numpy as np
@@ -43,6 +39,8 @@ from opsmetrics.llm.common import cut, stored
 from opsmetrics.llm.library_words import words
 
 CAPACITY = 2048
+#: A round's lengths differ by this part of the longest at most: of wider bands short pieces take gaps that longer ones would fill.
+BAND = 32
 #: Ranks in one block of the placement join.
 RANK_BLOCK = 512
 
@@ -107,72 +105,40 @@ class Layout:
         self.sequences += n
 
 
-def rounds_of_all(counts: dict[int, int], capacity: int) -> Layout:
-    """Rounds in which the pieces of all lengths take part, each gap taking at most one."""
+def sweep(x: Layout, low: int) -> None:
+    """One pass upwards over the pieces and gaps from length ``low`` on: every gap takes at most one piece, the longest that fits and is free."""
+    after = {space: ranges for space, ranges in x.gaps.items() if space < low}
+    waiting: list[int] = []                                # the lengths passed and not used up
+    for size in sorted(s for s in {*x.left, *x.gaps} if s >= low):
+        if size in x.left:
+            waiting.append(size)
+        for first, n in x.gaps.get(size, ()):
+            while n and waiting:
+                k = min(n, x.left[waiting[-1]])
+                x.put(waiting[-1], k, first, size, after)
+                if waiting[-1] not in x.left:
+                    waiting.pop()
+                first, n = first + k, n - k
+            if n:
+                after.setdefault(size, []).append((first, n))
+    x.gaps = after
+
+
+def rounds(counts: dict[int, int], capacity: int, band: int = BAND) -> Layout:
+    """All rounds: bands of lengths from the longest down, sweeps over each until it is placed."""
     x = Layout(counts, capacity)
-    for size in sorted((s for s in x.left if 2 * s > capacity), reverse=True):   # no two of these share a sequence
-        x.open_new(size, x.left[size])
     while x.left:
-        # new sequences, by the longest pieces, for what all gaps together can't take and for
-        # what is longer than any gap
-        short = sum(s * n for s, n in x.left.items()) - sum(s * n for s, g in x.gaps.items() for _, n in g)
-        widest = max(x.gaps, default=0)
-        stuck = sum(s * n for s, n in x.left.items() if s > widest)
-        opened = -(-max(short, stuck, 0) // capacity)
-        while opened > 0 and x.left:
-            size = max(x.left)
-            n = min(opened, x.left[size])
-            x.open_new(size, n)
-            opened -= n
-        # one sweep: ascending over both lists, a stack of the runs passed and not used up
-        after: dict[int, list[tuple[int, int]]] = {}
-        stack: list[int] = []
-        for size in sorted({*x.left, *x.gaps}):
-            if size in x.left:
-                stack.append(size)
-            for first, n in x.gaps.get(size, ()):
-                while n and stack:
-                    top = stack[-1]
-                    k = min(n, x.left[top])
-                    x.put(top, k, first, size, after)
-                    if top not in x.left:
-                        stack.pop()
-                    first, n = first + k, n - k
-                if n:
-                    after.setdefault(size, []).append((first, n))
-        x.gaps = after
-    return x
-
-
-def rounds_by_length(counts: dict[int, int], capacity: int) -> Layout:
-    """Rounds in which the pieces of one length take part, the longest first."""
-    x = Layout(counts, capacity)
-    order: list[int] = []                              # the sizes of gaps, ascending
-    for size in sorted(x.left, reverse=True):
-        while size in x.left:
-            at = bisect.bisect_left(order, size)
-            if at == len(order):
-                x.open_new(size, -(-x.left[size] // (capacity // size)))
-                space = capacity - size
-            else:
-                space = order.pop(at)                  # the successor: the smallest gap that takes the length
-                ranges, after = x.gaps.pop(space), {}
-                for k, (first, n) in enumerate(ranges):
-                    if size not in x.left:
-                        x.gaps[space] = ranges[k:]
-                        break
-                    took = min(n, x.left[size])
-                    x.put(size, took, first, space, after)
-                    if took < n:
-                        x.gaps[space] = [(first + took, n - took), *ranges[k + 1:]]
-                        break
-                for s, r in after.items():
-                    x.gaps.setdefault(s, []).extend(r)
-                if space in x.gaps:
-                    bisect.insort(order, space)
-                space -= size
-            if space in x.gaps and (at := bisect.bisect_left(order, space)) == len(order) or space in x.gaps and order[at] != space:
-                bisect.insort(order, space)
+        low = max(x.left) - max(x.left) // band
+        while x.left and max(x.left) >= low:
+            sweep(x, low)
+            # pieces longer than any gap open new sequences: each its own if no two fit together, else as many as their volume needs
+            stuck = sorted((s for s in x.left if s >= low and s > max(x.gaps, default=0)), reverse=True)
+            room = -(-sum(s * x.left[s] for s in stuck) // capacity)
+            for s in stuck:
+                n = x.left[s] if 2 * s > capacity else min(room, x.left[s])
+                if n > 0:
+                    x.open_new(s, n)
+                    room -= n
     return x
 
 
@@ -180,11 +146,10 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     """Placements (length, first rank, count, first sequence, offset) and the number of sequences.
 
     ``counts``: pieces of each length from 1 to ``capacity``. Works on runs only: its cost depends
-    on the number of different lengths, not on the number of pieces. Of the two kinds of rounds the
-    one that needs fewer sequences is taken.
+    on the number of different lengths, not on the number of pieces.
     """
-    best = min((rounds_of_all(counts, capacity), rounds_by_length(counts, capacity)), key=lambda x: x.sequences)
-    return best.placed, best.sequences
+    x = rounds(counts, capacity)
+    return x.placed, x.sequences
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, block: int = RANK_BLOCK) -> DataFrame:

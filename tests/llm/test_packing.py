@@ -1,5 +1,6 @@
 """Best-fit packing: every piece placed once, gapless, and close to the least number of sequences."""
 
+import bisect
 import zlib
 from collections import defaultdict
 
@@ -57,6 +58,25 @@ def test_plans_are_valid_and_tight(counts):
     assert n <= first_fit_decreasing(counts, 64) + 1 + n // 20
 
 
+def best_fit_decreasing(counts, capacity):
+    """One piece after the other, the longest first, into the smallest gap that takes it."""
+    free, n = [], 0
+    for size in sorted((s for s, c in counts.items() for _ in range(c)), reverse=True):
+        at = bisect.bisect_left(free, size)
+        n += at == len(free)
+        space = (free.pop(at) if at < len(free) else capacity) - size
+        bisect.insort(free, space)
+    return n
+
+
+def test_rounds_pack_as_well_as_one_piece_after_the_other():
+    rng = np.random.default_rng(2)
+    for mean, n in ((6.3, 4000), (5.0, 8000), (7.0, 2000)):
+        sizes, c = np.unique(np.clip(np.exp(rng.normal(mean, 0.8, n)).astype(int), 1, 2048), return_counts=True)
+        counts = dict(zip(sizes.tolist(), c.tolist()))
+        assert fill(counts, 2048) <= 1.001 * best_fit_decreasing(counts, 2048) + 1
+
+
 def test_plan_size_does_not_grow_with_the_counts():
     rng = np.random.default_rng(1)
     sizes, n = np.unique(np.clip(np.exp(rng.normal(6.3, 1.0, 5000)).astype(int), 1, 2048), return_counts=True)
