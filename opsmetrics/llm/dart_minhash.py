@@ -25,24 +25,29 @@ of the pairs left, those whose ends are not connected yet; none is skipped by a
 pairs with a similarity of ``THRESHOLD`` or more. Classes are their connected components, found by
 large-star and small-star steps.
 
-*Further rounds.* A link whose ends both differ from their leaders would be lost so far. Ends of
-such a link meet in about eight of the twenty buckets, and these then hold members that are
-not connected. Such buckets get ``LEADERS`` new leaders in each round, among them the member with the
-most links so far. Nodes in two of them or more are also dealt anew, into ``FINE_TABLES`` finer
-buckets of ``FINE_ROWS`` coordinates drawn afresh in each round; a fine bucket holds few besides the
-most similar. These ``ROUNDS`` rounds only leave less to the exact step.
-
-*Exact step.* All members of buckets that still hold unconnected members are joined on prefixes of
-their weighted sets. In an order of the shingles that is the same for all texts (those of the fewest classes
-first), the lighter text of a pair keeps shingles until what follows weighs less than 2t / (1 + t)
-of the whole, the heavier one until it weighs less than t of the whole, where t is the threshold; a
-pair with a similarity of t or more has a shingle in both. No text of a family below the threshold
-meets the others by the shingles of their template, if they weigh the same. Pairs within a class
-are not made. Lost are only links whose ends share no bucket (3 in 100,000 at a similarity of 0.8,
-fewer above) or whose signatures agree on less than ``LEAST_AGREEMENT``.
-
-Hot buckets, sets, leaders and shingles are split: minima and counts over a key are taken per (key,
-salt), then over the key, and brought back the same way.
+*Exact step.* A link whose ends both differ from their leaders is lost so far. Its ends meet in about
+eight of the twenty buckets, and these then hold members that are not connected. All nodes of such
+buckets take part in an exact join, whose rows follow the classes rather than their members:
+
+1. The members of a class with about the same total weight are a group; its union takes each shingle with its largest
+   weight among them. What two texts share, their groups' unions share at least; so of a link between two groups, where t
+   is the threshold, the unions share t / (1 + t) of the lightest members' summed weights or more. Unions are joined by
+   prefixes: in an order of the shingles that is the same for all (those of the fewest groups first), a union keeps
+   shingles until what follows weighs less than a link needs, and a pair of unions meets in a shingle only if what follows
+   it in both weighs enough (the first shingle that they share passes).
+2. Of each pair of groups that meets in a shingle one member with that shingle each is verified, and what is linked
+   becomes one class.
+3. For the pairs still apart that have more members the weight that a group shares with the union of the other's class is summed up; few share
+   enough for a link.
+4. The members of those are joined by prefixes in the same way: first ``FEW`` of a group for each shingle, which connect most of
+   what can be connected, then all members of the groups still apart. All these pairs are verified.
+
+Pairs within a class are never made, and a text outside a large class meets the unions of its groups, not its members.
+Lost are only links whose ends share no bucket (3 in 100,000 at a similarity of 0.8, fewer above) or whose signatures
+agree on less than ``LEAST_AGREEMENT``.
+
+Hot buckets, sets and shingles are split: minima and counts over a key are taken per (key, salt), then over
+the key, and brought back the same way. A text that many others are compared with is sent to ``SALTS`` tasks at most, once each.
 
 Cases: null text counts as empty; texts without words are one class. Rows with equal text share
 a class; ids must be unique integers and not null (a null id forms no link and is its own class,
@@ -51,12 +56,13 @@ null, and not kept). An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsmetrics.llm.common import KEPT_CHARS, cut, held, stored
@@ -68,11 +74,16 @@ ROWS = 4
 #: Pairs whose signatures agree on a smaller share than this are dropped: 4.5 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.6
 SALTS = 64
-FINE_TABLES, FINE_ROWS, LEADERS = 24, 12, 3
-#: Further rounds before the exact step.
-ROUNDS = 2
-#: Shingles in more prefixes than this are dealt over ``SALTS`` tasks.
+#: Shingles of more groups than this are dealt over ``SALTS`` tasks.
 HOT_SHINGLE = 500
+#: Members of a class whose total weights differ by this factor at most share a group.
+GROUP = 1.02
+#: Shingles of a union that as many groups have are cut into so many cells for the weight that follows them.
+CELLS = 1024
+#: Members of a group that stand for it at first, for each shingle.
+FEW = 8
+#: Rows of an Arrow batch: texts are long.
+BATCH_ROWS = 1000
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -183,17 +194,6 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
     return out
 
 
-def similarity(a: str | None, b: str | None, table: WordHashes) -> float:
-    """Weighted Jaccard similarity of two whole texts' shingles; 1 for two texts without words."""
-    doc, s, w = elements([a, b], table)
-    if not len(doc):
-        return 1.0
-    n = int((doc == 0).sum())
-    both, ia, ib = np.intersect1d(s[:n], s[n:], assume_unique=True, return_indices=True)
-    least = float(np.minimum(w[:n][ia], w[n:][ib]).sum()) if len(both) else 0.0
-    return least / (float(w.sum()) - least)
-
-
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, two 64-bit hashes of its multiset, one byte of each coordinate, and a hash of each band."""
     k = bands * rows
@@ -240,41 +240,11 @@ def least_of_key(df: DataFrame, keys: list[str], values: dict[str, Column], of:
     return dealt.join(back, [*keys, "_salt"]).drop("_salt")
 
 
-def led_by(members: DataFrame, links: DataFrame | None = None, number: int = 0, masked: int = 1) -> DataFrame:
-    """(bucket, v, lead) of buckets with two members or more.
-
-    Leaders are the smallest ids under ``masked`` masks of the bucket's own and, if there are links,
-    the member with the most links so far, which often is the text that the others are copies of.
-    """
-    masks = [F.xxhash64("bucket", F.lit(number), F.lit(k)) for k in range(masked)]
-    values = {f"lead{k}": F.col("v").bitwiseXOR(m) for k, m in enumerate(masks)}
-    leads = [F.col(f"lead{k}").bitwiseXOR(m) for k, m in enumerate(masks)]
-    if links is not None:
-        degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
-        members = members.join(degree, "v", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        values["hub"] = F.struct(-F.col("degree"), F.col("v").alias("v"))
-        leads.append(F.col("hub.v"))
-    led = least_of_key(members, ["bucket"], values, "v", least_rows=2)
-    return led.select("bucket", "v", F.explode(F.array_distinct(F.array(*leads))).alias("lead"))
-
-
-def fine_buckets(marks: DataFrame, number: int, tables: int = FINE_TABLES, rows: int = FINE_ROWS) -> DataFrame:
-    """(v, bucket) of nodes (v, marks): hashes of ``rows`` coordinates, drawn anew for each table and round."""
-    def run(it):
-        for b in it:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column("marks").to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.uint64)
-            keys = np.empty((b.num_rows, tables), np.uint64)
-            for t in range(tables):
-                chosen = np.random.default_rng([number, t]).choice(sig.shape[1], rows, replace=False)
-                h = np.full(b.num_rows, number * tables + t + 1, np.uint64)
-                for c in chosen:
-                    h = mix(h * _MULTIPLIERS[0] + sig[:, c])
-                keys[:, t] = h
-            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=["v", "buckets"])
-
-    return marks.select("v", "marks").mapInArrow(run, "v bigint, buckets array<bigint>").select("v", F.explode("buckets").alias("bucket"))
+def led_by(members: DataFrame) -> DataFrame:
+    """(bucket, v, lead) of buckets with two members or more; the leader is the smallest id under a mask of the bucket's own."""
+    mask = F.xxhash64("bucket", F.lit(0))
+    led = least_of_key(members, ["bucket"], {"lead": F.col("v").bitwiseXOR(mask)}, "v", least_rows=2)
+    return led.select("bucket", "v", F.col("lead").bitwiseXOR(mask).alias("lead"))
 
 
 def agreeing(pairs: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
@@ -293,23 +263,55 @@ def agreeing(pairs: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar. ``texts``: (v, text), one row for each node."""
-    def run(it):
-        table = words()
-        for b in cut(it, "text_b", 1_500_000):
-            keep = pa.array([similarity(x, y, table) >= threshold for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
-
-    both = (pairs.select("a", "b")
-            .join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    """The pairs (a, b) whose whole texts are similar. ``texts``: (v, text), one row for each node.
 
+    A task gets the text of an ``a`` once, before the texts of its ``b``.
+    """
+    n = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("_salt"))
+    others = dealt.join(texts.select(F.col("v").alias("b"), "text"), "b").select("a", "_salt", "b", "text")
+    firsts = (dealt.select("a", "_salt").distinct().join(texts.select(F.col("v").alias("a"), "text"), "a")
+              .select("a", "_salt", F.lit(None).cast("bigint").alias("b"), "text"))
+    rows = (firsts.unionByName(others).repartition(n, "a", "_salt")
+            .sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first()))
 
-def open_buckets(led: DataFrame, root: DataFrame) -> DataFrame:
-    """(bucket, v) of the buckets whose members aren't all connected."""
+    def run(it):
+        table = words()
+        first = np.zeros(0, np.uint64), np.zeros(0, np.int64)            # shingles and weights of the last text of an a
+        for batch in cut(it, size=1_500_000):
+            n = batch.num_rows
+            doc, element, weight = elements(batch.column("text").to_pylist(), table)
+            total = np.bincount(doc, weight, n)
+            begin = np.searchsorted(doc, np.arange(n + 1))
+            heads = np.flatnonzero(batch.column("b").is_null().to_numpy(zero_copy_only=False))
+            keep = np.zeros(n, bool)
+            for head, i, j in zip([-1, *heads.tolist()], [0, *(heads + 1).tolist()], [*heads.tolist(), n]):
+                if head >= 0:
+                    part = slice(begin[head], begin[head + 1])
+                    first = element[part].copy(), weight[part].copy()
+                if i < j:
+                    part = slice(begin[i], begin[j])
+                    both = shared(*first, doc[part] - i, element[part], weight[part], j - i)
+                    union = first[1].sum() + total[i:j] - both
+                    keep[i:j] = (both >= threshold * union) | (union == 0)
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return rows.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint")
+
+
+def shared(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, others: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """What a text (sorted shingles, weights) shares with each of ``n`` other texts (doc, others, weights)."""
+    if not len(element):
+        return np.zeros(n)
+    at = np.minimum(np.searchsorted(element, others), len(element) - 1)
+    return np.bincount(doc, np.where(element[at] == others, np.minimum(weight[at], weights), 0), n)
+
+
+def open_nodes(led: DataFrame, root: DataFrame) -> DataFrame:
+    """(v) of the buckets whose members aren't all connected."""
     open_ = rooted(rooted(led, root, "v"), root, "lead").filter("root_v <> root_lead").select("bucket").distinct()
-    return stored(led.join(open_, "bucket", "left_semi").select("v", "bucket"), "open-buckets")
+    return led.join(open_, "bucket", "left_semi").select("v").distinct()
 
 
 def weighted_sets(texts: DataFrame) -> DataFrame:
@@ -325,116 +327,193 @@ def weighted_sets(texts: DataFrame) -> DataFrame:
     return texts.select("v", "text").mapInArrow(run, "v bigint, element bigint, weight bigint, total bigint")
 
 
-def prefix_pairs(texts: DataFrame, root: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of different classes that have a shingle in both prefixes: all pairs of the threshold or more among them.
+def class_sets(texts: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members' sets (v, g, element, weight, total), and the unions of the groups.
 
-    A shingle's rows of its most frequent class are paired with the others' only.
+    A group g is the members of a class with about the same total weight, named after its smallest member. Unions: (g, root,
+    element, weight, v, groups, left, size, least, most, alone) for each shingle of two classes or more: its
+    largest weight, a member that has it, the number of groups that have it, what the group's shingles from its cell on
+    weigh, how many rows the group has here, the smallest and largest total weight of its members, and whether there is but one.
+    """
+    rows = rooted(weighted_sets(texts), root, "v").withColumnRenamed("root_v", "root")
+    rows = stored(rows.withColumn("band", F.floor(F.log("total") / math.log(GROUP))), "weighted-sets")
+    groups = stored(rows.groupBy("root", "band").agg(F.min("v").alias("g"), F.min("total").alias("least"), F.max("total").alias("most"),
+                                                    (F.min("v") == F.max("v")).alias("alone")), "groups")
+    members = rows.join(groups.select("root", "band", "g"), ["root", "band"]).select("v", "g", "root", "element", "weight", "total")
+    some = F.min(F.struct(F.xxhash64("v", "element").alias("h"), F.col("v").alias("v")))["v"]
+    unions = members.groupBy("g", "root", "element").agg(F.max("weight").alias("weight"), some.alias("v"))
+    counts = (unions.groupBy("element").agg(F.count(F.lit(1)).alias("groups"), F.min("root").alias("low"), F.max("root").alias("high"))
+              .filter("low < high").select("element", "groups"))
+    common = unions.join(counts, "element").withColumn("cell", F.pmod(F.xxhash64("element"), F.lit(CELLS)).cast("int"))
+    cells = common.groupBy("g", "groups", "cell").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    # one row for each cell that a group has, not for each shingle; from the last shingles of the order up
+    after = Window.partitionBy("g").orderBy(F.desc("groups"), F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.select("g", "groups", "cell", F.sum("w").over(after).alias("left"), F.sum("n").over(Window.partitionBy("g")).alias("size"))
+    cells = cells.join(groups.select("g", "least", "most", "alone"), "g")
+    unions = common.join(cells, ["g", "groups", "cell"]).drop("cell")
+    return members, stored(unions, "unions")
+
+
+def class_pairs(unions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(small, large, class, need, alone, a, b): pairs of groups of two classes that meet in a shingle of their prefixes, and a member of each that has it.
+
+    ``small`` has fewer shingles; ``class``: that of ``large``; ``need``: what the unions share at least if there is a link between the two;
+    ``alone``: both have one member, a and b.
+    """
+    rows = unions.filter(F.col("left") >= threshold * F.col("least") - 1e-6)
+    salts = F.when(F.col("groups") > HOT_SHINGLE, SALTS).otherwise(1)
+    heavy = rows.withColumn("salt", F.pmod(F.xxhash64("g"), salts.cast("bigint")).cast("int"))
+    light = (rows.filter(F.col("left") >= 2 * threshold / (1 + threshold) * F.col("least") - 1e-6)
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))))
+    x, y = light.alias("x"), heavy.alias("y")
+    need = threshold / (1 + threshold) * (F.col("x.least") + F.col("y.least")) - 1e-6
+    on = ((F.col("x.element") == F.col("y.element")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root"))
+          & (F.col("x.least") <= F.col("y.most")) & (F.col("x.most") >= threshold * F.col("y.least") - 1e-6)
+          & (F.least("x.left", "y.left") >= need))
+    first = F.struct(F.col("x.size"), F.col("x.g")) < F.struct(F.col("y.size"), F.col("y.g"))
+    pick = lambda p, q, c: F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}"))
+    return stored(x.join(y, on).select(pick("x", "y", "g").alias("small"), pick("y", "x", "g").alias("large"), pick("y", "x", "root").alias("class"),
+                                       need.alias("need"), (F.col("x.alone") & F.col("y.alone")).alias("alone"), F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct(), "class-pairs")
+
+
+def sharing_groups(unions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(small, large) of the pairs of groups (small, large, class, need) that share enough for a link."""
+    # what a group shares with the union of the other class bounds what it shares with each of that class's groups
+    pairs = pairs.select("small", "large", "class", "need").distinct()
+    met = pairs.select("small", "class").distinct()
+    one = unions.select(F.col("g").alias("small"), "element", F.col("weight").alias("w_small"))
+    two = (unions.join(met.select(F.col("class").alias("root")).distinct(), "root", "left_semi").groupBy(F.col("root").alias("class"), "element")
+           .agg(F.max("weight").alias("w_large")))
+    both = (met.join(one, "small").join(two, ["class", "element"]).groupBy("small", "class")
+            .agg(F.sum(F.least("w_small", "w_large")).alias("both")))
+    return stored(pairs.join(both, ["small", "class"]).filter("both >= need").select("small", "large"), "groups-left")
+
+
+def member_prefixes(members: DataFrame, unions: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(v, g, element, total, left): the prefixes of the members of the groups in pairs (small, large)."""
+    some = pairs.select(F.explode(F.array("small", "large")).alias("g")).distinct()
+    rows = members.join(some, "g", "left_semi").join(unions.select("element", "groups").distinct(), "element")
+    after = Window.partitionBy("v").orderBy(F.desc("groups"), F.desc("element")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("left", F.sum("weight").over(after)).filter(F.col("left") >= threshold * F.col("total") - 1e-6)
+    return stored(rows.select("v", "g", "element", "total", "left"), "prefixes")
+
+
+def member_pairs(rows: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, few: int | None = None) -> DataFrame:
+    """(a, b) of the pairs of groups (small, large): all pairs of members of the threshold or more among them.
+
+    ``few``: only so many members of a group for each shingle.
     """
-    n = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = (rooted(weighted_sets(texts), root, "v").withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-            .repartition(n, "element", "_salt"))
-    rows = stored(rows, "weighted-sets")
-    part = rows.groupBy("element", "_salt", "root_v").agg(F.count(F.lit(1)).alias("c"))
-    whole = (part.groupBy("element", "root_v").agg(F.sum("c").alias("c")).groupBy("element")
-             .agg(F.sum("c").alias("texts"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root_v"))["root_v"].alias("main")))
-    # a shingle of one class comes first in the order and pairs nothing; without a row here
-    back = part.select("element", "_salt").distinct().join(whole.filter("roots > 1"), "element")
-    rows = rows.join(back, ["element", "_salt"], "left")
-    order = Window.partitionBy("v").orderBy(F.coalesce("roots", F.lit(1)), F.coalesce("texts", F.lit(1)), "element")
-    before = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    left = F.col("total") - F.coalesce(before, F.lit(0))          # what this shingle and those after it weigh
-    rows = (rows.withColumn("left", left).filter(F.col("roots").isNotNull() & (F.col("left") >= threshold * F.col("total") - 1e-6))
-            .select("v", "element", "total", "left", F.col("root_v").alias("root"), (F.col("root_v") == F.col("main")).alias("is_main"),
-                    F.when(F.col("texts") > HOT_SHINGLE, SALTS).otherwise(1).alias("salts")))
-    rows = stored(rows, "prefixes")
-    heavy = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts").cast("bigint")).cast("int"))
-    light = (rows.filter(F.col("left") >= 2 * threshold / (1 + threshold) * F.col("total") - 1e-6)
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
-
-    def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        x, y = x.alias("x"), y.alias("y")
-        on = ((F.col("x.element") == F.col("y.element")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root"))
-              & (F.col("x.total") >= threshold * F.col("y.total") - 1e-6)
-              & ((F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.v") < F.col("y.v")))))
-        return x.join(y, on).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
-
-    return met(light.filter("not is_main"), heavy).unionByName(met(light.filter("is_main"), heavy.filter("not is_main"))).distinct()
+    if few:
+        one = Window.partitionBy("g", "element").orderBy(F.xxhash64("v", "element"), "v")
+        rows = rows.withColumn("number", F.row_number().over(one)).filter(F.col("number") <= few)
+    ways = pairs.select(F.col("small").alias("g"), F.col("large").alias("other")).unionByName(
+        pairs.select(F.col("large").alias("g"), F.col("small").alias("other")))
+    light = rows.filter(F.col("left") >= 2 * threshold / (1 + threshold) * F.col("total") - 1e-6).join(ways, "g")
+    x, y = light.alias("x"), rows.alias("y")
+    on = ((F.col("x.element") == F.col("y.element")) & (F.col("x.other") == F.col("y.g"))
+          & (F.col("x.total") >= threshold * F.col("y.total") - 1e-6)
+          & ((F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.v") < F.col("y.v"))))
+          & (F.least("x.left", "y.left") >= threshold / (1 + threshold) * (F.col("x.total") + F.col("y.total")) - 1e-6))
+    return x.join(y, on).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+
+
+def prefix_pairs(texts: DataFrame, root: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) of different classes: all pairs of texts (v, text) of the threshold or more among them."""
+    members, unions = class_sets(texts, root)
+    groups = class_pairs(unions, threshold)
+    left = sharing_groups(unions, groups.filter("not alone"))
+    return groups.select("a", "b").union(member_pairs(member_prefixes(members, unions, left, threshold), left, threshold)).distinct()
+
+
+def unfinished(edges: DataFrame) -> bool:
+    """Whether a node is the larger end of two edges (a, b), or the larger one of an edge and the smaller one of another."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("v").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or up > 0 and down > 0").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(v, root) of every node in a link (a, b): root is the smallest node connected with v."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = None
-    while True:
+    while unfinished(edges):
         # large star: every larger neighbour goes to the smallest node around; small star: smaller neighbours and the node itself do
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         edges = stored(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-        state = now
+    return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of at most so many rows, for what is written meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) and kept (whether it is that one) of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with short_batches(docs.sparkSession):
+        known, root = _classes(docs, threshold, bands, rows)
+    out = rooted(known, root, "v").select("doc_id", F.col("root_v").alias("class_id"))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    blank = docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(False).alias("kept"))
+    return out.unionByName(blank)
+
+
+def _classes(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, v) of every document with an id, v being its node, and (v, root) of the linked nodes."""
     sig = stored(signatures(docs, bands, rows), "signatures")
     known = stored(least_of_key(sig.filter("doc_id is not null").select("doc_id", "set1", "set2"), ["set1", "set2"], {"v": F.col("doc_id")}, "doc_id")
                    .select("doc_id", "v"), "nodes")
     nodes = known.filter("doc_id = v").select("v").distinct()
     sig = stored(sig.join(nodes, F.col("doc_id") == F.col("v"), "left_semi").select(F.col("doc_id").alias("v"), "marks", "bands"), "node-signatures")
-
     led = stored(led_by(sig.select("v", F.explode("bands").alias("bucket"))), "buckets")
+    texts = stored(docs.join(led.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                   .select(F.col("doc_id").alias("v"), "text"), "texts")
     marks = sig.select("v", "marks").filter("marks is not null")
-    none = docs.sparkSession.createDataFrame([], "v bigint, root bigint")
-    links, root, tried, number, now = None, None, None, 0, led
+    root = docs.sparkSession.createDataFrame([], "v bigint, root bigint")
 
     def signed(fresh: DataFrame) -> DataFrame:
-        """The pairs that may be similar by their signatures and weren't looked at before."""
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        fresh = (fresh.join(marks.select(F.col("v").alias("a"), F.col("marks").alias("marks_a")), "a")
-                 .join(marks.select(F.col("v").alias("b"), F.col("marks").alias("marks_b")), "b"))
-        return stored(agreeing(fresh), "pairs")
-
-    while True:
-        fresh = now.filter("v <> lead").select(F.least("v", "lead").alias("a"), F.greatest("v", "lead").alias("b")).distinct()
-        if number:
-            fresh = rooted(rooted(fresh, root, "a"), root, "b").filter("root_a <> root_b").select("a", "b")
-        pairs = signed(fresh)
-        found = new_links(pairs, docs, links, root, threshold)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        if found is None:
-            break
-        links, root = found
-        if number == ROUNDS:
-            break
-        coarse = open_buckets(led, root)
-        again = coarse.groupBy("v").count().filter("count > 1").select("v")
-        number += 1
-        fine = fine_buckets(marks.join(again, "v", "left_semi"), number)
-        now = led_by(coarse.unionByName(fine), links, number, LEADERS - 1)
-
-    so_far = none if root is None else root
-    left = open_buckets(led, so_far).select("v").distinct()
-    texts = docs.select(F.col("doc_id").alias("v"), "text").join(left, "v", "left_semi")
-    found = new_links(signed(prefix_pairs(texts, so_far, threshold)), docs, links, root, threshold)
-    if found is not None:
-        links, root = found
-
-    if root is not None:
-        known = known.join(root.select("v", "root"), "v", "left")
-    else:
-        known = known.withColumn("root", F.col("v"))
-    out = known.select("doc_id", F.coalesce("root", "v").alias("class_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
-    blank = docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), F.lit(False).alias("kept"))
-    return out.unionByName(blank)
+        """The pairs that may be similar by their signatures, with the share of agreeing coordinates."""
+        return stored(agreeing(fresh.join(marks.select(F.col("v").alias("a"), F.col("marks").alias("marks_a")), "a")
+                               .join(marks.select(F.col("v").alias("b"), F.col("marks").alias("marks_b")), "b")), "pairs")
+
+    def apart(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+        """The rows whose nodes ``a`` and ``b`` aren't connected yet."""
+        return rooted(rooted(pairs, root, a), root, b).filter(F.col(f"root_{a}") != F.col(f"root_{b}")).select(*pairs.columns)
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal root
+        links = stored(verified(pairs.select("a", "b"), texts, threshold), "links")
+        if not links.isEmpty():
+            root = joined(root, links)
+
+    first = signed(led.filter("v <> lead").select(F.least("v", "lead").alias("a"), F.greatest("v", "lead").alias("b")).distinct())
+    # the best pair of each node, then of the others those that still would connect something
+    ends = first.select("share", "a", "b", F.explode(F.array("a", "b")).alias("v"))
+    best = ends.groupBy("v").agg(F.max(F.struct("share", F.col("a"), F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+    link(stored(best, "best"))
+    link(stored(apart(first), "rest"))
+
+    # the exact step
+    members, unions = class_sets(texts.join(open_nodes(led, root), "v", "left_semi"), root)
+    groups = class_pairs(unions, threshold)
+    link(signed(groups.select("a", "b").distinct()))
+    left = sharing_groups(unions, apart(groups.filter("not alone"), "small", "large"))
+    rows = member_prefixes(members, unions, left, threshold)
+    link(signed(member_pairs(rows, left, threshold, FEW)))
+    link(signed(member_pairs(rows, apart(left, "small", "large"), threshold)))
+    return known, root
 
 
 def rooted(df: DataFrame, root: DataFrame, column: str) -> DataFrame:
@@ -443,10 +522,8 @@ def rooted(df: DataFrame, root: DataFrame, column: str) -> DataFrame:
     return df.join(r, column, "left").withColumn(f"root_{column}", F.coalesce("_root", column)).drop("_root")
 
 
-def joined(root: DataFrame | None, links: DataFrame) -> DataFrame:
+def joined(root: DataFrame, links: DataFrame) -> DataFrame:
     """The roots after new links: components of the roots that the links connect, then one look-up."""
-    if root is None:
-        return stored(components(links), "roots")
     ends = rooted(rooted(links, root, "a"), root, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     new = components(ends).select(F.col("v").alias("old"), F.col("root").alias("new"))
     moved = root.join(new, root["root"] == new["old"], "left").select("v", F.coalesce("new", "root").alias("root"))
@@ -455,36 +532,6 @@ def joined(root: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(first), "roots")
 
 
-def new_links(pairs: DataFrame, docs: DataFrame, links: DataFrame | None, root: DataFrame | None, threshold: float):
-    """Verifies the pairs; all links so far and their components, or None if no pair adds a link."""
-    def check(some: DataFrame) -> DataFrame:
-        ends = some.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-        texts = docs.select(F.col("doc_id").alias("v"), "text").join(ends, "v", "left_semi")
-        return stored(verified(some, texts, threshold), "links")
-
-    def add(more: DataFrame) -> bool:
-        nonlocal links, root
-        if more.isEmpty():
-            return False
-        links = more if links is None else links.unionByName(more)
-        root = joined(root, more)
-        return True
-
-    if root is not None:      # a later round: what doesn't connect two classes is gone already
-        return (links, root) if add(check(pairs.select("a", "b"))) else None
-    # the best pair of each node first, then of the others those that still would connect something
-    ends = pairs.select("share", "a", "b", F.explode(F.array("a", "b")).alias("v"))
-    best = (ends.groupBy("v").agg(F.max(F.struct("share", F.col("a"), F.col("b"))).alias("p"))
-            .select("p.a", "p.b").distinct())
-    best = stored(best, "best")
-    some = add(check(best))
-    rest = pairs.join(best, ["a", "b"], "left_anti")
-    if some:
-        rest = rooted(rooted(rest, root, "a"), root, "b").filter("root_a <> root_b")
-    more = add(check(stored(rest.select("a", "b"), "rest")))
-    return (links, root) if some or more else None
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns it had; of rows without an id, one of each text."""
     stay = near_groups(docs).filter("kept").select("doc_id").distinct()
