@@ -8,7 +8,10 @@ characters piece by piece, special strings and runs of white space as whole text
 
 from __future__ import annotations
 
+import array
+import itertools
 import struct
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ MARKS = frozenset(".,!?;:")
 class LibraryWords(dict):
     """Piece -> ids as little-endian 16-bit integers; None for a piece that can't be cut out."""
 
-    def __init__(self, path: str, limit: int = 500_000, word_limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 900_000, word_limit: int = 1_000_000):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
@@ -64,11 +67,13 @@ class LibraryWords(dict):
 
     def __missing__(self, piece: str) -> bytes | None:
         plain = piece.isascii() or _PLAIN.fullmatch(piece)
-        word, mark = (piece, "") if piece[-1:] not in MARKS else (piece[:-1], piece[-1:])
+        mark = piece[-1:]
+        word = piece[:-1] if mark in MARKS else piece
         if plain and word.isalpha():      # a word, perhaps with one mark behind it
-            got = self.word(word.lower() if self.lower else " " + word)
-            if mark:
-                got += self.word(mark)
+            key = word.lower() if self.lower else " " + word
+            got = self.words.get(key) or self.word(key)
+            if word is not piece:
+                got += self.words.get(mark) or self.word(mark)
         elif self.lower:
             got = b"".join(map(self.word, self.find(piece.lower()))) if plain else self.whole(piece)
         elif not piece or piece[0].isspace() or piece[-1].isspace():
@@ -116,7 +121,11 @@ class LibraryWords(dict):
             return []
         lists = pc.split_pattern(column, " ")
         coded = lists.values.dictionary_encode()
-        ids = [self[p] for p in coded.dictionary.to_pylist()]
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.get, pieces, itertools.repeat(False)))
+        for k, got in enumerate(ids):
+            if got is False:
+                ids[k] = self.__missing__(pieces[k])
         flat = np.frombuffer(b"".join(x or b"" for x in ids), "<u2")
         sizes = np.fromiter((len(x or b"") // 2 for x in ids), np.int64, len(ids))
         odd = np.fromiter((x is None for x in ids), bool, len(ids))
@@ -149,7 +158,7 @@ class LibraryWords(dict):
 
 
 def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}H", *ids)
+    return array.array("H", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}H", *ids)
 
 
 def words(path: str) -> LibraryWords:
