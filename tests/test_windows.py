@@ -5,8 +5,8 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from opsmetrics.operators.windows import (range_bucket, range_neighbours, range_row_number, split_neighbours,
-                                          split_row_number)
+from opsmetrics.operators.windows import (hot_keys, range_bucket, range_neighbours, range_row_number,
+                                          split_neighbours, split_row_number)
 
 
 def _data(spark, seed):
@@ -108,3 +108,38 @@ def test_split_windows_descending_and_text_order(spark):
     assert _rows(got, ["k", "id", "p", "n", "rn"]) == _rows(ref, ["k", "id", "p", "n", "rn"])
     hot = range_row_number(df, ["k"], order, "rn", partitions=9)
     assert _rows(hot, ["k", "id", "rn"]) == _rows(ref, ["k", "id", "rn"])
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
+def test_keys_that_fit_a_range_take_one_exchange(spark):
+    """Rows used to be exchanged by ranges, by (key, range), and again for the join with the offsets."""
+    df = spark.range(4000).selectExpr("id % 1000 as k", "id as seq", "repeat('x', 20) as wide")
+    assert _exchanges(range_row_number(df, ["k"], ["seq"], "rn", partitions=8)) == 1
+    assert _exchanges(range_neighbours(df, ["k"], ["seq"], "wide", "p", "n", partitions=8)) == 1
+
+
+def test_only_hot_keys_are_cut_into_ranges(spark):
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 'hot' else 'k' || id end as k", "id as seq")
+    hot = hot_keys(df, ["k"], 8)
+    assert {r[0] for r in hot.collect()} == {None, "hot"}
+    assert hot_keys(df.where("k like 'k%'"), ["k"], 8) is None
+    w = Window.partitionBy("k").orderBy("seq")
+    ref = df.select("k", "seq", F.row_number().over(w).alias("rn"), F.lag("seq").over(w).alias("p"), F.lead("seq").over(w).alias("n"))
+    got = range_row_number(df, ["k"], ["seq"], "rn", partitions=8)
+    assert _rows(got, ["k", "seq", "rn"]) == _rows(ref, ["k", "seq", "rn"])
+    near = range_neighbours(df, ["k"], ["seq"], "seq", "p", "n", partitions=8)
+    assert _rows(near, ["k", "seq", "p", "n"]) == _rows(ref, ["k", "seq", "p", "n"])
+
+
+def test_latest_row_holds_each_column_once(spark):
+    from opsmetrics.operators.aggregates import latest_row
+    df = spark.createDataFrame([("a", 1, None, "x", {"m": 1}), ("a", 1, 2, "y", {"m": 2}), ("a", 3, 2, "z", {"m": 3}), (None, None, None, None, None)],
+                               "k string, d int, e int, v string, m map<string, int>")
+    plain = latest_row(df.drop("m"), ["k"], [("d", "desc"), "e"])
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and plan.count("AS v#") <= 1
+    assert sorted(map(tuple, plain.collect()), key=str) == [("a", 3, 2, "z"), (None, None, None, None)]
+    assert [tuple(r) for r in latest_row(df, ["k"], ["d", "e"], ["m", "v", "d"]).where("k = 'a'").collect()] == [("a", {"m": 2}, "y", 1)]
