@@ -33,3 +33,20 @@ def test_left_side_condition_in_on_keeps_rows_and_suppresses_match(spark):
            for r in match_replacements(parents, child).collect()}
     # only the first parent row of the (order, style) pair can match; the other row stays, unmatched
     assert got == {"10STDa": (1001, True, 2, True, 1), "10STDb": (None, False, None, False, 1)}
+
+
+def test_vendor_names_are_looked_up_for_the_newest_rows_only(spark):
+    """All delivery rows used to be joined with the purchases."""
+    from opsmetrics.plans.replacements import latest_purchase
+    day = dt.date(2001, 1, 1)
+    detail = spark.createDataFrame([("h1", "i1", "a1", "l", "p1", "s1"), ("h1", "i2", "a2", "l", "p1", "s2"), ("h2", "i1", "a1", "l", None, "s3"),
+                                    ("h3", "i3", "a1", "l", "p3", "s4")],
+                                   "hu_id string, item_number string, asn_number string, lot_number string, po_number string, serial_number string")
+    master = spark.createDataFrame([("a1", "v1", day), ("a2", "v2", None)], "asn_number string, vendor_code string, delivery_date date")
+    purchases = spark.createDataFrame([("p1", "v2", "i2", "B"), ("p1", "v2", "i2", "A"), ("p1", "v2", "i2", None), ("p1", "v1", "i1", "C"),
+                                       ("p3", "v1", "i3", None)], "purchase_id string, vendor_id string, sku_code string, vendor_name string")
+    got = latest_purchase(detail, master, purchases)
+    assert {r.hu_id: (r.rfid, r.vendor_code, r.vendor_name) for r in got.collect()} == {
+        "h1": ("s2", "v2", "A"), "h2": ("s3", "v1", None), "h3": ("s4", "v1", None)}
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("v_po") < text.index("min(struct")        # the join is above the aggregate of the deliveries
