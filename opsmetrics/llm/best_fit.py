@@ -43,6 +43,8 @@ CAPACITY = 2048
 BAND = 32
 #: Ranks in one block of the placement join.
 RANK_BLOCK = 512
+#: Bytes of text encoded at a time: workers that ran earlier steps have little room left.
+BATCH_BYTES = 1_000_000
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int | None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -51,7 +53,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int | None, capacity: int =
     tail = b"" if end_id is None else int(end_id).to_bytes(2, "little")
 
     def run(it):
-        for b in cut(it):
+        for b in cut(it, size=BATCH_BYTES):
             table = words(path)
             names, piece, start, length, crc, kept = [], [], [], [], [], []
             for row, x in enumerate(table.texts(b.column("text"))):
