@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import cut, stored
+from opsmetrics.llm.common import cut, short_batches, stored
 from opsmetrics.llm.library_words import words
 
 CAPACITY = 2048
@@ -45,6 +45,8 @@ BAND = 32
 RANK_BLOCK = 512
 #: Bytes of text encoded at a time: workers that ran earlier steps have little room left.
 BATCH_BYTES = 1_000_000
+#: Entries of a worker's table of words and pieces (about 130 bytes each).
+TABLE_WORDS = 600_000
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int | None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -54,7 +56,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int | None, capacity: int =
 
     def run(it):
         for b in cut(it, size=BATCH_BYTES):
-            table = words(path)
+            table = words(path, limit=TABLE_WORDS, word_limit=TABLE_WORDS)
             names, piece, start, length, crc, kept = [], [], [], [], [], []
             for row, x in enumerate(table.texts(b.column("text"))):
                 ids = np.frombuffer(x + tail, "<u2").astype("<u4")
@@ -181,12 +183,15 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, block: int = RANK_BLOCK)
 
 def pack(docs: DataFrame, path: str, end_id: int | None = 0, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    return place(stored(token_pieces(docs, path, end_id, capacity), "pieces"), capacity)
+    with short_batches(docs.sparkSession):
+        pieces = stored(token_pieces(docs, path, end_id, capacity), "pieces")
+    return place(pieces, capacity)
 
 
 def sequences(docs: DataFrame, path: str, end_id: int | None = 0, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences: sequence_id, their ids, and the spans (doc_id, piece, offset, length) in them."""
-    pieces = stored(token_pieces(docs, path, end_id, capacity, with_ids=True), "pieces")
+    with short_batches(docs.sparkSession):
+        pieces = stored(token_pieces(docs, path, end_id, capacity, with_ids=True), "pieces")
     where = place(pieces.drop("ids"), capacity)
     spans = where.join(pieces.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
     one = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids")))

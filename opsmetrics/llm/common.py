@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +34,22 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts are long.
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of at most so many rows, for what is written meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Words and pieces of more characters aren't kept in workers' tables, so that entries bound their bytes too.
 KEPT_CHARS = 64
 

@@ -56,16 +56,15 @@ null, and not kept). An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import contextlib
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import KEPT_CHARS, cut, held, stored
+from opsmetrics.llm.common import KEPT_CHARS, cut, held, short_batches, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -82,8 +81,6 @@ GROUP = 1.02
 CELLS = 1024
 #: Members of a group that stand for it at first, for each shingle.
 FEW = 8
-#: Rows of an Arrow batch: texts are long.
-BATCH_ROWS = 1000
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
@@ -447,18 +444,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
-@contextlib.contextmanager
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS):
-    """Arrow batches of at most so many rows, for what is written meanwhile."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) and kept (whether it is that one) of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -46,12 +46,18 @@ class LibraryWords(dict):
         if max([*m.vocab.values(), *m.special.values()]) >= 65536:
             raise ValueError("ids over 16 bits")
         self.spell = m.spell
+        m.vocab, m.rank = {}, {}           # the library has them too
         self.lower = bool(m.end)           # the word vocabulary lower-cases and drops white space
         self.find = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
         self.special = regex.compile("|".join(map(regex.escape, m.special))) if m.special else None
-        self.words: dict[str, bytes] = {}
+        self.apart: dict[str, bytes] = {}
         self.model = self.tok.model
 
+    @property
+    def words(self) -> dict[str, bytes]:
+        """Pre-token -> ids. In the lower-casing vocabulary a pre-token has its own ids as a piece too, so one entry does for both."""
+        return self if self.lower else self.apart
+
     def word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
@@ -161,6 +167,6 @@ def pack(ids: list[int]) -> bytes:
     return array.array("H", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}H", *ids)
 
 
-def words(path: str) -> LibraryWords:
+def words(path: str, **limits: int) -> LibraryWords:
     """The worker's table for a vocabulary file."""
-    return held(("words", path), lambda: LibraryWords(path))
+    return held(("words", path, *limits.items()), lambda: LibraryWords(path, **limits))

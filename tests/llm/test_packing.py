@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from util import ODD, documents
 
 from opsmetrics.llm import best_fit
+from opsmetrics.llm.common import BATCH_ROWS, cut
 
 WORD = P.path("word_bpe_49k.json")
 
@@ -113,6 +114,20 @@ def test_pack(spark):
     assert best_fit.pack(documents(spark, []), WORD).count() == 0
 
 
+def test_texts_are_encoded_in_short_batches(spark, monkeypatch):
+    def short(it, most=BATCH_ROWS, **size):
+        for b in it:
+            if b.num_rows > most:
+                raise ValueError(f"a batch of {b.num_rows} rows")
+            yield from cut([b], **size)
+
+    monkeypatch.setattr(best_fit, "cut", short)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = documents(spark, [(k, f"text {k}", "en") for k in range(2 * BATCH_ROWS + 100)]).coalesce(1)
+    assert best_fit.pack(docs, WORD).count() == best_fit.sequences(docs, WORD).selectExpr("explode(spans)").count() == 2 * BATCH_ROWS + 100
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_sequences_hold_the_ids(spark):
     tok = Tokenizer.from_file(WORD)
     texts = {i: t for i, t, _ in ODD}

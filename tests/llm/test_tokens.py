@@ -58,6 +58,31 @@ def test_settled_characters_split_as_in_the_library(tok):
             assert split(x) == [x[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(x)], hex(cp)
 
 
+def test_a_lower_case_word_is_kept_once():
+    low = library_words.LibraryWords(WORD, limit=100, word_limit=100)
+    tok = Tokenizer.from_file(WORD)
+
+    def entries():
+        return sum({id(t): len(t) for t in (low, low.words)}.values())
+
+    low.text("some lower words")
+    assert entries() == 3
+    for k in range(40):
+        t = prose(k, 40) + " " + " ".join(f"X{k}y{n}-{'ab' * k}" for n in range(9))
+        assert np.frombuffer(low.text(t), "<u2").tolist() == tok.encode(t).ids
+        assert entries() <= 102
+
+
+def test_words_stand_for_equal_pieces():
+    low = library_words.LibraryWords(WORD)
+    tok = Tokenizer.from_file(WORD)
+    marks = [c for c in map(chr, range(0x21, 0x1c4)) if library_words._PLAIN.fullmatch(c) and not c.isspace()]
+    for c in marks:
+        low.text(f"{c}A {c}{c} a{c}9 {c}'S '{c}.")          # its words first
+        for t in (f"{c}A {c}{c} a{c}9 {c}'S '{c}.", f"{c}a {c} a{c} 9 's {c}'s ' '{c} . ,".lower()):
+            assert np.frombuffer(low.text(t), "<u2").tolist() == tok.encode(t).ids, c
+
+
 def test_small_tables_start_again():
     coder = bpe_trie.WordCoder(BYTE, cache_words=10)
     lib = library_words.LibraryWords(BYTE, limit=5, word_limit=5)
