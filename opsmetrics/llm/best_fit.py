@@ -45,6 +45,8 @@ BAND = 32
 RANK_BLOCK = 512
 #: Bytes of text encoded at a time: workers that ran earlier steps have little room left.
 BATCH_BYTES = 1_000_000
+#: Rows that the Parquet reader decodes at a time: its arrays hold that many whole texts.
+READ_ROWS = 512
 #: Entries of a worker's table of words and pieces (about 130 bytes each).
 TABLE_WORDS = 600_000
 
@@ -183,14 +185,14 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, block: int = RANK_BLOCK)
 
 def pack(docs: DataFrame, path: str, end_id: int | None = 0, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    with short_batches(docs.sparkSession):
+    with short_batches(docs.sparkSession, read_rows=READ_ROWS):
         pieces = stored(token_pieces(docs, path, end_id, capacity), "pieces")
     return place(pieces, capacity)
 
 
 def sequences(docs: DataFrame, path: str, end_id: int | None = 0, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences: sequence_id, their ids, and the spans (doc_id, piece, offset, length) in them."""
-    with short_batches(docs.sparkSession):
+    with short_batches(docs.sparkSession, read_rows=READ_ROWS):
         pieces = stored(token_pieces(docs, path, end_id, capacity, with_ids=True), "pieces")
     where = place(pieces.drop("ids"), capacity)
     spans = where.join(pieces.select("doc_id", "piece", "ids"), ["doc_id", "piece"])

@@ -39,15 +39,19 @@ BATCH_ROWS = 1000
 
 
 @contextlib.contextmanager
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS):
-    """Arrow batches of at most so many rows, for what is written meanwhile."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS, read_rows: int | None = None):
+    """Arrow batches of at most so many rows, and Parquet read by ``read_rows``, for what is written meanwhile."""
+    meant = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+    if read_rows:
+        meant["spark.sql.parquet.columnarReaderBatchSize"] = str(read_rows)
+    before = {name: spark.conf.get(name) for name in meant}
+    for name, value in meant.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 #: Words and pieces of more characters aren't kept in workers' tables, so that entries bound their bytes too.

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from util import ODD, documents
 
 from opsmetrics.llm import best_fit
-from opsmetrics.llm.common import BATCH_ROWS, cut
+from opsmetrics.llm.common import BATCH_ROWS, cut, stored
 
 WORD = P.path("word_bpe_49k.json")
 
@@ -121,11 +121,19 @@ def test_texts_are_encoded_in_short_batches(spark, monkeypatch):
                 raise ValueError(f"a batch of {b.num_rows} rows")
             yield from cut([b], **size)
 
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before, meanwhile = [spark.conf.get(x) for x in names], []
+
+    def seen(df, name):
+        meanwhile.append([spark.conf.get(x) for x in names])
+        return stored(df, name)
+
     monkeypatch.setattr(best_fit, "cut", short)
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(best_fit, "stored", seen)
     docs = documents(spark, [(k, f"text {k}", "en") for k in range(2 * BATCH_ROWS + 100)]).coalesce(1)
     assert best_fit.pack(docs, WORD).count() == best_fit.sequences(docs, WORD).selectExpr("explode(spans)").count() == 2 * BATCH_ROWS + 100
-    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert meanwhile == [[str(BATCH_ROWS), str(best_fit.READ_ROWS)]] * 2
+    assert [spark.conf.get(x) for x in names] == before
 
 
 def test_sequences_hold_the_ids(spark):
