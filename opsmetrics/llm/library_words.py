@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import array
 import itertools
+import re
 import struct
 import sys
 
@@ -26,7 +27,7 @@ from opsmetrics.llm.common import KEPT_CHARS, held
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 #: Characters whose normal form, case and class need no look at their neighbours.
-_PLAIN = regex.compile(r"[\n!-~¡-¬®-įĲ-ňŊ-žƀ-ǃ]*")
+_PLAIN = re.compile(r"[\n!-~¡-¬®-įĲ-ňŊ-žƀ-ǃ]*")
 
 
 #: Marks that are a pre-token of their own behind a word.
@@ -46,6 +47,8 @@ class LibraryWords(dict):
         if max([*m.vocab.values(), *m.special.values()]) >= 65536:
             raise ValueError("ids over 16 bits")
         self.spell = m.spell
+        self.space = m.spell(" ")
+        self.packed = [k.to_bytes(2, "little") for k in range(max([*m.vocab.values(), *m.special.values()]) + 1)]
         m.vocab, m.rank = {}, {}           # the library has them too
         self.lower = bool(m.end)           # the word vocabulary lower-cases and drops white space
         self.find = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
@@ -61,7 +64,8 @@ class LibraryWords(dict):
     def word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            got = pack([t.id for t in self.model.tokenize(self.spell(w))])
+            packed = self.packed
+            got = b"".join([packed[t.id] for t in self.model.tokenize(self.spell(w))])
             if len(w) <= KEPT_CHARS:
                 if len(self.words) > self.word_limit:
                     self.words.clear()
@@ -72,27 +76,54 @@ class LibraryWords(dict):
         return pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> bytes | None:
+        return self.learned([piece])[0]
+
+    def learned(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of pieces that the table doesn't have."""
+        out = list(map(self.lower_piece, pieces)) if self.lower else self.byte_pieces(pieces)
+        if len(self) + len(pieces) > self.limit:
+            self.clear()
+        short = max(map(len, pieces), default=0) <= KEPT_CHARS
+        self.update(zip(pieces, out) if short else [x for x in zip(pieces, out) if len(x[0]) <= KEPT_CHARS])
+        return out
+
+    def lower_piece(self, piece: str) -> bytes:
         plain = piece.isascii() or _PLAIN.fullmatch(piece)
         mark = piece[-1:]
         word = piece[:-1] if mark in MARKS else piece
         if plain and word.isalpha():      # a word, perhaps with one mark behind it
-            key = word.lower() if self.lower else " " + word
-            got = self.words.get(key) or self.word(key)
-            if word is not piece:
-                got += self.words.get(mark) or self.word(mark)
-        elif self.lower:
-            got = b"".join(map(self.word, self.find(piece.lower()))) if plain else self.whole(piece)
-        elif not piece or piece[0].isspace() or piece[-1].isspace():
-            got = None
-        elif plain:
-            got = b"".join(map(self.word, self.find(" " + piece)))
-        else:
-            got = self.whole(" " + piece)
-        if len(piece) <= KEPT_CHARS:
-            if len(self) > self.limit:
-                self.clear()
-            self[piece] = got
-        return got
+            got = self.words.get(word.lower()) or self.word(word.lower())
+            return got + (self.words.get(mark) or self.word(mark)) if word is not piece else got
+        return b"".join(map(self.word, self.find(piece.lower()))) if plain else self.whole(piece)
+
+    def byte_pieces(self, pieces: list[str]) -> list[bytes | None]:
+        """One loop over all pieces: most of the time goes into pieces that are seen first."""
+        words, packed, plain, spell, tokenize, space = self.apart, self.packed, _PLAIN.fullmatch, self.spell, self.model.tokenize, self.space
+        if len(words) + len(pieces) > self.word_limit:
+            words.clear()
+        out = []
+        for piece in pieces:
+            mark = piece[-1:]
+            word = piece[:-1] if mark in MARKS else piece
+            simple = piece.isascii()
+            if word.isalpha() and (simple or plain(piece)):      # a word, perhaps with one mark behind it
+                key = " " + word
+                got = words.get(key)
+                if got is None:
+                    # letters of ASCII are spelled as they are
+                    got = b"".join([packed[t.id] for t in tokenize(space + word if simple else spell(key))])
+                    if len(key) <= KEPT_CHARS:
+                        words[key] = got
+                if word is not piece:
+                    got += words.get(mark) or self.word(mark)
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                got = None
+            elif simple or plain(piece):
+                got = b"".join([words.get(w) or self.word(w) for w in self.find(" " + piece)])
+            else:
+                got = self.whole(" " + piece)
+            out.append(got)
+        return out
 
     def head(self, first: str) -> bytes:
         """Ids of a text's first piece, which has no space before it."""
@@ -129,12 +160,13 @@ class LibraryWords(dict):
         coded = lists.values.dictionary_encode()
         pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.get, pieces, itertools.repeat(False)))
-        for k, got in enumerate(ids):
-            if got is False:
-                ids[k] = self.__missing__(pieces[k])
-        flat = np.frombuffer(b"".join(x or b"" for x in ids), "<u2")
-        sizes = np.fromiter((len(x or b"") // 2 for x in ids), np.int64, len(ids))
-        odd = np.fromiter((x is None for x in ids), bool, len(ids))
+        new = [k for k, got in enumerate(ids) if got is False]
+        for k, got in zip(new, self.learned([pieces[k] for k in new])):
+            ids[k] = got
+        ids = [x or b"" for x in ids]
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        odd = sizes == 0                       # a piece of the byte vocabulary that can be cut out has an id
         firsts = np.cumsum(sizes) - sizes
         starts = lists.offsets.to_numpy().astype(np.int64)
         number = coded.indices.to_numpy()

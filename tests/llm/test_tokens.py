@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 from util import ODD, documents, prose, rows_of
@@ -93,6 +94,21 @@ def test_small_tables_start_again():
         assert np.frombuffer(coder.batch([t, t])[1], "<u2").tolist() == ids == np.frombuffer(lib.text(t), "<u2").tolist()
 
 
+def test_new_pieces_of_a_batch_are_learned_in_one_loop(tok, monkeypatch):
+    def alone(self, piece):
+        raise AssertionError(f"a call for {piece!r} alone")
+
+    monkeypatch.setattr(library_words.LibraryWords, "__missing__", alone)
+    some = [prose(k, 60) + f" Ünique{k}, x{k}-y a\nb{'long' * 20}{k}." for k in range(40)]
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in some]
+    for limits in ({}, {"limit": 5, "word_limit": 5}):
+        lib = library_words.LibraryWords(BYTE, **limits)
+        for batch in (slice(0, 25), slice(25, 40)):
+            got = lib.texts(pa.array(some[batch]))
+            assert [np.frombuffer(x, "<u2").tolist() for x in got] == ids[batch]
+        assert max(map(len, lib)) <= library_words.KEPT_CHARS
+
+
 def test_shared_prefixes_are_computed_once():
     m = bpe_trie.Merges(BYTE)
     e = bpe_trie.TrieEncoder(m)
