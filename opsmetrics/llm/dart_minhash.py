@@ -73,6 +73,8 @@ ROWS = 4
 #: Pairs whose signatures agree on a smaller share than this are dropped: 4.5 standard deviations below the threshold.
 LEAST_AGREEMENT = 0.6
 SALTS = 64
+#: Rows that the Parquet reader decodes at a time: its arrays hold that many whole texts.
+READ_ROWS = 512
 #: Shingles of more groups than this are dealt over ``SALTS`` tasks.
 HOT_SHINGLE = 500
 #: Members of a class whose total weights differ by this factor at most share a group.
@@ -139,8 +141,9 @@ def elements(texts: list[str | None], table: WordHashes, size: int = SHINGLE) ->
     place = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     inside = place <= lengths[doc] - size
     doc, shingle = doc[inside], shingle[inside]
-    order = np.lexsort((shingle, doc))
-    doc, shingle = doc[order], shingle[order]
+    ends = np.cumsum(np.maximum(lengths - (size - 1), 0)).tolist()
+    for a, b in zip([0, *ends], ends):
+        shingle[a:b].sort()
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (shingle[1:] != shingle[:-1])])
     return doc[first], shingle[first], np.diff(np.r_[first, len(doc)])
 
@@ -176,10 +179,14 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
             on, rank, h = on[alive], rank[alive], h[alive]
             h2 = mix(h ^ _U(0xA0761D6478BD642F))
             hit = low[on] + width[on] * unit(h2) < reach[on] + 1e-12
-            darts.append((owner[on][hit], rank[hit], mix(h2 + _U(0xE7037ED1A0B428DB))[hit]))
+            darts.append((owner[on[hit]], rank[hit], mix(h2[hit] + _U(0xE7037ED1A0B428DB))))
         o, r, h = (np.concatenate(x) for x in zip(*darts))
         slot = o * k + (h % _U(k)).astype(np.int64)
-        order = np.lexsort((h, r, slot))
+        least = np.full(n * k, np.inf)
+        np.minimum.at(least, slot, r)
+        early = np.flatnonzero(r == least[slot])      # one for each coordinate, but for equal ranks
+        slot, h = slot[early], h[early]
+        order = np.lexsort((h, slot))
         slot, h = slot[order], h[order]
         first = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
         filled = np.bincount(slot[first] // k, minlength=n)
@@ -228,8 +235,7 @@ def least_of_key(df: DataFrame, keys: list[str], values: dict[str, Column], of:
     Minima are taken per key and salt, then per key, and go back to the rows by key and salt, so
     no task meets all rows of a hot key. ``of``: the column that salts.
     """
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")).repartition(n, *keys, "_salt")
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")).repartition(*keys, "_salt")
     part = dealt.groupBy(*keys, "_salt").agg(*[F.min(v).alias(c) for c, v in values.items()], F.count(F.lit(1)).alias("_rows"))
     whole = (part.groupBy(*keys).agg(*[F.min(c).alias(c) for c in values], F.sum("_rows").alias("_all"))
              .filter(F.col("_all") >= least_rows).drop("_all"))
@@ -264,12 +270,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
 
     A task gets the text of an ``a`` once, before the texts of its ``b``.
     """
-    n = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("_salt"))
     others = dealt.join(texts.select(F.col("v").alias("b"), "text"), "b").select("a", "_salt", "b", "text")
     firsts = (dealt.select("a", "_salt").distinct().join(texts.select(F.col("v").alias("a"), "text"), "a")
               .select("a", "_salt", F.lit(None).cast("bigint").alias("b"), "text"))
-    rows = (firsts.unionByName(others).repartition(n, "a", "_salt")
+    rows = (firsts.unionByName(others).repartition("a", "_salt")      # without a number: few texts make few tasks and files
             .sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first()))
 
     def run(it):
@@ -447,7 +452,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) and kept (whether it is that one) of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with short_batches(docs.sparkSession):
+    with short_batches(docs.sparkSession, read_rows=READ_ROWS):
         known, root = _classes(docs, threshold, bands, rows)
     out = rooted(known, root, "v").select("doc_id", F.col("root_v").alias("class_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -123,6 +123,22 @@ def test_near_groups(spark):
     assert all(r.kept == (i == r.class_id) for i, r in got.items())
 
 
+def test_small_tables_take_few_files_and_texts_are_read_in_short_batches(spark, monkeypatch):
+    name, plain = "spark.sql.parquet.columnarReaderBatchSize", dart_minhash.stored
+    before, read, files = spark.conf.get(name), set(), defaultdict(int)
+
+    def seen(df, title, **options):
+        out = plain(df, title, **options)
+        read.add(spark.conf.get(name))
+        files[title] = max(files[title], len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(dart_minhash, "stored", seen)
+    assert dart_minhash.near_groups(documents(spark, near_rows())).count() == len(near_rows())
+    assert read == {str(dart_minhash.READ_ROWS)} and spark.conf.get(name) == before
+    assert max(files["nodes"], files["buckets"], files["links"]) < int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def family_rows(size=1500, planted=100):
     """A template family: any two texts are at 0.76 (no link), planted pairs at 0.84."""
     r = random.Random(3)
