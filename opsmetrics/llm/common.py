@@ -54,6 +54,20 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS, read_rows: int |
             spark.conf.set(name, value)
 
 
+#: Parquet rows decoded at a time where whole rows go to the Python workers.
+READ_ROWS = 512
+
+
+def keep_batches_short(spark: SparkSession) -> None:
+    """Lowers the session's Arrow and Parquet batches to those of ``short_batches`` for good.
+
+    For rows with their texts that the caller writes later: Spark reads these settings only then.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if not 0 < int(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
 #: Words and pieces of more characters aren't kept in workers' tables, so that entries bound their bytes too.
 KEPT_CHARS = 64
 
@@ -83,3 +97,15 @@ def cut(it: Iterable[pa.RecordBatch], column: str = "text", size: int = 4_000_00
             stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield b.slice(start, stop - start)
             start = stop
+
+
+def text_at(docs: DataFrame) -> int | None:
+    """The place of ``text`` among the columns, if it is a string there and needn't be sent beside the row."""
+    at = [k for k, c in enumerate(docs.columns) if c.lower() == "text"]
+    return at[0] if len(at) == 1 and docs.dtypes[at[0]][1] == "string" else None
+
+
+def with_text(it: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Adds the column text to batches: the field of ``row`` at that place, without a copy."""
+    for b in it:
+        yield b.append_column("text", b.column("row").field(at))

@@ -43,7 +43,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import KEPT_CHARS, cut, held, stored
+from opsmetrics.llm.common import KEPT_CHARS, READ_ROWS, cut, held, short_batches, stored, text_at, with_text
 
 MIN_WORDS = 50
 WIDTH = 5.0
@@ -140,12 +140,13 @@ _MEASURES = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines b
 def measures(docs: DataFrame, path: str, carry: bool = False) -> DataFrame:
     """doc_id and the measures of every whole text; with ``carry`` also the row itself, as a struct."""
     key = docs.schema["doc_id"].dataType.simpleString()
+    at = text_at(docs) if carry else None        # the text goes to the workers once
 
     def run(it):
         v = held(("vocabulary", path), lambda: Vocabulary(path))
-        for b in cut(it):
+        for b in cut(it if at is None else with_text(it, at)):
             rows = []
-            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+            for text, lang in zip(b.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), b.column("lang").to_pylist()):
                 words = text.split()
                 script = main_script(text.decode("utf-8", "replace"))
                 group = f"language {lang}" if lang else f"no language, {script}"
@@ -161,7 +162,7 @@ def measures(docs: DataFrame, path: str, carry: bool = False) -> DataFrame:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
-    out = docs.select("doc_id", text.alias("text"), lang.alias("lang"), *row)
+    out = docs.select("doc_id", *[text.alias("text")] * (at is None), lang.alias("lang"), *row)
     return out.mapInArrow(run, f"doc_id {key}, {_MEASURES}" + (f", row {out.schema['row'].dataType.simpleString()}" if carry else ""))
 
 
@@ -204,7 +205,8 @@ def judge(docs: DataFrame, path: str, width: float = WIDTH, high: float = HIGH,
          .withColumn("fallback", F.when(F.col("n_tokens") > 0, F.col("n_fallback") / F.col("n_tokens")))
          .withColumn("octave", F.floor(2 * F.log2(F.greatest(F.col("word_chars"), F.lit(1)).cast("double"))))
          .withColumn("length", F.log(F.greatest(F.col("word_chars"), F.lit(1)).cast("double")) - 7))
-    m = stored(m, "measures")
+    with short_batches(docs.sparkSession, read_rows=READ_ROWS):
+        m = stored(m, "measures")
     texts = (m.filter(~F.col("base_failed") & (F.col("n_tokens") > 0))
              .select("band_group", "script_group", "octave", "length", "per_token", "fallback", "entropy").distinct()
              .withColumn("group", F.explode(F.array("band_group", "script_group", F.lit(ANY)))).drop("band_group", "script_group"))

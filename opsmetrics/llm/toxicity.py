@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmetrics.llm.common import KEPT_CHARS, cut, held
+from opsmetrics.llm.common import KEPT_CHARS, cut, held, keep_batches_short, text_at, with_text
 
 DIMENSIONS = 1 << 18
 MAX_TOXIC = 1500
@@ -185,15 +185,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], carry: bool = False) -> DataFrame:
-    """doc_id, score and offending sentences of every whole text; with ``carry`` also the row itself, as a struct."""
+    """doc_id, score and offending sentences of every whole text; with ``carry`` also the row itself, as a struct.
+
+    The session's batches are kept short from here on: the caller writes the rows.
+    """
+    keep_batches_short(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = docs.schema["doc_id"].dataType.simpleString()
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    at = text_at(docs) if carry else None        # the text goes to the workers once
 
     def run(it):
         held("scorer", dict).clear()                 # other operators' tables go
         s = Scorer(*shared.value)
-        for b in cut(it):
+        for b in cut(it if at is None else with_text(it, at)):
             texts = b.column("text").to_pylist()
             p = [s.document(t) for t in texts]
             found = [s.sentences(t) if x >= 0.3 else [] for x, t in zip(p, texts)]
@@ -202,7 +207,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], carry: bool = False)
                                              names=["doc_id", "score", "sentences", *["row"] * carry])
 
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), *row)
+    out = docs.select("doc_id", *[F.col("text").cast("string").alias("text")] * (at is None), *row)
     kind = f"doc_id {key}, score double, sentences array<struct<start:bigint,end:bigint,score:double>>"
     return out.mapInArrow(run, kind + (f", row {out.schema['row'].dataType.simpleString()}" if carry else ""))
 

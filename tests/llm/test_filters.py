@@ -8,9 +8,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from util import ODD, documents, prose, rows_of
 
 from opsmetrics.llm import fertility, html_crf, toxicity, url_filter
+from opsmetrics.llm.common import BATCH_ROWS, cut
 
 PIECE = P.path("piece_bpe_32k.model")
 CLASH = ("row", "octave", "kept", "score", "band_group", "n_words", "toxic", "held_out")
@@ -133,6 +135,48 @@ def test_toxicity_without_examples(spark):
     assert toxicity.judge(documents(spark, []), labels).count() == 0
 
 
+def test_carried_rows_go_in_short_batches_with_one_text(spark, monkeypatch):
+    def short(it, **size):
+        for b in it:
+            if b.num_rows > BATCH_ROWS:
+                raise ValueError(f"a batch of {b.num_rows} rows")
+            if b.column("text").buffers()[-1].address != b.column("row").field(1).buffers()[-1].address:
+                raise ValueError("the text was sent twice")
+            yield from cut([b], **size)
+
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
+    before = {name: spark.conf.get(name) for name in settings}
+    rows, labels = toxic_rows(600, 10_000)
+    rows = rows + [(50_000 + k, f"text {k}", "en") for k in range(2 * BATCH_ROWS)] + ODD + [(None, None, None), (6, prose(1, 70), "en")]
+    docs = documents(spark, rows, clash=("Row", "kept", "score", "sentences")).coalesce(1)
+    lab = spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(fertility, "cut", short)
+    monkeypatch.setattr(toxicity, "cut", short)
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        good = sorted(map(tuple, fertility.keep_good(docs, PIECE).collect()), key=str)
+        assert {name: spark.conf.get(name) for name in settings} == settings
+        harmless = sorted(map(tuple, toxicity.keep_harmless(docs, lab).collect()), key=str)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")        # smaller ones stay
+        toxicity.keep_harmless(docs, lab)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    monkeypatch.undo()
+    whole = [tuple(r) for r in docs.collect()]
+    kept = Counter(rows_of(fertility.judge(docs, PIECE).filter("kept"), "doc_id"))
+    assert good == sorted((r for r in whole if kept[r[:1]] and not base(r[1])[-1]), key=str) and len(good) > 500
+    toxic = {r.doc_id for r in toxicity.judge(docs, lab).filter("predicted = 1").collect()}
+    assert harmless == sorted((r for r in whole if r[0] not in toxic), key=str) and len(toxic) > 100
+    # a text of another type is sent beside its row
+    bytes_ = docs.withColumn("text", F.col("text").cast("binary"))
+    assert sorted((r.doc_id for r in toxicity.score(bytes_, toxicity.fit(docs, lab), carry=True).filter("score < 0.5").collect()), key=str) == sorted((r[0] for r in harmless), key=str)
+    assert fertility.keep_good(bytes_, PIECE).count() == len(good)
+
+
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
