@@ -265,6 +265,12 @@ def agreeing(pairs: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
     return pairs.select("a", "b", "marks_a", "marks_b").mapInArrow(run, "a bigint, b bigint, share double")
 
 
+def heads(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, salts, text): each ``a`` of the pairs (a, b, _salt) with its text, looked up once, and the salts that need it."""
+    return (dealt.groupBy("a").agg(F.collect_set("_salt").alias("salts"))         # SALTS at most
+            .join(texts.select(F.col("v").alias("a"), "text"), "a"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar. ``texts``: (v, text), one row for each node.
 
@@ -272,8 +278,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     """
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("_salt"))
     others = dealt.join(texts.select(F.col("v").alias("b"), "text"), "b").select("a", "_salt", "b", "text")
-    firsts = (dealt.select("a", "_salt").distinct().join(texts.select(F.col("v").alias("a"), "text"), "a")
-              .select("a", "_salt", F.lit(None).cast("bigint").alias("b"), "text"))
+    firsts = heads(dealt, texts).select("a", F.explode("salts").alias("_salt"), F.lit(None).cast("bigint").alias("b"), "text")
     rows = (firsts.unionByName(others).repartition("a", "_salt")      # without a number: few texts make few tasks and files
             .sortWithinPartitions("a", "_salt", F.col("b").asc_nulls_first()))
 
