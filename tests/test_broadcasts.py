@@ -48,7 +48,8 @@ def _unstored(df, name):
     return df
 
 
-@pytest.mark.parametrize("query", ["job_parent_items", "job_parent_items_hot_keys", "job_first_child", "job_first_child_hot_keys", "job_latest_survey", "job_match"])
+@pytest.mark.parametrize("query", ["job_parent_items", "job_parent_items_hot_keys", "job_first_child", "job_first_child_hot_keys",
+                                   "job_latest_survey", "job_match", "job_classify_text"])
 def test_joins_wait_for_measured_sizes(spark, root, taken_for_12_mb, monkeypatch, query):
     """Each of these plans had the products broadcast for the lines and for the barcodes, whatever their rows take."""
     for module in (windows, replacements, catalog_replacements):
