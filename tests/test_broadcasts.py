@@ -58,6 +58,18 @@ def test_joins_wait_for_measured_sizes(spark, root, taken_for_12_mb, monkeypatch
     assert plan.count("FileScan parquet") > 3 and "BroadcastExchange" not in plan
 
 
+def test_the_items_of_the_whole_job_are_not_broadcast(spark, root, taken_for_12_mb, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(df, name):
+        raise Seen(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(replacements, "staged", seen)
+    with pytest.raises(Seen) as plan:
+        E.queries()["pipe_replacements"](spark, root)
+    assert "FileScan parquet" in str(plan.value) and "BroadcastExchange" not in str(plan.value)
+
+
 def test_small_files_are_still_broadcast(spark, root, monkeypatch):
     monkeypatch.setattr(windows, "staged", _unstored)
     assert "BroadcastExchange" in E.queries()["job_parent_items"](spark, root)._jdf.queryExecution().executedPlan().toString()
